@@ -23,7 +23,6 @@ def spans_of(text: Column, pattern: str) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    step = F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g"))
     empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
     folded = F.aggregate(
         F.arrays_zip(found, F.slice(gaps, F.lit(1), F.size(found))),
@@ -43,7 +42,6 @@ def spans_of(text: Column, pattern: str) -> Column:
         ),
         lambda acc: acc["out"],
     )
-    del step
     return F.when(text.rlike(pattern), folded).otherwise(empty)
 
 
