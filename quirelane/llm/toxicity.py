@@ -43,7 +43,8 @@ FEATURES = (
 
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or 0x30 <= b <= 0x39 or b >= 0x80 or b == 0x27 else 0x20 for b in range(256))
 _LEET = bytes.maketrans(b"0134578@$!|", b"oieastbasil")
-_MIXED = re.compile(rb"[a-z]+(?:[0-9@$!|*._-]+[a-z]+)+|[@$!|0-9]+[a-z]+(?:[0-9@$!|*._-]+[a-z]+)*", re.I)
+# possessive, and only from the start of a run: linear in any text
+_MIXED = re.compile(rb"(?<![a-z])[a-z]++(?:[0-9@$!|*._-]++[a-z]++)++|(?<![@$!|0-9])[@$!|0-9]++[a-z]++(?:[0-9@$!|*._-]++[a-z]++)*+", re.I)
 _SPACED = re.compile(rb"(?<![A-Za-z])(?:[A-Za-z][ .*_-]){3,}[A-Za-z](?![A-Za-z])")
 _STRETCHED = re.compile(rb"([a-zA-Z])\1{2,}")
 _RUN = re.compile(rb"(.)\1+")
