@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that pass the base rules and the log-likelihood ratio."""
     ship(spark)
     model = quality.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return quality.judge(docs, model, keep=docs.columns).where("kept").select(*_columns(docs))
+    return quality.judge(docs, model, keep=docs.columns, prefix="__").where("__kept").select(*_columns(docs))
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
