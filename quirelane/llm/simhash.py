@@ -266,7 +266,9 @@ def _components(marked: DataFrame, id: str, r: int, total: int) -> DataFrame:
     per = cut(marked.groupBy("fp").agg(F.min("more").alias("more"), F.min(id).alias("least")))
     comp = cut(connected_components(links(per, r, total=total)))
     per = per.join(comp, per["fp"] == comp["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = per.groupBy("root").agg(F.min("least").alias("component"))
+    # a root may stand for very many fingerprints: both sides are plain tables, so that adaptive execution may split it
+    per = cut(per)
+    named = cut(per.groupBy("root").agg(F.min("least").alias("component")))
     return cut(per.join(named, "root").select(F.col("fp").alias("_fp"), "component"))
 
 
