@@ -29,7 +29,7 @@ from quirelane.session import cut
 WORDS = 400_000
 SALTS = 128
 #: Fillings kept for each branch, and branches tried, before the incumbent stands.
-FILLINGS, BRANCHES = 4, 20_000
+FILLINGS, BRANCHES = 4, 6_000
 
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0"
 _DIGIT = "0-9\xb2\xb3\xb9\xbc-\xbe"
