@@ -11,6 +11,7 @@ rank among pieces of its length. Ranks are dealt over salts, as one length may h
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_left
@@ -35,15 +36,18 @@ _SPACE = "\t\n\x0b\x0c\r \x85\xa0"
 _DIGIT = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ"
 #: The tokenizer's own split, for texts up to U+017F.
-_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^{_SPACE}{_LETTER}{_DIGIT}]+")
-#: What the split above doesn't speak for: other characters, a letter whose lower case has two, marks of added tokens.
-_OTHER = re.compile("[^\x00-ſ]|İ|<\\|")
+_WORD = re.compile(f"[{_LETTER}]+|[{_DIGIT}]|'s|'t|'re|'ve|'m|'ll|'d|[^{_SPACE}{_LETTER}{_DIGIT}]+")
+#: Characters that the split above doesn't speak for, and a letter whose lower case has two.
+_OTHER = re.compile("[^\x00-įı-ſ]")
+#: How added tokens begin.
+_ADDED = "<|"
 
 
 class Tokens:
     """Ids of texts, exactly as ``Tokenizer.encode(text, add_special_tokens=False)``."""
 
     def __init__(self, path: str, words: int = WORDS) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -60,7 +64,7 @@ class Tokens:
         return self._ids(text).tobytes()
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn(self, words: list[str]) -> None:
         """One call of the library for all new words."""
@@ -78,17 +82,17 @@ class Tokens:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if _OTHER.search(text):
+        if _ADDED in text or not text.isascii() and _OTHER.search(text):
             return self.whole(text)
         words = _WORD.findall(text.lower())
         table = self.table
-        if new := [w for w in set(words) if w not in table]:
+        if new := list(set(words).difference(table)):
             if len(new) > self.limit // 4:  # one text with more words than the table should take
                 return self.whole(text)
             before = len(table)
             self._learn(new)
             if len(table) < before:
-                self._learn([w for w in set(words) if w not in table])
+                self._learn(list(set(words).difference(table)))
         return b"".join(map(table.__getitem__, words))
 
 
