@@ -11,7 +11,7 @@ from quirelane.session import table
 
 @register(
     "grep_literal_by_source",
-    """SELECT source, sum(len(regexp_extract_all(text, 'tion'))) AS n_matches, count(*) AS n_documents
+    """SELECT source, sum(len(regexp_extract_all(text, 'tion')))::BIGINT AS n_matches, count(*) AS n_documents
     FROM documents WHERE contains(text, 'tion') GROUP BY source""",
 )
 def grep_literal_by_source(spark, sf_dir):
