@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+from quirelane.sources.pdf import aes
 from quirelane.sources.pdf.filters import Expansion, decode
 from quirelane.sources.pdf.objects import Diagnostics, Name, Operator, Parser, Ref, Stream
 
@@ -40,6 +41,7 @@ class Document:
         self.open: set[int] = set()
         self.trailer: dict = {}
         self.key: bytes | None = None
+        self.method = "RC4"
         self._cross_references()
         if not isinstance(self.get(self.trailer.get("Root")), dict):
             self._recover()
@@ -224,45 +226,60 @@ class Document:
         parms = [{k: self.get(v) for k, v in x.items()} for x in parms]
         return decode(s.raw, filters, parms, self.cap, self.diagnostics)
 
-    # ---- encryption (RC4 with the standard handler)
+    # ---- encryption (the standard handler: RC4, AES-128 and AES-256)
 
     def _unlock(self, password: bytes) -> bool:
-        self.encrypted = True
-        e = self.dict(self.trailer.get("Encrypt"))
-        if e.get("Filter") != "Standard" or e.get("V") not in (1, 2):
-            self.diagnostics.add("encrypted", f"version {e.get('V')} is not read")
+        e = {k: self.get(v) for k, v in self.dict(self.trailer.get("Encrypt")).items()}
+        version = e.get("V")
+        if e.get("Filter") != "Standard" or version not in (1, 2, 4, 5):
+            self.diagnostics.add("encrypted", f"version {version} is not read")
             return False
-        size = (e.get("Length") or 40) // 8 if e.get("V") == 2 else 5
-        first = self.list(self.trailer.get("ID"))
-        first = first[0] if first and isinstance(first[0], bytes) else b""
+        method = "RC4"
+        if version >= 4:
+            name = e.get("StmF", "Identity")
+            method = {"V2": "RC4", "AESV2": "AES", "AESV3": "AES256"}.get(self.get(self.dict(self.dict(e.get("CF")).get(name)).get("CFM")), "None")
         for word in (b"", password):
-            digest = hashlib.md5((word + _PAD)[:32] + e.get("O", b"") + (int(e.get("P", 0)) & 0xFFFFFFFF).to_bytes(4, "little") + first).digest()
-            if e.get("R", 2) >= 3:
-                for _ in range(50):
-                    digest = hashlib.md5(digest[:size]).digest()
-            key = digest[:size]
-            if e.get("R", 2) == 2:
-                ok = rc4(key, _PAD) == e.get("U")
-            else:
-                check = rc4(key, hashlib.md5(_PAD + first).digest())
-                for i in range(1, 20):
-                    check = rc4(bytes(b ^ i for b in key), check)
-                ok = check[:16] == (e.get("U") or b"")[:16]
-            if ok:
+            key = aes.file_key(e, word) if version == 5 else self._old_key(e, word)
+            if key is not None:
                 self.cache.clear()
-                self.key = key
+                self.key, self.method = key, method
                 return True
         self.diagnostics.add("encrypted", "the password doesn't fit")
         return False
 
+    def _old_key(self, e: dict, word: bytes) -> bytes | None:
+        revision = e.get("R", 2)
+        size = (e.get("Length") or (128 if e.get("V") == 4 else 40)) // 8 if e.get("V") != 1 else 5
+        first = self.list(self.trailer.get("ID"))
+        first = first[0] if first and isinstance(first[0], bytes) else b""
+        seed = (word + _PAD)[:32] + (e.get("O") or b"")[:32] + (int(e.get("P", 0)) & 0xFFFFFFFF).to_bytes(4, "little") + first
+        if revision >= 4 and e.get("EncryptMetadata") is False:
+            seed += b"\xff\xff\xff\xff"
+        digest = hashlib.md5(seed).digest()
+        if revision >= 3:
+            for _ in range(50):
+                digest = hashlib.md5(digest[:size]).digest()
+        key, u = digest[:size], e.get("U") or b""
+        if revision == 2:
+            return key if rc4(key, _PAD) == u else None
+        check = rc4(key, hashlib.md5(_PAD + first).digest())
+        for i in range(1, 20):
+            check = rc4(bytes(b ^ i for b in key), check)
+        return key if check[:16] == u[:16] else None
+
     def _decrypted(self, value, ref: Ref):
-        if self.key is None or ref == self.trailer.get("Encrypt"):
+        if self.key is None or self.method == "None" or ref == self.trailer.get("Encrypt"):
             return value
-        key = hashlib.md5(self.key + ref.number.to_bytes(4, "little")[:3] + ref.generation.to_bytes(4, "little")[:2]).digest()[: min(16, len(self.key) + 5)]
+        if self.method == "AES256":
+            plain = lambda b: aes.cbc_decrypt(self.key, b)
+        else:
+            seed = self.key + ref.number.to_bytes(4, "little")[:3] + ref.generation.to_bytes(4, "little")[:2] + (b"sAlT" if self.method == "AES" else b"")
+            key = hashlib.md5(seed).digest()[: min(16, len(self.key) + 5)]
+            plain = (lambda b: aes.cbc_decrypt(key, b)) if self.method == "AES" else (lambda b: rc4(key, b))
 
         def walk(v):
             if isinstance(v, bytes) and not isinstance(v, Operator):
-                return rc4(key, v)
+                return plain(v)
             if isinstance(v, list):
                 return [walk(x) for x in v]
             if isinstance(v, dict):
@@ -270,8 +287,8 @@ class Document:
             return v
 
         if isinstance(value, Stream):
-            raw = value.raw if value.head.get("Type") == "XRef" else rc4(key, value.raw)
-            return Stream(walk(value.head), raw, value.key)
+            kept = value.head.get("Type") in ("XRef",) or "Crypt" in str(value.head.get("Filter"))
+            return Stream(walk(value.head), value.raw if kept else plain(value.raw), value.key)
         return walk(value)
 
     # ---- pages

@@ -120,3 +120,83 @@ def test_spark_round_trip(spark, tmp_path):
     d = reader.read_pdf(spark, str(tmp_path), "documents").collect()
     assert sorted(r["page_count"] for r in d) == [0, 1]
     assert reader.read_pdf(spark, str(tmp_path), "glyphs").count() == 5
+
+
+def test_aes_vectors():
+    from quirelane.sources.pdf import aes
+
+    plain = bytes.fromhex("00112233445566778899aabbccddeeff")
+    for key, cipher in (
+        ("000102030405060708090a0b0c0d0e0f", "69c4e0d86a7b0430d8cdb78070b4c55a"),
+        ("000102030405060708090a0b0c0d0e0f101112131415161718191a1b1c1d1e1f", "8ea2b7ca516745bfeafc49904b496089"),
+    ):
+        k = bytes.fromhex(key)
+        assert aes.cbc_encrypt(k, plain, bytes(16)).hex() == cipher
+        assert aes.cbc_decrypt(k, bytes.fromhex(cipher), bytes(16), padded=False) == plain
+
+
+def encrypted(version):
+    """A one-page file that the given version encrypts, with user password ``pw``."""
+    import hashlib
+
+    from quirelane.sources.pdf import aes
+    from quirelane.sources.pdf.document import _PAD
+
+    body, fid = b"BT /F1 10 Tf 72 700 Td (sealed) Tj ET", b"0123456789abcdef"
+    hexed = lambda b: b"<" + b.hex().encode() + b">"
+    pad = lambda d: d + bytes([16 - len(d) % 16]) * (16 - len(d) % 16)
+    if version == 5:
+        key, us, uk = bytes(range(32)), b"saltsalt", b"keysalt1"
+        u = aes.hash_r6(b"pw", us) + us + uk
+        ue = aes.cbc_encrypt(aes.hash_r6(b"pw", uk), key, bytes(16))
+        head = b"<< /Filter /Standard /V 5 /R 6 /Length 256 /P -4 /O %s /OE %s /U %s /UE %s /CF << /StdCF << /CFM /AESV3 >> >> /StmF /StdCF /StrF /StdCF >>" % (hexed(bytes(48)), hexed(bytes(32)), hexed(u), hexed(ue))
+        seal = lambda n, d: b"v" * 16 + aes.cbc_encrypt(key, pad(d), b"v" * 16)
+    else:
+        o = bytes(32)
+        digest = hashlib.md5((b"pw" + _PAD)[:32] + o + (0xFFFFFFFC).to_bytes(4, "little") + fid).digest()
+        for _ in range(50):
+            digest = hashlib.md5(digest[:16]).digest()
+        key = digest[:16]
+        check = rc4(key, hashlib.md5(_PAD + fid).digest())
+        for i in range(1, 20):
+            check = rc4(bytes(b ^ i for b in key), check)
+        more = b"/CF << /StdCF << /CFM /AESV2 >> >> /StmF /StdCF /StrF /StdCF" if version == 4 else b""
+        head = b"<< /Filter /Standard /V %d /R %d /Length 128 /P -4 /O %s /U %s %s >>" % (version, 4 if version == 4 else 3, hexed(o), hexed(check + bytes(16)), more)
+
+        def seal(n, d):
+            k = hashlib.md5(key + n.to_bytes(3, "little") + b"\0\0" + (b"sAlT" if version == 4 else b"")).digest()
+            return b"v" * 16 + aes.cbc_encrypt(k, pad(d), b"v" * 16) if version == 4 else rc4(k, d)
+
+    sealed = seal(4, body)
+    return writer.assemble(
+        [
+            b"<< /Type /Catalog /Pages 2 0 R >>",
+            b"<< /Type /Pages /Count 1 /Kids [3 0 R] >>",
+            b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources << /Font << /F1 5 0 R >> >> >>",
+            writer.stream(sealed, compress=False),
+            b"<< /Type /Font /Subtype /Type1 /BaseFont /Courier >>",
+            head,
+        ],
+        more=b"/Encrypt 6 0 R /ID [%s %s]" % (hexed(fid), hexed(fid)),
+    )
+
+
+def test_encryption():
+    for version in (2, 4, 5):
+        f = File(encrypted(version), b"pw")
+        assert "".join(g[2] for g in f.rows("glyphs")) == "sealed", version
+        locked = File(encrypted(version), b"no")
+        d = next(locked.rows("documents"))
+        assert d[2:4] == (True, False) and not list(locked.rows("glyphs"))
+
+
+def test_highlights():
+    data = full_pdf()
+    marked = writer.highlighted(data, [(0, 1.0, 2.0, 3.0, 4.0), (9, 0, 0, 1, 1)], "note")
+    assert marked.startswith(data)
+    a = list(File(marked).rows("annotations"))
+    assert [x[2] for x in a] == ["Link", "Link", "Highlight"] and a[2][3:8] == ("note", 1.0, 2.0, 3.0, 4.0)
+    again = list(File(writer.highlighted(marked, [(0, 5, 5, 6, 6)])).rows("annotations"))
+    assert len(again) == 4
+    check = [r for r in again if r[2] == "Link"]
+    assert check[0][-2] == "http://x.example"
