@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelane.functions import scalars
 from quirelane.functions.geometry import Box
+from quirelane.session import cut
 
 
 def block_score(a: Box, b: Box, text_a: Column, text_b: Column) -> Column:
@@ -20,23 +21,33 @@ def span_score(a: Box, b: Box, text_a: Column, text_b: Column) -> Column:
     return 0.5 * a.iou(b) + 0.5 * scalars.text_similarity(text_a, text_b)
 
 
-def block_pairs(old: DataFrame, new: DataFrame, keys: Sequence[str], least: float = 0.5) -> DataFrame:
-    """Candidate pairs of blocks of one page with their score, over ``least``. A page's blocks are few."""
+def block_pairs(old: DataFrame, new: DataFrame, keys: Sequence[str], least: float = 0.5, band: float = 24.0) -> DataFrame:
+    """Candidate pairs of blocks of one page with their score, over ``least``.
+
+    A score over one half needs an overlap of over 0.2 / 0.7, so only blocks that share a horizontal band of the page
+    are met, each pair in the first band that both touch, and texts are compared for overlapping boxes only.
+    """
+    bands = lambda lo, hi: F.sequence(F.floor(F.col(lo) / band), F.floor(F.col(hi) / band))
+    a = old.select("*", F.explode(bands("y0", "y1")).alias("__band"))
     b = new.select(*(F.col(k).alias(f"b_{k}") for k in keys), *(F.col(c).alias(f"b_{c}") for c in ("block_index", "text", "x0", "y0", "x1", "y1")))
-    on = [F.col(k) == F.col(f"b_{k}") for k in keys]
-    score = block_score(Box.of(), Box.of("b_"), F.col("text"), F.col("b_text"))
-    # overlap is at least 0.2 / 0.7 of a score over one half, so blocks apart are never compared as text
+    b = b.select("*", F.explode(bands("b_y0", "b_y1")).alias("__b_band"))
+    on = [*(F.col(k) == F.col(f"b_{k}") for k in keys), F.col("__band") == F.col("__b_band")]
+    once = F.col("__band") == F.greatest(F.floor(F.col("y0") / band), F.floor(F.col("b_y0") / band))
     touch = Box.of().iou(Box.of("b_")) > (least - 0.3) / 0.7
-    return old.join(b, [*on, touch]).withColumn("score", score).where(F.col("score") > least)
+    score = block_score(Box.of(), Box.of("b_"), F.col("text"), F.col("b_text"))
+    return a.join(b, on).where(once & touch).withColumn("score", score).where(F.col("score") > least).drop("__band", "__b_band")
 
 
 def page_diff(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("doc_id", "page_index"), changed_below: float = 0.9) -> DataFrame:
     """(keys, kind, old_block, new_block, score): changed, same, removed and added blocks.
 
-    Blocks of the old page, in order, each take their best free partner over one half. Taking partners in turn is a fold
-    over a page's scored pairs, a bounded group; removed and added ones are anti joins.
+    Blocks of the old page, in order, each take their best free partner over one half. Pairs of blocks that have no other
+    candidate match as they are; only the others, where taking turns matters, are folded page by page, a bounded group.
+    Removed and added blocks are anti joins.
     """
     pairs = block_pairs(old, new, keys).select(*keys, F.col("block_index").alias("old_block"), F.col("b_block_index").alias("new_block"), "score", scalars.text_similarity(F.col("text"), F.col("b_text")).alias("similarity"))
+    n = lambda side: F.count("*").over(Window.partitionBy(*keys, side))
+    counted = pairs.withColumn("__only", (n("old_block") == 1) & (n("new_block") == 1))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["old_block", "score", "new_block"], ascending=[True, False, True], kind="stable")
@@ -48,7 +59,8 @@ def page_diff(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("doc_id", "
                 keep.append(r.Index)
         return pdf.loc[keep]
 
-    matched = pairs.groupBy(*keys).applyInPandas(fold, pairs.schema)
+    turns = counted.where(~F.col("__only")).drop("__only").groupBy(*keys).applyInPandas(fold, pairs.schema)
+    matched = cut(counted.where("__only").drop("__only").unionByName(turns))
     kind = F.when(F.col("similarity") < changed_below, F.lit("changed")).otherwise(F.lit("same"))
     both = matched.select(*keys, kind.alias("kind"), "old_block", "new_block", "score")
     gone = old.select(*keys, F.col("block_index").alias("old_block")).join(matched, [*keys, "old_block"], "left_anti")
