@@ -32,7 +32,7 @@ _DIGIT = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ"
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 #: The split for texts up to U+017F, and for all others.
-_NEAR = re.compile(f"{_ENDINGS}| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_SPACE}{_LETTER}{_DIGIT}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_NEAR = re.compile(f" ?[{_LETTER}]+|{_ENDINGS}| ?[{_DIGIT}]+| ?[^{_SPACE}{_LETTER}{_DIGIT}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _FAR = regex.compile(_ENDINGS + r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _BEYOND = re.compile("[^\x00-ſ]")
 
@@ -153,7 +153,7 @@ class BytePairs:
 
     @staticmethod
     def parts(text: str) -> list[str]:
-        return _FAR.findall(text) if _BEYOND.search(text) else _NEAR.findall(text)
+        return _FAR.findall(text) if not text.isascii() and _BEYOND.search(text) else _NEAR.findall(text)
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the ids' text; bytes that aren't UTF-8 become U+FFFD."""
