@@ -63,6 +63,11 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, place: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each is written as Parquet in the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
@@ -71,4 +76,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         place = f"{folder}/{i}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(place)
         docs = spark.read.parquet(place)
+        if i:
+            _remove(spark, last)  # the next stage has all that it kept
+        last = place
     return docs
