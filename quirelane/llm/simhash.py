@@ -35,6 +35,9 @@ BLOCK = 4096
 BROADCAST_BUCKETS = 100_000
 #: Up to so many fingerprints, three segments keep buckets small for r = 4; beyond, two longer ones with larger balls do.
 SHORT_SEGMENTS_UP_TO = 1 << 26
+#: 64-bit words of a wide fingerprint, and what its words are mixed with.
+WIDE = 8
+_ODD = [(0x9E3779B97F4A7C15 * (2 * j + 1)) % 2**64 | 1 for j in range(WIDE)]
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -66,33 +69,43 @@ def fingerprint(text: bytes | None, width: int) -> int:
 
 
 def add_fingerprints(df: DataFrame, *, width: int, keep: list[str], text: str = "text", wide: bool = False) -> DataFrame:
-    """``keep``, the fingerprint ``fp`` as a signed long and 64 further bits, ``more``, which are zero unless ``wide``."""
-    schema = extended(df.select(*keep).schema, "fp long, more long")
+    """``keep``, the fingerprint's bytes, lowest first, as ``bits``, and ``node``, a number for it.
+
+    The number of a fingerprint of 64 bits is itself, signed; that of a wide one is its hash.
+    """
+    schema = extended(df.select(*keep).schema, "node long, bits binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = as_bytes(b.column(b.num_columns - 1))
-            fps = np.array([wide_fingerprint(t, width) if wide else (fingerprint(t, width), 0) for t in texts], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps[:, 0]), pa.array(fps[:, 1])], names=schema.names)
+            bits = [wide_fingerprint(t, width) if wide else fingerprint(t, width).to_bytes(8, "little") for t in texts]
+            node = np.array([xxhash.xxh64_intdigest(x) if wide else int.from_bytes(x, "little") for x in bits], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(node), pa.array(bits, pa.binary())], names=schema.names)
 
     return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
-def wide_fingerprint(text: bytes | None, width: int) -> tuple[int, int]:
-    """128 bits from the shingles' XXH3, as two fingerprints of 64; null and empty texts: zero."""
+def wide_fingerprint(text: bytes | None, width: int) -> bytes:
+    """512 bits from the shingles' XXH3, as 64 bytes; null and empty texts: zero."""
     words = (text or b"").lower().split()
     if not words:
-        return 0, 0
+        return bytes(8 * WIDE)
     joined, n = b" ".join(words), len(words)
     ends = [0, *accumulate(len(w) + 1 for w in words)]
     hashed = xxhash.xxh3_128_digest
     raw = b"".join([hashed(joined[s : e - 1], SEED) for s, e in zip(ends, ends[min(width, n) :], strict=False)])
-    h = np.frombuffer(raw, np.uint8).reshape(-1, 16)
-    votes = np.zeros(2 * BITS, np.int64)
-    for i in range(0, len(h), 1 << 16):
-        votes += np.unpackbits(h[i : i + (1 << 16)], axis=1, bitorder="little").sum(0, dtype=np.int64)
-    a, b = np.packbits(2 * votes > len(h), bitorder="little").view("<u8")
-    return int(a), int(b)
+    base = np.frombuffer(raw, "<u8").reshape(-1, 2)
+    votes = np.zeros(BITS * WIDE, np.int64)
+    for i in range(0, len(base), 255):  # sums of so many bits fit a byte
+        part = base[i : i + 255]
+        h = np.empty((len(part), WIDE), np.uint64)
+        for j in range(WIDE):  # further words are mixed from the hash's two
+            x = part[:, j % 2] * np.uint64(_ODD[j])
+            x ^= x >> np.uint64(29)
+            x *= np.uint64(0xBF58476D1CE4E5B9)
+            h[:, j] = x ^ (x >> np.uint64(32))
+        votes += np.add.reduce(np.unpackbits(h.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * votes > len(base), bitorder="little").tobytes()
 
 
 def hex_of(fp) -> F.Column:
@@ -100,15 +113,18 @@ def hex_of(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def plan_segments(r: int, n: int) -> list[tuple[int, int, int]]:
-    """(shift, bits, radius) of each segment; the radii sum to r - segments + 1, so no pair within r is lost."""
+Segment = tuple[int, int, int, int]  # word, shift, bits, radius
+
+
+def plan_segments(r: int, n: int) -> list[Segment]:
+    """Segments of one word; their radii sum to r - segments + 1, so no pair within r is lost."""
     m = r // 2 + 1
     if r > 2 and n > SHORT_SEGMENTS_UP_TO:
         m = (r + 2) // 3  # radii of up to two
     total, shift, out = r - m + 1, 0, []
     for i in range(m):
         bits = BITS // m + (i < BITS % m)
-        out.append((shift, bits, total // m + (i < total % m)))
+        out.append((0, shift, bits, total // m + (i < total % m)))
         shift += bits
     return out
 
@@ -117,22 +133,32 @@ def _ball(bits: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for k in range(1, radius + 1) for c in combinations(range(bits), k)], np.uint64)
 
 
-def _probes(fp: np.ndarray, more: np.ndarray, plan: list[tuple[int, int, int]]) -> list[np.ndarray]:
-    """(entry, fp, more) rows: entry holds segment number, key and, as its lowest bit, whether it probes."""
+#: Of wide fingerprints: 32 segments of 16 bits, looked up as they are. No pair within 31 of 512 bits is lost, and of
+#: pairs whose bits differ with probability p, a share of (1 - (1 - p)^16)^32: a tenth at a similarity of 0.8.
+WIDE_SEGMENTS: list[Segment] = [(word, shift, 16, 0) for word in range(WIDE) for shift in (0, 16, 32, 48)]
+
+
+def _words(column: pa.Array) -> np.ndarray:
+    """Rows of 64-bit words of a column of fingerprints of one length."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), "<u8").reshape(len(rows), -1)
+
+
+def _probes(bits: np.ndarray, plan: list[Segment]) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, row): entry holds segment number, key and, as its lowest bit, whether it probes."""
     keys, owners = [], []
-    here = np.arange(len(fp))
-    for i, (shift, bits, radius) in enumerate(plan):
-        own = (fp >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
-        tag = np.uint64(i << (bits + 1)) if bits < 60 else np.uint64(0)
+    here = np.arange(len(bits))
+    for i, (word, shift, size, radius) in enumerate(plan):
+        own = (bits[:, word] >> np.uint64(shift)) & np.uint64((1 << size) - 1)
+        tag = np.uint64(i << (size + 1)) if size < 56 else np.uint64(0)
         keys.append((own << np.uint64(1)) | tag)
         owners.append(here)
         if radius:
-            near = own[:, None] ^ _ball(bits, radius)[None, :]
+            near = own[:, None] ^ _ball(size, radius)[None, :]
             row, col = np.nonzero(near > own[:, None])
             keys.append((near[row, col] << np.uint64(1)) | tag | np.uint64(1))
             owners.append(row)
-    at = np.concatenate(owners)
-    return [np.concatenate(keys), fp[at], more[at]]
+    return np.concatenate(keys), np.concatenate(owners)
 
 
 class _Forest:
@@ -155,14 +181,11 @@ class _Forest:
             self.links.append((a, b))
 
 
-def _match(entry: np.ndarray, fp: np.ndarray, more: np.ndarray, r: int, total: int, forest: _Forest) -> None:
-    """Link what lies within r, and within total with the further bits, in each bucket of rows sorted by entry, the
-    table's rows first."""
+def _match(entry: np.ndarray, node: np.ndarray, bits: np.ndarray, most: int, forest: _Forest) -> None:
+    """Link what lies within ``most`` bits in each bucket of rows sorted by entry, the table's rows first."""
 
-    def near(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        d = np.bitwise_count(a ^ b)
-        hit = d <= r
-        return hit & (d + np.bitwise_count(x ^ y) <= total) if total < 2 * BITS else hit
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= most
 
     key, probe = entry >> np.uint64(1), (entry & np.uint64(1)).astype(bool)
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -179,64 +202,67 @@ def _match(entry: np.ndarray, fp: np.ndarray, more: np.ndarray, r: int, total: i
         later = s - d - 1  # rows after the d-th of each bucket
         at = np.repeat(f + d, later)
         other = at + 1 + np.arange(len(at)) - np.repeat(np.cumsum(later) - later, later)
-        hit = near(fp[at], fp[other], more[at], more[other])
-        for a, b in zip(fp[at[hit]].tolist(), fp[other[hit]].tolist(), strict=True):
+        hit = near(bits[at], bits[other])
+        for a, b in zip(node[at[hit]].tolist(), node[other[hit]].tolist(), strict=True):
             forest.link(a, b)
     for start, n, t in zip(first[~small].tolist(), size[~small].tolist(), held[~small].tolist(), strict=True):
-        group, rest = fp[start : start + n], more[start : start + n]
+        group, names = bits[start : start + n], node[start : start + n].tolist()
         label = np.arange(n)
         for d in range(t):
-            hit = np.flatnonzero(near(group[d + 1 :], group[d], rest[d + 1 :], rest[d])) + d + 1
+            hit = np.flatnonzero(near(group[d + 1 :], group[d])) + d + 1
             hit = hit[label[hit] != label[d]]
             if len(hit):
                 new, at = np.unique(label[hit], return_index=True)
                 for b in hit[at].tolist():
-                    forest.link(int(group[d]), int(group[b]))
+                    forest.link(names[d], names[b])
                 label[np.isin(label, new)] = label[d]
 
 
-def links(fps: DataFrame, r: int, *, total: int = 2 * BITS, block: int = BLOCK) -> DataFrame:
-    """A spanning forest's worth of links (src, dst) between the distinct fingerprints of column ``fp``.
+def links(fps: DataFrame, plan: list[Segment], most: int, *, block: int = BLOCK) -> DataFrame:
+    """A spanning forest's worth of links (src, dst) between nodes whose bits differ in at most ``most`` places.
 
-    Column ``more`` holds 64 further bits; a link also needs at most ``total`` differing bits of all 128. ``fps`` should
-    be materialised. Each task gives every link that joins two of its trees, so the components of the result are those
-    of all links.
+    ``fps`` (node, bits) has a row per fingerprint and should be materialised. Each task gives every link that joins two
+    of its trees, so the components of the result are those of all links that the plan's segments find.
     """
-    plan = plan_segments(r, fps.count())
-    names = ["entry", "fp", "more"]
+    names = ["entry", "node", "bits"]
 
-    def enter(plan: list[tuple[int, int, int]]):
+    def enter(plan: list[Segment], whole: bool = True):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                fp, more = (b.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-                for i in range(0, len(fp), 2048):
-                    got = _probes(fp[i : i + 2048], more[i : i + 2048], plan)
-                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in got], names=names)
+                for i in range(0, b.num_rows, 2048):
+                    node, bits = (b.column(k).slice(i, 2048) for k in (0, 1))
+                    entry, row = _probes(_words(bits), plan)
+                    columns = [pa.array(entry.view(np.int64))]
+                    if whole:
+                        row = pa.array(row)
+                        columns += [node.take(row), bits.take(row)]
+                    yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
 
         return run
 
     key = F.expr("shiftrightunsigned(entry, 1)").alias("key")
-    rows = fps.select("fp", "more").mapInArrow(enter(plan), "entry long, fp long, more long").select(key, "*")
-    plain = [(shift, bits, 0) for shift, bits, _ in plan]
-    held = fps.select("fp", "more").mapInArrow(enter(plain), "entry long, fp long, more long").groupBy(key).count()
+    fps = fps.select("node", "bits")
+    rows = fps.mapInArrow(enter(plan), "entry long, node long, bits binary").select(key, "*")
+    plain = [(word, shift, size, 0) for word, shift, size, _ in plan]
+    held = fps.mapInArrow(enter(plain, False), "entry long").groupBy(key).count()
     hot = cut(held.where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
     n_hot = hot.count()
     unit = F.lit(0)
     if n_hot:
         rows = rows.join(F.broadcast(hot) if n_hot <= BROADCAST_BUCKETS else hot, "key", "left")
         # a row of block i goes to every unit {i, j}; all pairs of blocks meet in exactly one unit
-        i, n = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"), F.col("blocks")
+        i, n = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.col("blocks")
         units = F.when(n.isNull(), F.array(F.lit(0))).otherwise(
             F.transform(F.sequence(F.lit(0), n - 1), lambda j: (F.least(i, j) * n + F.greatest(i, j)).cast("int"))
         )
         rows, unit = rows.withColumn("unit", F.explode(units)), F.col("unit")
-    rows = rows.select("key", unit.cast("int").alias("unit"), "entry", "fp", "more")
-    rows = rows.repartition("key", "unit").sortWithinPartitions("key", "unit", "entry", "fp")
+    rows = rows.select("key", unit.cast("int").alias("unit"), "entry", "node", "bits")
+    rows = rows.repartition("key", "unit").sortWithinPartitions("key", "unit", "entry", "node")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: tuple[np.ndarray, ...] | None = None
         for b in batches:
-            got = [b.column(i).to_numpy() for i in range(5)]
+            got = [*(b.column(i).to_numpy() for i in range(4)), _words(b.column(4))]
             if kept is not None:
                 got = [np.concatenate(x) for x in zip(kept, got, strict=True)]
             key, unit = got[0], got[1]
@@ -253,23 +279,28 @@ def links(fps: DataFrame, r: int, *, total: int = 2 * BITS, block: int = BLOCK)
         # number the buckets of one key and unit; the lowest bit says whether a row probes
         new = np.r_[False, (got[0][1:] != got[0][:-1]) | (got[1][1:] != got[1][:-1])]
         entry = (np.cumsum(new).astype(np.uint64) << np.uint64(1)) | (got[2].view(np.uint64) & np.uint64(1))
-        _match(entry, got[3].view(np.uint64), got[4].view(np.uint64), r, total, forest)
+        _match(entry, got[3], got[4], most, forest)
         if forest.links:
-            pairs = np.array(forest.links, np.uint64).view(np.int64)
+            pairs = np.array(forest.links, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["src", "dst"])
 
     return rows.mapInArrow(match, "src long, dst long")
 
 
-def _components(marked: DataFrame, id: str, r: int, total: int) -> DataFrame:
-    """(_fp, component), materialised: of each fingerprint, the smallest id that its links reach."""
-    per = cut(marked.groupBy("fp").agg(F.min("more").alias("more"), F.min(id).alias("least")))
-    comp = cut(connected_components(links(per, r, total=total)))
-    per = per.join(comp, per["fp"] == comp["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def _components(marked: DataFrame, id: str, plan: list[Segment] | int, most: int) -> DataFrame:
+    """(_node, component), materialised: of each fingerprint, the smallest id that its links reach.
+
+    ``plan``: segments, or the distance up to which none may be lost.
+    """
+    per = cut(marked.groupBy("node", "bits").agg(F.min(id).alias("least")))
+    if isinstance(plan, int):
+        plan = plan_segments(plan, per.count())
+    comp = cut(connected_components(links(per, plan, most)))
+    per = per.join(comp.withColumnRenamed("node", "_at"), F.col("node") == F.col("_at"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     # a root may stand for very many fingerprints: both sides are plain tables, so that adaptive execution may split it
     per = cut(per)
     named = cut(per.groupBy("root").agg(F.min("least").alias("component")))
-    return cut(per.join(named, "root").select(F.col("fp").alias("_fp"), "component"))
+    return cut(per.join(named, "root").select(F.col("node").alias("_node"), "component"))
 
 
 def near_duplicates(df: DataFrame, *, width: int = 4, r: int = 4, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -280,24 +311,24 @@ def near_duplicates(df: DataFrame, *, width: int = 4, r: int = 4, id: str = "doc
     fingerprint; other columns of ``df`` are not used, whatever their names. An empty table gives no rows.
     """
     marked = cut(add_fingerprints(df, width=width, keep=[id], text=text))
-    named = _components(marked, id, r, 2 * BITS)
-    return marked.join(named, marked["fp"] == named["_fp"]).select(id, "fp", "component")
+    named = _components(marked, id, r, r)
+    return marked.join(named, F.col("node") == F.col("_node")).select(id, F.col("node").alias("fp"), "component")
 
 
-#: For keep_one: five words; of 128 bits, those that differ at a Jaccard similarity of 0.8 (angle over pi, cosine 8/9);
-#: and of the first 64, by which pairs are found.
-WIDTH, NEAR_TOTAL, NEAR_FIRST = 5, 19, 10
+#: For keep_one: five words, and as many of 512 bits as differ at a Jaccard similarity of 0.8 (angle over pi, cosine
+#: 8/9: 78) and a standard deviation of that number (8), so that five of six such pairs lie within.
+WIDTH, NEAR = 5, 86
 
 
 def keep_one(df: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with one row of each near-duplicate group: that with the smallest id. All columns stay.
 
-    Near: an estimated Jaccard similarity of 0.8 or more between sets of five-word shingles, by 128 fingerprint bits, of
-    which at most ten of the first 64 differ. Rows without an id take no part and stay; of repeated rows of one id and
-    group one stays. Texts without words are one group.
+    Near: a Jaccard similarity of 0.8 or more between multisets of five-word shingles, as estimated by 512 fingerprint
+    bits. Rows without an id take no part and stay; of repeated rows of one id and group one stays. Texts without words
+    are one group.
     """
     marked = cut(add_fingerprints(df.where(F.col(id).isNotNull()), width=WIDTH, keep=[id], text=text, wide=True))
-    named = _components(marked, id, NEAR_FIRST, NEAR_TOTAL)
+    named = _components(marked, id, WIDE_SEGMENTS, NEAR)
     keepers = named.groupBy(F.col("component").alias("__keep")).agg(F.lit(1).alias("__one"))
     kept = df.join(keepers.select("__keep"), F.col(f"`{id}`") == F.col("__keep"), "left_semi")
     repeated = marked.join(keepers, F.col(id) == F.col("__keep"), "left_semi").groupBy(id).count().where("count > 1")

@@ -62,30 +62,52 @@ def test_simhash_blocks_and_radii(spark):
     random.seed(5)
     centre = random.getrandbits(64)
     fps = {centre ^ sum(1 << b for b in random.sample(range(64), random.randint(0, 6))) for _ in range(300)} | {random.getrandbits(64) for _ in range(200)}
-    signed = [(x - 2**64 if x >= 2**63 else x, 0) for x in sorted(fps)]
-    df = spark.createDataFrame(signed, "fp long, more long").cache()
-    ids = {x % 2**64: x for x, _ in signed}
+    signed = [(x - 2**64 if x >= 2**63 else x, x.to_bytes(8, "little")) for x in sorted(fps)]
+    df = spark.createDataFrame(signed, "node long, bits binary").cache()
     for r, block in ((4, 4096), (4, 16), (3, 4096), (6, 40), (10, 64), (0, 4096)):
-        up = {u: u for u in ids}
+        up = {u: u for u in fps}
 
         def root(x, up=up):
             while up[x] != x:
                 x = up[x]
             return x
 
-        for row in simhash.links(df, r, block=block).collect():
+        for row in simhash.links(df, simhash.plan_segments(r, len(fps)), r, block=block).collect():
             a, b = row[0] % 2**64, row[1] % 2**64
             assert (a ^ b).bit_count() <= r
             x, y = root(a), root(b)
             up[max(x, y)] = min(x, y)
-        assert {u: root(u) for u in ids} == brute_components({u: u for u in ids}, r), (r, block)
+        assert {u: root(u) for u in fps} == brute_components({u: u for u in fps}, r), (r, block)
+
+
+def test_wide_links(spark):
+    """Components of wide fingerprints' links are those of all pairs within the distance, at similarities of 0.85 or more."""
+    import random
+
+    random.seed(8)
+    words = [f"w{i}" for i in range(5000)]
+    texts, groups = {}, {}
+    for g in range(60):
+        base = random.choices(words, k=400)
+        for k in range(random.choice([1, 1, 2, 5])):
+            t = list(base)
+            for _ in range(k and random.randint(1, 5)):
+                t[random.randrange(400)] = random.choice(words)
+            texts[len(texts)] = " ".join(t)
+            groups[len(texts) - 1] = g
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(df).collect())
+    first = {}
+    for i, g in groups.items():
+        first.setdefault(g, i)
+    assert kept == sorted(first.values())
 
 
 def test_long_segments():
     for r in range(9):
         for n in (10, 1 << 40):
             plan = simhash.plan_segments(r, n)
-            assert sum(p[2] for p in plan) == r - len(plan) + 1 and sum(p[1] for p in plan) == 64
+            assert sum(p[3] for p in plan) == r - len(plan) + 1 and sum(p[2] for p in plan) == 64
 
 
 def test_keep_one(odd, none):
