@@ -117,3 +117,49 @@ def top_per_key(scored: DataFrame, keys: Sequence[str], *order: Column) -> DataF
     """The first row of each key in the given order."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return scored.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def feature_signals(lines: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Per document, what weighted predicates look at, from lines (page_index, line_no, text, size, font, y0, y1)."""
+    t = F.col("text")
+    page = lines.groupBy(key, "page_index").agg(
+        F.sum(F.char_length(t)).alias("chars"),
+        F.count_if(scalars.is_bullet(t)).alias("bullets"),
+        F.count_if(t.rlike("[\\u2200-\\u22FF=+\\u00B1\\u00D7\\u00F7].*[0-9]|\\\\frac|\\u222B")).alias("math"),
+        F.max(F.when((F.col("y0") <= 0.07 * 792) & t.rlike("[0-9]"), 1).otherwise(0)).alias("footer_number"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda r: r["text"]), "\n").alias("page_text"),
+        F.max("size").alias("largest"),
+        F.collect_set("font").alias("fonts"),
+        F.collect_set("size").alias("sizes"),
+    )
+    return page.groupBy(key).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_index", "page_text"))), lambda r: r["page_text"]), "\n").alias("text"),
+        F.count("*").alias("n_pages"),
+        F.sum("bullets").alias("bullets"),
+        F.sum("math").alias("math"),
+        F.avg("chars").alias("density"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("fonts")))).alias("n_fonts"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("sizes")))).alias("heading_depth"),
+        (F.sum("footer_number") == F.count("*")).alias("footer_numbers"),
+    )
+
+
+def weighted_predicate(kind: str, value) -> Column:
+    """Condition of one weighted predicate over a document's signals; ranges are (least, most), either may be None."""
+    within = lambda c: (F.lit(True) if value[0] is None else F.col(c) >= value[0]) & (F.lit(True) if value[1] is None else F.col(c) <= value[1])
+    if kind == "contains":
+        return F.lower("text").contains(str(value).lower())
+    if kind == "regex":
+        return F.col("text").rlike(value)
+    if kind in ("has_table", "has_signature", "has_form"):
+        return F.col(kind) == bool(value)
+    if kind == "math":
+        return (F.col("math") > 0) == bool(value)
+    if kind == "bullets":
+        return F.col("bullets") >= value
+    ranges = {"pages": "n_pages", "fonts": "n_fonts", "heading_depth": "heading_depth", "density": "density"}
+    if kind in ranges:
+        return within(ranges[kind])
+    if kind == "footer_numbers":
+        return F.col("footer_numbers") == bool(value)
+    raise ValueError(f"no predicate: {kind}")

@@ -130,3 +130,26 @@ def footer_errors(page_errors: DataFrame, diagnostics: DataFrame, key: str = "do
     a = page_errors.select(key, F.lit(0).alias("part"), F.col("page_index").alias("ordinal"), "message")
     b = diagnostics.select(key, F.lit(1).alias("part"), "ordinal", "message")
     return a.unionByName(b)
+
+
+def form_markdown(fields: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A document's fields (name, type, value) as a Markdown table, by name."""
+    rows = F.array_sort(F.collect_list(F.struct("name", "type", F.coalesce("value", F.lit("")).alias("value"))))
+    body = F.concat(F.array(F.array(F.lit("field"), F.lit("type"), F.lit("value"))), F.transform(rows, lambda r: F.array(r["name"], r["type"], r["value"])))
+    return fields.groupBy(key).agg(body.alias("__rows")).select(key, pipe_table(F.col("__rows")).alias("markdown"))
+
+
+def footnotes(marks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Definitions (number, text) as Markdown footnotes, by number."""
+    rows = F.array_sort(F.collect_list(F.struct("number", "text")))
+    lines = F.transform(rows, lambda r: F.concat(F.lit("[^"), r["number"].cast("string"), F.lit("]: "), scalars.markdown_escape(r["text"])))
+    return marks.groupBy(key).agg(F.array_join(lines, "\n").alias("markdown"))
+
+
+def thread_markdown(beads: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Article threads as a list: a line per thread with its pages in order, counted from 1."""
+    rows = F.array_sort(F.collect_list(F.struct("position", "page_index")))
+    pages = F.array_join(F.transform(rows, lambda r: (r["page_index"] + 1).cast("string")), ", ")
+    line = F.concat(F.lit("- Thread "), (F.col("thread") + 1).cast("string"), F.lit(": pages "), F.col("__p"))
+    per = beads.groupBy(key, "thread").agg(pages.alias("__p"))
+    return per.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("thread", line.alias("l")))), lambda r: r["l"]), "\n").alias("markdown"))
