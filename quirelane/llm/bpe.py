@@ -14,6 +14,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -26,6 +27,8 @@ from quirelane.llm.common import as_bytes, extended
 
 #: Parts that a Python worker remembers (about 200 bytes each), and pairs of tokens; the tables start anew when full.
 PARTS, PAIRS = 500_000, 1_000_000
+#: Characters of a text beyond which its parts are not all held at once.
+LONG = 2_000_000
 
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0"
 _DIGIT = "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -144,6 +147,8 @@ class BytePairs:
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         get = self.table.__getitem__
+        if len(text) > LONG:
+            return self._encode_long(text)
         if self.split_special and any(t in text for t in self.special):
             out = []
             for i, piece in enumerate(self.split_special.split(text)):
@@ -151,6 +156,18 @@ class BytePairs:
             return b"".join(out)
         return b"".join(map(get, self.parts(text)))
 
+    def _encode_long(self, text: str) -> bytes:
+        """As encode, holding no more than so many parts at a time."""
+        out = []
+        for i, piece in enumerate(self.split_special.split(text) if self.split_special else [text]):
+            if i % 2:
+                out.append(np.array([self.special[piece]], "<u4").tobytes())
+                continue
+            found = (_FAR if not piece.isascii() and _BEYOND.search(piece) else _NEAR).finditer(piece)
+            while some := [m[0] for m in islice(found, LONG // 8)]:
+                out.append(b"".join(map(self.table.__getitem__, some)))
+        return b"".join(out)
+
     @staticmethod
     def parts(text: str) -> list[str]:
         return _FAR.findall(text) if not text.isascii() and _BEYOND.search(text) else _NEAR.findall(text)

@@ -17,6 +17,7 @@ import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ from quirelane.session import cut
 
 #: Words that a Python worker remembers (about 200 bytes each); the table starts anew when full.
 WORDS = 400_000
+#: Characters of a text beyond which its words are not all held at once.
+LONG = 2_000_000
 SALTS = 128
 #: Fillings kept for each branch, and branches tried, before the incumbent stands.
 FILLINGS, BRANCHES = 4, 6_000
@@ -84,11 +87,16 @@ class Tokens:
         """Ids as little-endian unsigned 32-bit integers."""
         if _ADDED in text or not text.isascii() and _OTHER.search(text):
             return self.whole(text)
-        words = _WORD.findall(text.lower())
+        if len(text) > LONG:
+            found = _WORD.finditer(text.lower())
+            return b"".join(iter(lambda: self._words([m[0] for m in islice(found, LONG // 8)]), b""))
+        return self._words(_WORD.findall(text.lower()))
+
+    def _words(self, words: list[str]) -> bytes:
         table = self.table
         if new := list(set(words).difference(table)):
             if len(new) > self.limit // 4:  # one text with more words than the table should take
-                return self.whole(text)
+                return self._ids(" ".join(words)).tobytes()
             before = len(table)
             self._learn(new)
             if len(table) < before:

@@ -244,6 +244,18 @@ def test_bpe_any_text():
     check()
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    model, tk, words, tw = bpe.BytePairs(BYTE), Tokenizer.from_file(BYTE), packing.Tokens(WORD), Tokenizer.from_file(WORD)
+    monkeypatch.setattr(bpe, "LONG", 200)
+    monkeypatch.setattr(packing, "LONG", 200)
+    for t in ("It's a Word, 12 of many! " * 60, "é日本 <|endoftext|> x " * 50, " \n" * 300):
+        assert model.encode(t) == b"".join(i.to_bytes(4, "little") for i in tk.encode(t, add_special_tokens=False).ids)
+        assert words.encode(t) == b"".join(i.to_bytes(4, "little") for i in tw.encode(t, add_special_tokens=False).ids)
+    small = packing.Tokens(WORD, words=40)
+    t = " ".join(f"word{i}x" for i in range(100))
+    assert small.encode(t) == b"".join(i.to_bytes(4, "little") for i in tw.encode(t, add_special_tokens=False).ids)
+
+
 def test_every_near_character():
     model, tk, words, tw = bpe.BytePairs(BYTE), Tokenizer.from_file(BYTE), packing.Tokens(WORD), Tokenizer.from_file(WORD)
     for c in map(chr, range(0x180)):
