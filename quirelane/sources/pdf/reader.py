@@ -21,6 +21,12 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return reader.load(path).select("path", "content")
 
 
+def stream_files(spark: SparkSession, path: str) -> DataFrame:
+    """A stream of (path, content) of the .pdf files that come into a folder."""
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    return reader.option("pathGlobFilter", "*.[pP][dD][fF]").load(path).select("path", "content")
+
+
 def table(contents: DataFrame, name: str, *, password: str = "", path: str = "path", content: str = "content") -> DataFrame:
     """Rows of one table of every file. A file that can't be read gives no rows but diagnostics.
 

@@ -122,6 +122,19 @@ def test_spark_round_trip(spark, tmp_path):
     assert reader.read_pdf(spark, str(tmp_path), "glyphs").count() == 5
 
 
+def test_stream(spark, tmp_path):
+    from quirelane.streaming import frames
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_bytes(full_pdf())
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    for n, name in ((1, "b.txt"), (2, "c.PDF")):
+        frames.run_once(reader.table(reader.stream_files(spark, str(tmp_path / "in")), "documents"), out, state)
+        assert spark.read.parquet(out).count() == n
+        (tmp_path / "in" / "c.PDF").write_bytes(full_pdf())
+        (tmp_path / "in" / "b.txt").write_bytes(b"no")
+
+
 def test_aes_vectors():
     from quirelane.sources.pdf import aes
 
