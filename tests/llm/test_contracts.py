@@ -216,3 +216,68 @@ def test_pipeline(spark, docs, tmp_path):
     assert not any(brute_secrets(t) for t in texts.values())
     assert len(set(texts.values())) == len(texts)
     assert pa
+
+
+def test_pipeline_run_against_brute_force(spark, docs):
+    """run()'s rows, from plain Python over the same fitted models."""
+    import corpus_pipeline
+    import numpy as np
+
+    from quirelane.llm import quality, secrets, simhash, toxicity
+
+    schema = "doc_id long, text string"
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    whole = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+
+    good = quality.fit(whole, labels)
+
+    def passes(t):
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        windows = {}
+        for i in range(len(words) - 7):
+            windows.setdefault(tuple(words[i : i + 8]), []).append(i)
+        rep = {j for p in windows.values() if len(p) > 1 for i in p for j in range(i, i + 8)}
+        data = t.encode()
+        codes = [(int.from_bytes(data[i : i + 4], "little") * 2654435761 % 2**32) >> 16 for i in range(len(data) - 3)]
+        score = sum(good.ratios[c] for c in codes) / max(len(codes), 1)
+        return len(words) >= 20 and 100 * len(rep) <= 30 * len(words) and score >= good.threshold
+
+    kept = {i: t for i, t in docs.items() if t is not None and passes(t)}
+    model = toxicity.train(spark.createDataFrame(list(kept.items()), schema), labels)
+    kept = {i: t for i, t in kept.items() if model.score(np.array([toxicity.features(t.encode(), model.lexicon)]))[0] < 0.7}
+
+    prints = {i: simhash.wide_fingerprint(t.encode(), 5) for i, t in kept.items()}
+    up = {i: i for i in kept}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(kept), 2):
+        x, y = prints[a], prints[b]
+        shared = any(x[k : k + 2] == y[k : k + 2] for k in range(0, 64, 2))
+        if shared and (int.from_bytes(x, "big") ^ int.from_bytes(y, "big")).bit_count() <= simhash.NEAR:
+            p, q = root(a), root(b)
+            up[max(p, q)] = min(p, q)
+    kept = {i: t for i, t in kept.items() if root(i) == i}
+
+    def clean(t):
+        spans = sorted((m.start(), m.end()) for _, p, g, least, _ in secrets.RULES for m in re.finditer(p, t) if len(m[g]) >= least)
+        out, at = [], 0
+        for s, e in spans:
+            if s >= at:
+                out += [t[at:s], "[REDACTED]"]
+            at = max(at, e)
+        return "".join(out) + t[at:]
+
+    tk = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = set()
+    for i, t in kept.items():
+        ids = tk.encode(clean(t), add_special_tokens=False).ids + [0]
+        for k, s in enumerate(range(0, len(ids), 2048)):
+            part = ids[s : s + 2048]
+            want.add((i, k, s, len(part), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in part))))
+    got = corpus_pipeline.run(spark, DATA).collect()
+    assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got} == want and len(got) == len(want)
+    assert len(kept) < len(docs)
