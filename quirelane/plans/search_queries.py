@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quirelane.operators import search
 from quirelane.plans.registry import register
 from quirelane.session import table
 
