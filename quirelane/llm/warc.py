@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -27,6 +28,8 @@ from quirelane.session import cut
 VERSION = b"WARC/1.1"
 PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARCHIVE_BYTES = 64 << 20
+#: Size at which archives end that are kept as rows, for folders that only Spark can open.
+INLINE_BYTES = 16 << 20
 READ_BYTES = 256 << 10
 LEVEL = 4
 READ_SCHEMA = "archive string, record_id string, record_type string, target_uri string, refers_to_id string, payload_bytes long, payload_digest string, payload binary, verified boolean, problem string"
@@ -148,6 +151,15 @@ def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if ":" in uri.split("/", 1)[0] else (fs.LocalFileSystem(), uri)
 
 
+def opens(uri: str) -> bool:
+    """Whether tasks can open a folder themselves; else archives are kept as rows of the manifest."""
+    try:
+        _filesystem(uri)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError, ImportError):
+        return False
+    return True
+
+
 def mark_revisits(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
     """Adds ``refers_to``: of pages with equal payloads of ``min_bytes`` or more, the smallest page_id; null for that page.
 
@@ -166,36 +178,45 @@ def mark_revisits(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write a record per row of ``pages`` (page_id, url, html) under ``folder``; (archive, records, bytes) per archive.
 
-    ``folder`` is a path or URI that all executors share. The payload is the html in UTF-8, empty where html is null.
+    ``folder`` is a path or URI that all executors share. Where it is one that only Spark can open, nothing is written
+    there, and the manifest holds the archives themselves, of bounded size, in a further column. The payload is the html in UTF-8, empty where html is null.
     Pages with equal payloads of ``min_bytes`` or more: that with the smallest page_id is the response, the others
     revisit it; a page without an id revisits one that has an id; repeated rows of the smallest id are all responses.
     The manifest is materialised before it is returned: later reads need no second write.
     """
 
+    inline = not opens(folder)
+    limit = min(archive_bytes, INLINE_BYTES) if inline else archive_bytes
+
+    def row(place: str, n: int, done: int, out) -> pa.RecordBatch:
+        content = {"content": pa.array([out.getvalue()], pa.binary())} if inline else {}
+        out.close()
+        return pa.RecordBatch.from_pydict({"archive": [place], "records": [n], "bytes": [done]} | content)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, place, done, n = None, "", 0, 0
-        store = None
         for b in batches:
             ids, refs = b.column(0).to_pylist(), b.column(3).to_pylist()
             for i, url, html, ref in zip(ids, as_bytes(b.column(1)), as_bytes(b.column(2)), refs, strict=True):
                 if out is None:
                     place, done, n = f"{folder.rstrip('/')}/{uuid.uuid4().hex}.warc.gz", 0, 0
-                    store, path = _filesystem(place)
-                    store.create_dir(path.rsplit("/", 1)[0])
-                    out = store.open_output_stream(path, compression=None)
+                    if inline:
+                        out = io.BytesIO()
+                    else:
+                        store, path = _filesystem(place)
+                        store.create_dir(path.rsplit("/", 1)[0])
+                        out = store.open_output_stream(path, compression=None)
                 record = _page_record(i, url, html or b"", ref)
                 out.write(record)
                 done, n = done + len(record), n + 1
-                if done >= archive_bytes:
-                    out.close()
+                if done >= limit:
+                    yield row(place, n, done, out)
                     out = None
-                    yield pa.RecordBatch.from_pydict({"archive": [place], "records": [n], "bytes": [done]})
         if out is not None:
-            out.close()
-            yield pa.RecordBatch.from_pydict({"archive": [place], "records": [n], "bytes": [done]})
+            yield row(place, n, done, out)
 
     rows = mark_revisits(pages, min_bytes=min_bytes)
-    return cut(rows.mapInArrow(run, "archive string, records long, bytes long"))
+    return cut(rows.mapInArrow(run, "archive string, records long, bytes long" + ", content binary" * inline))
 
 
 def list_archives(spark: SparkSession, folder: str) -> DataFrame:
@@ -205,15 +226,21 @@ def list_archives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_archives(archives: DataFrame, *, payloads: bool = True) -> DataFrame:
-    """A row per record of the archives that column ``archive`` names, with its digests checked.
+    """A row per record of the archives that column ``archive`` names, or column ``content`` holds, with digests checked.
 
     Payload figures of a revisit are those of the payload that it stands for. ``verified`` is false where a digest
     differs, and ``problem`` says what is wrong with a record that can't be read.
     """
 
-    def one(place: str) -> Iterator[tuple]:
-        store, path = _filesystem(place)
-        with store.open_input_stream(path, compression=None) as f:
+    inline = "content" in archives.columns
+
+    def one(place: str, content: bytes | None) -> Iterator[tuple]:
+        if content is not None:
+            opened = io.BytesIO(content)
+        else:
+            store, path = _filesystem(place)
+            opened = store.open_input_stream(path, compression=None)
+        with opened as f:
             for r in read_records(iter(lambda: f.read(READ_BYTES), b"")):
                 h, kind = r.headers, r.headers.get("warc-type", "")
                 http, body = _http(r.block) if h.get("content-type", "").startswith("application/http") else ({}, r.block)
@@ -233,9 +260,9 @@ def read_archives(archives: DataFrame, *, payloads: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for place in b.column(0).to_pylist():
+            for i, place in enumerate(b.column(0).to_pylist()):
                 rows, held = [], 0
-                for row in one(place):
+                for row in one(place, b.column(1)[i].as_py() if inline else None):
                     rows.append(row)
                     held += len(row[7] or b"")
                     if held >= 8 << 20 or len(rows) >= 4096:
@@ -244,4 +271,4 @@ def read_archives(archives: DataFrame, *, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return archives.select("archive").repartition(F.col("archive")).mapInArrow(run, READ_SCHEMA)
+    return archives.select("archive", *["content"] * inline).repartition(F.col("archive")).mapInArrow(run, READ_SCHEMA)

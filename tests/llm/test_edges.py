@@ -422,6 +422,15 @@ def test_warc(spark, tmp_path):
     assert warc.read_archives(warc.write_archives(df.limit(0), str(tmp_path / "none"))).count() == 0
 
 
+def test_warc_in_rows(spark):
+    df = spark.createDataFrame([(i, "u", f"page {i % 4}" * 50) for i in range(40)], "page_id long, url string, html string")
+    assert not warc.opens("viewfs://store/x") and warc.opens("/tmp/x") and warc.opens("file:///tmp/x")
+    manifest = warc.write_archives(df, "viewfs://store/x", archive_bytes=1500)
+    got = warc.read_archives(manifest).collect()
+    assert manifest.count() > 1 and len(got) == 40 and all(r["verified"] for r in got)
+    assert sum(r["record_type"] == "response" for r in got) == 4
+
+
 def test_warc_small_payloads_are_never_revisits(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "same"), (2, "u", "same"), (3, "u", "longer same"), (4, "u", "longer same")], "page_id long, url string, html string")
     got = warc.read_archives(warc.write_archives(df, str(tmp_path), min_bytes=5)).collect()
