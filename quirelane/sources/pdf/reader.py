@@ -57,9 +57,10 @@ def table(contents: DataFrame, name: str, *, password: str = "", path: str = "pa
                         if len(rows) >= BATCH_ROWS:
                             yield out(rows)
                             rows = []
-                except (OverflowError, RecursionError) as error:
+                except (ArithmeticError, AttributeError, LookupError, RecursionError, TypeError, ValueError) as error:
+                    # what the parser doesn't foresee in one file must not end a job over very many
                     if name == "diagnostics":
-                        rows.append(("unreadable", str(error), None))
+                        rows.append(("unreadable", f"{type(error).__name__}: {error}", None))
                 if rows:
                     yield out(rows)
 

@@ -213,3 +213,26 @@ def test_highlights():
     assert len(again) == 4
     check = [r for r in again if r[2] == "Link"]
     assert check[0][-2] == "http://x.example"
+
+
+def test_any_bytes():
+    """The parser never raises, whatever it is given."""
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    base = full_pdf()
+    pieces = st.sampled_from([b"<<", b">>", b"[", b"]", b"(", b")", b"<", b"/A", b" 1 0 R ", b"1 0 obj", b"endobj", b"stream\n", b"endstream", b"xref\n0 1\n", b"trailer", b"BI", b"ID ", b"EI", b"Tj", b"-1.5", b"%x\n"])
+
+    @settings(max_examples=150, deadline=None)
+    @given(st.one_of(st.binary(max_size=200), st.lists(pieces, max_size=40).map(b" ".join), st.tuples(st.integers(0, len(base)), st.binary(max_size=30)).map(lambda t: base[: t[0]] + t[1] + base[t[0] + len(t[1]) :])))
+    def check(data):
+        p = Parser(data)
+        for _ in range(100):
+            if p.done():
+                break
+            p.object()
+        f = File(data)
+        for t in ("documents", "pages", "glyphs", "annotations", "form_fields", "outline", "attachments", "threads", "structure", "layers", "signatures", "diagnostics"):
+            list(f.rows(t))
+
+    check()
