@@ -43,7 +43,7 @@ STEMS, LEAST_TEXTS, LEAST_RATIO, LEAST_ERRORS, ENTRIES = (4, 5, 6, 7, 8), 5, 5.0
 #: Candidates that are counted: those in most toxic texts.
 CANDIDATES = 20_000
 #: Words that a Python worker remembers, per lexicon.
-WORDS = 300_000
+WORDS = 200_000
 
 FEATURES = (
     "insults_per_word", "insults", "distinct_insults", "threats_per_word", "insults_near_second_person", "second_person_per_word",
