@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
