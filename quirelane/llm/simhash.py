@@ -84,8 +84,27 @@ def add_fingerprints(df: DataFrame, *, width: int, keep: list[str], text: str =
     return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
+def _numbered(base: np.ndarray) -> np.ndarray:
+    """Hashes of which each repeat is hashed again with its number, so that all of a multiset's elements differ."""
+    ordered = np.sort(base[:, 0])
+    if not (ordered[1:] == ordered[:-1]).any():
+        return base
+    order = np.argsort(base[:, 0], kind="stable")
+    ordered, at = base[order, 0], np.arange(len(base))
+    number = at - np.maximum.accumulate(np.where(np.r_[True, ordered[1:] != ordered[:-1]], at, 0))
+    again = np.flatnonzero(number)
+    out, hashed = base.copy(), xxhash.xxh3_128_digest
+    raw = b"".join([hashed(base[i].tobytes(), k) for i, k in zip(order[again].tolist(), number[again].tolist(), strict=True)])
+    out[order[again]] = np.frombuffer(raw, "<u8").reshape(-1, 2)
+    return out
+
+
 def wide_fingerprint(text: bytes | None, width: int) -> bytes:
-    """512 bits from the shingles' XXH3, as 64 bytes; null and empty texts: zero."""
+    """512 bits from the shingles' XXH3, as 64 bytes; null and empty texts: zero.
+
+    The first, second and further occurrences of a shingle are elements of their own, each with one vote: the cosine is
+    then that of multisets, and a repeated shingle weighs by its number rather than by its square.
+    """
     words = (text or b"").lower().split()
     if not words:
         return bytes(8 * WIDE)
@@ -93,7 +112,7 @@ def wide_fingerprint(text: bytes | None, width: int) -> bytes:
     ends = [0, *accumulate(len(w) + 1 for w in words)]
     hashed = xxhash.xxh3_128_digest
     raw = b"".join([hashed(joined[s : e - 1], SEED) for s, e in zip(ends, ends[min(width, n) :], strict=False)])
-    base = np.frombuffer(raw, "<u8").reshape(-1, 2)
+    base = _numbered(np.frombuffer(raw, "<u8").reshape(-1, 2))
     votes = np.zeros(BITS * WIDE, np.int64)
     for i in range(0, len(base), 255):  # sums of so many bits fit a byte
         part = base[i : i + 255]

@@ -468,3 +468,21 @@ def test_pipeline_secret_stage_keeps_all(spark, odd, tmp_path):
     out = corpus_pipeline.secret_scan(spark, odd, str(tmp_path))
     assert out.count() == odd.count()
     assert {r["text"] for r in out.where("doc_id in (6, 7)").collect()} == {"Same text here, [REDACTED]"}
+
+
+def test_repeated_lines_do_not_link(spark):
+    """Documents that share a repeated line or a run of equal words, and nothing else, all stay; their copies do not."""
+    import random
+
+    random.seed(3)
+    texts = []
+    for k, line in ((30, "all rights reserved by the owners of this page today"), (16, "one two three four five six"), (80, "."), (200, "|")):
+        size = len(line.split()) * k
+        for _ in range(3):
+            texts.append(" ".join([f"w{random.randrange(10**9)}" for _ in range(3 * size)] + [line] * k))
+    n = len(texts)
+    near = [t.split() for t in texts]
+    for t in near:
+        t[1] = "other"
+    df = spark.createDataFrame(list(enumerate(texts + [" ".join(t) for t in near])), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == list(range(n))
