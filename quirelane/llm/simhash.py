@@ -30,6 +30,8 @@ BITS = 64
 SEED = 42
 #: Fingerprints of one bucket's table that a task compares at once; larger buckets are dealt out as pairs of blocks.
 BLOCK = 4096
+#: The same for parts of wide fingerprints, whose balls are enumerated in the task; rows and pairs met there at once.
+PART_BLOCK, ROWS, PAIRS = 1 << 19, 2048, 1 << 18
 #: Hot buckets that may be broadcast (a key, a count and a row's overhead: under 10 MB); more are joined by shuffle.
 BROADCAST_BUCKETS = 100_000
 #: Up to so many fingerprints, three segments keep buckets small for r = 4; beyond, two longer ones with larger balls do.
@@ -151,9 +153,31 @@ def _ball(bits: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for k in range(1, radius + 1) for c in combinations(range(bits), k)], np.uint64)
 
 
-#: Of wide fingerprints: 32 segments of 16 bits, looked up as they are. No pair within 31 of 512 bits is lost, and of
-#: pairs whose bits differ with probability p, a share of (1 - (1 - p)^16)^32: a tenth at a similarity of 0.8.
-WIDE_SEGMENTS: list[Segment] = [(word, shift, 16, 0) for word in range(WIDE) for shift in (0, 16, 32, 48)]
+def wide_segments(most: int) -> list[Segment]:
+    """32 segments of 16 bits of a wide fingerprint; their radii sum to most - 31, so no pair within ``most`` is lost."""
+    total = max(most - 31, 0)
+    return [(i // 4, 16 * (i % 4), 16, total // 32 + (i < total % 32)) for i in range(32)]
+
+
+Part = tuple[int, int, int, int, tuple[int, ...]]  # word, shift, bits, radius, edges of the segment's parts up to this one
+
+
+def _parts(plan: list[Segment]) -> list[Part]:
+    """Each segment cut into one part more than its radius: segments within the radius agree in one of their parts."""
+    out = []
+    for word, shift, size, radius in plan:
+        edges = [size * i // (radius + 1) for i in range(radius + 2)]
+        out += [(word, shift, size, radius, tuple(edges[: i + 2])) for i in range(radius + 1)]
+    return out
+
+
+def _cells(bits: np.ndarray, parts: list[Part]) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, row): entry holds part number and part; the lowest bit is zero."""
+    keys = []
+    for i, (word, shift, _, _, edges) in enumerate(parts):
+        part = (bits[:, word] >> np.uint64(shift + edges[-2])) & np.uint64((1 << (edges[-1] - edges[-2])) - 1)
+        keys.append((part << np.uint64(1)) | np.uint64(i << 17))
+    return np.concatenate(keys), np.tile(np.arange(len(bits)), len(parts))
 
 
 def _words(column: pa.Array) -> np.ndarray:
@@ -236,20 +260,84 @@ def _match(entry: np.ndarray, node: np.ndarray, bits: np.ndarray, most: int, for
                 label[np.isin(label, new)] = label[d]
 
 
-def links(fps: DataFrame, plan: list[Segment], most: int, *, block: int = BLOCK) -> DataFrame:
+def _match_part(part: Part, node: np.ndarray, bits: np.ndarray, most: int, forest: _Forest) -> None:
+    """Link what lies within ``most`` bits of those that agree in a part and whose segments are within the radius.
+
+    The segment's ball is enumerated here. Pairs that agree in an earlier part of the segment are left to that part.
+    """
+    word, shift, size, radius, edges = part
+    low, high = edges[-2:]
+    own = (bits[:, word] >> np.uint64(shift)) & np.uint64((1 << size) - 1)
+    rest = ((own >> np.uint64(high) << np.uint64(low)) | (own & np.uint64((1 << low) - 1))).astype(np.int64)
+    free = size - (high - low)
+    order = np.argsort(rest, kind="stable")
+    rest, node = rest[order], node[order]
+    half = [np.ascontiguousarray(bits[order, k : k + WIDE // 2]) for k in (0, WIDE // 2)]
+    deltas = np.r_[0, _ball(free, radius).astype(np.int64)]
+    for a, b in zip(edges[:-2], edges[1:-1], strict=True):
+        deltas = deltas[deltas >> a & ((1 << (b - a)) - 1) != 0]
+    count = np.bincount(rest, minlength=1 << free)
+    start = np.cumsum(count) - count
+    label = np.arange(len(rest))
+
+    def far(k: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        c = np.bitwise_count(half[k][a] ^ half[k][b])
+        return (c[:, 0] + c[:, 1]).astype(np.int64) + (c[:, 2] + c[:, 3])
+
+    for top in range(0, len(rest), ROWS):
+        row = np.arange(top, min(top + ROWS, len(rest)))
+        other = rest[row][:, None] ^ deltas[None, :]
+        first = np.where(other == rest[row][:, None], row[:, None] + 1, start[other])
+        many = np.where(other >= rest[row][:, None], (start + count)[other] - first, 0)
+        done = np.cumsum(many.sum(axis=1))
+        s = 0
+        while s < len(row):
+            e = max(s + 1, int(np.searchsorted(done, (done[s - 1] if s else 0) + PAIRS, "right")))
+            m, f = many[s:e].ravel(), first[s:e].ravel()
+            live = np.flatnonzero(m)
+            m, f = m[live], f[live]
+            a = np.repeat(row[s + live // len(deltas)], m)
+            b = np.repeat(f - (np.cumsum(m) - m), m) + np.arange(len(a))
+            s = e
+            on = label[a] != label[b]
+            a, b = a[on], b[on]
+            d = far(0, a, b)
+            on = d <= most
+            a, b, d = a[on], b[on], d[on]
+            on = d + far(1, a, b) <= most
+            a, b = a[on], b[on]
+            if len(a):
+                x, y = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+                _, at = np.unique(x * len(label) + y, return_index=True)
+                joined = _Forest()
+                for i in at.tolist():
+                    joined.link(int(x[i]), int(y[i]))
+                    forest.link(int(node[a[i]]), int(node[b[i]]))
+                to = np.arange(len(label))
+                for i in list(joined.up):
+                    to[i] = joined.root(i)
+                label = to[label]
+
+
+def links(fps: DataFrame, plan: list[Segment], most: int, *, block: int | None = None, wide: bool = False) -> DataFrame:
     """A spanning forest's worth of links (src, dst) between nodes whose bits differ in at most ``most`` places.
 
     ``fps`` (node, bits) has a row per fingerprint and should be materialised. Each task gives every link that joins two
     of its trees, so the components of the result are those of all links that the plan's segments find.
+
+    ``wide``: segments' balls would take thousands of rows a fingerprint. It is instead entered under each part of each
+    segment, as ``_parts`` cuts them, and the task that has a part's bucket enumerates the balls.
     """
+    block = block or (PART_BLOCK if wide else BLOCK)
+    parts = _parts(plan)
     names = ["entry", "node", "bits"]
 
     def enter(plan: list[Segment], whole: bool = True):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for i in range(0, b.num_rows, 2048):
-                    node, bits = (b.column(k).slice(i, 2048) for k in (0, 1))
-                    entry, row = _probes(_words(bits), plan)
+                for i in range(0, b.num_rows, 512 if wide else 2048):
+                    node, bits = (b.column(k).slice(i, 512 if wide else 2048) for k in (0, 1))
+                    entry, row = _cells(_words(bits), parts) if wide else _probes(_words(bits), plan)
                     columns = [pa.array(entry.view(np.int64))]
                     if whole:
                         row = pa.array(row)
@@ -278,26 +366,41 @@ def links(fps: DataFrame, plan: list[Segment], most: int, *, block: int = BLOCK)
     rows = rows.repartition("key", "unit").sortWithinPartitions("key", "unit", "entry", "node")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple[np.ndarray, ...] | None = None
+        kept: list[list[np.ndarray]] = []  # rows of a bucket that may go on in the next batch
+
+        def whole() -> list[np.ndarray]:
+            return [np.concatenate(x) for x in zip(*kept, strict=True)]
+
         for b in batches:
+            if not b.num_rows:
+                continue
             got = [*(b.column(i).to_numpy() for i in range(4)), _words(b.column(4))]
-            if kept is not None:
-                got = [np.concatenate(x) for x in zip(kept, got, strict=True)]
             key, unit = got[0], got[1]
+            if kept and (kept[-1][0][-1] != key[0] or kept[-1][1][-1] != unit[0]):
+                yield from solve(whole())
+                kept.clear()
             last = np.flatnonzero((key != key[-1]) | (unit != unit[-1]))
-            end = int(last[-1]) + 1 if len(last) else 0  # the last bucket may go on in the next batch
+            end = int(last[-1]) + 1 if len(last) else 0
             if end:
-                yield from solve([x[:end] for x in got])
-            kept = tuple(x[end:] for x in got)
-        if kept is not None and len(kept[0]):
-            yield from solve(list(kept))
+                kept.append([x[:end] for x in got])
+                yield from solve(whole())
+                kept.clear()
+            kept.append([x[end:] for x in got])
+        if kept:
+            yield from solve(whole())
 
     def solve(got: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         forest = _Forest()
         # number the buckets of one key and unit; the lowest bit says whether a row probes
         new = np.r_[False, (got[0][1:] != got[0][:-1]) | (got[1][1:] != got[1][:-1])]
         entry = (np.cumsum(new).astype(np.uint64) << np.uint64(1)) | (got[2].view(np.uint64) & np.uint64(1))
-        _match(entry, got[3], got[4], most, forest)
+        if wide:
+            edges = [0, *np.flatnonzero(new).tolist(), len(new)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if b - a > 1:
+                    _match_part(parts[int(got[0][a]) >> 16], got[3][a:b], got[4][a:b], most, forest)
+        else:
+            _match(entry, got[3], got[4], most, forest)
         if forest.links:
             pairs = np.array(forest.links, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["src", "dst"])
@@ -311,9 +414,10 @@ def _components(marked: DataFrame, id: str, plan: list[Segment] | int, most: int
     ``plan``: segments, or the distance up to which none may be lost.
     """
     per = cut(marked.groupBy("node", "bits").agg(F.min(id).alias("least")))
+    wide = not isinstance(plan, int)
     if isinstance(plan, int):
         plan = plan_segments(plan, per.count())
-    comp = cut(connected_components(links(per, plan, most)))
+    comp = cut(connected_components(links(per, plan, most, wide=wide)))
     per = per.join(comp.withColumnRenamed("node", "_at"), F.col("node") == F.col("_at"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     # a root may stand for very many fingerprints: both sides are plain tables, so that adaptive execution may split it
     per = cut(per)
@@ -346,7 +450,7 @@ def keep_one(df: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFr
     are one group.
     """
     marked = cut(add_fingerprints(df.where(F.col(id).isNotNull()), width=WIDTH, keep=[id], text=text, wide=True))
-    named = _components(marked, id, WIDE_SEGMENTS, NEAR)
+    named = _components(marked, id, wide_segments(NEAR), NEAR)
     keepers = named.groupBy(F.col("component").alias("__keep")).agg(F.lit(1).alias("__one"))
     kept = df.join(keepers.select("__keep"), F.col(f"`{id}`") == F.col("__keep"), "left_semi")
     repeated = marked.join(keepers, F.col(id) == F.col("__keep"), "left_semi").groupBy(id).count().where("count > 1")

@@ -486,3 +486,24 @@ def test_repeated_lines_do_not_link(spark):
         t[1] = "other"
     df = spark.createDataFrame(list(enumerate(texts + [" ".join(t) for t in near])), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == list(range(n))
+
+
+def test_wide_links_are_complete(spark):
+    """Every pair within 86 of 512 bits is met, whatever its segments share, in whole buckets and in dealt ones."""
+    import random
+
+    random.seed(5)
+    flips = [range(0, 512, 6), *(random.sample(range(512), k) for k in range(32, 92, 2))]
+    flips += [[16 * i + j for i in range(32) for j in random.sample(range(16), 2 + (i < 22))] for _ in range(20)]
+    fps = []
+    for f in flips:
+        x = random.getrandbits(512)
+        fps += [x, x ^ sum(1 << i for i in f)]
+    df = spark.createDataFrame([(i, x.to_bytes(64, "little")) for i, x in enumerate(fps)], "node long, bits binary")
+    want = {(i, i + 1) for i in range(0, len(fps), 2) if (fps[i] ^ fps[i + 1]).bit_count() <= simhash.NEAR}
+    assert len(want) > 45
+    plan = simhash.wide_segments(simhash.NEAR)
+    assert sum(p[3] for p in plan) == simhash.NEAR - len(plan) + 1
+    for block in (None, 3):
+        got = {tuple(sorted(r)) for r in simhash.links(df, plan, simhash.NEAR, block=block, wide=True).collect()}
+        assert got == want
