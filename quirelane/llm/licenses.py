@@ -83,6 +83,73 @@ _FORMS = [
     (0.8, "copy of (?:the )?(?:{name})"),
     (0.6, "{name}"),
 ]
+_VERSION = "(?: only| or later)?"
+#: label: identifiers that stand in SPDX tags, as patterns over words; longer ones first.
+_TAGS = {
+    "agpl-3.0": f"agpl 3 0{_VERSION}",
+    "lgpl": f"lgpl (?:2 0|2 1|3 0){_VERSION}",
+    "gpl-3.0": f"gpl 3 0{_VERSION}",
+    "gpl-2.0": f"gpl 2 0{_VERSION}",
+    "gpl": f"gpl 1 0{_VERSION}",
+    "gfdl": f"gfdl 1 [1-3](?: no invariants| invariants)?{_VERSION}",
+    "apache-2.0": "apache 2 0",
+    "apache-1.1": "apache 1 1",
+    "apache": "apache 1 0",
+    "bsd-3-clause": "bsd 3 clause",
+    "bsd-2-clause": "bsd 2 clause",
+    "bsd": "0bsd|bsd [14] clause",
+    "isc": "isc",
+    "mpl-2.0": "mpl 2 0(?: no copyleft exception)?",
+    "mpl-1.1": "mpl 1 1",
+    "epl-2.0": "epl 2 0",
+    "epl-1.0": "epl 1 0",
+    "cddl": "cddl 1 [01]",
+    "cpl": "cpl 1 0",
+    "eupl": "eupl 1 [0-2]",
+    "artistic-2.0": "artistic 2 0",
+    "artistic": "artistic 1 0(?: perl| cl8)?",
+    "zlib": "zlib",
+    "boost": "bsl 1 0",
+    "unlicense": "unlicense",
+    "wtfpl": "wtfpl",
+    "python": "psf 2 0|python 2 0(?: 1)?",
+    "openssl": "openssl",
+    "postgresql": "postgresql",
+    "odbl": "odbl 1 0",
+    "ofl": "ofl 1 [01](?: no rfn| rfn)?",
+    "ms-pl": "ms pl",
+    "ms-rl": "ms rl",
+    "cc0": "cc0 1 0",
+    "cc-by-nc-nd": "cc by nc nd [1-4] [05]",
+    "cc-by-nc-sa": "cc by nc sa [1-4] [05]",
+    "cc-by-nc": "cc by nc [1-4] [05]",
+    "cc-by-nd": "cc by nd [1-4] [05]",
+    "cc-by-sa": "cc by sa [1-4] [05]",
+    "cc-by": "cc by [1-4] [05]",
+    "mit-0": "mit 0",
+    "mit": "mit",
+}
+#: Short names that mean a license wherever they stand, with the keywords that gate them.
+_SHORT = {
+    "agpl-3.0": ("agplv3|agpl3|agpl (?:v|version )?3(?: 0)?", "agplv3|agpl3|agpl"),
+    "lgpl": ("lgplv[23]|lgpl[23]|lgpl(?: (?:v|version )?[23](?: [01])?)?", "lgplv2|lgplv3|lgpl2|lgpl3|lgpl"),
+    "gpl-3.0": ("gplv3|gpl3|(?:gnu )?gpl (?:v|version )?3(?: 0)?", "gplv3|gpl3|gpl"),
+    "gpl-2.0": ("gplv2|gpl2|(?:gnu )?gpl (?:v|version )?2(?: 0)?", "gplv2|gpl2|gpl"),
+    "mpl-2.0": ("mplv2|mpl (?:v|version )?2 0", "mplv2|mpl"),
+    "cc0": ("cc0", "cc0"),
+    "wtfpl": ("wtfpl", "wtfpl"),
+    "bsd": ("0bsd", "0bsd"),
+}
+#: Short names that mean other things too: only what is under them has their license.
+_UNDER = {
+    "apache-2.0": ("apache (?:v|version )?2(?: 0)?", "apache"),
+    "bsd-3-clause": ("bsd 3 clause|3 clause bsd", "bsd"),
+    "bsd-2-clause": ("bsd 2 clause|2 clause bsd", "bsd"),
+    "bsd": ("bsd", "bsd"),
+    "isc": ("isc", "isc"),
+    "gpl": ("gpl", "gpl"),
+    "mit": ("mit", "mit"),
+}
 #: Clauses that name no license: label, certainty, pattern, keyword.
 _CLAUSES = [
     ("mit", 0.9, "permission is hereby granted free of charge to any person obtaining a copy", "granted"),
@@ -95,6 +162,9 @@ _CLAUSES = [
 ]
 
 
+_TAG = "spdx license identifier"
+
+
 @dataclass(frozen=True)
 class Rule:
     label: str
@@ -106,11 +176,15 @@ class Rule:
 
 @cache
 def rules() -> tuple[Rule, ...]:
-    """All rules, highest priority first: each form around each name, then clauses. More exact names come first."""
-    out = []
+    """All rules, highest priority first: tags, each form around each name, then clauses. More exact names come first."""
+    out = [(label, 1.0, f"{_TAG} (?:{name})", "spdx") for label, name in _TAGS.items()]
     for certainty, form in _FORMS:
         for label, (name, keywords) in _NAMES.items():
             out.append((label, certainty, form.format(name=f"(?:{name})"), keywords))
+    for certainty, form in _FORMS[1:]:
+        out += [(label, certainty, form.format(name=f"(?:{name})"), keywords) for label, (name, keywords) in _SHORT.items()]
+    for certainty, form in (_FORMS[1], (0.6, "under (?:the |an? )?{name}")):
+        out += [(label, certainty, form.format(name=f"(?:{name})"), keywords) for label, (name, keywords) in _UNDER.items()]
     out += list(_CLAUSES)
     out.sort(key=lambda r: -r[1])  # stable
     return tuple(
@@ -124,6 +198,22 @@ def _keywords() -> frozenset[bytes]:
     return frozenset(k for r in rules() for k in r.keywords)
 
 
+@cache
+def _tags() -> tuple[re.Pattern, re.Pattern]:
+    """A tag's first identifier, and one that follows in its expression; groups are numbered as rules."""
+    names = "|".join(f"({name})" for name in _TAGS.values())
+    return re.compile(rf"(?<![^ ]){_TAG} (?:{names})(?![^ ])".encode()), re.compile(rf" (?:with (?:[0-9a-z]+ ){{1,6}}?exception(?: [0-9]+)*(?![^ ])|(?:or|and) (?:{names})(?![^ ]))".encode())
+
+
+def _further(body: bytes) -> Iterator[tuple[int, int, int]]:
+    """(start, end, rule) of a tag's identifiers after the first, as of MIT OR Apache-2.0."""
+    first, more = _tags()
+    for m in first.finditer(body):
+        while m := more.match(body, m.end()):
+            if m.lastindex:
+                yield m.start() + 1, m.end(), m.lastindex - 1
+
+
 @dataclass
 class Scan:
     n_words: int
@@ -185,6 +275,8 @@ def scan(text: bytes) -> Scan:
             continue
         for m in r.pattern.finditer(body):
             found.append((bisect_left(starts, m.start()), bisect_left(starts, m.end()), r.priority))
+    if b"spdx" in here:
+        found += [(bisect_left(starts, s), bisect_left(starts, e), rule) for s, e, rule in _further(body)]
     all_rules = rules()
     detections = [(s, e, all_rules[p].label, all_rules[p].certainty) for s, e, p in suppress(found)] if found else []
     return Scan(len(words), places, sorted(detections))

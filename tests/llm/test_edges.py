@@ -507,3 +507,40 @@ def test_wide_links_are_complete(spark):
     for block in (None, 3):
         got = {tuple(sorted(r)) for r in simhash.links(df, plan, simhash.NEAR, block=block, wide=True).collect()}
         assert got == want
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("MIT", {"mit"}), ("MIT-0", {"mit-0"}), ("Apache-2.0", {"apache-2.0"}), ("GPL-3.0-only", {"gpl-3.0"}), ("GPL-2.0-or-later", {"gpl-2.0"}),
+        ("GPL-2.0+", {"gpl-2.0"}), ("LGPL-2.1-or-later", {"lgpl"}), ("AGPL-3.0-only", {"agpl-3.0"}), ("BSD-3-Clause", {"bsd-3-clause"}),
+        ("BSD-2-Clause", {"bsd-2-clause"}), ("0BSD", {"bsd"}), ("ISC", {"isc"}), ("MPL-2.0", {"mpl-2.0"}), ("EPL-2.0", {"epl-2.0"}),
+        ("CDDL-1.0", {"cddl"}), ("EUPL-1.2", {"eupl"}), ("Artistic-2.0", {"artistic-2.0"}), ("Zlib", {"zlib"}), ("BSL-1.0", {"boost"}),
+        ("Unlicense", {"unlicense"}), ("WTFPL", {"wtfpl"}), ("PSF-2.0", {"python"}), ("OFL-1.1", {"ofl"}), ("MS-PL", {"ms-pl"}),
+        ("CC0-1.0", {"cc0"}), ("(MIT OR Apache-2.0)", {"mit", "apache-2.0"}), ("Apache-2.0 WITH LLVM-exception OR MIT", {"mit", "apache-2.0"}),
+        ("GPL-2.0-only WITH Classpath-exception-2.0 AND BSD-3-Clause", {"gpl-2.0", "bsd-3-clause"}),
+    ],
+)
+def test_spdx_tags(text, labels):
+    from quirelane.llm import licenses
+
+    got = licenses.scan(f"// SPDX-License-Identifier: {text}\nint main".encode()).detections
+    assert {d[2] for d in got} == labels and max(d[3] for d in got) == 1.0
+
+
+def test_every_spdx_label():
+    from quirelane.llm import licenses
+
+    for label, name in licenses._TAGS.items():
+        import re
+
+        plain = re.sub(r"\[(.)[^]]*\]", r"\1", re.sub(r"\(\?:([^|)]*)[^)]*\)(?!\?)", r"\1", re.sub(r"\(\?:[^)]*\)\?", "", name))).split("|")[0]
+        assert {d[2] for d in licenses.scan(f"spdx license identifier {plain}".encode()).detections} == {label}, plain
+
+
+def test_short_license_names():
+    from quirelane.llm import licenses
+
+    for text, label in (("GPLv3", "gpl-3.0"), ("this is under the MIT", "mit"), ("released under GPL v2", "gpl-2.0"), ("licensed under Apache 2.0", "apache-2.0"), ("LGPLv2.1", "lgpl"), ("under the LGPL", "lgpl")):
+        assert label in {d[2] for d in licenses.scan(text.encode()).detections}, text
+    assert not licenses.scan(b"studied at mit and bsd unix").detections
