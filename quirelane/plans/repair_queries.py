@@ -108,7 +108,7 @@ def font_sources(spark, sf_dir):
 @register("merged_cells")
 def merge_cells(spark, sf_dir):
     """Grids whose middle rule is short; growing rectangles have no SQL form."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("page_index"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("page_index"))
     rule = lambda kind, pos, lo, hi: F.struct(F.lit(kind).alias("orientation"), F.lit(float(pos)).alias("pos"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"))
     rules = [rule("h", y, 0, 300) for y in (0, 100, 200)] + [rule("v", 0, 0, 200), rule("v", 300, 0, 200), rule("v", 100, 0, 200), rule("v", 200, 0, 95)]
     seg = o.select("doc_id", "page_index", F.explode(F.array(*rules)).alias("r")).select("doc_id", "page_index", "r.*")

@@ -52,3 +52,9 @@ def test_against_sql(spark, name):
 def test_runs(spark, name):
     df = registry.QUERIES[name](spark, DATA)
     assert df.columns and df.count() >= 0
+
+
+def test_merged_cells_of_all_orders(spark):
+    got = registry.QUERIES["merged_cells"](spark, DATA).select("doc_id").distinct().collect()
+    want = spark.read.parquet(f"{DATA}/orders.parquet").select("o_orderkey").distinct().collect()
+    assert {r[0] for r in got} == {r[0] for r in want}
