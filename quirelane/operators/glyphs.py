@@ -36,8 +36,8 @@ def nearest_shape(shapes: DataFrame, known: DataFrame, most: int = 8) -> DataFra
     Two hashes within ``most`` = 8 agree in one of nine runs of bits, so shapes are joined by runs; no pair beyond is met.
     """
     n = most + 1
-    width = -(-64 // n)
-    runs = lambda h: F.array(*(F.struct(F.lit(i).alias("run"), F.shiftrightunsigned(h, i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("bits")) for i in range(n)))
+    edges = [64 * i // n for i in range(n + 1)]
+    runs = lambda h: F.array(*(F.struct(F.lit(i).alias("run"), F.shiftrightunsigned(h, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1).cast("long")).alias("bits")) for i in range(n)))
     a = shapes.select("shape_id", "hash", F.explode(runs(F.col("hash"))).alias("r"))
     b = known.select(F.col("hash").alias("known_hash"), "text", F.explode(runs(F.col("hash"))).alias("r"))
     d = hamming(F.col("hash"), F.col("known_hash"))

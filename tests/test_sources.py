@@ -158,3 +158,24 @@ def test_api(spark, tmp_path):
     assert len(api.hash_files(spark, p).first()["fingerprint"]) == 64
     assert {r["page_class"] for r in api.classify_pages(spark, p).collect()} <= {"vector", "scanned"}
     assert api.page_slice(api.extract_pages(spark, p), 2, 2).count() == 1
+
+
+def test_nearest_shape_of_64_bits(spark):
+    """Distance 8 with a differing bit in each byte, and random distances, against brute force."""
+    import random
+
+    from quirelane.operators import glyphs
+
+    random.seed(4)
+    signed = lambda x: x - (x >> 63 << 64)
+    known = [random.getrandbits(64) for _ in range(40)]
+    shapes = [x ^ sum(1 << (8 * i + random.randrange(8)) for i in range(8)) for x in known]
+    shapes += [x ^ sum(1 << i for i in random.sample(range(64), k)) for k in range(11) for x in known[:10]]
+    a = spark.createDataFrame([(i, signed(x)) for i, x in enumerate(shapes)], "shape_id long, hash long")
+    b = spark.createDataFrame([(signed(x), "t") for x in known], "hash long, text string")
+    want = set()
+    for i, x in enumerate(shapes):
+        d, y = min(((x ^ y).bit_count(), signed(y)) for y in known)
+        if d <= 8:
+            want.add((i, y, d))
+    assert {(r["shape_id"], r["known_hash"], r["distance"]) for r in glyphs.nearest_shape(a, b).collect()} == want
