@@ -1,7 +1,7 @@
 """Byte-level BPE by dynamic programming over prefixes, and its inverse.
 
 A text is split as the tokenizer splits it. Within a part, each prefix has exactly one last token: of the tokens that end
-there, found by a suffix automaton over the vocabulary, the one that merges would leave beside the last token of the
+there, found by an Aho-Corasick automaton over the vocabulary, the one that merges would leave beside the last token of the
 prefix before it. Whether two tokens may stand side by side is decided by undoing merges from the boundary outward: the
 pair is impossible if a merge across the boundary would have come first. Back-pointers from the whole part give its ids
 in time linear in its length, with no queue of merges.
