@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirelane.llm import wide
 from quirelane.llm.common import as_bytes, extended
 from quirelane.llm.components import connected_components
 from quirelane.session import cut
@@ -30,15 +31,10 @@ BITS = 64
 SEED = 42
 #: Fingerprints of one bucket's table that a task compares at once; larger buckets are dealt out as pairs of blocks.
 BLOCK = 4096
-#: The same for parts of wide fingerprints, whose balls are enumerated in the task; rows and pairs met there at once.
-PART_BLOCK, ROWS, PAIRS = 1 << 19, 2048, 1 << 18
 #: Hot buckets that may be broadcast (a key, a count and a row's overhead: under 10 MB); more are joined by shuffle.
 BROADCAST_BUCKETS = 100_000
 #: Up to so many fingerprints, three segments keep buckets small for r = 4; beyond, two longer ones with larger balls do.
 SHORT_SEGMENTS_UP_TO = 1 << 26
-#: 64-bit words of a wide fingerprint, and what its words are mixed with.
-WIDE = 8
-_ODD = [(0x9E3779B97F4A7C15 * (2 * j + 1)) % 2**64 | 1 for j in range(WIDE)]
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -69,65 +65,20 @@ def fingerprint(text: bytes | None, width: int) -> int:
     return int(np.packbits(2 * votes > len(h), bitorder="little").view("<u8")[0])
 
 
-def add_fingerprints(df: DataFrame, *, width: int, keep: list[str], text: str = "text", wide: bool = False) -> DataFrame:
-    """``keep``, the fingerprint's bytes, lowest first, as ``bits``, and ``node``, a number for it.
-
-    The number of a fingerprint of 64 bits is itself, signed; that of a wide one is its hash.
-    """
+def add_fingerprints(df: DataFrame, *, width: int, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep``, the fingerprint's bytes, lowest first, as ``bits``, and itself, signed, as ``node``."""
     schema = extended(df.select(*keep).schema, "node long, bits binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = as_bytes(b.column(b.num_columns - 1))
-            bits = [wide_fingerprint(t, width) if wide else fingerprint(t, width).to_bytes(8, "little") for t in texts]
-            node = np.array([xxhash.xxh64_intdigest(x) if wide else int.from_bytes(x, "little") for x in bits], np.uint64).view(np.int64)
+            bits = [fingerprint(t, width).to_bytes(8, "little") for t in texts]
+            node = np.array([int.from_bytes(x, "little") for x in bits], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(node), pa.array(bits, pa.binary())], names=schema.names)
 
     return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
-def _numbered(base: np.ndarray) -> np.ndarray:
-    """Hashes of which each repeat is hashed again with its number, so that all of a multiset's elements differ."""
-    ordered = np.sort(base[:, 0])
-    if not (ordered[1:] == ordered[:-1]).any():
-        return base
-    order = np.argsort(base[:, 0], kind="stable")
-    ordered, at = base[order, 0], np.arange(len(base))
-    number = at - np.maximum.accumulate(np.where(np.r_[True, ordered[1:] != ordered[:-1]], at, 0))
-    again = np.flatnonzero(number)
-    out, hashed = base.copy(), xxhash.xxh3_128_digest
-    raw = b"".join([hashed(base[i].tobytes(), k) for i, k in zip(order[again].tolist(), number[again].tolist(), strict=True)])
-    out[order[again]] = np.frombuffer(raw, "<u8").reshape(-1, 2)
-    return out
-
-
-def wide_fingerprint(text: bytes | None, width: int) -> bytes:
-    """512 bits from the shingles' XXH3, as 64 bytes; null and empty texts: zero.
-
-    The first, second and further occurrences of a shingle are elements of their own, each with one vote: the cosine is
-    then that of multisets, and a repeated shingle weighs by its number rather than by its square.
-    """
-    words = (text or b"").lower().split()
-    if not words:
-        return bytes(8 * WIDE)
-    joined, n = b" ".join(words), len(words)
-    ends = [0, *accumulate(len(w) + 1 for w in words)]
-    hashed = xxhash.xxh3_128_digest
-    raw = b"".join([hashed(joined[s : e - 1], SEED) for s, e in zip(ends, ends[min(width, n) :], strict=False)])
-    base = _numbered(np.frombuffer(raw, "<u8").reshape(-1, 2))
-    votes = np.zeros(BITS * WIDE, np.int64)
-    for i in range(0, len(base), 255):  # sums of so many bits fit a byte
-        part = base[i : i + 255]
-        h = np.empty((len(part), WIDE), np.uint64)
-        for j in range(WIDE):  # further words are mixed from the hash's two
-            x = part[:, j % 2] * np.uint64(_ODD[j])
-            x ^= x >> np.uint64(29)
-            x *= np.uint64(0xBF58476D1CE4E5B9)
-            h[:, j] = x ^ (x >> np.uint64(32))
-        votes += np.add.reduce(np.unpackbits(h.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
-    return np.packbits(2 * votes > len(base), bitorder="little").tobytes()
-
-
 def hex_of(fp) -> F.Column:
     """16 lower-case hex digits of a fingerprint held as a signed long."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
@@ -153,33 +104,6 @@ def _ball(bits: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for k in range(1, radius + 1) for c in combinations(range(bits), k)], np.uint64)
 
 
-def wide_segments(most: int) -> list[Segment]:
-    """32 segments of 16 bits of a wide fingerprint; their radii sum to most - 31, so no pair within ``most`` is lost."""
-    total = max(most - 31, 0)
-    return [(i // 4, 16 * (i % 4), 16, total // 32 + (i < total % 32)) for i in range(32)]
-
-
-Part = tuple[int, int, int, int, tuple[int, ...]]  # word, shift, bits, radius, edges of the segment's parts up to this one
-
-
-def _parts(plan: list[Segment]) -> list[Part]:
-    """Each segment cut into one part more than its radius: segments within the radius agree in one of their parts."""
-    out = []
-    for word, shift, size, radius in plan:
-        edges = [size * i // (radius + 1) for i in range(radius + 2)]
-        out += [(word, shift, size, radius, tuple(edges[: i + 2])) for i in range(radius + 1)]
-    return out
-
-
-def _cells(bits: np.ndarray, parts: list[Part]) -> tuple[np.ndarray, np.ndarray]:
-    """(entry, row): entry holds part number and part; the lowest bit is zero."""
-    keys = []
-    for i, (word, shift, _, _, edges) in enumerate(parts):
-        part = (bits[:, word] >> np.uint64(shift + edges[-2])) & np.uint64((1 << (edges[-1] - edges[-2])) - 1)
-        keys.append((part << np.uint64(1)) | np.uint64(i << 17))
-    return np.concatenate(keys), np.tile(np.arange(len(bits)), len(parts))
-
-
 def _words(column: pa.Array) -> np.ndarray:
     """Rows of 64-bit words of a column of fingerprints of one length."""
     rows = column.to_pylist()
@@ -260,84 +184,20 @@ def _match(entry: np.ndarray, node: np.ndarray, bits: np.ndarray, most: int, for
                 label[np.isin(label, new)] = label[d]
 
 
-def _match_part(part: Part, node: np.ndarray, bits: np.ndarray, most: int, forest: _Forest) -> None:
-    """Link what lies within ``most`` bits of those that agree in a part and whose segments are within the radius.
-
-    The segment's ball is enumerated here. Pairs that agree in an earlier part of the segment are left to that part.
-    """
-    word, shift, size, radius, edges = part
-    low, high = edges[-2:]
-    own = (bits[:, word] >> np.uint64(shift)) & np.uint64((1 << size) - 1)
-    rest = ((own >> np.uint64(high) << np.uint64(low)) | (own & np.uint64((1 << low) - 1))).astype(np.int64)
-    free = size - (high - low)
-    order = np.argsort(rest, kind="stable")
-    rest, node = rest[order], node[order]
-    half = [np.ascontiguousarray(bits[order, k : k + WIDE // 2]) for k in (0, WIDE // 2)]
-    deltas = np.r_[0, _ball(free, radius).astype(np.int64)]
-    for a, b in zip(edges[:-2], edges[1:-1], strict=True):
-        deltas = deltas[deltas >> a & ((1 << (b - a)) - 1) != 0]
-    count = np.bincount(rest, minlength=1 << free)
-    start = np.cumsum(count) - count
-    label = np.arange(len(rest))
-
-    def far(k: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        c = np.bitwise_count(half[k][a] ^ half[k][b])
-        return (c[:, 0] + c[:, 1]).astype(np.int64) + (c[:, 2] + c[:, 3])
-
-    for top in range(0, len(rest), ROWS):
-        row = np.arange(top, min(top + ROWS, len(rest)))
-        other = rest[row][:, None] ^ deltas[None, :]
-        first = np.where(other == rest[row][:, None], row[:, None] + 1, start[other])
-        many = np.where(other >= rest[row][:, None], (start + count)[other] - first, 0)
-        done = np.cumsum(many.sum(axis=1))
-        s = 0
-        while s < len(row):
-            e = max(s + 1, int(np.searchsorted(done, (done[s - 1] if s else 0) + PAIRS, "right")))
-            m, f = many[s:e].ravel(), first[s:e].ravel()
-            live = np.flatnonzero(m)
-            m, f = m[live], f[live]
-            a = np.repeat(row[s + live // len(deltas)], m)
-            b = np.repeat(f - (np.cumsum(m) - m), m) + np.arange(len(a))
-            s = e
-            on = label[a] != label[b]
-            a, b = a[on], b[on]
-            d = far(0, a, b)
-            on = d <= most
-            a, b, d = a[on], b[on], d[on]
-            on = d + far(1, a, b) <= most
-            a, b = a[on], b[on]
-            if len(a):
-                x, y = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
-                _, at = np.unique(x * len(label) + y, return_index=True)
-                joined = _Forest()
-                for i in at.tolist():
-                    joined.link(int(x[i]), int(y[i]))
-                    forest.link(int(node[a[i]]), int(node[b[i]]))
-                to = np.arange(len(label))
-                for i in list(joined.up):
-                    to[i] = joined.root(i)
-                label = to[label]
-
-
-def links(fps: DataFrame, plan: list[Segment], most: int, *, block: int | None = None, wide: bool = False) -> DataFrame:
+def links(fps: DataFrame, plan: list[Segment], most: int, *, block: int = BLOCK) -> DataFrame:
     """A spanning forest's worth of links (src, dst) between nodes whose bits differ in at most ``most`` places.
 
     ``fps`` (node, bits) has a row per fingerprint and should be materialised. Each task gives every link that joins two
     of its trees, so the components of the result are those of all links that the plan's segments find.
-
-    ``wide``: segments' balls would take thousands of rows a fingerprint. It is instead entered under each part of each
-    segment, as ``_parts`` cuts them, and the task that has a part's bucket enumerates the balls.
     """
-    block = block or (PART_BLOCK if wide else BLOCK)
-    parts = _parts(plan)
     names = ["entry", "node", "bits"]
 
     def enter(plan: list[Segment], whole: bool = True):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for i in range(0, b.num_rows, 512 if wide else 2048):
-                    node, bits = (b.column(k).slice(i, 512 if wide else 2048) for k in (0, 1))
-                    entry, row = _cells(_words(bits), parts) if wide else _probes(_words(bits), plan)
+                for i in range(0, b.num_rows, 2048):
+                    node, bits = (b.column(k).slice(i, 2048) for k in (0, 1))
+                    entry, row = _probes(_words(bits), plan)
                     columns = [pa.array(entry.view(np.int64))]
                     if whole:
                         row = pa.array(row)
@@ -394,13 +254,7 @@ def links(fps: DataFrame, plan: list[Segment], most: int, *, block: int | None =
         # number the buckets of one key and unit; the lowest bit says whether a row probes
         new = np.r_[False, (got[0][1:] != got[0][:-1]) | (got[1][1:] != got[1][:-1])]
         entry = (np.cumsum(new).astype(np.uint64) << np.uint64(1)) | (got[2].view(np.uint64) & np.uint64(1))
-        if wide:
-            edges = [0, *np.flatnonzero(new).tolist(), len(new)]
-            for a, b in zip(edges, edges[1:], strict=False):
-                if b - a > 1:
-                    _match_part(parts[int(got[0][a]) >> 16], got[3][a:b], got[4][a:b], most, forest)
-        else:
-            _match(entry, got[3], got[4], most, forest)
+        _match(entry, got[3], got[4], most, forest)
         if forest.links:
             pairs = np.array(forest.links, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["src", "dst"])
@@ -408,19 +262,11 @@ def links(fps: DataFrame, plan: list[Segment], most: int, *, block: int | None =
     return rows.mapInArrow(match, "src long, dst long")
 
 
-def _components(marked: DataFrame, id: str, plan: list[Segment] | int, most: int) -> DataFrame:
-    """(_node, component), materialised: of each fingerprint, the smallest id that its links reach.
-
-    ``plan``: segments, or the distance up to which none may be lost.
-    """
-    per = cut(marked.groupBy("node", "bits").agg(F.min(id).alias("least")))
-    wide = not isinstance(plan, int)
-    if isinstance(plan, int):
-        plan = plan_segments(plan, per.count())
-    comp = cut(connected_components(links(per, plan, most, wide=wide)))
-    per = per.join(comp.withColumnRenamed("node", "_at"), F.col("node") == F.col("_at"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+def _components(per: DataFrame, found: DataFrame) -> DataFrame:
+    """(_node, component), materialised: of each fingerprint in ``per`` (node, least), the smallest id that its links reach."""
+    comp = connected_components(found).withColumnRenamed("node", "_at")
     # a root may stand for very many fingerprints: both sides are plain tables, so that adaptive execution may split it
-    per = cut(per)
+    per = cut(per.join(comp, F.col("node") == F.col("_at"), "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     named = cut(per.groupBy("root").agg(F.min("least").alias("component")))
     return cut(per.join(named, "root").select(F.col("node").alias("_node"), "component"))
 
@@ -433,24 +279,26 @@ def near_duplicates(df: DataFrame, *, width: int = 4, r: int = 4, id: str = "doc
     fingerprint; other columns of ``df`` are not used, whatever their names. An empty table gives no rows.
     """
     marked = cut(add_fingerprints(df, width=width, keep=[id], text=text))
-    named = _components(marked, id, r, r)
+    per = cut(marked.groupBy("node", "bits").agg(F.min(id).alias("least")))
+    named = _components(per, links(per, plan_segments(r, per.count()), r))
     return marked.join(named, F.col("node") == F.col("_node")).select(id, F.col("node").alias("fp"), "component")
 
 
 #: For keep_one: five words, and as many of 512 bits as differ at a Jaccard similarity of 0.8 (angle over pi, cosine
-#: 8/9: 78) and a standard deviation of that number (8), so that five of six such pairs lie within.
-WIDTH, NEAR = 5, 86
+#: 8/9: 78) and one and a half standard deviations of that number (8), so that 14 of 15 such pairs lie within.
+WIDTH, NEAR = 5, 90
 
 
 def keep_one(df: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with one row of each near-duplicate group: that with the smallest id. All columns stay.
 
     Near: a Jaccard similarity of 0.8 or more between multisets of five-word shingles, as estimated by 512 fingerprint
-    bits. Rows without an id take no part and stay; of repeated rows of one id and group one stays. Texts without words
-    are one group.
+    bits; all pairs within NEAR bits are found. Rows without an id take no part and stay; of repeated rows of one id and
+    group one stays. Texts without words are one group.
     """
-    marked = cut(add_fingerprints(df.where(F.col(id).isNotNull()), width=WIDTH, keep=[id], text=text, wide=True))
-    named = _components(marked, id, wide_segments(NEAR), NEAR)
+    marked = cut(wide.add_fingerprints(df.where(F.col(id).isNotNull()), width=WIDTH, keep=[id], text=text))
+    per = cut(marked.groupBy("node", "bits").agg(F.min(id).alias("least")))
+    named = _components(per, wide.links(per, wide.plan_segments(per.count(), NEAR), NEAR))
     keepers = named.groupBy(F.col("component").alias("__keep")).agg(F.lit(1).alias("__one"))
     kept = df.join(keepers.select("__keep"), F.col(f"`{id}`") == F.col("__keep"), "left_semi")
     repeated = marked.join(keepers, F.col(id) == F.col("__keep"), "left_semi").groupBy(id).count().where("count > 1")

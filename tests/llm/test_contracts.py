@@ -223,7 +223,7 @@ def test_pipeline_run_against_brute_force(spark, docs):
     import corpus_pipeline
     import numpy as np
 
-    from quirelane.llm import quality, secrets, simhash, toxicity
+    from quirelane.llm import quality, secrets, simhash, toxicity, wide
 
     schema = "doc_id long, text string"
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
@@ -246,7 +246,7 @@ def test_pipeline_run_against_brute_force(spark, docs):
     model = toxicity.train(spark.createDataFrame(list(kept.items()), schema), labels)
     kept = {i: t for i, t in kept.items() if model.score(np.array([toxicity.features(t.encode(), model.lexicon)]))[0] < 0.7}
 
-    prints = {i: simhash.wide_fingerprint(t.encode(), 5) for i, t in kept.items()}
+    prints = {i: wide.fingerprint(t.encode(), 5) for i, t in kept.items()}
     up = {i: i for i in kept}
 
     def root(x):
@@ -256,8 +256,8 @@ def test_pipeline_run_against_brute_force(spark, docs):
 
     for a, b in itertools.combinations(sorted(kept), 2):
         x, y = prints[a], prints[b]
-        shared = any(x[k : k + 2] == y[k : k + 2] for k in range(0, 64, 2))
-        if shared and (int.from_bytes(x, "big") ^ int.from_bytes(y, "big")).bit_count() <= simhash.NEAR:
+        n, m = sorted(int.from_bytes(z[64:], "little") for z in (x, y))
+        if 5 * n >= 4 * m and (int.from_bytes(x[:64], "big") ^ int.from_bytes(y[:64], "big")).bit_count() <= simhash.NEAR:
             p, q = root(a), root(b)
             up[max(p, q)] = min(p, q)
     kept = {i: t for i, t in kept.items() if root(i) == i}

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quirelane.llm import bpe, knn, licenses, packing, quality, secrets, simhash, toxicity, urlfilter, warc
+from quirelane.llm import bpe, knn, licenses, packing, quality, secrets, simhash, toxicity, urlfilter, warc, wide
 from test_contracts import brute_components, brute_fingerprint, brute_secrets
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -488,25 +488,95 @@ def test_repeated_lines_do_not_link(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == list(range(n))
 
 
-def test_wide_links_are_complete(spark):
-    """Every pair within 86 of 512 bits is met, whatever its segments share, in whole buckets and in dealt ones."""
+def wide_components(fps, most):
+    """Smallest index that near pairs connect, from all pairs of 72-byte fingerprints."""
+    import numpy as np
+
+    x = np.frombuffer(b"".join(fps), "<u8").reshape(-1, 9)
+    a, b = np.triu_indices(len(x), 1)
+    far, size = np.bitwise_count(x[a, :8] ^ x[b, :8]).sum(1), x[:, 8].astype(np.int64)
+    on = (far <= most) & (5 * size[a] >= 4 * size[b]) & (5 * size[b] >= 4 * size[a])
+    return joined(len(x), zip(a[on].tolist(), b[on].tolist(), strict=True))
+
+
+def joined(n, pairs):
+    up = list(range(n))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in pairs:
+        i, j = root(i), root(j)
+        up[max(i, j)] = min(i, j)
+    return [root(i) for i in range(n)]
+
+
+def flipped(bits, places):
+    return bits ^ sum(1 << i for i in places)
+
+
+@pytest.mark.parametrize(("block", "least_bits"), [(wide.BLOCK, 16), (40, 16), (wide.BLOCK, 24)])
+def test_wide_links_are_complete(spark, monkeypatch, block, least_bits):
+    """Components are those of all pairs within NEAR bits: evenly spread differences, a large group, and random ones."""
     import random
 
+    monkeypatch.setattr(wide, "SEGMENT_BITS", (least_bits, 40))
     random.seed(5)
-    flips = [range(0, 512, 6), *(random.sample(range(512), k) for k in range(32, 92, 2))]
-    flips += [[16 * i + j for i in range(32) for j in random.sample(range(16), 2 + (i < 22))] for _ in range(20)]
-    fps = []
-    for f in flips:
+    most, bits = simhash.NEAR, []
+    spread = [range(0, 512, 6), *(random.sample(range(512), k) for k in range(32, 96, 2))]
+    spread += [[16 * i + j for i in range(32) for j in random.sample(range(16), 2 + (i < 22))] for _ in range(20)]
+    for f in spread:
         x = random.getrandbits(512)
-        fps += [x, x ^ sum(1 << i for i in f)]
-    df = spark.createDataFrame([(i, x.to_bytes(64, "little")) for i, x in enumerate(fps)], "node long, bits binary")
-    want = {(i, i + 1) for i in range(0, len(fps), 2) if (fps[i] ^ fps[i + 1]).bit_count() <= simhash.NEAR}
-    assert len(want) > 45
-    plan = simhash.wide_segments(simhash.NEAR)
-    assert sum(p[3] for p in plan) == simhash.NEAR - len(plan) + 1
-    for block in (None, 3):
-        got = {tuple(sorted(r)) for r in simhash.links(df, plan, simhash.NEAR, block=block, wide=True).collect()}
-        assert got == want
+        bits += [x, flipped(x, f)]
+    x = random.getrandbits(512)
+    bits += [flipped(x, random.sample(range(512), random.randint(1, 70))) for _ in range(200)]
+    fps = [i.to_bytes(64, "little") + random.choice([100, 110, 120, 130]).to_bytes(8, "little") for i in bits]
+    fps = list(dict.fromkeys(fps))
+    want = wide_components(fps, most)
+    plan = wide.plan_segments(len(fps), most)
+    assert sum(s[2] for s in plan) == most - len(plan) + 1 and sum(s[1] for s in plan) == 512
+    place = {n: i for i, n in enumerate(wide.names_of(fps).tolist())}
+    df = spark.createDataFrame(list(zip(place, fps, strict=True)), "node long, bits binary")
+    found = [(place[a], place[b]) for a, b in wide.links(df, plan, most, block=block).collect()]
+    assert joined(len(fps), found) == want and len(set(want)) < len(fps) - 200
+
+
+def test_wide_plans():
+    for n in (0, 1, 700, 10**6, 10**9, 1 << 45):
+        for most in (0, 40, simhash.NEAR):
+            plan = wide.plan_segments(n, most)
+            assert sum(s[1] for s in plan) == 512 and sum(s[2] for s in plan) >= most - len(plan) + 1
+            assert len(wide.parts_of(plan)) == max(most + 1, len(plan))
+
+
+def test_similar_texts_are_found(spark):
+    """Of pairs at a Jaccard similarity of 0.8 or more, at least nine in ten at 0.80 to 0.83, and all over 0.9; none below 0.6."""
+    import random
+
+    random.seed(11)
+    words = [f"w{i}" for i in range(3000)]
+
+    def shingles(t):
+        return {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+
+    pairs_, bands = [], {"least": [], "high": [], "low": []}
+    while min(len(bands["least"]), len(bands["high"]), len(bands["low"])) < 60:
+        a = random.choices(words, k=400)
+        b = list(a)
+        for _ in range(random.choice([2, 8, 9, 10, 30])):
+            b[random.randrange(400)] = random.choice(words)
+        x, y = shingles(a), shingles(b)
+        j = len(x & y) / len(x | y)
+        band = "least" if 0.8 <= j < 0.83 else "high" if j >= 0.9 else "low" if j < 0.6 else None
+        if band and len(bands[band]) < 60:
+            bands[band].append(len(pairs_))
+            pairs_.append((a, b))
+    rows = [(2 * i + k, " ".join(t)) for i, pair in enumerate(pairs_) for k, t in enumerate(pair)]
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    caught = {band: sum(2 * i + 1 not in kept for i in of) / len(of) for band, of in bands.items()}
+    assert caught["least"] >= 0.9 and caught["high"] == 1 and caught["low"] == 0
 
 
 @pytest.mark.parametrize(
