@@ -17,7 +17,7 @@ import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +31,11 @@ from quirelane.session import cut
 WORDS = 400_000
 #: Characters of a text beyond which its words are not all held at once.
 LONG = 2_000_000
-SALTS = 128
-#: Fillings kept for each branch, and branches tried, before the incumbent stands.
-FILLINGS, BRANCHES = 4, 20_000
+#: Salts of each length at least, and rows of one length for which it gets another.
+SALTS, SALT_ROWS = 128, 1 << 16
+#: Fillings of each branch, and branches tried, before the incumbent stands; sequences' worth of items that best-fit
+#: completes again.
+FILLINGS, BRANCHES, LITTLE = 4, 20_000, 64
 
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0"
 _DIGIT = "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -181,56 +183,56 @@ def _best_fit(counts: dict[int, int], size: int) -> list[tuple[dict[int, int], i
     return [(f, t) for group in bins.values() for f, t in group]
 
 
-def _fillings(lengths: list[int], counts: dict[int, int], room: int, keep: int) -> list[dict[int, int]]:
-    """Undominated ways to fill ``room``: least waste first, of equal waste those with fewer and larger items.
+def _fill(lengths: list[int], counts: dict[int, int], room: int) -> tuple[int, dict[int, int]]:
+    """(waste, filling): items that fill ``room`` as far as any do; if to the full, with the largest smallest item.
 
-    Depth first from large to small, at most 400 complete fillings. One is dominated if an unused item fits in the room
-    that is left, or fits there in place of a smaller one.
+    Sums that items reach, the longest first, are bits of one number; each step keeps the sums that it was first to
+    reach, so that a sum's items are read back from the last step. Small items stay for bins that need them.
     """
-    out: list[tuple[int, int, dict[int, int]]] = []
-    perfect, budget = [0], [400]
-
-    def dominated(left: int, chosen: dict[int, int]) -> bool:
-        for y in chosen:
-            i = bisect_left(falling, -y) - 1  # the next larger length
-            while i >= 0 and lengths[i] <= y + left:
-                if counts[lengths[i]] > chosen.get(lengths[i], 0):
-                    return True
-                i -= 1
-        return False
-
-    def go(i: int, left: int, chosen: dict[int, int]) -> None:
-        fits = False
-        i = max(i, bisect_left(falling, -left))
-        while i < len(lengths):
-            x = lengths[i]
-            for k in range(min(counts[x], left // x), 0, -1):
-                fits = True
-                chosen[x] = k
-                go(i + 1, left - k * x, chosen)
-                del chosen[x]
-                if budget[0] <= 0 or perfect[0] >= keep:
-                    return
-            i += 1
-        if not fits:
-            budget[0] -= 1
-            if not left or not dominated(left, chosen):
-                perfect[0] += not left
-                out.append((left, sum(chosen.values()), dict(chosen)))
-
-    falling = [-x for x in lengths]
-    go(0, room, {})
-    if not out:
-        return [{}]
-    out.sort(key=lambda o: o[:2])
-    kept, seen = [], set()
-    for left, _, f in out:
-        if (key := tuple(sorted(f.items()))) not in seen:
-            seen.add(key)
-            kept.append(f)
-        if len(kept) == keep:
+    within, goal, reach = (1 << (room + 1)) - 1, 1 << room, 1
+    steps: list[tuple[int, int, int]] = []
+    for x in lengths:
+        n, k = min(counts[x], room // x), 1
+        while n > 0:  # doubling numbers of one length, as many as there are
+            k = min(k, n)
+            if new := (reach << (k * x)) & within & ~reach:
+                steps.append((x, k, new))
+                reach |= new
+            n, k = n - k, 2 * k
+        if reach & goal:
             break
-    return kept
+    full = left = reach.bit_length() - 1
+    filling: dict[int, int] = {}
+    for x, k, new in reversed(steps):
+        if new >> left & 1:
+            filling[x] = filling.get(x, 0) + k
+            left -= k * x
+    return room - full, filling
+
+
+def _dominated(filling: dict[int, int], waste: int, lengths: list[int], counts: dict[int, int]) -> bool:
+    """Whether an unused item fits in the waste, or in place of a smaller item and the waste."""
+    smaller = sorted(filling)
+    for x in lengths:
+        if counts[x] > filling.get(x, 0):
+            i = bisect_left(smaller, x)
+            if x <= waste or i and x <= smaller[i - 1] + waste:
+                return True
+    return False
+
+
+def _fillings(lengths: list[int], counts: dict[int, int], room: int, keep: int) -> Iterator[tuple[int, dict[int, int]]]:
+    """At most ``keep`` undominated (waste, filling) of ``room``, least waste first: each without its predecessor's smallest item."""
+    lengths = [x for x in lengths if counts[x] and x <= room]
+    rest = lengths
+    for _ in range(keep):
+        waste, filling = _fill(rest, counts, room)
+        if rest is lengths or filling and not _dominated(filling, waste, lengths, counts):
+            yield waste, filling
+        if not filling:
+            return
+        least = min(filling)
+        rest = [x for x in rest if x != least]
 
 
 def complete_bins(counts: dict[int, int], size: int, *, branches: int = BRANCHES, fillings: int = FILLINGS) -> list[tuple[dict[int, int], int]]:
@@ -238,8 +240,8 @@ def complete_bins(counts: dict[int, int], size: int, *, branches: int = BRANCHES
 
     Bin completion: the largest length left is completed by its undominated fillings, least waste first; a filling is
     used as often as the counts allow, at once. Branches whose waste already makes as many bins as the incumbent are
-    cut. The incumbent starts as best-fit decreasing; the search ends when it meets the lower bound, or after
-    ``branches`` fillings, which keeps the incumbent.
+    cut. Best-fit decreasing gives the incumbent, for all items and again for what is left where that is little. The
+    search ends when the incumbent meets the lower bound, or after ``branches`` fillings.
     """
     counts = {x: n for x, n in counts.items() if n}
     if not counts:
@@ -248,35 +250,60 @@ def complete_bins(counts: dict[int, int], size: int, *, branches: int = BRANCHES
     best = _best_fit(counts, size)
     n_best = sum(t for _, t in best)
     bound = lower_bound(counts, size)
-    if n_best <= bound:
-        return best
-    volume = sum(n * x for x, n in counts.items())
-    tried = 0
-    # a stack of (counts left, rows so far, bins so far, waste so far); least waste is on top
-    stack: list[tuple[dict[int, int], tuple | None, int, int]] = [(counts, None, 0, 0)]
-    while stack and tried < branches and n_best > bound:
-        left, rows, used, waste = stack.pop()
-        if not left:
-            if used < n_best:
-                n_best, best, r = used, [], rows
-                while r is not None:
-                    best.append(r[0])
-                    r = r[1]
-            continue
-        if used + -(-sum(n * x for x, n in left.items()) // size) >= n_best or -(-(volume + waste) // size) >= n_best:
-            continue
-        tried += 1
-        top = max(left)
-        rest = left | {top: left[top] - 1}
-        lengths = sorted((x for x, n in rest.items() if n and x <= size - top), reverse=True)
-        ways = _fillings(lengths, rest, size - top, fillings)
-        for way in reversed(ways):
-            filling = dict(way)
-            filling[top] = filling.get(top, 0) + 1
+    lengths, left = sorted(counts, reverse=True), dict(counts)
+    volume, used, tried = sum(n * x for x, n in counts.items()), 0, 0
+
+    def ways(spare: int) -> Iterator[tuple[int, dict[int, int]]]:
+        """(rank, filling) around the largest length left. When the next is asked for, counts are as they were."""
+        top = next(x for x in lengths if left[x])
+        left[top] -= 1
+        found = _fillings(lengths, left, size - top, min(fillings, spare + 1))
+        for rank in count():
+            got = next(found, None)
+            left[top] += 1
+            if got is None:
+                return
+            yield rank, got[1] | {top: got[1].get(top, 0) + 1}
+            left[top] -= 1
+
+    began, last = -1, (-1, n_best)
+    for most in count():  # with no turn from first fillings, then with one, and so on: turns near the root come early
+        if n_best <= bound or tried >= branches or (tried - began, n_best) == last:  # met, given up, or nothing was left
+            return best
+        began, last = tried, (tried - began, n_best)
+        open_, chosen = [(most, ways(most))], []
+        while open_ and n_best > bound:
+            spare, here = open_[-1]
+            step = next(here, None) if tried < branches else None
+            if step is None:
+                open_.pop()
+                if not chosen:
+                    break
+                filling, times = chosen.pop()
+                used -= times
+                volume += times * sum(x * k for x, k in filling.items())
+                for x, k in filling.items():
+                    left[x] += times * k
+                continue
+            rank, filling = step
+            tried += 1
             times = min(left[x] // k for x, k in filling.items())
-            after = {x: n - times * filling.get(x, 0) for x, n in left.items() if n - times * filling.get(x, 0)}
-            lost = times * (size - sum(x * k for x, k in filling.items()))
-            stack.append((after, ((filling, times), rows), used + times, waste + lost))
+            for x, k in filling.items():
+                left[x] -= times * k
+            used, volume = used + times, volume - times * sum(x * k for x, k in filling.items())
+            chosen.append((filling, times))
+            open_.append((0, iter(())))
+            if used + -(-volume // size) >= n_best:
+                continue
+            if volume <= LITTLE * size:
+                rest = _best_fit({x: n for x, n in left.items() if n}, size)
+                if used + sum(t for _, t in rest) < n_best:
+                    best = [*chosen, *rest]
+                    n_best = sum(t for _, t in best)
+            if volume:
+                open_[-1] = (spare - rank, ways(spare - rank))
+        if open_:  # it ended early: all is taken back
+            return best
     return best
 
 
@@ -285,14 +312,22 @@ def pack(pieces_: DataFrame, size: int, *, id: str = "doc_id", branches: int = B
 
     Rows without an id, repeated rows and pieces of equal length are packed like any other; no rows give no rows.
     """
-    salted = pieces_.withColumn("_salt", F.pmod(F.xxhash64(id, "piece"), F.lit(SALTS)).cast("int"))
-    # at most size x SALTS rows reach the driver, whatever the input
+    spark = pieces_.sparkSession
+    # a row for each length, at most ``size``; then one for each salt, which a length has SALTS of, or one for SALT_ROWS rows
+    sizes = pieces_.groupBy("length").count().toPandas()
+    salts = np.zeros(size + 1, np.int64)
+    salts[sizes["length"]] = np.maximum(SALTS, -(-sizes["count"].to_numpy(np.int64) // SALT_ROWS))
+    first = np.r_[0, np.cumsum(salts)]
+    many = spark.createDataFrame([(int(x), int(salts[x])) for x in np.flatnonzero(salts > SALTS)], "_length long, _salts long")
+    dealt = pieces_.join(F.broadcast(many), F.col("length") == F.col("_length"), "left")  # at most ``size`` rows
+    salted = dealt.select(*pieces_.columns, F.pmod(F.xxhash64(id, "piece"), F.coalesce("_salts", F.lit(SALTS))).alias("_salt"))
     histogram = salted.groupBy("length", "_salt").count().toPandas()
-    before = np.zeros((size + 1, SALTS + 1), np.int64)
-    if len(histogram):
-        before[histogram["length"], histogram["_salt"] + 1] = histogram["count"]
-    before = before.cumsum(axis=1)
-    rows = complete_bins({int(x): int(before[x, -1]) for x in np.flatnonzero(before[:, -1])}, size, branches=branches)
+    held = np.zeros(int(first[-1]), np.int64)
+    held[first[histogram["length"].to_numpy(np.int64)] + histogram["_salt"].to_numpy(np.int64)] = histogram["count"]
+    before = np.r_[0, np.cumsum(held)]
+    before = before[:-1] - np.repeat(before[first[:-1]], salts)  # pieces of the length under lesser salts
+    counts = {int(x): int(n) for x, n in zip(sizes["length"], sizes["count"], strict=True)}
+    rows = complete_bins(counts, size, branches=branches)
     places: dict[int, list[tuple[int, int, int, int]]] = {}
     base, taken = 0, [0] * (size + 1)
     for filling, times in rows:
@@ -303,17 +338,17 @@ def pack(pieces_: DataFrame, size: int, *, id: str = "doc_id", branches: int = B
             offset += x * filling[x]
         base += times
     tables = {x: np.array(p, np.int64).T for x, p in places.items()}
-    shared = pieces_.sparkSession.sparkContext.broadcast((before, tables))
+    shared = spark.sparkContext.broadcast((first, before, tables))
     ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(id, "piece")))
     schema = extended(pieces_.schema, "sequence_id long, offset long")
     n = len(pieces_.columns)
     at_length = pieces_.columns.index("length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, tables = shared.value
+        first, before, tables = shared.value
         for b in batches:
             length, salt, rank = (b.column(i).to_numpy() for i in (at_length, n, n + 1))
-            r = before[length, salt] + rank - 1
+            r = before[first[length] + salt] + rank - 1
             seq, off = np.zeros(len(r), np.int64), np.zeros(len(r), np.int64)
             order = np.argsort(length, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else []:

@@ -151,6 +151,34 @@ def brute_bins(items, size):
     return best[0]
 
 
+def test_packing_of_hot_lengths(spark, monkeypatch):
+    """More salts for a length with many pieces: places stay gapless, and no piece is lost."""
+    monkeypatch.setattr(packing, "SALTS", 1)
+    monkeypatch.setattr(packing, "SALT_ROWS", 10)
+    rows = [(i, 0, 700 if i % 3 else 100 + i) for i in range(400)] + [(1, 0, 700)] * 5
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, length long"), 2048).collect()
+    assert sorted((r["doc_id"], r["piece"], r["length"]) for r in got) == sorted(rows)
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in got)
+    for (s, o, n), (s2, o2, n2) in zip(places, places[1:], strict=False):
+        assert o2 == (o + n if s2 == s else 0) and o2 + n2 <= 2048
+
+
+def test_completion_beats_best_fit():
+    """Many pieces of log-normal lengths: the lower bound is met, which best-fit decreasing misses."""
+    import random
+    from collections import Counter
+
+    random.seed(4)
+    missed = 0
+    for copies in (7, 20, 50):
+        lengths = Counter({min(2048, int(random.lognormvariate(5.8, 1))) + 1: copies for _ in range(600)})
+        lengths = Counter({min(x, 2048): n for x, n in lengths.items()})
+        n = sum(t for _, t in packing.complete_bins(lengths, 2048))
+        assert n == packing.lower_bound(lengths, 2048)
+        missed += sum(t for _, t in packing._best_fit(lengths, 2048)) > n
+    assert missed
+
+
 def test_bin_completion():
     import random
     from collections import Counter
