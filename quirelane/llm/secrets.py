@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelane.session import cut
@@ -33,35 +33,40 @@ SPAN = "struct<start:int,kind:int,end:int>"
 LEDGER = f"blob binary, rule_version int, spans array<{SPAN}>"
 
 
-def _found(text: Column, number: int) -> Column:
-    """Spans of one rule: leftmost non-overlapping matches, of which those that are too short are dropped.
+MATCHES = "array<struct<kind:int,gap:int,size:int,long:boolean>>"
 
-    Places are running sums of what split gives between matches and of the matches, in code points.
-    """
+
+def _matches(text: Column, number: int) -> Column:
+    """Leftmost non-overlapping matches of one rule, in order: what lies before each, its size, whether it is long enough."""
     _, pattern, group, least, literals = RULES[number]
     zipped = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)),
-        F.split(text, pattern, -1),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("all"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part"),
+        F.split(text, pattern, -1).alias("before"),
+    )
+    made = F.transform(
+        F.filter(zipped, lambda x: x["all"].isNotNull()),  # the last split has no match after it
+        lambda x: F.struct(
+            F.lit(number).alias("kind"), F.char_length(x["before"]).alias("gap"), F.char_length(x["all"]).alias("size"), (F.char_length(x["part"]) >= least).alias("long")
+        ),
     )
-    none = F.array().cast(f"array<{SPAN}>")
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["2"])
-        end = start + F.coalesce(F.char_length(x["0"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.char_length(x["1"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-    all_of = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
     gate = text.rlike(pattern)
     if literals:
         gate = reduce(lambda a, b: a | b, [text.contains(x) for x in literals]) & gate
-    return F.when(gate, all_of).otherwise(none)
+    return F.when(gate, made).otherwise(F.array().cast(MATCHES))
+
 
+def _spans(blobs: DataFrame) -> DataFrame:
+    """(blob, spans by start, then kind) of rows (blob, matches), one per blob.
 
-def spans(text: Column) -> Column:
-    """All spans by start, then kind."""
-    return F.array_sort(F.concat(*(_found(text, i) for i in range(len(RULES)))))
+    Places are running sums over a rule's matches, in code points: a window, so time is linear in a text's matches. The
+    rows already lie by blob, and no further shuffle is needed.
+    """
+    rows = blobs.select("blob", F.posexplode_outer("matches").alias("i", "m"))
+    end = F.sum(F.col("m.gap") + F.col("m.size")).over(Window.partitionBy("blob", "m.kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    span = F.struct((F.col("end") - F.col("m.size")).cast("int").alias("start"), F.col("m.kind").alias("kind"), F.col("end").cast("int").alias("end"))
+    found = rows.withColumn("end", end).groupBy("blob").agg(F.array_sort(F.collect_list(F.when(F.col("m.long"), span))).alias("spans"))
+    return found.select("blob", F.col("spans").cast(f"array<{SPAN}>").alias("spans"))
 
 
 def written(spans_: Column) -> Column:
@@ -76,7 +81,7 @@ def _with_blob(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def scan(docs: DataFrame, ledger: DataFrame | None = None, *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """New ledger rows (materialised): one per blob of ``docs`` that ``ledger`` lacks for these rules.
+    """New ledger rows: one per blob of ``docs`` that ``ledger`` lacks for these rules.
 
     A blob is read from the row with its smallest id, so a text that very many rows share is scanned once; a blob whose
     ids are all null is read from each and kept once. The text is shuffled by blob and id, which no hot blob skews.
@@ -87,9 +92,9 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, *, id: str = "doc_id"
         unseen = unseen.join(ledger.where(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
     unseen = unseen.withColumnRenamed("blob", "_blob")
     todo = rows.join(unseen, (rows["blob"] == F.col("_blob")) & rows["_id"].eqNullSafe(F.col("_least")))
-    found = todo.select("blob", spans(F.col("_text")).alias("spans"))
-    found = found.groupBy("blob").agg(F.first("spans").alias("spans"))
-    return cut(found.select("blob", F.lit(RULE_VERSION).alias("rule_version"), "spans"))
+    matches = F.concat(*(_matches(F.col("_text"), i) for i in range(len(RULES))))
+    found = _spans(todo.select("blob", matches.alias("matches")).groupBy("blob").agg(F.first("matches").alias("matches")))
+    return found.select("blob", F.lit(RULE_VERSION).alias("rule_version"), "spans")
 
 
 def find(docs: DataFrame, ledger: DataFrame | None = None, *, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -97,11 +102,29 @@ def find(docs: DataFrame, ledger: DataFrame | None = None, *, id: str = "doc_id"
 
     Null text: empty, without spans. Rows with null ids and repeated rows are kept as they are.
     """
-    new = scan(docs, ledger, id=id, text=text)
+    new = cut(scan(docs, ledger, id=id, text=text))
     whole = new if ledger is None else ledger.unionByName(new)
-    now = whole.where(F.col("rule_version") == RULE_VERSION).select(F.col("blob").alias("_blob"), "spans")
+    return _paths(docs, whole, id=id, text=text), whole
+
+
+def find_stored(docs: DataFrame, place: str, *, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """As ``find``, with a ledger of Parquet files: blobs that it lacks are scanned and appended, then all are joined back.
+
+    ``place`` is a folder that all executors share; it is made if it isn't there. A scan that fails appends nothing.
+    """
+    spark = docs.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    ledger = spark.read.schema(LEDGER).parquet(place) if there else None
+    scan(docs, ledger, id=id, text=text).write.mode("append").parquet(place)
+    return _paths(docs, spark.read.schema(LEDGER).parquet(place), id=id, text=text)
+
+
+def _paths(docs: DataFrame, ledger: DataFrame, *, id: str, text: str) -> DataFrame:
+    """(id, blob, spans) for every row of ``docs``."""
+    now = ledger.where(F.col("rule_version") == RULE_VERSION).select(F.col("blob").alias("_blob"), "spans")
     paths = _with_blob(docs, id, text).select(F.col("_id").alias(id), "blob")
-    return paths.join(now, F.col("blob") == F.col("_blob"), "left").drop("_blob"), whole
+    return paths.join(now, F.col("blob") == F.col("_blob"), "left").drop("_blob")
 
 
 def digest(found: DataFrame, id: str = "doc_id") -> DataFrame:
@@ -116,16 +139,24 @@ def digest(found: DataFrame, id: str = "doc_id") -> DataFrame:
     )
 
 
-def redacted(text: Column, spans_: Column, mark: str = "[REDACTED]") -> Column:
-    """The text with each span, or run of overlapping spans, replaced by a mark."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def _kept_parts(held: DataFrame) -> DataFrame:
+    """(blob, parts, after): for (blob, spans), the places between runs of overlapping spans, and where the last run ends."""
+    rows = held.select("blob", F.explode("spans").alias("s"))
+    before = Window.partitionBy("blob").orderBy("s.start", "s.kind", "s.end").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("at", F.coalesce(F.max("s.end").over(before), F.lit(0)))
+    part = F.when(F.col("s.start") >= F.col("at"), F.struct(F.col("at"), F.col("s.start").alias("to")))
+    return rows.groupBy("blob").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.max("s.end").alias("after"))
+
+
+def redacted(text: Column, parts: Column, after: Column, mark: str = "[REDACTED]") -> Column:
+    """The text's kept parts with a mark between them; linear in its size, as characters are found by number."""
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+    def cut_out(letters: Column) -> Column:  # a variable of a lambda, so that it is split once
+        part = lambda at, n: F.array_join(F.slice(letters, at + 1, n), "")
+        kept = F.transform(parts, lambda p: part(p["at"], p["to"] - p["at"]))
+        return F.array_join(F.concat(kept, F.array(part(after, F.greatest(F.size(letters) - after, F.lit(0))))), mark)
 
-    return F.aggregate(spans_, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    return F.element_at(F.transform(F.array(F.split(text, "")), cut_out), 1)
 
 
 #: Texts with findings that may be broadcast to their rows (32 bytes and a few spans each); more are joined by shuffle.
@@ -134,14 +165,15 @@ BROADCAST_BLOBS = 20_000
 
 def redact(docs: DataFrame, *, text: str = "text", id: str = "doc_id", length: str | None = None) -> DataFrame:
     """``docs`` with the secrets of each text replaced; all rows and columns stay, and ``length`` follows the text."""
-    held = scan(docs, id=id, text=text).where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    few = held.agg(F.count("*").alias("n"), F.max(F.size("__spans")).alias("most")).first()
+    found = _kept_parts(cut(scan(docs, id=id, text=text).where(F.size("spans") > 0)))
+    held = cut(found.select(F.col("blob").alias("__blob"), F.col("parts").alias("__parts"), F.col("after").alias("__after")))
+    few = held.agg(F.count("*").alias("n"), F.max(F.size("__parts")).alias("most")).first()
     if few["n"] <= BROADCAST_BLOBS and (few["most"] or 0) <= 100:
         held = F.broadcast(held)
     blob = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
     joined = docs.join(held, blob == F.col("__blob"), "left")
-    new = F.when(F.col("__spans").isNotNull(), redacted(F.col(text), F.col("__spans"))).otherwise(F.col(text))
+    new = F.when(F.col("__parts").isNotNull(), redacted(F.col(text), F.col("__parts"), F.col("__after"))).otherwise(F.col(text))
     out = joined.withColumn(text, new)
     if length and length in docs.columns:
-        out = out.withColumn(length, F.when(F.col("__spans").isNotNull(), F.char_length(text).cast(docs.schema[length].dataType)).otherwise(F.col(length)))
+        out = out.withColumn(length, F.when(F.col("__parts").isNotNull(), F.char_length(text).cast(docs.schema[length].dataType)).otherwise(F.col(length)))
     return out.select(*docs.columns)

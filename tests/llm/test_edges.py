@@ -314,6 +314,32 @@ def test_secret_places(spark):
     assert not any(brute_secrets(t) for t in redacted.values())
 
 
+def test_stored_ledger(spark, tmp_path):
+    """A second run reads the ledger that the first has written, and scans only what it lacks."""
+    place = f"file://{tmp_path}/ledger"
+    first = spark.createDataFrame([(1, "token=abcdef"), (2, "plain"), (3, None)], "doc_id long, text string")
+    second = spark.createDataFrame([(2, "token=abcdef"), (3, "plain"), (4, "secret=ghijkl"), (4, "secret=ghijkl")], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_assign"] for r in secrets.digest(secrets.find_stored(first, place)).collect()} == {1: 1, 2: 0, 3: 0}
+    got = [(r["doc_id"], r["n_assign"]) for r in secrets.digest(secrets.find_stored(second, place)).collect()]
+    assert sorted(got) == [(2, 1), (3, 0), (4, 1), (4, 1)] and spark.read.parquet(place).count() == 4
+    assert secrets.find_stored(first, place).count() == 3 and spark.read.parquet(place).count() == 4
+
+
+def test_many_findings_in_one_text(spark):
+    """20,000 findings of one text are placed and replaced in linear time."""
+    text = "é " + "token=abcdef hex " + " ".join(f"x secret='k{i:07d}';" for i in range(20_000)) + " end"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = secrets.digest(secrets.find(df)[0]).first()
+    want = brute_secrets(text)
+    assert r["n_assign"] == 20_001 == len(want)
+    assert r["spans"] == ",".join(f"assign:{s}:{e}" for s, _, e in want)
+    parts, at = [], 0
+    for s, _, e in want:
+        parts.append(text[at:s])
+        at = e
+    assert secrets.redact(df).first()["text"] == "[REDACTED]".join([*parts, text[at:]])
+
+
 def test_ledger_scans_only_unseen(spark):
     first = spark.createDataFrame([(1, "token=abcdef"), (2, "plain")], "doc_id long, text string")
     _, ledger = secrets.find(first)
