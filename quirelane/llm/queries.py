@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from quirelane.llm import bpe, knn, licenses, packing, quality, secrets, simhash, toxicity, urlfilter, warc
 from quirelane.llm import sql
-from quirelane.session import ship, table
+from quirelane.llm.common import remove
+from quirelane.session import cut, ship, table
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -25,11 +26,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    manifest = warc.write_archives(table(spark, sf_dir, "pages"), shared_folder(spark, "warc"), min_bytes=0)
+    folder = shared_folder(spark, "warc")
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), folder, min_bytes=0)
     page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).cast("long")
-    return warc.read_archives(manifest, payloads=False).select(
+    records = cut(warc.read_archives(manifest, payloads=False).select(
         page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to_id").alias("refers_to"), "verified"
-    )
+    ))
+    remove(spark, folder)  # all has been read back
+    return records
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,9 +60,9 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY))
 
 
-def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secrets.find(table(spark, sf_dir, "documents"))
-    return secrets.digest(found)
+def op6_secrets(spark: SparkSession, sf_dir: str, ledger: str | None = None) -> DataFrame:
+    """``ledger``: the place of a ledger that earlier runs have written, which is read and appended to; else a new one."""
+    return secrets.digest(secrets.find_stored(table(spark, sf_dir, "documents"), ledger or shared_folder(spark, "ledger")))
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

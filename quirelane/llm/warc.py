@@ -31,6 +31,8 @@ ARCHIVE_BYTES = 64 << 20
 #: Size at which archives end that are kept as rows, for folders that only Spark can open.
 INLINE_BYTES = 16 << 20
 READ_BYTES = 256 << 10
+#: Archives that a reading task takes by their size; an archive is read from its start, so it stays with one task.
+TASK_BYTES = 256 << 20
 LEVEL = 4
 READ_SCHEMA = "archive string, record_id string, record_type string, target_uri string, refers_to_id string, payload_bytes long, payload_digest string, payload binary, verified boolean, problem string"
 
@@ -229,7 +231,8 @@ def read_archives(archives: DataFrame, *, payloads: bool = True) -> DataFrame:
     """A row per record of the archives that column ``archive`` names, or column ``content`` holds, with digests checked.
 
     Payload figures of a revisit are those of the payload that it stands for. ``verified`` is false where a digest
-    differs, and ``problem`` says what is wrong with a record that can't be read.
+    differs, and ``problem`` says what is wrong with a record that can't be read. Archives are dealt out evenly, one to a
+    task while they are few, and about TASK_BYTES of them where they are many.
     """
 
     inline = "content" in archives.columns
@@ -271,4 +274,7 @@ def read_archives(archives: DataFrame, *, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return archives.select("archive", *["content"] * inline).repartition(F.col("archive")).mapInArrow(run, READ_SCHEMA)
+    archives = cut(archives.select("archive", *["content"] * inline, F.col("bytes") if "bytes" in archives.columns else F.lit(ARCHIVE_BYTES).cast("long").alias("bytes")))
+    there = archives.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    tasks = min(there["n"], max(4 * archives.sparkSession.sparkContext.defaultParallelism, -(-(there["bytes"] or 0) // TASK_BYTES)))
+    return archives.repartition(max(tasks, 1)).select("archive", *["content"] * inline).mapInArrow(run, READ_SCHEMA)
