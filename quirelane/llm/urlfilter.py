@@ -1,8 +1,8 @@
 """URL filters: pattern rules indexed by their rarest literal token. DataFrame and SQL functions only.
 
-A rule is a pattern over host and path with the literal tokens that any URL it fits must hold. The index files each rule
-under the token that the table's URLs hold least often; a URL's tokens fetch candidate rules from it, and only those run
-their pattern. The index is an array of hash buckets, so a fetch looks at one bucket, and no row is shuffled.
+A rule is a pattern over host and path with the literal tokens that any URL it fits must hold. Rules are a table. The
+index files each rule under the token that the table's URLs hold least often; a URL's tokens fetch candidate rules from
+it by a join, and only those run their pattern. Candidates are ordered by rule, so a pattern is compiled once in a task.
 """
 
 from __future__ import annotations
@@ -10,11 +10,14 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirelane.session import cut
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BUCKETS = 256
+#: Rules up to which their table and index (a few hundred bytes each) are broadcast; more are joined by shuffle.
+BROADCAST_RULES = 50_000
 #: Ranks of patterns lie below those of all host and path rules.
 PATTERN, PLAIN = 0, 1
 
@@ -94,59 +97,46 @@ def tokens_of(place: Column) -> Column:
     return F.array_distinct(F.split(ascii_lower(place), "[^a-z0-9]+"))
 
 
-def token_counts(urls: DataFrame, rules: list[Rule], url: str = "url") -> dict[str, int]:
-    """How many URLs hold each of the rules' tokens: at most a row per token reaches the driver."""
-    tokens = sorted({t for r in rules for t in r.tokens})
-    place = F.concat(host_of(F.col(url)), path_of(F.col(url)))
-    held = urls.select(F.explode(F.array_intersect(tokens_of(place), F.array(*map(F.lit, tokens)))).alias("token"))
-    return dict.fromkeys(tokens, 0) | {r["token"]: r["count"] for r in held.groupBy("token").count().collect()}
-
-
-def _bucket(token: Column) -> Column:
-    return F.pmod(F.crc32(F.encode(token, "UTF-8")), F.lit(BUCKETS)).cast("int")
+def rule_table(spark: SparkSession, base: list[Rule] | None = None, patterns: list[Rule] | None = None) -> DataFrame:
+    """(number, name, action, pattern, tokens) of rules; of those that fit a URL the smallest number decides.
 
+    Base rules come first, the longest before others, ties in the order given; then patterns in theirs, which have no name.
+    """
+    rules = sorted(BASE_RULES if base is None else base, key=lambda r: -len(r.name)) + (PATTERN_RULES if patterns is None else patterns)
+    rows = [(i, r.name if r.kind == PLAIN else None, r.action, r.pattern, list(r.tokens)) for i, r in enumerate(rules)]
+    return spark.createDataFrame(rows, "number int, name string, action string, pattern string, tokens array<string>")
 
-def index(rules: list[Rule], counts: dict[str, int]) -> Column:
-    """Array of buckets of (token, number, pattern); a rule stands under its rarest token, ties to the longer one."""
-    import zlib
 
-    buckets: list[list[Column]] = [[] for _ in range(BUCKETS)]
-    for i, r in enumerate(rules):
-        token = min(r.tokens, key=lambda t: (counts.get(t, 0), -len(t), t))
-        buckets[zlib.crc32(token.encode()) % BUCKETS].append(F.struct(F.lit(token).alias("token"), F.lit(i).alias("number"), F.lit(r.pattern).alias("pattern")))
-    none = F.array().cast("array<struct<token:string,number:int,pattern:string>>")
-    return F.array(*(F.array(*b) if b else none for b in buckets))
+def index(rules: DataFrame, urls: DataFrame, place: Column) -> DataFrame:
+    """(token, number, pattern): each rule under the token that fewest of the URLs hold, ties to the longer token."""
+    filed = rules.select(F.explode(F.array_distinct("tokens")).alias("token"), "number", "pattern")
+    wanted = filed.select(F.col("token").alias("_token")).distinct()
+    held = urls.select(F.explode(tokens_of(place)).alias("token")).groupBy("token").count()
+    counts = held.join(wanted, F.col("token") == F.col("_token")).select("_token", "count")
+    ranked = filed.join(counts, F.col("token") == F.col("_token"), "left")
+    order = F.struct(F.coalesce("count", F.lit(0)).alias("n"), (-F.length("token")).alias("m"), F.col("token").alias("t"))
+    return ranked.groupBy("number").agg(F.min_by("token", order).alias("token"), F.first("pattern").alias("pattern")).select("token", "number", "pattern")
 
 
-def judge(urls: DataFrame, *, url: str = "url", base: list[Rule] | None = None, patterns: list[Rule] | None = None, default: str = "allow") -> DataFrame:
+def judge(urls: DataFrame, *, url: str = "url", rules: DataFrame | None = None, default: str = "allow") -> DataFrame:
     """Adds host, path, rule and verdict to every row, over columns of those names if there are any.
 
-    The longest base rule that fits decides, and ``rule`` names it. Else ``rule`` is null and the first pattern that fits
-    the host decides, or ``default``. Null URLs and those without ``://`` have empty host and path, which no rule fits.
-    Base rules need distinct lengths or disjoint places; ties go to the first.
+    ``rules``: as ``rule_table`` gives them. The longest base rule that fits decides, and ``rule`` names it. Else ``rule``
+    is null and the first pattern that fits decides, or ``default``. Null URLs and those without ``://`` have empty host
+    and path, which no rule fits. Repeated rows are judged alike; an empty table gives no rows.
     """
-    base = BASE_RULES if base is None else base
-    patterns = PATTERN_RULES if patterns is None else patterns
-    rules = sorted(base, key=lambda r: -len(r.name)) + patterns  # the smallest number that fits decides
-    counts = token_counts(urls, rules, url)
-    table = index(rules, counts)
+    spark = urls.sparkSession
+    rules = cut(rule_table(spark) if rules is None else rules)
+    small = F.broadcast if rules.count() <= BROADCAST_RULES else lambda x: x
+    place = F.concat(host_of(F.col(url)), path_of(F.col(url)))
+    filed = small(cut(index(rules, urls, place)).withColumnRenamed("token", "_token"))
+    places = urls.select(place.alias("place")).where("place != ''")
+    tried = places.select("place", F.explode(tokens_of(F.col("place"))).alias("token")).join(filed, F.col("token") == F.col("_token"))
+    # instr keeps the last pattern it compiled; rlike would compile one for each row
+    fits = tried.sortWithinPartitions("number").where(F.call_function("regexp_instr", "place", "pattern") > 0)
+    best = fits.groupBy("place").agg(F.min("number").alias("_number"))
+    decided = best.join(small(rules), F.col("_number") == F.col("number")).select(F.col("place").alias("__place"), F.col("name").alias("__rule"), F.col("action").alias("__action"))
     kept = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
     parts = urls.select(*(F.col(f"`{c}`") for c in kept), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    # pattern rules look at the host in any case of the path, as tokens do
-    place = F.concat("host", "path")
-    fetched = F.flatten(
-        F.transform(tokens_of(place), lambda t: F.filter(F.element_at(table, _bucket(t) + 1), lambda r: r["token"] == t))
-    )
-    fits = F.filter(fetched, lambda r: F.call_function("rlike", place, r["pattern"]))
-    best = F.array_min(F.transform(fits, lambda r: r["number"]))
-    judged = parts.withColumn("__best", best)
-    names = F.array(*(F.lit(r.name if r.kind == PLAIN else None) for r in rules))
-    actions = F.array(*(F.lit(r.action) for r in rules))
-    return judged.select(
-        *(F.col(f"`{c}`") for c in kept),
-        "host",
-        "path",
-        # element_at takes no null index here: it would answer with the array's first element
-        F.when(F.col("__best").isNotNull(), F.element_at(names, F.col("__best") + 1)).alias("rule"),
-        F.when(F.col("__best").isNotNull(), F.element_at(actions, F.col("__best") + 1)).otherwise(F.lit(default)).alias("verdict"),
-    )
+    judged = parts.join(decided, F.concat("host", "path") == F.col("__place"), "left")
+    return judged.select(*(F.col(f"`{c}`") for c in kept), "host", "path", F.col("__rule").alias("rule"), F.coalesce("__action", F.lit(default)).alias("verdict"))

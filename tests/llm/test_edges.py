@@ -437,6 +437,33 @@ def test_urls(spark):
             assert got[i]["verdict"] == ("block" if hit else "allow"), u
     assert got[15]["verdict"] == "block" and got[16]["verdict"] == "allow" and got[17]["verdict"] == "allow"
     assert urlfilter.judge(df.limit(0)).count() == 0
+    twice = urlfilter.judge(df.union(df))
+    assert twice.count() == 2 * len(urls) and twice.columns == ["page_id", "url", "host", "path", "rule", "verdict"]
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_thousands_of_url_rules(spark, monkeypatch, broadcast):
+    """5,000 host rules and patterns, by broadcast and by shuffle, against trying each rule on each URL."""
+    import random
+    import re
+
+    if not broadcast:
+        monkeypatch.setattr(urlfilter, "BROADCAST_RULES", 0)
+    random.seed(6)
+    words = [f"w{i}" for i in range(900)]
+    base = {f"{random.choice(words)}.{random.choice(['com', 'net'])}{random.choice(['/', '/a/', '/b'])}": random.choice(["allow", "block"]) for _ in range(4000)}
+    base = [urlfilter.host_rule(action, *re.fullmatch("([^/]*)(.*)", name).groups()) for name, action in base.items()]
+    patterns = [urlfilter.word_rule(f"p{i}", *random.sample(words, 2)) for i in range(1500)]
+    urls = [f"http://{random.choice(['', 'x.'])}{random.choice(words)}{random.choice(['', '-' + random.choice(words)])}.{random.choice(['com', 'net', 'de'])}{random.choice(['/', '/a/1', '/bc', ''])}" for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlfilter.judge(df, rules=urlfilter.rule_table(spark, base, patterns)).collect()}
+    base = [(re.compile(r.pattern), r) for r in sorted(base, key=lambda r: -len(r.name))]
+    patterns = [(re.compile(r.pattern), r) for r in patterns]
+    for i, u in enumerate(urls):
+        place = u.split("://", 1)[1]
+        best = next((r for p, r in base if p.search(place)), None)
+        other = next((r for p, r in patterns if p.search(place)), None)
+        assert got[i] == ((best.name, best.action) if best else (None, "block" if other else "allow")), u
 
 
 def test_licenses(odd, none):
