@@ -1,12 +1,14 @@
 """Exact top-k inner products by a Voronoi join.
 
 Vectors are rounded to integers, so scores are exact. Each vector belongs to the cell of its nearest pivot. A cell's
-summary is its size and radius. A query first meets its own cell, which bounds its k-th best score from below; a cell can
-hold a better one only if pivot score + |query| x radius reaches that bound, so the query is sent to those cells alone
-and solved there, block by block.
-
-Cells and query lists are dealt out in blocks of bounded size: a cell that holds a third of all rows is many tasks. What
-the driver and broadcasts hold is bounded by the number of pivots.
+summary is how many queries it holds, how far they lie from the pivot, and the k + 1 members nearest to it. From these
+summaries alone every cell's queries get a bound that their k-th best score can't fall below, and from its scores with
+the pivots a vector shows whether any query of a cell can score it that high. Cells are put together to groups of a set
+number of queries; a vector is copied to those groups that need it, at most once each, and groups are solved locally.
+
+Groups grow by queries, so copies of a vector are bounded by queries / QUERY_BLOCK and not by the number of pivots; a
+group's data is dealt out in blocks, so a cell that holds a third of all rows is many tasks. What the driver and
+broadcasts hold is bounded by the number of pivots.
 """
 
 from __future__ import annotations
@@ -15,14 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelane.session import cut
 
-PIVOTS = 128
-#: Rows of a cell, and queries, that meet in one task.
-BLOCK, QUERY_BLOCK = 8192, 2048
+#: Pivots grow with the square root of the rows, within these.
+PIVOTS = (16, 1024)
+#: Vectors, and queries, that meet in one task.
+BLOCK, QUERY_BLOCK = 4096, 16384
 
 
 def whole_vectors(df: DataFrame, *, scale: int = 64, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -54,22 +57,6 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per row of ``scores`` (ids, scores) of the k best other than its own id; ties to smaller ids. ids must rise."""
-    out = []
-    for s, me in zip(scores, own.tolist(), strict=True):
-        n = min(len(s), k + 1)
-        if n < len(s):
-            floor = np.partition(s, len(s) - n)[len(s) - n]
-            at = np.flatnonzero(s >= floor)
-        else:
-            at = np.arange(len(s))
-        at = at[ids[at] != me]
-        at = at[np.argsort(-s[at], kind="stable")][:k]
-        out.append((ids[at], s[at]))
-    return out
-
-
 def _nearest(v: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cell and distance of each vector; distances are rounded up, as bounds must hold."""
     f, p = v.astype(np.float64), pivots.astype(np.float64)
@@ -79,7 +66,42 @@ def _nearest(v: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return cell, np.sqrt((gap * gap).sum(1)) * (1 + 1e-9)
 
 
-def top_k(df: DataFrame, *, k: int = 20, every: int = 20, scale: int = 64, pivots: int = PIVOTS, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def bounds(pivots: np.ndarray, radius: np.ndarray, gaps: list[np.ndarray], k: int) -> np.ndarray:
+    """For each cell, what the k-th best score of its queries is at least.
+
+    A query lies within ``radius`` of its pivot p, and members at ``gaps`` from theirs, o: their score is at least
+    p.o - radius |o| - (|p| + radius) gap. Of k + 1 members one may be the query itself.
+    """
+    p = pivots.astype(np.float64)
+    size = np.sqrt((p * p).sum(1))
+    owner = np.repeat(np.arange(len(gaps)), [len(g) for g in gaps])
+    gap = np.concatenate(gaps) if gaps else np.zeros(0)
+    out = np.full(len(p), -np.inf)
+    if len(gap) > k:
+        for i in range(len(p)):
+            low = (p @ p[i] - radius[i] * size)[owner] - (size[i] + radius[i]) * gap
+            out[i] = np.partition(low, len(low) - k - 1)[len(low) - k - 1]
+    return out - 1e-9 * np.abs(np.where(np.isfinite(out), out, 0)) - 1e-6
+
+
+def grouped(n_queries: np.ndarray, pivots: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(group of each cell, parts of each group): cells of near pivots together, up to ``limit`` queries; larger cells alone, in parts."""
+    group, parts, held = np.zeros(len(n_queries), np.int64), [], 0
+    left = list(np.flatnonzero(n_queries))
+    p = pivots.astype(np.float64)
+    at = left[0] if left else 0
+    while left:
+        at = left.pop(int(((p[left] - p[at]) ** 2).sum(1).argmin()))
+        if not parts or held + n_queries[at] > limit:
+            parts.append(1)
+            held = 0
+        group[at] = len(parts) - 1
+        held += n_queries[at]
+        parts[-1] = -(-held // limit)
+    return group, np.array(parts or [1], np.int64)
+
+
+def top_k(df: DataFrame, *, k: int = 20, every: int = 20, scale: int = 64, pivots: int | None = None, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows of each row whose id is divisible by ``every``.
 
     Fewer than k other rows: all of them. Ties go to smaller ids. Null ids neither ask nor answer. Vectors of unequal
@@ -88,7 +110,9 @@ def top_k(df: DataFrame, *, k: int = 20, every: int = 20, scale: int = 64, pivot
     """
     spark = df.sparkSession
     rows = cut(whole_vectors(df, scale=scale, id=id, vector=vector).where("vid is not null"))
-    width = rows.agg(F.max(F.size("v"))).first()[0] or 1
+    n, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    width = max(width or 1, 1)
+    pivots = pivots or int(min(max(np.sqrt(n), PIVOTS[0]), PIVOTS[1]))
     chosen = rows.orderBy(F.xxhash64("vid"), "vid", "v").limit(pivots).select("v").collect()
     centre = np.zeros((max(len(chosen), 1), width), np.int64)
     for i, r in enumerate(chosen):
@@ -101,79 +125,106 @@ def top_k(df: DataFrame, *, k: int = 20, every: int = 20, scale: int = 64, pivot
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(gap)], names=["vid", "v", "cell", "gap"])
 
     data = cut(rows.mapInArrow(assign, "vid long, v array<long>, cell int, gap double"))
-    summary = data.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).collect()  # a row per pivot
-    n_rows, radius = np.zeros(len(centre), np.int64), np.zeros(len(centre))
-    for r in summary:
-        n_rows[r["cell"]], radius[r["cell"]] = r["n"], r["radius"]
-    blocks = np.maximum(1, -(-n_rows // BLOCK)).astype(int)
-    queries = data.where(F.col("vid") % every == 0)
-
-    # the query's own cell, and as many of the best other cells as hold k rows, by their pivots' scores
-    def first_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    asking = F.col("vid") % every == 0
+    # a row per pivot; then k + 1 rows per pivot, of distinct ids, which each task cuts to so many before they are shuffled
+    n_queries, radius = np.zeros(len(centre), np.int64), np.zeros(len(centre))
+    for r in data.where(asking).groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).collect():
+        n_queries[r["cell"]], radius[r["cell"]] = r["n"], r["radius"]
+    near = Window.partitionBy("cell").orderBy("gap", "vid")
+    members = data.groupBy("cell", "vid").agg(F.min("gap").alias("gap")).withColumn("i", F.row_number().over(near)).where(F.col("i") <= k + 1)
+    gaps: list[list[float]] = [[] for _ in centre]
+    for r in members.select("cell", "gap").collect():
+        gaps[r["cell"]].append(r["gap"])
+    least = bounds(centre, radius, [np.array(g) for g in gaps], k)
+    group, parts = grouped(n_queries, centre, QUERY_BLOCK)
+    n_groups = len(parts)
+    # vectors that a group needs: the same test counts them and then copies them
+    plan = spark.sparkContext.broadcast((np.flatnonzero(n_queries), radius, least, group))
+
+    def needed(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cells, radius, least, group = plan.value
+        f = v.astype(np.float64)
+        size = np.sqrt((f * f).sum(1)) * (1 + 1e-9)
+        most = f @ shared.value[cells].astype(np.float64).T + size[:, None] * radius[cells][None, :] * (1 + 1e-9) + 1e-6
+        out = np.zeros((len(v), n_groups), bool)
+        for g in range(n_groups):
+            mine = group[cells] == g
+            out[:, g] = (most[:, mine] >= least[cells[mine]][None, :]).any(axis=1)
+        return np.nonzero(out)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n_groups, np.int64)
+        for b in batches:
+            total += np.bincount(needed(matrix(b.column(0), width))[1], minlength=n_groups)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_groups)), pa.array(total)], names=["g", "n"])
+
+    blocks = np.ones(n_groups, np.int64)
+    if n_queries.any():
+        for r in data.select("v").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect():  # a row per group
+            blocks[r["g"]] = max(1, -(-r["n"] // BLOCK))
+
+    def copies(b: pa.RecordBatch, at: np.ndarray, g: np.ndarray, of: np.ndarray, salt: np.ndarray, spread: np.ndarray, order: list[str]) -> pa.RecordBatch:
+        """Rows ``at`` for groups ``g``: in the block that the salt names of ``of``, once for each of ``spread``."""
+        k = spread[g]
+        row = np.repeat(np.arange(len(at)), k)
+        each = np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k)
+        own = salt[at[row]] % of[g[row]]
+        columns = {"g": g[row], order[0]: own, order[1]: each}
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array(columns[c].astype(np.int32)) for c in ("g", "b", "q")), b.column(0).take(pa.array(at[row])), b.column(1).take(pa.array(at[row]))], names=["g", "b", "q", "vid", "v"]
+        )
+
+    def to_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 1024):
+                c = b.slice(i, 1024)
+                at, g = needed(matrix(c.column(1), width))
+                if len(at):
+                    yield copies(c, at, g, blocks, c.column(2).to_numpy(), parts, ["b", "q"])
+
+    def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = plan.value[3]
         for b in batches:
-            q = matrix(b.column(1), width)
-            near = products(q, shared.value).astype(np.float64)
-            near[:, n_rows == 0] = -np.inf
-            home = near.argmax(1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(home)], names=["vid", "v", "cell"])
+            for i in range(0, b.num_rows, 1024):
+                c = b.slice(i, 1024)
+                yield copies(c, np.arange(c.num_rows), group[c.column(3).to_numpy()], parts, c.column(2).to_numpy(), blocks, ["q", "b"])
 
-    first = queries.select("vid", "v").mapInArrow(first_cells, "vid long, v array<long>, cell int")
-    bound = cut(_solve(data, first, blocks, k, width).groupBy("query_id").agg(F.slice(F.reverse(F.array_sort(F.collect_list("score"))), 1, k).alias("top")).select("query_id", F.when(F.size("top") == k, F.element_at("top", -1)).alias("bound")))
+    salt = F.pmod(F.xxhash64("vid"), F.lit(1 << 30)).alias("salt")
+    shape = "g int, b int, q int, vid long, v array<long>"
+    have = data.select("vid", "v", salt).mapInArrow(to_groups, shape)
+    ask = data.where(asking).select("vid", "v", salt, "cell").mapInArrow(to_blocks, shape)
+    found = have.groupBy("g", "b", "q").cogroup(ask.groupBy("g", "b", "q")).applyInArrow(_solver(k, width), "query_id long, vec_id long, copy long, score long")
+    # a query's best of all blocks; a repeated query row has asked more than once
+    found = found.groupBy("query_id", "vec_id", "copy").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "copy")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            q = matrix(b.column(1), width)
-            least = b.column(2).to_numpy(zero_copy_only=False).astype(np.float64)  # NaN: no bound
-            size = np.sqrt((q.astype(np.float64) ** 2).sum(1)) * (1 + 1e-9)
-            reach = products(q, shared.value) + size[:, None] * radius[None, :] * (1 + 1e-9) + 1e-6
-            at, cell = np.nonzero(~(reach < least[:, None]) & (n_rows > 0)[None, :])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(cell.astype(np.int32)), b.column(2).take(pa.array(at))], names=["vid", "v", "cell", "bound"])
-
-    asked = queries.join(bound, F.col("vid") == F.col("query_id"), "left").select("vid", "v", F.col("bound").cast("double").alias("bound"))
-    asked = asked.mapInArrow(cells, "vid long, v array<long>, cell int, bound double")
-    found = _solve(data, asked, blocks, k, width).groupBy("query_id").agg(
-        F.slice(F.array_sort(F.array_distinct(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("vec_id"), F.col("copy").alias("copy"))))), 1, k).alias("top")
-    )
-    ranked = found.select("query_id", F.posexplode("top").alias("rank", "t"))
-    return ranked.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("t.vec_id").alias("vec_id"), (-F.col("t.s")).alias("score"))
-
-
-def _solve(data: DataFrame, asked: DataFrame, blocks: np.ndarray, k: int, width: int) -> DataFrame:
-    """(query_id, vec_id, copy, score): each query's k best in each block of each cell that it is sent to."""
-    counts = np.zeros(len(blocks), np.int64)
-    asked = cut(asked)
-    for r in asked.groupBy("cell").count().collect():  # a row per pivot
-        counts[r["cell"]] = r["count"]
-    parts = np.maximum(1, -(-counts // QUERY_BLOCK)).astype(int)
-    lookup = lambda values: F.element_at(F.array(*(F.lit(int(x)) for x in values)), F.col("cell") + 1)
-    salt = lambda n: F.pmod(F.xxhash64("vid"), n).cast("int")
-    have_bound = "bound" in asked.columns
-    left = data.select("cell", salt(lookup(blocks)).alias("b"), F.explode(F.sequence(F.lit(0), lookup(parts) - 1)).alias("q"), "vid", "v").where(lookup(counts) > 0)
-    right = asked.select("cell", F.explode(F.sequence(F.lit(0), lookup(blocks) - 1)).alias("b"), salt(lookup(parts)).alias("q"), "vid", "v", *(["bound"] if have_bound else []))
+
+def _solver(k: int, width: int):
+    """Of one block of vectors and one of queries: each query's k best, as rows. Vectors of one id share a block."""
 
     def solve(have: pa.Table, ask: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "copy": [], "score": []}
         if have.num_rows and ask.num_rows:
-            have = have.combine_chunks()
+            have, ask = have.combine_chunks(), ask.combine_chunks()
             ids = have["vid"].to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, v = ids[order], matrix(have["v"].combine_chunks(), width)[order]
-            copy = np.arange(len(ids)) - np.searchsorted(ids, ids)  # tells repeated rows of one id apart
-            ask = ask.combine_chunks()
+            v = matrix(have["v"].combine_chunks(), width)
+            order = np.lexsort([*v.T[::-1], ids])  # repeated rows of one id get the same numbers in any run
+            ids, v = ids[order], v[order]
+            copy = np.arange(len(ids)) - np.searchsorted(ids, ids)
             own, q = ask["vid"].to_numpy(), matrix(ask["v"].combine_chunks(), width)
-            least = ask["bound"].to_numpy(zero_copy_only=False).astype(np.float64) if have_bound else np.full(len(own), np.nan)
-            at = np.arange(len(ids))
+            mine = np.searchsorted(ids, own, "right") - np.searchsorted(ids, own)  # rows of the query's own id
             for i in range(0, len(own), 256):
-                s = products(q[i : i + 256], v)
-                for j, (got, score) in enumerate(best(s, at, np.full(len(s), -1), k + len(ids) - len(np.unique(ids)) + 1)):
-                    keep = (ids[got] != own[i + j]) & ~(score < least[i + j])
-                    got, score = got[keep][:k], score[keep][:k]
-                    out["query_id"].append(np.full(len(got), own[i + j]))
-                    out["vec_id"].append(ids[got])
-                    out["copy"].append(copy[got])
-                    out["score"].append(score)
+                for j, s in enumerate(products(q[i : i + 256], v), i):
+                    n = min(len(s), k + int(mine[j]))
+                    at = np.flatnonzero(s >= np.partition(s, len(s) - n)[len(s) - n]) if n < len(s) else np.arange(len(s))
+                    at = at[ids[at] != own[j]]
+                    at = at[np.argsort(-s[at], kind="stable")][:k]  # ids rise, so ties go to smaller ones
+                    out["query_id"].append(np.full(len(at), own[j]))
+                    out["vec_id"].append(ids[at])
+                    out["copy"].append(copy[at])
+                    out["score"].append(s[at])
         columns = {name: np.concatenate(x) if x else np.empty(0, np.int64) for name, x in out.items()}
         return pa.table({name: pa.array(x, pa.int64()) for name, x in columns.items()})
 
-    keys = ["cell", "b", "q"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(solve, "query_id long, vec_id long, copy long, score long")
+    return solve
