@@ -328,7 +328,10 @@ def _measured(docs: DataFrame, keep: list[str], lexicons, which: str | None) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
-    """Fit to at most ``sample`` labelled documents that are not held out. A document labelled both ways counts as toxic."""
+    """Fit to at most ``sample`` labelled documents that are not held out.
+
+    A document labelled both ways counts as toxic; of rows that share an id the least text counts, so that no id has two.
+    """
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -337,7 +340,8 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
         return Model()
     some = spark.createDataFrame(rows, "id long, toxic int").withColumn("fold", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(FOLDS)).cast("int"))
     texts = docs.select(F.col("doc_id").alias("__doc"), F.col("text").alias("__text"))
-    sampled = cut(texts.join(F.broadcast(some), F.col("__doc") == F.col("id")).select("id", "toxic", "fold", "__text"))
+    joined = texts.join(F.broadcast(some), F.col("__doc") == F.col("id"))
+    sampled = cut(joined.groupBy("id", "toxic", "fold").agg(F.min("__text").alias("__text")))
     candidates = _candidates(sampled)
     seen, words = _occurrences(sampled, candidates)
     lexicons = []

@@ -17,6 +17,7 @@ from test_queries import compare  # noqa: E402
 
 import public_tokenizers  # noqa: E402
 import xxhash  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 from quirelane.llm import queries  # noqa: E402
@@ -126,6 +127,29 @@ def test_op4(spark, docs):
     assert labels
 
 
+def test_op4_on_held_out_labels(spark):
+    """Precision and recall on labels that the model has not seen."""
+    data = DATA.replace("sf0.001", "sf0.1")
+    toxic = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{data}/labels.parquet").to_pylist()}
+    got = [r for r in queries.op4_toxicity(spark, data).collect() if r["held_out"] and r["doc_id"] in toxic]
+    caught = [toxic[r["doc_id"]] for r in got if r["predicted"]]
+    wanted = [r["predicted"] for r in got if toxic[r["doc_id"]]]
+    assert len(wanted) >= 50 and sum(caught) / len(caught) >= 0.9 and sum(wanted) / len(wanted) >= 0.8
+
+
+def test_repeated_labelled_ids_count_once(spark):
+    """A labelled id with very many rows does not multiply the samples that models are fitted to."""
+    from quirelane.llm import quality, toxicity
+
+    rows = [(i, f"word{i} " * 30 + ("you idiot " * 5 if i % 2 else "")) for i in range(60)] + [(3, f"copy {i} of three you idiot") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 3 and 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    once = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
+    a, b = (toxicity.train(d, labels) for d in (docs, once))
+    assert a.base == b.base and len(a.trees) == len(b.trees) and a.lexicon.weights == b.lexicon.weights
+    assert quality.fit(docs, labels).threshold is not None
+
+
 def test_op5(spark, docs):
     tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for r in rows(spark, "op5_bpe"):

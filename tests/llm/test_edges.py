@@ -374,7 +374,7 @@ def test_knn_blocks(spark, monkeypatch):
 
     random.seed(3)
     monkeypatch.setattr(knn, "BLOCK", 16)
-    monkeypatch.setattr(knn, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 4)
     v = {i: [random.randint(-3, 3) / 2 for _ in range(5)] if i % 3 else [0.5] * 5 for i in range(400)}
     df = spark.createDataFrame(list(v.items()), "vec_id long, embedding array<float>")
     got = knn.top_k(df, k=7, pivots=5).collect()
