@@ -83,7 +83,7 @@ def classify_pages(spark: SparkSession, path: str) -> DataFrame:
     j = cut(pages.join(img, list(PAGE), "left").join(g, list(PAGE), "left").na.fill(0))
     whole = F.col("width") * F.col("height")
     return page_class.classify(
-        j.withColumns({"page_area": whole, "image_share": F.least(F.lit(1.0), F.col("area") / whole), "full_page_image": F.col("largest") / whole >= 0.95, "vector_cells": F.lit(0), "scanned_cells": F.lit(0)})
+        j.withColumns({"page_area": whole, "image_share": F.least(F.lit(1.0), F.col("area") / whole), "full_page_image": F.col("largest") / whole >= 0.95, "vector_cells": F.lit(0), "scanned_cells": F.lit(0), "density_ratio": F.when(F.col("chars") > 0, F.col("valid_chars") / F.col("chars")).otherwise(0.0)})
     ).select(*PAGE, "page_class", "class_confidence")
 
 

@@ -95,7 +95,7 @@ def readability(text: Column, confidence: Column, coverage: Column | None = None
 def text_similarity(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length, in characters; two empty texts: 1."""
     n = F.greatest(F.char_length(a), F.char_length(b))
-    return F.when(n == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / n)
+    return F.when(a == b, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / n)
 
 
 def nearly_equal(a: Column, b: Column, share: float = 0.05) -> Column:
@@ -135,19 +135,26 @@ def link_target(url: Column) -> Column:
 
 
 def roman(n: Column) -> Column:
-    """Upper-case roman numeral of a whole number from 1 to 3999; else null."""
+    """Upper-case roman numeral of a whole number from 1, with as many M as it has thousands; else null."""
     place = lambda unit, one, five, ten: F.element_at(
         F.array(*(F.lit(x) for x in ("", one, one * 2, one * 3, one + five, five, five + one, five + one * 2, five + one * 3, one + ten))),
         (F.floor(n / unit) % 10).cast("int") + 1,
     )
     text = F.concat(F.repeat(F.lit("M"), F.floor(n / 1000).cast("int")), place(100, "C", "D", "M"), place(10, "X", "L", "C"), place(1, "I", "V", "X"))
-    return F.when(n.between(1, 3999), text)
+    return F.when(n >= 1, text)
 
 
 def letters(n: Column) -> Column:
-    """a to z, then aa to zz and so on: the letter of (n - 1) mod 26, repeated."""
-    letter = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), ((n - 1) % 26 + 1).cast("int"), F.lit(1))
-    return F.when(n >= 1, F.repeat(letter, (F.floor((n - 1) / 26) + 1).cast("int")))
+    """a to z, then aa, ab and so on to zz, aaa: numbers in base 26 without a zero. The page format itself repeats a letter."""
+    letter = lambda v: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), ((v - 1) % 26 + 1).cast("int"), F.lit(1))
+
+    def digit(acc: Column, _: Column) -> Column:
+        left, out = acc["left"], acc["out"]
+        more = left >= 1
+        return F.struct(F.when(more, F.floor((left - 1) / 26)).otherwise(left).cast("long").alias("left"), F.when(more, F.concat(letter(left), out)).otherwise(out).alias("out"))
+
+    start = F.struct(n.cast("long").alias("left"), F.lit("").alias("out"))
+    return F.when(n >= 1, F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, digit, lambda acc: acc["out"]))
 
 
 def page_label(style: Column, prefix: Column, number: Column) -> Column:

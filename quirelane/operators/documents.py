@@ -150,3 +150,9 @@ def conformance(xmp: Column) -> Column:
 def visual_order(df: DataFrame) -> DataFrame:
     """By page, from the top down and left to right; rows without a rectangle last."""
     return df.orderBy(F.asc("page_index"), F.desc_nulls_last("y0"), F.asc("x0"))
+
+
+def visual_rank(df: DataFrame, last: str, key: str = "doc_id") -> DataFrame:
+    """Adds ``rank``, from 1: the place of each row in its document's visual order, ties by column ``last``."""
+    w = Window.partitionBy(key).orderBy(F.asc("page_index"), F.desc_nulls_last("y0"), F.asc("x0"), F.asc(last))
+    return df.withColumn("rank", F.row_number().over(w))

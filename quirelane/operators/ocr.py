@@ -11,12 +11,23 @@ from pyspark.sql import functions as F
 from quirelane.functions.geometry import Box
 
 PAGE = ("doc_id", "page_index")
+#: Width and height of the grid cells of a page in which boxes meet.
+CELL = (64.0, 24.0)
 
 
 def merge(vector: DataFrame, recognised: DataFrame, keys: Sequence[str] = PAGE, iou: float = 0.5, confidence: float = 0.5) -> DataFrame:
-    """Embedded spans, and those recognised spans that no sure embedded one covers. Joined within a page."""
+    """Embedded spans, and those recognised spans that no sure embedded one covers.
+
+    Boxes that overlap by more than ``iou`` (over one half) hold each other's centre, so a recognised span meets only the
+    embedded ones of its page that touch the grid cell of its centre.
+    """
+    assert iou >= 0.5
     v = vector.where(F.col("confidence") >= confidence).select(*(F.col(k).alias(f"v_{k}") for k in keys), *(F.col(c).alias(f"v_{c}") for c in ("x0", "y0", "x1", "y1")))
-    on = [F.col(k) == F.col(f"v_{k}") for k in keys]
+    cell = lambda c, side: F.floor(c / side).cast("long")
+    touched = lambda lo, hi, side: F.explode(F.sequence(cell(F.col(lo), side), cell(F.col(hi), side)))
+    v = v.select("*", touched("v_y0", "v_y1", CELL[1]).alias("v_j")).select("*", touched("v_x0", "v_x1", CELL[0]).alias("v_i"))
+    cx, cy = Box.of().centre
+    on = [*(F.col(k) == F.col(f"v_{k}") for k in keys), cell(cx, CELL[0]) == F.col("v_i"), cell(cy, CELL[1]) == F.col("v_j")]
     fresh = recognised.join(v, [*on, Box.of().iou(Box.of("v_")) > iou], "left_anti")
     return vector.withColumn("source", F.lit("vector")).unionByName(fresh.withColumn("source", F.lit("ocr")), allowMissingColumns=True)
 

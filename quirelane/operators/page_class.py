@@ -13,17 +13,22 @@ SHORT_CIRCUIT, HYBRID_CELLS = 0.95, 10
 def signals() -> list[tuple[str, float, Column]]:
     """(class, strength, condition) in order, over columns of page signals.
 
-    text_ops, invisible_ops, image_share (of the page, at most 1), full_page_image, chars, valid_chars, page_area.
+    text_ops, invisible_ops, image_share (of the page, at most 1), full_page_image, chars, valid_chars, page_area, and
+    density_ratio: extracted characters by expected ones.
     """
     c = F.col
-    validity = F.when(c("chars") > 0, c("valid_chars") / c("chars"))
+    shown = c("text_ops") > 0
+    validity = F.when(c("chars") > 0, c("valid_chars") / c("chars")).otherwise(1.0)
+    good = shown & (validity > HIGH_VALIDITY)
+    sparse = F.when(c("page_area") > 0, c("valid_chars") / c("page_area") < LOW_DENSITY).otherwise(c("valid_chars") == 0)
     return [
         ("scanned", 0.95, (c("text_ops") == 0) & (c("image_share") > 0)),
         ("broken_vector", 0.99, (c("text_ops") > 0) & (c("invisible_ops") == c("text_ops")) & c("full_page_image")),
         ("scanned", 0.85, c("image_share") > IMAGE_COVERAGE),
-        ("broken_vector", 0.80, validity < LOW_VALIDITY),
-        ("vector", 0.90, validity > HIGH_VALIDITY),
-        ("scanned", 0.65, c("chars") / c("page_area") < LOW_DENSITY),
+        ("broken_vector", 0.80, shown & (validity < LOW_VALIDITY)),
+        ("scanned", 0.95, shown & (c("density_ratio") < LOW_DENSITY)),
+        ("vector", 0.90, good),
+        ("scanned", 0.65, ~good & sparse),
     ]
 
 

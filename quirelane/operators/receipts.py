@@ -12,6 +12,10 @@ from quirelane.functions import scalars
 from quirelane.functions.geometry import Box
 
 
+#: Height of the bands of a page in which receipts meet spans.
+BAND = 24.0
+
+
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.trim(text), "\\s+", " ")
 
@@ -44,12 +48,17 @@ def create(spans: DataFrame, prints: DataFrame, version: str = "1.0", key: str =
 def verify(receipts: DataFrame, prints: DataFrame, spans: DataFrame, key: str = "doc_id", least: float = 0.9) -> DataFrame:
     """Adds code: 0 verified, 10 other document, 11 no span in its place, 12 other text.
 
-    A receipt meets its page's spans only; the best overlap decides.
+    A receipt meets the spans of its page that touch the band of its centre, which a span with an overlap of ``least``
+    (over one half) holds; the best overlap decides.
     """
+    assert least >= 0.5
+    band = lambda c: F.floor(c / BAND).cast("long")
     r = receipts.withColumn("__id", F.xxhash64(key, "page_index", "x0", "y0", "x1", "y1", "content_hash"))
     s = spans.select(F.col(key).alias("s_key"), F.col("page_index").alias("s_page"), F.col("text").alias("s_text"), *(F.col(c).alias(f"s_{c}") for c in ("x0", "y0", "x1", "y1")))
+    s = s.withColumn("s_band", F.explode(F.sequence(band(F.col("s_y0")), band(F.col("s_y1")))))
     iou = Box.of().iou(Box.of("s_"))
-    j = r.join(s, (F.col(key) == F.col("s_key")) & (F.col("page_index") == F.col("s_page")) & (iou >= least), "left")
+    here = (F.col(key) == F.col("s_key")) & (F.col("page_index") == F.col("s_page")) & (band((F.col("y0") + F.col("y1")) / 2) == F.col("s_band"))
+    j = r.join(s, here & (iou >= least), "left")
     best = j.groupBy("__id").agg(F.max_by(F.sha2("s_text", 256), F.struct(iou, "s_text")).alias("__found"))
     p = prints.select(F.col(key).alias("p_key"), F.col("fingerprint").alias("__now"))
     out = r.join(best, "__id", "left").join(p, F.col(key) == F.col("p_key"), "left")

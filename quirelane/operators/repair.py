@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from quirelane.functions import scalars
 
@@ -49,44 +51,45 @@ def ligatures_joined(text: Column) -> Column:
     return F.regexp_replace(t, "(f[il])\\uFFFD", "$1")
 
 
+#: Gaps that a threshold is taken from, how often it is taken anew, and the share of the size that it starts with.
+GAPS, EVERY, FIRST = 20, 5, 0.25
+
+
 def word_gaps(glyphs: DataFrame, keys: Sequence[str] = ("doc_id", "page_index"), order: str = "glyph_index") -> DataFrame:
     """Glyphs with ``word_start``: whether the gap before one ends a word.
 
-    The threshold is a quarter of the size for the first twenty gaps; then, every fifth gap, one and a half times the
-    median of the last twenty, of which those over four times the median don't count. The threshold depends on all gaps
-    before, so a page, a bounded group, is folded.
+    The threshold starts at a quarter of the size. Gaps of 0 or less end no word and aren't counted. After more than
+    twenty gaps, at every fifth, it becomes one and a half times the median of the last twenty, of which those over four
+    times the threshold don't count. A change of font, and of ``text_object`` if there is such a column, starts anew. A
+    glyph on another line starts a word. The threshold depends on all gaps before, so a page, a bounded group, is folded.
     """
-
-    def median(values: list[float]) -> float:
-        v = sorted(values)
-        n = len(v)
-        return (v[n // 2] + v[(n - 1) // 2]) / 2
+    resets = [c for c in ("font", "text_object") if c in glyphs.columns]
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
-        last: list[float] = []
-        n, threshold, before, out = 0, None, None, []
-        for g in pdf.itertuples():
-            if before is None or abs(g.y0 - before.y0) > 0.5 * g.size:
-                out.append(True)
-            else:
-                gap = g.x0 - before.x1
-                limit = 0.25 * g.size if threshold is None else threshold
-                out.append(gap > limit)
-                if gap >= 0:
-                    last = [*last, gap][-20:]
-                    n += 1
-                    if n >= 20 and n % 5 == 0:
-                        m = median(last)
-                        kept = [x for x in last if x <= 4 * m] if m > 0 else last
-                        fresh = 1.5 * median(kept)
-                        threshold = fresh if fresh > 0 else None
-            before = g
-        pdf["word_start"] = out
+        x0, x1, y0, size = (pdf[c].to_numpy(float) for c in ("x0", "x1", "y0", "size"))
+        n = len(pdf)
+        apart = np.r_[True, np.abs(np.diff(y0)) > 0.5 * size[1:]] if n else np.zeros(0, bool)
+        gap = np.r_[0.0, x0[1:] - x1[:-1]] if n else np.zeros(0)
+        anew = np.zeros(n, bool)
+        for c in resets:
+            v = pdf[c].to_numpy()
+            anew[1:] |= v[1:] != v[:-1]
+        starts, recent, seen, threshold = apart.copy(), [], 0, FIRST * size[0] if n else 0.0
+        for i in np.flatnonzero(~apart & (gap > 0) | anew).tolist():
+            if anew[i]:
+                recent, seen, threshold = [], 0, FIRST * size[i]
+            if apart[i] or gap[i] <= 0:
+                continue
+            starts[i] = gap[i] > threshold
+            recent = [*recent, gap[i]][-GAPS:]
+            seen += 1
+            if seen > GAPS and seen % EVERY == 0:
+                kept = [g for g in recent if g <= 4 * threshold]
+                threshold = 1.5 * float(np.median(kept)) if kept else threshold
+        pdf["word_start"] = starts
         return pdf
 
-    from pyspark.sql.types import BooleanType, StructField, StructType
-
     return glyphs.groupBy(*keys).applyInPandas(fold, StructType([*glyphs.schema.fields, StructField("word_start", BooleanType())]))
 
 

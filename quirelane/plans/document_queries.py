@@ -131,13 +131,13 @@ _ROMAN = """array_to_string([
 @register(
     "page_labels",
     f"""SELECT n AS o_custkey, CASE n % 5 WHEN 0 THEN n::VARCHAR WHEN 1 THEN {_ROMAN} WHEN 2 THEN lower({_ROMAN})
-      WHEN 3 THEN repeat(upper(chr(97 + ((n - 1) % 26)::INT)), ((n - 1) // 26 + 1)::INT) ELSE '' END AS label
-    FROM (SELECT DISTINCT o_custkey AS n FROM orders WHERE o_custkey BETWEEN 1 AND 999)""",
+      WHEN 3 THEN upper(CASE WHEN n > 702 THEN chr(97 + (((n - 703) // 676) % 26)::INT) ELSE '' END || CASE WHEN n > 26 THEN chr(97 + (((n - 27) // 26) % 26)::INT) ELSE '' END || chr(97 + ((n - 1) % 26)::INT)) ELSE '' END AS label
+    FROM (SELECT DISTINCT o_custkey AS n FROM orders)""",
 )
 def page_labels(spark, sf_dir):
     n = F.col("o_custkey")
     style = F.when(n % 5 == 0, "D").when(n % 5 == 1, "R").when(n % 5 == 2, "r").when(n % 5 == 3, "A")
-    d = table(spark, sf_dir, "orders").where(n.between(1, 999)).select("o_custkey").distinct()
+    d = table(spark, sf_dir, "orders").select("o_custkey").distinct()
     return d.select("o_custkey", scalars.page_label(style, F.lit(""), n).alias("label"))
 
 
@@ -205,7 +205,7 @@ _SIGNALS = """signals AS (SELECT doc_id, page_index, CASE WHEN (doc_id + page_in
     CASE WHEN (doc_id + page_index) % 9 = 0 THEN 0 WHEN doc_id % 7 = 0 THEN count(*) ELSE 0 END AS invisible_ops,
     ((doc_id + page_index) % 11) / 10.0::DOUBLE AS image_share, ((doc_id + page_index) % 11) / 10.0 >= 0.95 AS full_page_image,
     CASE WHEN (doc_id + page_index) % 9 = 0 THEN 0 ELSE sum(length(text)) END AS chars, CASE WHEN (doc_id + page_index) % 9 = 0 THEN 0 ELSE sum(length(text)) * (doc_id % 10) // 10 END AS valid_chars,
-    484704.0 AS page_area, (doc_id % 20) AS vector_cells, (page_index + doc_id) % 17 AS scanned_cells FROM lines GROUP BY doc_id, page_index)"""
+    (doc_id % 7) / 20.0::DOUBLE AS density_ratio, 484704.0 AS page_area, (doc_id % 20) AS vector_cells, (page_index + doc_id) % 17 AS scanned_cells FROM lines GROUP BY doc_id, page_index)"""
 
 
 def _signals(spark, sf_dir):
@@ -221,6 +221,7 @@ def _signals(spark, sf_dir):
         ((k % 11) / F.lit(10.0) >= 0.95).alias("full_page_image"),
         F.when(empty, 0).otherwise(F.col("c")).alias("chars"),
         F.when(empty, 0).otherwise(F.floor(F.col("c") * (F.col("doc_id") % 10) / 10)).alias("valid_chars"),
+        ((F.col("doc_id") % 7) / F.lit(20.0)).alias("density_ratio"),
         F.lit(484704.0).alias("page_area"),
         (F.col("doc_id") % 20).alias("vector_cells"),
         (k % 17).alias("scanned_cells"),
@@ -229,12 +230,12 @@ def _signals(spark, sf_dir):
 
 _CLASSED = _SIGNALS + """, votes AS (SELECT *, chars = 0 AND image_share = 0 AS blank, vector_cells >= 10 AND scanned_cells >= 10 AS hybrid,
      coalesce(text_ops = 0 AND image_share > 0, false) AS s1, coalesce(text_ops > 0 AND invisible_ops = text_ops AND full_page_image, false) AS s2,
-     CASE WHEN image_share > 0.85 THEN 0.85 ELSE 0 END::DOUBLE AS s3, CASE WHEN chars > 0 AND valid_chars / chars < 0.4 THEN 0.8 ELSE 0 END::DOUBLE AS b1,
-     CASE WHEN chars > 0 AND valid_chars / chars > 0.85 THEN 0.9 ELSE 0 END::DOUBLE AS v1, CASE WHEN chars / page_area < 0.03 THEN 0.65 ELSE 0 END::DOUBLE AS s4 FROM signals),
+     CASE WHEN image_share > 0.85 THEN 0.85 ELSE 0 END::DOUBLE AS s3, coalesce(text_ops > 0 AND density_ratio < 0.03, false) AS s5, CASE WHEN text_ops > 0 AND chars > 0 AND valid_chars / chars < 0.4 THEN 0.8 ELSE 0 END::DOUBLE AS b1,
+     CASE WHEN text_ops > 0 AND (chars = 0 OR valid_chars / chars > 0.85) THEN 0.9 ELSE 0 END::DOUBLE AS v1, CASE WHEN NOT (text_ops > 0 AND (chars = 0 OR valid_chars / chars > 0.85)) AND valid_chars / page_area < 0.03 THEN 0.65 ELSE 0 END::DOUBLE AS s4 FROM signals),
   classed AS (SELECT doc_id, page_index, chars, image_share,
-     CASE WHEN blank THEN 'vector' WHEN hybrid THEN 'hybrid' WHEN s1 THEN 'scanned' WHEN s2 THEN 'broken_vector' WHEN s3 + s4 + b1 + v1 = 0 THEN 'vector'
+     CASE WHEN blank THEN 'vector' WHEN hybrid THEN 'hybrid' WHEN s1 THEN 'scanned' WHEN s2 THEN 'broken_vector' WHEN s5 THEN 'scanned' WHEN s3 + s4 + b1 + v1 = 0 THEN 'vector'
        WHEN v1 >= s3 + s4 AND v1 >= b1 THEN 'vector' WHEN s3 + s4 >= b1 THEN 'scanned' ELSE 'broken_vector' END AS page_class,
-     round(CASE WHEN blank THEN 0 WHEN hybrid THEN least(vector_cells, scanned_cells) / 64 WHEN s1 THEN 0.95 WHEN s2 THEN 0.99 WHEN s3 + s4 + b1 + v1 = 0 THEN 0.5
+     round(CASE WHEN blank THEN 0 WHEN hybrid THEN least(vector_cells, scanned_cells) / 64 WHEN s1 THEN 0.95 WHEN s2 THEN 0.99 WHEN s5 THEN 0.95 WHEN s3 + s4 + b1 + v1 = 0 THEN 0.5
        ELSE greatest(v1, s3 + s4, b1) / (s3 + s4 + b1 + v1) END, 6)::DOUBLE AS class_confidence FROM votes)"""
 
 
@@ -377,10 +378,10 @@ def vector_ocr_merge(spark, sf_dir):
 
 @register(
     "character_error_rate",
-    "SELECT item_id, round(levenshtein(a, b) / length(a), 6) AS cer FROM (SELECT item_id, regexp_replace(text[:200], '[^ -~]', '', 'g') AS a, replace(regexp_replace(text[:200], '[^ -~]', '', 'g'), 'th', 'tb') AS b FROM benchmark)",
+    "SELECT item_id, round(levenshtein(a, b) / length(a), 6) AS cer FROM (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS a, replace(regexp_replace(text, '[^ -~]', '', 'g'), 'th', 'tb') AS b FROM benchmark)",
 )
 def character_error_rate(spark, sf_dir):
-    a = F.regexp_replace(F.substring("text", 1, 200), "[^ -~]", "")
+    a = F.regexp_replace("text", "[^ -~]", "")
     return table(spark, sf_dir, "benchmark").select("item_id", F.round(ocr.character_error_rate(a, F.replace(a, F.lit("th"), F.lit("tb"))), 6).alias("cer"))
 
 
@@ -394,12 +395,12 @@ def word_error_rate(spark, sf_dir):
 @register(
     "position_validation",
     f"""WITH {WORDS}, glyphs AS (SELECT doc_id, page_index, (x0 + x1) / 2 AS gx, (y0 + y1) / 2 AS gy FROM words WHERE word_no % 3 = 0),
-    found AS (SELECT doc_id, page_index, line_no * 100000 + word_no AS span_index, x0 + 3 AS x0, x1 + 3 AS x1, y0, y1 FROM words WHERE word_no % 3 < 2 AND word_no < 40)
+    found AS (SELECT doc_id, page_index, line_no * 100000 + word_no AS span_index, x0 + 3 AS x0, x1 + 3 AS x1, y0, y1 FROM words WHERE word_no % 3 < 2)
     SELECT doc_id, count(*) AS n, sum((EXISTS (SELECT 1 FROM glyphs g WHERE g.doc_id = f.doc_id AND g.page_index = f.page_index AND pow(g.gx - (f.x0 + f.x1) / 2, 2) + pow(g.gy - (f.y0 + f.y1) / 2, 2) < 25))::INT)::BIGINT AS kept FROM found f GROUP BY doc_id""",
 )
 def position_validation(spark, sf_dir):
     w = virtual_pages.words(_docs(spark, sf_dir))
-    found = w.where("word_no % 3 < 2 and word_no < 40").withColumns({"span_index": F.col("line_no") * 100000 + F.col("word_no"), "x0": F.col("x0") + 3, "x1": F.col("x1") + 3, "confidence": F.lit(0.9)})
+    found = w.where("word_no % 3 < 2").withColumns({"span_index": F.col("line_no") * 100000 + F.col("word_no"), "x0": F.col("x0") + 3, "x1": F.col("x1") + 3, "confidence": F.lit(0.9)})
     v = ocr.validate_positions(found, w.where("word_no % 3 = 0"))
     return v.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("confidence") > 0.4).alias("kept"))
 
@@ -477,7 +478,7 @@ def table_continuation(spark, sf_dir):
 @register("borderless_tables")
 def borderless_tables(spark, sf_dir):
     """Aligned columns without rules; clusters anchored at their first member are a fold without SQL form."""
-    return tables.borderless(tables.anchored_clusters(virtual_pages.words(_docs(spark, sf_dir)).where("word_no < 8").drop("rendering_mode")))
+    return tables.borderless(tables.anchored_clusters(virtual_pages.words(_docs(spark, sf_dir)).drop("rendering_mode")))
 
 
 # ---- forms, links, labels, layers, structure
@@ -523,13 +524,13 @@ def layer_visibility(spark, sf_dir):
 
 @register(
     "bead_chains",
-    """WITH RECURSIVE walk(doc_id, chain, node, position) AS (SELECT c_custkey, 'a', 1::BIGINT, 0 FROM customer WHERE c_custkey <= 40
-      UNION ALL SELECT doc_id, chain, node + 1, position + 1 FROM walk WHERE node < doc_id) SELECT * FROM walk""",
+    """WITH RECURSIVE walk(doc_id, chain, node, position) AS (SELECT c_custkey, 'a', 1::BIGINT, 0 FROM customer
+      UNION ALL SELECT doc_id, chain, node + 1, position + 1 FROM walk WHERE node < 1 + doc_id % 40) SELECT * FROM walk""",
 )
 def bead_chains(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_custkey <= 40").select(F.col("c_custkey").alias("doc_id"))
-    edges = c.select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("doc_id"))).alias("node"))
-    edges = edges.withColumn("next", F.when(F.col("node") < F.col("doc_id"), F.col("node") + 1))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"))
+    edges = c.select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), 1 + F.col("doc_id") % 40)).alias("node"))
+    edges = edges.withColumn("next", F.when(F.col("node") < 1 + F.col("doc_id") % 40, F.col("node") + 1))
     return documents.walk_chain(edges, c.select("doc_id", F.lit("a").alias("chain"), F.lit(1).cast("long").alias("node")))
 
 
@@ -562,9 +563,9 @@ def signature_coverage(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", documents.signature_coverage(ranges, F.lit(400) + k % 10).alias("share"))
 
 
-@register("attachments", "SELECT page_id, CASE WHEN strlen(html) <= 5000 THEN base64(encode(html)) END AS data, strlen(html) > 5000 AS truncated FROM pages")
+@register("attachments", "SELECT page_id, CASE WHEN strlen(html) <= 52428800 THEN base64(encode(html)) END AS data, strlen(html) > 52428800 AS truncated FROM pages")
 def attachments(spark, sf_dir):
-    p = documents.attachment_payload(F.encode("html", "UTF-8"), 5000)
+    p = documents.attachment_payload(F.encode("html", "UTF-8"))
     return table(spark, sf_dir, "pages").select("page_id", p.alias("p")).select("page_id", "p.data", "p.truncated")
 
 

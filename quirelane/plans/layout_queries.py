@@ -108,7 +108,7 @@ def x0_histogram(spark, sf_dir):
     return layout.x0_histogram(_words(spark, sf_dir), 612.0)
 
 
-_GAPS = f"""{WORDS}, hist AS (SELECT doc_id, page_index, least(greatest(floor(x0), 0), 611)::INT AS bucket, count(*) AS n FROM words WHERE x0 < 306 GROUP BY ALL),
+_GAPS = f"""{WORDS}, hist AS (SELECT doc_id, page_index, least(greatest(floor(x0), 0), 611)::INT AS bucket, count(*) AS n FROM words GROUP BY ALL),
   runs AS (
     SELECT doc_id, page_index, coalesce(lag(bucket) OVER w, -1) + 1 AS lo, bucket - 1 AS hi FROM hist WINDOW w AS (PARTITION BY doc_id, page_index ORDER BY bucket)
     UNION ALL SELECT doc_id, page_index, max(bucket) + 1, 611 FROM hist GROUP BY ALL
@@ -117,11 +117,11 @@ _GAPS = f"""{WORDS}, hist AS (SELECT doc_id, page_index, least(greatest(floor(x0
 
 @register("column_gaps", f"WITH {_GAPS} SELECT * FROM gaps")
 def column_gaps(spark, sf_dir):
-    words = _words(spark, sf_dir).where("x0 < 306")
+    words = _words(spark, sf_dir)
     return layout.column_gaps(layout.x0_histogram(words, 612.0), 612.0)
 
 
-_COLUMNS = _GAPS + """, starts AS (SELECT doc_id, page_index, min(x0) AS x0 FROM words WHERE x0 < 306 GROUP BY doc_id, page_index, line_no),
+_COLUMNS = _GAPS + """, starts AS (SELECT doc_id, page_index, min(x0) AS x0 FROM words GROUP BY doc_id, page_index, line_no),
   pages AS (SELECT DISTINCT doc_id, page_index FROM starts),
   ranges AS (
     SELECT doc_id, page_index, (hi + 1)::DOUBLE AS x0, coalesce(lead(lo) OVER (PARTITION BY doc_id, page_index ORDER BY lo)::DOUBLE, 612.0) AS x1 FROM gaps
@@ -133,7 +133,7 @@ _COLUMNS = _GAPS + """, starts AS (SELECT doc_id, page_index, min(x0) AS x0 FROM
 
 
 def _columns(spark, sf_dir):
-    words = _words(spark, sf_dir).where("x0 < 306")
+    words = _words(spark, sf_dir)
     gaps = layout.column_gaps(layout.x0_histogram(words, 612.0), 612.0)
     starts = words.groupBy("doc_id", "page_index", "line_no").agg(F.min("x0").alias("x0"))
     return words, layout.confirm_columns(gaps, starts, 612.0)
@@ -148,7 +148,7 @@ def confirmed_columns(spark, sf_dir):
     "span_columns",
     f"""WITH {_COLUMNS} SELECT w.doc_id, w.page_index, c.col AS "column", count(*) AS n_spans
     FROM words w LEFT JOIN cols c ON w.doc_id = c.doc_id AND w.page_index = c.page_index AND (w.x0 + w.x1) / 2 >= c.x0 AND (w.x0 + w.x1) / 2 < c.x1
-    WHERE w.x0 < 306 GROUP BY ALL""",
+    GROUP BY ALL""",
 )
 def span_columns(spark, sf_dir):
     words, columns = _columns(spark, sf_dir)

@@ -17,17 +17,17 @@ def _lines(spark, sf_dir):
 
 def _versions(spark, sf_dir):
     """Lines as blocks, and a later version of them: every seventh line changed, every eleventh gone, one added per page."""
-    old = _lines(spark, sf_dir).where("line_no < 200").select("doc_id", "page_index", F.col("line_no").alias("block_index"), F.regexp_replace(F.substring("text", 1, 60), "[^ -~]", "").alias("text"), "x0", "y0", "x1", "y1")
+    old = _lines(spark, sf_dir).select("doc_id", "page_index", F.col("line_no").alias("block_index"), F.regexp_replace("text", "[^ -~]", "").alias("text"), "x0", "y0", "x1", "y1")
     new = old.where("block_index % 11 <> 10").withColumn("text", F.when(F.col("block_index") % 7 == 6, F.concat(F.lit("zq "), F.reverse("text"))).otherwise(F.col("text")))
     extra = old.select("doc_id", "page_index").distinct().select(
-        "doc_id", "page_index", (F.lit(100000) + F.col("page_index")).alias("block_index"), F.lit("added").alias("text"), F.lit(500.0).alias("x0"), F.lit(5.0).alias("y0"), F.lit(560.0).alias("x1"), F.lit(15.0).alias("y1")
+        "doc_id", "page_index", (F.lit(10000000) + F.col("page_index")).alias("block_index"), F.lit("added").alias("text"), F.lit(500.0).alias("x0"), F.lit(5.0).alias("y0"), F.lit(560.0).alias("x1"), F.lit(15.0).alias("y1")
     )
     return old, new.unionByName(extra)
 
 
-_VERSIONS = f"""{LINES}, old AS (SELECT doc_id, page_index, line_no AS b, regexp_replace(text[:60], '[^ -~]', '', 'g') AS text FROM lines WHERE line_no < 200),
+_VERSIONS = f"""{LINES}, old AS (SELECT doc_id, page_index, line_no AS b, regexp_replace(text, '[^ -~]', '', 'g') AS text FROM lines),
   fresh AS (SELECT doc_id, page_index, b, CASE WHEN b % 7 = 6 THEN 'zq ' || reverse(text) ELSE text END AS text FROM old WHERE b % 11 <> 10),
-  sims AS (SELECT o.doc_id, o.page_index, o.b, CASE WHEN greatest(length(o.text), length(n.text)) = 0 THEN 1 ELSE 1 - levenshtein(o.text, n.text) / greatest(length(o.text), length(n.text)) END AS sim FROM old o JOIN fresh n USING (doc_id, page_index, b))"""
+  sims AS (SELECT o.doc_id, o.page_index, o.b, CASE WHEN o.text = n.text THEN 1 ELSE 1 - levenshtein(o.text, n.text) / greatest(length(o.text), length(n.text)) END AS sim FROM old o JOIN fresh n USING (doc_id, page_index, b))"""
 
 
 @register(
@@ -83,20 +83,20 @@ def fingerprints(spark, sf_dir):
 
 @register(
     "receipts",
-    f"WITH {_PRINTS} SELECT l.doc_id, fingerprint, page_index, x0, y0, x1, y1, sha256(text) AS content_hash, '1.0' AS version FROM lines l JOIN prints USING (doc_id) WHERE line_no < 3",
+    f"WITH {_PRINTS} SELECT l.doc_id, fingerprint, page_index, x0, y0, x1, y1, sha256(text) AS content_hash, '1.0' AS version FROM lines l JOIN prints USING (doc_id)",
 )
 def make_receipts(spark, sf_dir):
-    return receipts.create(_lines(spark, sf_dir).where("line_no < 3"), _prints(spark, sf_dir))
+    return receipts.create(_lines(spark, sf_dir), _prints(spark, sf_dir))
 
 
 @register(
     "receipt_verification",
     """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 10 WHEN doc_id % 5 = 1 THEN 11 WHEN doc_id % 5 = 2 THEN 12 ELSE 0 END AS code, count(*) AS n
-    FROM (SELECT doc_id FROM documents WHERE length(string_split(text, chr(10))[1]) > 0) GROUP BY ALL""",
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) > 0 GROUP BY ALL""",
 )
 def receipt_verification(spark, sf_dir):
     lines, prints = _lines(spark, sf_dir), _prints(spark, sf_dir)
-    r = receipts.create(lines.where("line_no = 0 and text <> ''"), prints)
+    r = receipts.create(lines.where("text <> ''"), prints)
     k = F.col("doc_id") % 5
     r = r.withColumns(
         {
@@ -198,9 +198,9 @@ def html_tables(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", serialise.html_table(rows).alias("html"))
 
 
-@register("anchors", f"WITH {LINES}, {_KINDS} SELECT doc_id, block_index, page_index AS page, x0::INT AS x0, y1::INT AS y1, kind FROM kinds WHERE block_index < 60")
+@register("anchors", f"WITH {LINES}, {_KINDS} SELECT doc_id, block_index, page_index AS page, x0::INT AS x0, y1::INT AS y1, kind FROM kinds")
 def anchors(spark, sf_dir):
-    k = _kinds(spark, sf_dir).where("block_index < 60")
+    k = _kinds(spark, sf_dir)
     c = F.col
     text = F.concat(F.lit("```\nno <!-- anchor --> here\n```\n"), serialise.anchor(c("page_index"), c("block_index"), c("x0"), c("y0"), c("x1"), c("y1"), c("kind")))
     a = k.select("doc_id", F.explode(serialise.parse_anchors(text)).alias("a"))

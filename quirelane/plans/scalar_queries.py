@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quirelane.functions import scalars
@@ -60,7 +59,7 @@ def page_zones(spark, sf_dir):
     return ln.groupBy(blocks.zone(F.col("y0"), F.col("y1"), F.lit(752.0)).alias("zone")).agg(F.count("*").alias("n"))
 
 
-_ASCII = "regexp_replace(text[:80], '[^ -~]', '', 'g')"
+_ASCII = "regexp_replace(text, '[^ -~]', '', 'g')"
 
 
 @register(
@@ -68,7 +67,7 @@ _ASCII = "regexp_replace(text[:80], '[^ -~]', '', 'g')"
     f"SELECT a.item_id, round(1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)), 9) AS s, levenshtein(a.t, b.t) <= 0.05 * greatest(length(a.t), length(b.t)) AS near FROM (SELECT item_id, {_ASCII} AS t FROM benchmark) a JOIN (SELECT item_id - 1 AS item_id, {_ASCII} AS t FROM benchmark) b USING (item_id)",
 )
 def text_similarity(spark, sf_dir):
-    t = F.regexp_replace(F.substring("text", 1, 80), "[^ -~]", "")
+    t = F.regexp_replace("text", "[^ -~]", "")
     b = table(spark, sf_dir, "benchmark")
     j = b.select("item_id", t.alias("t")).join(b.select((F.col("item_id") - 1).alias("item_id"), t.alias("u")), "item_id")
     return j.select("item_id", F.round(scalars.text_similarity(F.col("t"), F.col("u")), 9).alias("s"), scalars.nearly_equal(F.col("t"), F.col("u")).alias("near"))
@@ -90,11 +89,10 @@ def word_coverage(spark, sf_dir):
     return quality.in_word_list(split("documents").select("doc_id", "word"), split("benchmark").select("word")).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@register("visual_order", f"WITH {LINES} SELECT doc_id, line_no, row_number() OVER (ORDER BY page_index, y0 DESC, x0, doc_id, line_no) AS rank FROM lines WHERE doc_id < 50")
+@register("visual_order", f"WITH {LINES} SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY page_index, y0 DESC, x0, line_no) AS rank FROM lines")
 def visual_order(spark, sf_dir):
-    ln = virtual_pages.lines(table(spark, sf_dir, "documents").select("doc_id", "text")).where("doc_id < 50")
-    w = Window.orderBy("page_index", F.desc("y0"), "x0", "doc_id", "line_no")  # a report over a few documents
-    return documents.visual_order(ln).select("doc_id", "line_no", F.row_number().over(w).alias("rank"))
+    ln = virtual_pages.lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return documents.visual_rank(ln, "line_no").select("doc_id", "line_no", "rank")
 
 
 @register(
@@ -187,7 +185,10 @@ def content_hashes(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.sha2(receipts.normalised(F.col("text")), 256).alias("h"))
 
 
-@register("entry_tags")
+_PAD = lambda x: f"'{''.join(f'{b ^ x:02x}' for b in b'key'.ljust(64, bytes(1)))}'"
+
+
+@register("entry_tags", f"SELECT p_partkey, sha256(from_hex({_PAD(0x5C)}) || from_hex(sha256(from_hex({_PAD(0x36)}) || encode(p_name)))) AS tag FROM part")
 def entry_tags(spark, sf_dir):
     """HMAC of cache entries; tests hold it against the standard library."""
     return table(spark, sf_dir, "part").select("p_partkey", checks.hmac(b"key", F.encode("p_name", "UTF-8")).alias("tag"))
@@ -210,7 +211,7 @@ def json_documents(spark, sf_dir):
     from quirelane.operators import serialise
     from quirelane.streaming.frames import shared_folder
 
-    pages = virtual_pages.lines(table(spark, sf_dir, "documents").select("doc_id", "text")).groupBy("doc_id", "page_index").agg(F.first("text").alias("t"))
+    pages = virtual_pages.page_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), "t")
     place = shared_folder(spark, "json")
     serialise.document_json(pages).select(F.concat(F.lit('{"doc_id":'), F.col("doc_id").cast("string"), F.lit(',"doc":'), "json", F.lit("}")).alias("value")).write.text(place)
     got = spark.read.schema("doc_id long, doc struct<schema_version: string, pages: array<struct<page_index: int>>>").json(place)

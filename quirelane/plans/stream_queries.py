@@ -25,7 +25,7 @@ def _stream(spark, sf_dir, name):
 def ndjson_frames(spark, sf_dir):
     """Frames are written as NDJSON, read as a stream and counted."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    pages = virtual_pages.lines(docs).groupBy("doc_id", "page_index").agg(F.first("text").alias("page_text"))
+    pages = virtual_pages.page_texts(docs, "page_text")
     place, out = frames.shared_folder(spark, "ndjson"), frames.shared_folder(spark, "frames")
     frames.to_frames(pages).select("value").write.text(place)
     frames.run_once(frames.read_frames(spark, place), out, frames.shared_folder(spark, "state"))
@@ -39,9 +39,9 @@ def ndjson_frames(spark, sf_dir):
 )
 def stream_in_order(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    pages = virtual_pages.lines(docs).groupBy("doc_id", "page_index").agg(F.first("text").alias("text"))
+    pages = virtual_pages.page_texts(docs)
     place, out = frames.shared_folder(spark, "pages"), frames.shared_folder(spark, "ordered")
-    pages.orderBy(F.desc("page_index")).coalesce(1).write.parquet(place)
+    pages.repartition("doc_id").sortWithinPartitions(F.desc("page_index")).write.parquet(place)  # each document's last page first
     stream = spark.readStream.schema(pages.schema).parquet(place)
     frames.run_once(frames.in_order(stream), out, frames.shared_folder(spark, "state"))
     got = spark.read.parquet(out)

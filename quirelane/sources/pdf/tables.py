@@ -49,7 +49,10 @@ def label_of(doc: Document, index: int, ranges: list[tuple[int, dict]]) -> str |
     start, d = max(held, key=lambda x: x[0])
     n = int(doc.number(d.get("St"), 1)) + index - start
     style = doc.get(d.get("S"))
-    letters = chr(97 + (n - 1) % 26) * ((n - 1) // 26 + 1) if n > 0 else ""
+    letters, left = "", n
+    while left > 0:
+        left, digit = divmod(left - 1, 26)
+        letters = chr(97 + digit) + letters
     body = {"D": str(n), "R": _roman(n), "r": _roman(n).lower(), "A": letters.upper(), "a": letters}.get(style, "")
     return (doc.text(d.get("P")) or "") + body
 

@@ -5,7 +5,7 @@ Fifty lines make a page. All geometry is integer arithmetic, so that any engine
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LINES_PER_PAGE = 50
@@ -37,12 +37,20 @@ def lines(docs: DataFrame) -> DataFrame:
     )
 
 
+def page_texts(docs: DataFrame, name: str = "text") -> DataFrame:
+    """(doc_id, page_index, ``name``): the whole text of each page, its lines in order."""
+    rows = F.array_sort(F.collect_list(F.struct("line_no", "text")))  # at most LINES_PER_PAGE
+    return lines(docs).groupBy("doc_id", "page_index").agg(F.array_join(F.transform(rows, lambda r: r["text"]), "\n").alias(name))
+
+
 def words(docs: DataFrame) -> DataFrame:
     """One row per word of each line, with word_no and its own x0 and x1; empty words are left out."""
-    ln = lines(docs)
-    w = ln.select("*", F.posexplode(F.split("text", " ", -1)).alias("word_no", "word"))
-    before = F.sum(F.char_length("word") + 1).over(Window.partitionBy("doc_id", "line_no").orderBy("word_no")) - F.char_length("word") - 1
-    w = w.withColumn("offset", before).where(F.col("word") != "")
+    # a word starts after each space: places come from the line's own characters, without a window over words
+    after = F.transform(F.split("text", ""), lambda c, i: F.when(c == " ", i + 1))
+    starts = F.concat(F.array(F.lit(0)), F.filter(after, lambda i: i.isNotNull()))
+    zipped = F.arrays_zip(F.split("text", " ", -1).alias("word"), starts.alias("offset"))
+    w = lines(docs).select("*", F.posexplode(zipped).alias("word_no", "__w"))
+    w = w.select("*", F.col("__w.word").alias("word"), F.col("__w.offset").alias("offset")).where(F.col("word") != "")
     return w.select(
         "doc_id",
         "line_no",

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 FRAME = "frame string, doc_id long, page_index int, n_pages int, text string"
-WINDOW = 8
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -44,37 +43,34 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
     return parse_frames(spark.readStream.text(path))
 
 
-def in_order(pages: DataFrame, key: str = "doc_id", window: int = WINDOW) -> DataFrame:
-    """Pages of a stream (key, page_index, text), passed on in order per document.
+def in_order(pages: DataFrame, key: str = "doc_id", most: int | None = None) -> DataFrame:
+    """Pages of a stream (key, page_index, text), passed on in order per document; none is lost.
 
-    Pages wait in the key's state until those before them came. Repeated and past pages are dropped. When more than
-    ``window`` pages wait, the missing ones are given up and ``skipped`` counts them, so the state is bounded.
+    Pages wait in the key's state until those before them came. Repeated and past pages are dropped. The state holds the
+    pages of one document that wait; if ``most`` is given and more wait, the stream fails, and its source has to hold
+    back or send the missing page before it is started again.
     """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        nxt, held = state.get if state.exists else (0, [])
-        waiting = {int(p): t for p, t in (x.split("\x00", 1) for x in held)}
-        out = []
-        skipped = 0
+        nxt, places, texts = state.get if state.exists else (0, [], [])
+        waiting = dict(zip(places, texts, strict=True))
         for pdf in batches:
-            for p, t in zip(pdf["page_index"], pdf["text"], strict=True):
-                if p >= nxt and int(p) not in waiting:
-                    waiting[int(p)] = t
-        while waiting:
-            if nxt in waiting:
-                out.append((k[0], nxt, waiting.pop(nxt), skipped))
-                nxt, skipped = nxt + 1, 0
-            elif len(waiting) > window:
-                skipped += min(waiting) - nxt
-                nxt = min(waiting)
-            else:
-                break
-        state.update((nxt, [f"{p}\x00{t}" for p, t in sorted(waiting.items())]))
+            for p, t in zip(pdf["page_index"].tolist(), pdf["text"].tolist(), strict=True):
+                if p >= nxt:
+                    waiting.setdefault(p, t)
+        out = []
+        while nxt in waiting:
+            out.append((k[0], nxt, waiting.pop(nxt)))
+            nxt += 1
+        if most is not None and len(waiting) > most:
+            raise BufferError(f"{len(waiting)} pages of {k[0]} wait for page {nxt}, over {most}")
+        places = sorted(waiting)
+        state.update((nxt, places, [waiting[p] for p in places]))
         if out:
-            yield pd.DataFrame(out, columns=[key, "page_index", "text", "skipped"])
+            yield pd.DataFrame(out, columns=[key, "page_index", "text"])
 
     return pages.select(key, "page_index", "text").groupBy(key).applyInPandasWithState(
-        step, f"{key} long, page_index int, text string, skipped int", "nxt int, held array<string>", "append", GroupStateTimeout.NoTimeout
+        step, f"{key} long, page_index int, text string", "nxt int, places array<int>, texts array<string>", "append", GroupStateTimeout.NoTimeout
     )
 
 
