@@ -133,6 +133,88 @@ def test_word_gaps(spark):
     assert sorted(got) == list(range(0, 60, 6))
 
 
+def plain_word_starts(gaps, sizes, fonts):
+    """Thresholds gap by gap, with a list of all gaps since the last font change."""
+    import statistics
+
+    out, held, limit, font = [], [], None, None
+    for gap, size, f in zip(gaps, sizes, fonts, strict=True):
+        if f != font:
+            held, limit, font = [], 0.25 * size, f
+        if gap is None:
+            out.append(True)
+            continue
+        if gap <= 0:
+            out.append(False)
+            continue
+        out.append(gap > limit)
+        held.append(gap)
+        if len(held) > 20 and len(held) % 5 == 0:
+            kept = [g for g in held[-20:] if g <= 4 * limit]
+            limit = 1.5 * statistics.median(kept) if kept else limit
+    return out
+
+
+def test_word_gaps_against_plain_rules(spark):
+    """Negative gaps, moving thresholds, outliers, new lines and font changes."""
+    import random
+
+    random.seed(9)
+    rows, gaps, sizes, fonts, x, y = [], [], [], [], 0.0, 700.0
+    for i in range(600):
+        gap = random.choice([0.25, 0.5, 0.5, 0.75, 2.0, 4.0, 30.0, 0.0, -1.0]) * (1 if i < 300 else 4)
+        if i % 97 == 0:
+            x, y, gap = 0.0, y - 20, None
+        x += gap or 0.0
+        rows.append((1, 0, i, x, y, x + 5, y + 10, 10.0, f"f{i // 150}"))
+        gaps.append(gap)
+        sizes.append(10.0)
+        fonts.append(f"f{i // 150}")
+        x += 5
+    df = spark.createDataFrame(rows, "doc_id long, page_index int, glyph_index int, x0 double, y0 double, x1 double, y1 double, size double, font string")
+    got = [r["word_start"] for r in repair.word_gaps(df).orderBy("glyph_index").collect()]
+    assert got == plain_word_starts(gaps, sizes, fonts)
+
+
+def test_pages_in_order_lose_none(spark, tmp_path):
+    """Forty pages that come last page first, in several batches; and a bound that fails instead of losing pages."""
+    from pyspark.sql.utils import StreamingQueryException
+
+    from quirelane.streaming import frames
+
+    for i, part in enumerate(([*range(39, 20, -1)], [*range(20, 5, -1)], [*range(5, -1, -1), 3, 39])):
+        spark.createDataFrame([(1, p, f"t{p}") for p in part], "doc_id long, page_index int, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("doc_id long, page_index int, text string").parquet(f"{tmp_path}/in")
+        frames.run_once(frames.in_order(stream), f"{tmp_path}/out", f"{tmp_path}/state")
+        assert spark.read.parquet(f"{tmp_path}/out").count() == (0, 0, 40)[i]
+    assert sorted((r["page_index"], r["text"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(p, f"t{p}") for p in range(40)]
+    one_by_one = spark.readStream.schema("doc_id long, page_index int, text string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    with pytest.raises(StreamingQueryException):
+        frames.run_once(frames.in_order(one_by_one, most=8), f"{tmp_path}/out2", f"{tmp_path}/state2")
+
+
+def test_page_class_by_density(spark):
+    """Text whose extracted share is below 0.03 is scanned with 0.95, though its characters are valid; sparse good text is not."""
+    from quirelane.operators import page_class
+
+    base = {"text_ops": 10, "invisible_ops": 0, "image_share": 0.0, "full_page_image": False, "chars": 100, "valid_chars": 100, "page_area": 484704.0, "density_ratio": 0.5, "vector_cells": 0, "scanned_cells": 0}
+    cases = [({}, "vector", 1.0), ({"density_ratio": 0.02}, "scanned", 0.95), ({"density_ratio": 0.03}, "vector", 1.0), ({"valid_chars": 80}, "scanned", 1.0), ({"valid_chars": 30}, "broken_vector", 0.8 / 1.45)]
+    df = spark.createDataFrame([(i, *{**base, **c}.values()) for i, (c, _, _) in enumerate(cases)], ["doc_id", *base])
+    got = {r["doc_id"]: (r["page_class"], r["class_confidence"]) for r in page_class.classify(df).collect()}
+    for i, (_, name, confidence) in enumerate(cases):
+        assert got[i][0] == name and abs(got[i][1] - confidence) < 1e-9, cases[i]
+
+
+def test_letters_in_base_26(spark):
+    from pyspark.sql import functions as F
+
+    from quirelane.functions import scalars
+
+    n = [0, 1, 26, 27, 28, 52, 53, 702, 703, 18278, 18279]
+    got = [r[0] for r in spark.createDataFrame([(i,) for i in n], "n long").select(scalars.letters(F.col("n"))).collect()]
+    assert got == [None, "a", "z", "aa", "ab", "az", "ba", "zz", "aaa", "zzz", "aaaa"]
+
+
 def test_merged_cells():
     assert merged_cells.covered([(10, 0, 5), (10.5, 4, 8), (30, 0, 9)], 10, 0, 10) == 0.8
 
