@@ -46,7 +46,18 @@ def spans_of(text: Column, pattern: str) -> Column:
 
 
 def grep(df: DataFrame, pattern: str, *, literal: bool = False, text: str = "text") -> DataFrame:
-    """Every match as a row: the input's columns, then start, end and match."""
+    """Every match as a row: the input's columns, then start, end and match, in code points of the whole text.
+
+    Lines are matched one by one, as a search tool does, so no match holds a line break and the fold of a line's matches
+    is short. Lines without a match are dropped before their matches are placed.
+    """
     p = literal_pattern(pattern) if literal else pattern
     hit = df.where(F.col(text).rlike(p))
-    return hit.select("*", F.explode(spans_of(F.col(text), p)).alias("_m")).select(*df.columns, "_m.start", "_m.end", "_m.match")
+    # a line starts after each line break: places come from the text's characters in one pass
+    after = F.transform(F.split(F.col(text), ""), lambda c, i: F.when(c == "\n", i + 1))
+    starts = F.concat(F.array(F.lit(0)), F.filter(after, lambda i: i.isNotNull()))
+    zipped = F.arrays_zip(F.split(F.col(text), "\n", -1).alias("line"), starts.alias("at"))
+    lines = hit.select("*", F.explode(zipped).alias("_l")).where(F.col("_l.line").rlike(p))
+    found = lines.select("*", F.explode(spans_of(F.col("_l.line"), p)).alias("_m"))
+    place = lambda c: (F.col("_l.at") + F.col(f"_m.{c}")).alias(c)
+    return found.select(*df.columns, place("start"), place("end"), "_m.match")
