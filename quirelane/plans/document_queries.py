@@ -8,12 +8,12 @@ from quirelane.functions import geometry, scalars
 from quirelane.operators import blocks, documents, ocr, page_class, profiles, quality, search, tables
 from quirelane.plans.registry import register
 from quirelane.plans.sqlparts import LINES, WORDS
-from quirelane.session import table
+from quirelane.session import spread, table
 from quirelane.sources import virtual_pages
 
 
 def _docs(spark, sf_dir, *columns):
-    return table(spark, sf_dir, "documents").select("doc_id", "text", *columns)
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *columns))
 
 
 def _lines(spark, sf_dir):

@@ -9,7 +9,7 @@ from quirelane.functions.geometry import Box
 from quirelane.operators import blocks, checks, compare, diagnostics, glyphs, profiles, reading, repair, serialise
 from quirelane.plans.registry import register
 from quirelane.plans.sqlparts import LINES
-from quirelane.session import table
+from quirelane.session import spread, table
 from quirelane.sources import sinks, virtual_pages
 from quirelane.streaming import frames
 
@@ -17,7 +17,7 @@ _PAGE_BLOCKS = """blk AS (SELECT doc_id, page_index, line_no AS b, CASE WHEN lin
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @register(

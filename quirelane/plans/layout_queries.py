@@ -8,16 +8,16 @@ from quirelane.functions import geometry, scalars
 from quirelane.operators import layout
 from quirelane.plans.registry import register
 from quirelane.plans.sqlparts import LINES, WORDS
-from quirelane.session import table
+from quirelane.session import spread, table
 from quirelane.sources import virtual_pages
 
 
 def _lines(spark, sf_dir):
-    return virtual_pages.lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return virtual_pages.lines(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def _words(spark, sf_dir):
-    return virtual_pages.words(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return virtual_pages.words(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def _styled(spark, sf_dir):

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from quirelane.operators import compare, receipts, serialise
 from quirelane.plans.registry import register
 from quirelane.plans.sqlparts import LINES
-from quirelane.session import table
+from quirelane.session import spread, table
 from quirelane.sources import virtual_pages
 
 
 def _lines(spark, sf_dir):
-    return virtual_pages.lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return virtual_pages.lines(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def _versions(spark, sf_dir):

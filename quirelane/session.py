@@ -17,6 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of few splits dealt out to all cores, for work that is heavy for its bytes; larger ones stay as they are.
+
+    Only a table of fewer splits than cores is shuffled, so what is shuffled is small whatever the cluster reads. ``scan``
+    is a table as read, with its columns selected: its splits are known without running anything.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per context, for clusters that do not have it installed."""
     sc = spark.sparkContext
