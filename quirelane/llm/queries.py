@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 from quirelane.llm import bpe, knn, licenses, packing, quality, secrets, simhash, toxicity, urlfilter, warc
 from quirelane.llm import sql
 from quirelane.llm.common import remove
-from quirelane.session import cut, ship, table
+from quirelane.session import cut, ship, spread, table
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the one that the session names for all executors."""
     import tempfile
@@ -38,18 +42,18 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, r=4)
+    found = simhash.near_duplicates(_documents(spark, sf_dir), width=4, r=4)
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY), size=2048, end=0)
+    return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path(WORD_VOCABULARY), size=2048, end=0)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model, keep=["doc_id"])
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
@@ -57,12 +61,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY))
+    return bpe.encode_documents(_documents(spark, sf_dir), public_tokenizers.path(BYTE_VOCABULARY))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str, ledger: str | None = None) -> DataFrame:
     """``ledger``: the place of a ledger that earlier runs have written, which is read and appended to; else a new one."""
-    return secrets.digest(secrets.find_stored(table(spark, sf_dir, "documents"), ledger or shared_folder(spark, "ledger")))
+    return secrets.digest(secrets.find_stored(_documents(spark, sf_dir), ledger or shared_folder(spark, "ledger")))
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +76,7 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.judge(docs, model, keep=["doc_id"])
 
@@ -83,7 +87,7 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+    return licenses.scan_documents(_documents(spark, sf_dir))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
