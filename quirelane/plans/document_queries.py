@@ -424,7 +424,7 @@ _SEGMENTS = """seg AS (SELECT l_orderkey AS doc_id, 0 AS page_index, 'h' AS orie
     HAVING count(DISTINCT x) > 1 AND count(DISTINCT y) > 1 AND (count(DISTINCT x) - 1) * (count(DISTINCT y) - 1) >= 4)"""
 
 
-@register("segment_merge", "WITH u AS (SELECT l_suppkey AS doc_id, l_partkey % 5 AS pos, l_linenumber * 10 AS lo, l_linenumber * 10 + 8 + l_orderkey % 4 AS hi FROM lineitem), f AS (SELECT *, coalesce(lo > max(hi) OVER (PARTITION BY doc_id, pos ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 2, true)::INT AS nw FROM u), r AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id, pos ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS run FROM f) SELECT doc_id, 0 AS page_index, 'h' AS orientation, pos::DOUBLE AS pos, min(lo)::DOUBLE AS lo, max(hi)::DOUBLE AS hi FROM r GROUP BY doc_id, pos, run")
+@register("segment_merge", "WITH u AS (SELECT l_suppkey AS doc_id, l_partkey % 5 AS pos, l_linenumber * 10 AS lo, l_linenumber * 10 + 8 + l_orderkey % 4 AS hi FROM lineitem), f AS (SELECT *, coalesce(lo > max(hi) OVER (PARTITION BY doc_id, pos ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 2, true)::INT AS nw FROM u), r AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id, pos ORDER BY lo, hi, nw DESC ROWS UNBOUNDED PRECEDING) AS run FROM f) SELECT doc_id, 0 AS page_index, 'h' AS orientation, pos::DOUBLE AS pos, min(lo)::DOUBLE AS lo, max(hi)::DOUBLE AS hi FROM r GROUP BY doc_id, pos, run")
 def segment_merge(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem")
     n, p = F.col("l_linenumber"), F.col("l_partkey") % 5
