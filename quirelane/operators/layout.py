@@ -6,14 +6,18 @@ Every window is partitioned by document and page (or a finer key), so that no wi
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField
 
 from quirelane.functions.geometry import Box, baseline, union_box
+from quirelane.operators.groups import folded
 
 PAGE = ("doc_id", "page_index")
 
@@ -100,36 +104,27 @@ def group_blocks(lines: DataFrame, keys: Sequence[str] = PAGE, column_width: flo
     the column's width beyond its first line, a size change over a point, or a change of rendering mode. Median and
     first line belong to the block so far, so pages are folded one by one; a page is a bounded group.
     """
-    columns = [c for c in lines.columns]
-    has_column = "column" in columns
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        if has_column:
-            pdf = pdf.sort_values(["column", "baseline", "x0"], ascending=[True, False, True], kind="stable")
-        else:
-            pdf = pdf.sort_values(["baseline", "x0"], ascending=[False, True], kind="stable")
-        block, out, first, heights, before = -1, [], None, [], None
-        for r in pdf.itertuples():
-            new = first is None or (has_column and first.column != r.column)
+    has_column = "column" in lines.columns
+
+    def fold(rows: pd.DataFrame, page: np.ndarray) -> list[int]:
+        columns = rows["column"].to_numpy() if has_column else np.zeros(len(rows))
+        block, first, heights, before, out = -1, None, [], None, []
+        lines_of = zip(page.tolist(), columns, *(rows[c].to_numpy() for c in ("baseline", "x0", "y0", "size", "rendering_mode")), strict=True)
+        for on_new_page, column, baseline, x0, y0, size, mode in lines_of:
+            if on_new_page:
+                block, first = -1, None
+            new = first is None or first[0] != column
             if not new:
-                heights.append(before.baseline - r.y0)
-                median = sorted(heights)[len(heights) // 2]
-                new = (
-                    before.baseline - r.baseline > 1.5 * median
-                    or r.x0 - first.x0 > 0.03 * column_width
-                    or abs(r.size - first.size) > 1
-                    or r.rendering_mode != first.rendering_mode
-                )
+                insort(heights, before - y0)
+                new = before - baseline > 1.5 * heights[len(heights) // 2] or x0 - first[1] > 0.03 * column_width or abs(size - first[2]) > 1 or mode != first[3]
             if new:
-                block, first, heights = block + 1, r, []
-            before = r
+                block, first, heights = block + 1, (column, x0, size, mode), []
+            before = baseline
             out.append(block)
-        pdf["block_index"] = out
-        return pdf
-
-    from pyspark.sql.types import IntegerType, StructField, StructType
+        return out
 
-    return lines.groupBy(*keys).applyInPandas(fold, StructType([*lines.schema.fields, StructField("block_index", IntegerType())]))
+    down = [*(["column"] if has_column else []), F.desc("baseline"), "x0"]
+    return folded(lines, keys, down, fold, StructField("block_index", IntegerType()))
 
 
 def finish_blocks(grouped: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
@@ -206,27 +201,27 @@ def xy_cut(blocks: DataFrame, width: float, keys: Sequence[str] = PAGE, max_dept
             end = max(end, b)
         return at
 
-    def order(rows: list, depth: int) -> Iterator:
+    def order(rows: list[tuple], depth: int) -> Iterator[tuple]:
         if len(rows) > 1 and depth < max_depth:
-            if (at := widest([(r.x0, r.x1) for r in rows], least_x)) is not None:
-                yield from order([r for r in rows if r.x0 < at], depth + 1)
-                yield from order([r for r in rows if r.x0 >= at], depth + 1)
+            if (at := widest([(x0, x1) for x0, _, x1, *_ in rows], least_x)) is not None:
+                yield from order([r for r in rows if r[0] < at], depth + 1)
+                yield from order([r for r in rows if r[0] >= at], depth + 1)
                 return
-            if (at := widest([(r.y0, r.y1) for r in rows], least_y)) is not None:
-                yield from order([r for r in rows if r.y0 >= at], depth + 1)
-                yield from order([r for r in rows if r.y0 < at], depth + 1)
+            if (at := widest([(y0, y1) for _, y0, _, y1, *_ in rows], least_y)) is not None:
+                yield from order([r for r in rows if r[1] >= at], depth + 1)
+                yield from order([r for r in rows if r[1] < at], depth + 1)
                 return
-        yield from sorted(rows, key=lambda r: (-r.y1, r.x0, r.block_index))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = [r.Index for r in order(list(pdf.itertuples()), 0)]
-        out = pdf.loc[at].copy()
-        out["reading_order"] = range(len(out))
+        yield from sorted(rows, key=lambda r: (-r[3], r[0], r[4]))
+
+    def fold(rows: pd.DataFrame, page: np.ndarray) -> np.ndarray:
+        boxes = list(zip(*(rows[c].tolist() for c in ("x0", "y0", "x1", "y1", "block_index")), range(len(rows)), strict=True))
+        starts, out = np.flatnonzero(page).tolist(), np.zeros(len(rows), int)
+        for a, b in zip(starts, [*starts[1:], len(boxes)], strict=True):
+            for rank, box in enumerate(order(boxes[a:b], 0)):
+                out[box[5]] = rank
         return out
 
-    from pyspark.sql.types import IntegerType, StructField, StructType
-
-    return blocks.groupBy(*keys).applyInPandas(run, StructType([*blocks.schema.fields, StructField("reading_order", IntegerType())]))
+    return folded(blocks, keys, ["block_index"], fold, StructField("reading_order", IntegerType()))
 
 
 def all_of(*conditions: Column) -> Column:

@@ -8,9 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import BooleanType, StructField
 
 from quirelane.functions import scalars
+from quirelane.operators.groups import changes, folded
 
 # What the single-byte code page has at 0x80 to 0x9F; the rest of it equals Latin 1.
 _HIGH = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
@@ -61,36 +62,37 @@ def word_gaps(glyphs: DataFrame, keys: Sequence[str] = ("doc_id", "page_index"),
     The threshold starts at a quarter of the size. Gaps of 0 or less end no word and aren't counted. After more than
     twenty gaps, at every fifth, it becomes one and a half times the median of the last twenty, of which those over four
     times the threshold don't count. A change of font, and of ``text_object`` if there is such a column, starts anew. A
-    glyph on another line starts a word. The threshold depends on all gaps before, so a page, a bounded group, is folded.
+    glyph on another line starts a word. The threshold depends on all gaps before, so a page, a bounded group, stays whole;
+    a task marks all its pages at once and takes thresholds anew only in runs of over 25 gaps.
     """
     resets = [c for c in ("font", "text_object") if c in glyphs.columns]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        x0, x1, y0, size = (pdf[c].to_numpy(float) for c in ("x0", "x1", "y0", "size"))
-        n = len(pdf)
-        apart = np.r_[True, np.abs(np.diff(y0)) > 0.5 * size[1:]] if n else np.zeros(0, bool)
-        gap = np.r_[0.0, x0[1:] - x1[:-1]] if n else np.zeros(0)
-        anew = np.zeros(n, bool)
-        for c in resets:
-            v = pdf[c].to_numpy()
-            anew[1:] |= v[1:] != v[:-1]
-        starts, recent, seen, threshold = apart.copy(), [], 0, FIRST * size[0] if n else 0.0
-        for i in np.flatnonzero(~apart & (gap > 0) | anew).tolist():
-            if anew[i]:
-                recent, seen, threshold = [], 0, FIRST * size[i]
-            if apart[i] or gap[i] <= 0:
-                continue
-            starts[i] = gap[i] > threshold
-            recent = [*recent, gap[i]][-GAPS:]
-            seen += 1
-            if seen > GAPS and seen % EVERY == 0:
-                kept = [g for g in recent if g <= 4 * threshold]
-                threshold = 1.5 * float(np.median(kept)) if kept else threshold
-        pdf["word_start"] = starts
-        return pdf
-
-    return glyphs.groupBy(*keys).applyInPandas(fold, StructType([*glyphs.schema.fields, StructField("word_start", BooleanType())]))
+    def fold(pages: pd.DataFrame, first: np.ndarray) -> np.ndarray:
+        return _word_starts(pages, first, resets)
+
+    return folded(glyphs, keys, [order], fold, StructField("word_start", BooleanType()))
+
+
+def _word_starts(rows: pd.DataFrame, page: np.ndarray, resets: Sequence[str]) -> np.ndarray:
+    x0, x1, y0, size = (rows[c].to_numpy(float) for c in ("x0", "x1", "y0", "size"))
+    apart, gap = page.copy(), np.zeros(len(rows))
+    apart[1:] |= np.abs(np.diff(y0)) > 0.5 * size[1:]
+    gap[1:] = x0[1:] - x1[:-1]
+    anew = page | changes(rows, resets)
+    starts_at = np.flatnonzero(anew)
+    of_run = np.cumsum(anew) - 1
+    counted = ~apart & (gap > 0)
+    starts = apart | counted & (gap > FIRST * size[starts_at][of_run])
+    for r in np.flatnonzero(np.bincount(of_run[counted], minlength=len(starts_at)) > GAPS + EVERY):
+        end = starts_at[r + 1] if r + 1 < len(starts_at) else len(rows)
+        at = starts_at[r] + np.flatnonzero(counted[starts_at[r] : end])
+        gaps, threshold = gap[at], FIRST * size[starts_at[r]]
+        for seen in range(GAPS + EVERY, len(at), EVERY):
+            recent = gaps[seen - GAPS : seen]
+            kept = recent[recent <= 4 * threshold]
+            threshold = 1.5 * float(np.median(kept)) if len(kept) else threshold
+            starts[at[seen : seen + EVERY]] = gaps[seen : seen + EVERY] > threshold
+    return starts
 
 
 def nfc(text: Column) -> Column:

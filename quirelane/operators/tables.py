@@ -7,11 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField
 
 from quirelane.functions.geometry import Box
+from quirelane.operators.groups import folded
 
 PAGE = ("doc_id", "page_index")
 SLACK, GAP, ROUND = 1.0, 2.0, 0.1
@@ -90,19 +93,17 @@ def anchored_clusters(spans: DataFrame, keys: Sequence[str] = PAGE, tolerance: f
     Anchoring at the first member is a fold over sorted starts; a page is a bounded group.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("x0", kind="stable")
+    def fold(rows: pd.DataFrame, page: np.ndarray) -> list[int]:
         out, anchor, n = [], None, -1
-        for x in pdf["x0"]:
+        for on_new_page, x in zip(page.tolist(), rows["x0"].tolist(), strict=True):
+            if on_new_page:
+                anchor, n = None, -1
             if anchor is None or x - anchor > tolerance:
                 anchor, n = x, n + 1
             out.append(n)
-        pdf["cluster"] = out
-        return pdf
+        return out
 
-    from pyspark.sql.types import IntegerType, StructField, StructType
-
-    return spans.groupBy(*keys).applyInPandas(fold, StructType([*spans.schema.fields, StructField("cluster", IntegerType())]))
+    return folded(spans, keys, ["x0"], fold, StructField("cluster", IntegerType()))
 
 
 def borderless(clustered: DataFrame, keys: Sequence[str] = PAGE, least_spans: int = 3, least_columns: int = 3, least_rows: int = 3) -> DataFrame:

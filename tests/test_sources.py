@@ -176,6 +176,23 @@ def test_word_gaps_against_plain_rules(spark):
     assert got == plain_word_starts(gaps, sizes, fonts)
 
 
+def test_word_gaps_of_pages_over_batches(spark):
+    """Pages that go on from one batch to the next, pages of one glyph, and a null page."""
+    rows = [(d, p, i, 9.0 * i if i % 3 else 9.0 * i + 4, 0.0, 9.0 * i + 9, 10.0, 10.0) for d, p, n in ((1, 0, 7), (1, 1, 1), (2, None, 8), (3, 0, 30)) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, page_index int, glyph_index int, x0 double, y0 double, x1 double, y1 double, size double")
+    want = {(r[0], r[2]) if r[1] is None else (r[0], r[1], r[2]) for r in rows if r[2] % 3 == 0}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in ("1", "4", before):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            got = repair.word_gaps(df)
+            assert got.count() == len(rows)
+            marked = got.where("word_start").collect()
+            assert {(r["doc_id"], r["glyph_index"]) if r["page_index"] is None else (r["doc_id"], r["page_index"], r["glyph_index"]) for r in marked} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_pages_in_order_lose_none(spark, tmp_path):
     """Forty pages that come last page first, in several batches; and a bound that fails instead of losing pages."""
     from pyspark.sql.utils import StreamingQueryException
