@@ -150,14 +150,82 @@ _UNDER = {
     "gpl": ("gpl", "gpl"),
     "mit": ("mit", "mit"),
 }
-#: Clauses that name no license: label, certainty, pattern, keyword.
+#: Clauses of license texts and notices: label, certainty, pattern, keyword. Of equal certainty, those further up come first.
 _CLAUSES = [
+    ("mit-0", 0.95, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided as is", "granted"),
+    ("boost", 0.95, "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", "granted"),
+    ("unicode", 0.95, "permission is hereby granted free of charge to any person obtaining a copy of (?:the )?(?:unicode )?data files", "granted"),
+    ("x11", 0.95, "except as contained in this notice the name of the x consortium shall not be used in advertising", "consortium"),
+    ("curl", 0.95, "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is without warranty of any kind", "permission"),
+    ("0bsd", 0.95, "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided", "permission"),
+    ("bsd-4-clause", 0.95, "all advertising materials mentioning features or use of this software must display the following acknowledg(?:e)?ment", "advertising"),
+    ("bsd-3-clause", 0.95, "neither the names? of .{1,200}? nor the names of (?:its|their|any) contributors may be used to endorse or promote products", "endorse"),
+    ("bsd-3-clause", 0.9, "may not be used to endorse or promote products derived from this software without (?:specific )?prior written permission", "endorse"),
     ("mit", 0.9, "permission is hereby granted free of charge to any person obtaining a copy", "granted"),
+    ("mit", 0.8, "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "portions"),
     ("isc", 0.9, "permission to use copy modify and or distribute this software for any purpose", "modify"),
+    ("isc", 0.8, "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted", "modify"),
     ("bsd", 0.9, "redistributions? (?:and use )?(?:in source and binary forms|of source code must retain)", "redistribution|redistributions"),
+    ("bsd", 0.8, "redistributions in binary form must reproduce the above copyright notice", "redistributions"),
     ("apache-2.0", 0.9, "you may not use this file except in compliance with the license", "compliance"),
+    ("apache-2.0", 0.9, "www apache org licenses license 2 0(?: txt| html)?", "apache"),
+    ("apache-2.0", 0.8, "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "basis"),
+    ("apache-2.0", 0.8, "terms and conditions for use reproduction and distribution", "reproduction"),
+    ("apache-1.1", 0.9, "this product includes software developed by the apache software foundation", "apache"),
+    ("openssl", 0.9, "this product includes software developed by the openssl project", "openssl"),
+    ("php", 0.9, "this product includes php software freely available from", "php"),
+    ("agpl-3.0", 0.9, "www gnu org licenses agpl(?: 3 0)?(?: html| txt)?", "agpl"),
+    ("agpl-3.0", 0.9, "if you modify the program your modified version must prominently offer all users interacting with it remotely through a computer network", "remotely"),
+    ("lgpl", 0.9, "www gnu org (?:licenses|copyleft) lgpl(?: [23] [01])?(?: html| txt)?", "lgpl"),
+    ("lgpl", 0.8, "this library is free software you can redistribute it and or modify it", "library"),
+    ("gpl-3.0", 0.9, "www gnu org licenses gpl 3 0(?: html| txt)?", "gpl"),
+    ("gpl-2.0", 0.9, "www gnu org licenses (?:old licenses )?gpl 2 0(?: html| txt)?", "gpl"),
+    ("gpl", 0.8, "www gnu org (?:licenses|copyleft) gpl(?: html| txt)?", "gpl"),
+    ("gpl", 0.8, "this program is free software you can redistribute it and or modify it", "redistribute"),
     ("gpl", 0.8, "either version [0-9]+ of the license or at your option any later version", "option"),
+    ("gpl", 0.7, "you should have received a copy of the gnu general public license along with this program", "gnu"),
+    ("gfdl", 0.9, "with no invariant sections no front cover texts and no back cover texts", "invariant"),
+    ("mpl-2.0", 0.95, "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla"),
+    ("mpl-2.0", 0.9, "(?:www )?mozilla org mpl 2 0", "mpl"),
+    ("mpl-1.1", 0.9, "the contents of this file are subject to the mozilla public license version 1 1", "mozilla"),
+    ("epl-2.0", 0.9, "www eclipse org (?:legal epl 2 0|org documents epl 2 0)", "eclipse"),
+    ("epl-1.0", 0.9, "www eclipse org (?:legal epl v10|org documents epl v10)(?: html)?", "eclipse"),
+    ("cddl", 0.9, "the contents of this file are subject to the terms of the common development and distribution license", "contents"),
+    ("zlib", 0.9, "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", "misrepresented"),
+    ("zlib", 0.8, "the origin of this software must not be misrepresented", "misrepresented"),
+    ("unlicense", 0.9, "this is free and unencumbered software released into the public domain", "unencumbered"),
+    ("unlicense", 0.9, "(?:www )?unlicense org", "unlicense"),
+    ("wtfpl", 0.9, "you just do what the f[a-z]* you want to", "just"),
+    ("beerware", 0.9, "if we meet some day and you think this stuff is worth it you can buy me a beer in return", "beer"),
+    ("artistic", 0.9, "the intent of this document is to state the conditions under which a package may be copied", "intent"),
+    ("postgresql", 0.9, "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", "documentation"),
+    ("python", 0.9, "psf is making python available to licensee on an as is basis", "psf"),
+    ("ofl", 0.9, "the font software may be sold as part of a larger software package|scripts sil org ofl", "font|sil"),
+    ("json", 0.9, "the software shall be used for good not evil", "evil"),
+    ("ms-pl", 0.9, "microsoft public license ms pl", "microsoft"),
+    ("odbl", 0.9, "opendatacommons org licenses odbl", "opendatacommons"),
+    ("pddl", 0.9, "opendatacommons org licenses pddl|public domain dedication and licen[cs]e", "opendatacommons|dedication"),
+    ("odc-by", 0.9, "opendatacommons org licenses by|open data commons attribution licen[cs]e", "opendatacommons|commons"),
+    ("cc0", 0.95, "creativecommons org publicdomain zero 1 0", "publicdomain"),
+    ("public-domain", 0.95, "creativecommons org publicdomain mark 1 0", "publicdomain"),
+    ("cc-by-nc-nd", 0.95, "creativecommons org licenses by nc nd(?: [1-4] [05])?", "creativecommons"),
+    ("cc-by-nc-sa", 0.95, "creativecommons org licenses by nc sa(?: [1-4] [05])?", "creativecommons"),
+    ("cc-by-nc", 0.95, "creativecommons org licenses by nc(?: [1-4] [05])?", "creativecommons"),
+    ("cc-by-nd", 0.95, "creativecommons org licenses by nd(?: [1-4] [05])?", "creativecommons"),
+    ("cc-by-sa", 0.95, "creativecommons org licenses by sa(?: [1-4] [05])?", "creativecommons"),
+    ("cc-by", 0.95, "creativecommons org licenses by(?: [1-4] [05])?", "creativecommons"),
+    ("public-domain", 0.8, "(?:dedicated|released|placed) (?:in|in ?to|to) the public domain", "domain"),
+    ("public-domain", 0.8, "waive[sd]? all (?:copyright and )?(?:related (?:and|or) neighboring )?rights", "waive|waives|waived"),
+    ("ogl-uk", 0.9, "open government licen[cs]e(?: v(?:ersion )?[1-3](?: 0)?)?", "government"),
+    ("mulan", 0.9, "mulan (?:permissive software license|psl)(?: v(?:ersion )?[12])?", "mulan"),
+    ("ncsa", 0.9, "university of illinois (?:ncsa )?open source license", "illinois"),
+    ("bsl", 0.9, "business source license(?: 1 1)?", "business"),
+    ("sspl", 0.9, "server side public license(?: v(?:ersion )?1)?", "server"),
+    ("elastic", 0.9, "elastic license(?: (?:v|version )?2(?: 0)?)?", "elastic"),
     ("proprietary", 0.7, "all rights reserved", "reserved"),
+    ("proprietary", 0.8, "(?:confidential and proprietary|proprietary and confidential)", "proprietary"),
+    ("proprietary", 0.8, "(?:unauthori[sz]ed )?(?:copying|reproduction|redistribution) (?:of this (?:file|document|material) )?(?:in whole or in part )?(?:via any medium )?is strictly prohibited", "prohibited"),
+    ("proprietary", 0.8, "may not be reproduced (?:or distributed |distributed or transmitted )?(?:in any form )?without (?:the )?(?:prior |express )?(?:written )?permission", "reproduced"),
     ("unknown", 0.5, "(?:released|licensed|distributed) under (?:the )?(?:[0-9a-z]+ ){1,4}licen[cs]e", "released|licensed|distributed"),
 ]
 
@@ -234,22 +302,20 @@ def _gates() -> frozenset[bytes]:
 
 def suppress(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Of (start, end, priority), those that no kept one contains; taken by priority, then the longer, then the earlier."""
-    kept: list[tuple[int, int, int]] = []
-    starts: list[int] = []
-    reach: list[int] = []  # the furthest end of kept ones up to each
+    places = {s: i for i, s in enumerate(sorted({s for s, _, _ in found}), 1)}
+    furthest = [0] * (len(places) + 1)  # furthest ends of kept ones that start at a place or before, in a tree of prefixes
+    kept = []
     for s, e, p in sorted(found, key=lambda d: (d[2], d[0] - d[1], d[0])):
-        i = bisect_left(starts, s + 1)
-        if i and reach[i - 1] >= e:
+        i, reach = places[s], 0
+        while i:
+            reach, i = max(reach, furthest[i]), i & (i - 1)
+        if reach >= e:
             continue
-        kept.insert(i, (s, e, p))
-        starts.insert(i, s)
-        reach.insert(i, 0)
-        best = reach[i - 1] if i else 0
-        for j in range(i, len(kept)):
-            best = max(best, kept[j][1])
-            if j > i and reach[j] >= best:
-                break
-            reach[j] = best
+        kept.append((s, e, p))
+        i = places[s]
+        while i < len(furthest):
+            furthest[i] = max(furthest[i], e)
+            i += i & -i
     return kept
 
 

@@ -695,3 +695,45 @@ def test_short_license_names():
     for text, label in (("GPLv3", "gpl-3.0"), ("this is under the MIT", "mit"), ("released under GPL v2", "gpl-2.0"), ("licensed under Apache 2.0", "apache-2.0"), ("LGPLv2.1", "lgpl"), ("under the LGPL", "lgpl")):
         assert label in {d[2] for d in licenses.scan(text.encode()).detections}, text
     assert not licenses.scan(b"studied at mit and bsd unix").detections
+
+
+def test_license_clauses_fire_on_their_own_words():
+    """Clauses that hold no operators are their own example; they must be found, under a keyword of theirs."""
+    from quirelane.llm import licenses
+
+    plain = [c for c in licenses._CLAUSES if not set("(?[{|") & set(c[2])]
+    assert len(plain) > 35
+    for label, _, pattern, keywords in plain:
+        assert set(keywords.split("|")) & set(pattern.split())
+        assert label in {d[2] for d in licenses.scan(f"so {pattern} it".encode()).detections}
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("https://creativecommons.org/licenses/by-nc-sa/4.0/", "cc-by-nc-sa"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2.0"),
+        ("Neither the name of the holder nor the names of its contributors may be used to endorse or promote products", "bsd-3-clause"),
+        ("see https://www.gnu.org/licenses/gpl-3.0.html", "gpl-3.0"),
+        ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ],
+)
+def test_license_notices(text, label):
+    from quirelane.llm import licenses
+
+    assert [d[2] for d in licenses.scan(text.encode()).detections] == [label]
+
+
+def test_license_suppression_against_plain_rules():
+    import random
+
+    from quirelane.llm import licenses
+
+    random.seed(4)
+    for _ in range(500):
+        found = [(s := random.randrange(12), s + random.randrange(1, 8), random.randrange(4)) for _ in range(random.randrange(14))]
+        kept = []
+        for s, e, p in sorted(found, key=lambda d: (d[2], d[0] - d[1], d[0])):
+            if not any(a <= s and b >= e for a, b, _ in kept):
+                kept.append((s, e, p))
+        assert sorted(licenses.suppress(found)) == sorted(kept)
