@@ -16,11 +16,11 @@ def glyphs(spark: SparkSession, path: str, password: str = "") -> DataFrame:
     return reader.read_pdf(spark, path, "glyphs", password=password)
 
 
-def lines(glyph: DataFrame) -> DataFrame:
+def lines(glyph: DataFrame, include_invisible: bool = False) -> DataFrame:
     """Lines of glyphs: words by gaps over a quarter of the size, lines by baselines."""
     w = ["glyph_index"]
     before = lambda c: layout.previous(c, PAGE, w)
-    shown = glyph.where("rendering_mode <> 3")
+    shown = glyph if include_invisible else glyph.where("rendering_mode <> 3")
     new_line = (F.abs(F.col("y0") - before("y0")) > 0.5 * F.col("size")) | (F.col("x0") < before("x0") - F.col("size"))
     rows = layout.islands(shown, PAGE, w, new_line, "line_no")
     inside = [*PAGE, "line_no"]
@@ -38,10 +38,10 @@ def lines(glyph: DataFrame) -> DataFrame:
     )
 
 
-def extract_pages(spark: SparkSession, path: str, password: str = "") -> DataFrame:
+def extract_pages(spark: SparkSession, path: str, password: str = "", include_invisible: bool = False) -> DataFrame:
     """(path, page_index, page_text), every page of every file; pages without text are empty."""
     pages = reader.read_pdf(spark, path, "pages", password=password).select(*PAGE)
-    text = lines(glyphs(spark, path, password)).groupBy(*PAGE).agg(layout.ordered_text("\n", "text", "line_no").alias("page_text"))
+    text = lines(glyphs(spark, path, password), include_invisible).groupBy(*PAGE).agg(layout.ordered_text("\n", "text", "line_no").alias("page_text"))
     return pages.join(text, list(PAGE), "left").withColumn("page_text", F.coalesce("page_text", F.lit("")))
 
 

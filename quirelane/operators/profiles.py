@@ -67,6 +67,21 @@ class Profile:
     fields: Mapping[str, Sequence[str]] = field(default_factory=dict)
 
 
+def tuned(options: Mapping[str, bool], tuning: Mapping) -> tuple[dict[str, bool], list[str]]:
+    """(options as a profile tunes them, tunings without effect).
+
+    ``include_invisible`` replaces the option of that name, ``include_headers_footers`` can only switch ``include_headers``
+    and ``include_footers`` on. Nulls change nothing.
+    """
+    out = dict(options)
+    given = {k: v for k, v in tuning.items() if v is not None}
+    if "include_invisible" in given:
+        out["include_invisible"] = bool(given.pop("include_invisible"))
+    if given.pop("include_headers_footers", False):
+        out |= {"include_headers": True, "include_footers": True}
+    return out, sorted(given)
+
+
 def select(signals: DataFrame, profiles: Sequence[Profile], least: float = 0.6) -> DataFrame:
     """Adds profile and profile_confidence: of matching profiles of confidence 0.6 or more, the surest, then the one of
     higher priority, then the first. Profiles are compiled into one projection: no join."""

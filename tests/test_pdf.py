@@ -93,6 +93,33 @@ def test_tables():
     check_full(File(full_pdf()))
 
 
+def test_associated_files():
+    """Files that the catalog associates stand after the embedded ones, by their Unicode names."""
+    objects = [
+        b"<< /Type /Catalog /Pages 2 0 R /AF [3 0 R 5 0 R] /Names << /EmbeddedFiles << /Names [(e.txt) 6 0 R] >> >> >>",
+        b"<< /Type /Pages /Count 0 /Kids [] >>",
+        b"<< /F (x.txt) /UF <FEFF00E9> /AFRelationship /Data /EF << /F 4 0 R >> >>",
+        writer.stream(b"data"),
+        b"<< /F (no file) >>",
+        b"<< /F (e.txt) /EF << /F 7 0 R >> >>",
+        writer.stream(b"inside"),
+    ]
+    assert list(File(writer.assemble(objects)).rows("attachments")) == [("e.txt", 6, "aW5zaWRl", False), ("é", 4, "ZGF0YQ==", False)]
+
+
+def test_invisible_text_by_tuning(spark, tmp_path):
+    from quirelane import api
+    from quirelane.operators import profiles
+
+    (tmp_path / "a.pdf").write_bytes(full_pdf())
+    plain = {"include_invisible": False, "include_headers": False, "include_footers": False}
+    assert profiles.tuned(plain, {"include_invisible": None, "include_headers_footers": False}) == (plain, [])
+    options, without_effect = profiles.tuned(plain, {"include_invisible": True, "include_headers_footers": True, "force_ocr": True})
+    assert options == dict.fromkeys(plain, True) and without_effect == ["force_ocr"]
+    for shown, want in ((False, "Hi\na b"), (options["include_invisible"], "Hi\na b\nx")):
+        assert [r["page_text"] for r in api.extract_pages(spark, str(tmp_path), include_invisible=shown).collect()] == [want]
+
+
 def test_lost_cross_references():
     data = full_pdf()
     broken = data[: data.rfind(b"xref\n0")] + b"trailer << /Root 1 0 R >> startxref 99999999"
