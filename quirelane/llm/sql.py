@@ -22,4 +22,35 @@ SELECT p.page_id, p.host, p.path, f.rule,
 FROM places p LEFT JOIN fits f USING (page_id)
 """
 
-ORACLE_SQL = {"op9_urls": OP9}
+OP13 = r"""
+WITH measured AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), marks AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id
+), failed AS (
+  SELECT m.part, coalesce(k.good, false) AS good, coalesce(k.toxic, false) AS toxic, [
+    len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+    100 * (length(body) - length(regexp_replace(body, '[A-Z]', '', 'g'))) > 2 * length(body), regexp_matches(body, '[#$%&*|]'),
+    coalesce(m.doc_id > min(m.doc_id) OVER (PARTITION BY body), false)] AS fails
+  FROM measured m LEFT JOIN marks k ON m.doc_id = k.doc_id
+), counts AS (
+  SELECT part, good, toxic, fails, count(*) AS n FROM failed GROUP BY ALL
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l), orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.l NOT IN (b.l, c.l, d.l, e.l) AND b.l NOT IN (c.l, d.l, e.l) AND c.l NOT IN (d.l, e.l) AND d.l <> e.l
+), steps AS (
+  SELECT filter_order, step, ascii(substr(filter_order, step, 1)) - 64 AS f, list_transform(range(1, step), lambda i: ascii(substr(filter_order, i::INT, 1)) - 64) AS earlier
+  FROM orders, (SELECT unnest(range(1, 6))::INT AS step)
+), effects AS (
+  SELECT part, filter_order, step, f,
+    coalesce(sum(n) FILTER (NOT fails[f] AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails[f] AND NOT gone), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (fails[f] AND gone), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (fails[f] AND len(list_filter(fails, lambda x: x)) = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n) FILTER (fails[f] AND NOT gone AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (fails[f] AND NOT gone AND toxic), 0)::BIGINT AS toxic_lost
+  FROM (SELECT *, list_bool_or(list_transform(earlier, lambda i: fails[i])) IS TRUE AS gone FROM counts, steps)
+  GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM effects
+"""
+
+ORACLE_SQL = {"op9_urls": OP9, "op13_filters": OP13}
