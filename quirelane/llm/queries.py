@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelane.llm import bpe, filter_audit, knn, licenses, packing, quality, secrets, simhash, toxicity, urlfilter, warc
+from quirelane.llm import bpe, divergence, filter_audit, knn, langid, licenses, packing, quality, secrets, simhash, toxicity, urlfilter, warc
 from quirelane.llm import sql
 from quirelane.llm.common import remove
 from quirelane.session import cut, ship, spread, table
@@ -90,6 +90,18 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(_documents(spark, sf_dir))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return divergence.audit(spread(table(spark, sf_dir, "documents").select("lang", "source", "text")))
+
+
+def op12_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    found = langid.identify(docs, langid.train(docs), keep=["doc_id"])
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op13_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
@@ -104,6 +116,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc, op2_simhash, op3_packing, op4_toxicity, op5_bpe, op6_secrets, op7_topk, op8_quality, op9_urls, op10_licenses, op13_filters, pipeline)
+    for f in (op1_warc, op2_simhash, op3_packing, op4_toxicity, op5_bpe, op6_secrets, op7_topk, op8_quality, op9_urls, op10_licenses, op11_divergence, op12_langid, op13_filters, pipeline)
 }
 ORACLE_SQL: dict[str, str] = dict(sql.ORACLE_SQL)

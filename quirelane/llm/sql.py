@@ -22,6 +22,40 @@ SELECT p.page_id, p.host, p.path, f.rule,
 FROM places p LEFT JOIN fits f USING (page_id)
 """
 
+OP11 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents
+), words AS (
+  SELECT i, lang, source, unnest(regexp_extract_all(body, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT i) >= 10
+), langs AS (
+  SELECT d.lang, coalesce(any_value(k.v), 0)::HUGEINT AS v, coalesce(any_value(k.n), 0)::HUGEINT AS n
+  FROM (SELECT DISTINCT lang FROM docs) d LEFT JOIN (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang) k ON d.lang = k.lang GROUP BY d.lang
+), counts AS (
+  SELECT w.lang, w.source, w.term, count(*) AS n FROM words w JOIN kept k ON w.lang = k.lang AND w.term = k.term GROUP BY ALL
+), groups AS (
+  SELECT g.lang, g.source, l.v, l.n AS lang_n, coalesce(c.n, 0)::HUGEINT AS n FROM (SELECT DISTINCT lang, source FROM docs) g JOIN langs l ON g.lang = l.lang
+  LEFT JOIN (SELECT lang, source, sum(n) AS n FROM counts GROUP BY ALL) c ON g.lang = c.lang AND g.source = c.source
+), shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS times, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (g.n + 2 * g.v) AS p,
+    1 + (1000000000::HUGEINT * (k.n + 2)) // (g.lang_n + 2 * g.v) AS q
+  FROM groups g JOIN kept k ON g.lang = k.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), pairs AS (
+  SELECT g.lang, g.source, h.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) s ON s.lang = g.lang AND s.source = g.source AND s.item = h.source
+), ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', term, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, term))::INTEGER
+  FROM (SELECT lang, source, term, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM shares WHERE times > 0 AND p > q)
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
 OP13 = r"""
 WITH measured AS (
   SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
@@ -53,4 +87,4 @@ WITH measured AS (
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM effects
 """
 
-ORACLE_SQL = {"op9_urls": OP9, "op13_filters": OP13}
+ORACLE_SQL = {"op9_urls": OP9, "op11_divergence": OP11, "op13_filters": OP13}
