@@ -14,7 +14,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -156,6 +157,11 @@ class Model:
         return [self.languages[k] if on else UNKNOWN for k, on in zip(best.tolist(), known.tolist(), strict=True)], np.where(known, score, 0.0)
 
 
+def _bound(ids: int) -> int:
+    """A hash below which about eight samples of so many ids lie; all of them, if there are fewer."""
+    return -(1 << 63) + min((1 << 64) - 1, (8 * SAMPLE << 64) // max(ids, 1))
+
+
 def train(docs: DataFrame) -> Model:
     """A model of at most ``LANGUAGES`` languages, from samples of labelled documents that are not held out.
 
@@ -164,12 +170,16 @@ def train(docs: DataFrame) -> Model:
     give a model without languages. Rows that share an id and a language, and copies that give the same run, count once.
     """
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") > 0) & ~held_out(F.col("doc_id")))
-    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang").collect()  # at most LANGUAGES
+    figures = known.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("doc_id").alias("ids"))
+    most = figures.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()  # at most LANGUAGES
     if not most:
         return Model()
-    names = sorted((r[0] for r in most), key=str.encode)
-    ids = known.where(F.col("lang").isin(names)).select("lang", "doc_id").distinct()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    names = sorted((r["lang"] for r in most), key=str.encode)
+    # the smallest hashes lie below a bound that some eight samples of a language reach, so few ids are ordered
+    place = F.xxhash64("doc_id")
+    low = reduce(or_, ((F.col("lang") == r["lang"]) & (place <= _bound(r["ids"])) for r in most))
+    order = Window.partitionBy("lang").orderBy(place, "doc_id")
+    ids = known.where(low).select("lang", "doc_id").distinct()
     picked = ids.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= SAMPLE).collect()  # at most SAMPLE a language
     picks = docs.sparkSession.createDataFrame([(r["lang"], r["doc_id"], r["turn"]) for r in picked], "lang string, doc_id long, turn int")
     start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - PIECE, F.lit(0)) + 1).cast("int") + 1
