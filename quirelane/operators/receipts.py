@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quirelane.functions import scalars
 from quirelane.functions.geometry import Box
+from quirelane.operators import trees
 
 
 #: Height of the bands of a page in which receipts meet spans.
@@ -38,6 +39,45 @@ def fingerprints(hashes: DataFrame, key: str = "doc_id") -> DataFrame:
     return hashes.groupBy(key).agg(F.sha2(F.concat(F.count("*").cast("string"), F.lit(":"), body), 256).alias("fingerprint"))
 
 
+#: Leads every document fingerprint, and changes when its rule does.
+FINGERPRINT_VERSION = "quirelane-v1"
+#: Bits of the catalog's flags, in order.
+FLAGS = ("is_encrypted", "contains_javascript", "contains_xfa", "has_layers")
+_UNTAGGED = "0" * 64
+
+
+def resource_hashes(resources: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A hash per page of its resolved resources (key, page_index, category, name, body): by category, and by name within it."""
+    entry = F.struct("category", "name", F.sha2("body", 256).alias("h"))
+    rows = F.array_sort(F.collect_list(entry))  # of one page
+    text = F.array_join(F.transform(rows, lambda r: F.concat(r["category"], F.lit("/"), r["name"], F.lit("="), r["h"])), ";")
+    return resources.groupBy(key, "page_index").agg(F.sha2(text, 256).alias("resource_hash"))
+
+
+def geometry_hash(media: Sequence[Column], crop: Sequence[Column], rotate: Column) -> Column:
+    """Of a page's media box, its crop box where it has one (null numbers: none), and its rotation."""
+    number = lambda c: canonical_number(c).cast("string")
+    return F.sha2(F.concat_ws(",", *map(number, media), F.lit("crop"), *map(number, crop), F.lit("rotate"), F.coalesce(rotate, F.lit(0)).cast("string")), 256)
+
+
+def document_fingerprints(pages: DataFrame, structure: DataFrame, catalog: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, fingerprint): a tree of hashes over all that shows in a document, whatever wrote its file.
+
+    ``pages``: (key, page_index, content_hash, resource_hash, geometry_hash); ``structure``: (key, hash) of the structure
+    tree's root, for tagged documents; ``catalog``: (key and the ``FLAGS``). Pages are hashed one by one, then in blocks,
+    so a page that changes is found by its own hash. A document without structure has zeros there, without flags a 0.
+    """
+    page = F.sha2(F.concat("content_hash", F.coalesce("resource_hash", F.lit(_UNTAGGED)), "geometry_hash"), 256)
+    rows = pages.select(key, "page_index", page.alias("page_hash"))
+    number = rows.groupBy(key).agg(F.count("*").cast("string").alias("n_pages"))
+    joined = trees._joined(rows, [key], "page_index", "page_hash")
+    byte = sum((F.coalesce(F.col(f).cast("int"), F.lit(0)) * (1 << i) for i, f in enumerate(FLAGS)), F.lit(0))
+    flags = catalog.select(key, byte.cast("string").alias("flags"))
+    all_of = number.join(joined, key).join(structure.select(key, F.col("hash").alias("tree")), key, "left").join(flags, key, "left")
+    text = F.concat_ws("|", "n_pages", "page_hash", F.coalesce("tree", F.lit(_UNTAGGED)), F.coalesce("flags", F.lit("0")))
+    return all_of.select(key, F.concat(F.lit(f"{FINGERPRINT_VERSION}:"), F.sha2(text, 256)).alias("fingerprint"))
+
+
 def create(spans: DataFrame, prints: DataFrame, version: str = "1.0", key: str = "doc_id") -> DataFrame:
     """A receipt per span: fingerprint, page, box, hash of the text and version."""
     return spans.join(prints, key).select(

@@ -23,4 +23,4 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-from quirelane.plans import document_queries, further_queries, layout_queries, output_queries, pdf_queries, repair_queries, scalar_queries, search_queries, stream_queries  # noqa: E402, F401
+from quirelane.plans import document_queries, further_queries, layout_queries, output_queries, pdf_queries, repair_queries, scalar_queries, search_queries, stream_queries, tree_queries  # noqa: E402, F401
