@@ -64,6 +64,8 @@ class BytePairs:
         self.rank, self.halves, self.merged = {}, {}, {}
         for i, t in ((i, t) for t, i in vocabulary.items() if len(t) == 1):
             self.rank[i] = -1
+        if lacking := set(range(256)) - {self.bytes_of[i][0] for i in self.rank}:
+            raise ValueError(f"{path} has no token for the bytes {sorted(lacking)}")
         for place, merge in enumerate(spec["model"]["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             i, j, ab = vocabulary[a], vocabulary[b], vocabulary[a + b]
@@ -108,7 +110,7 @@ class BytePairs:
             ra, rb = rank[a], rank[b]
             if ra < 0 and rb < 0:
                 break
-            if ra > rb or (ra == rb and False):
+            if ra > rb:
                 # the left token is the later merge: before it, its right half touched the boundary
                 until, strict = ra, True
                 a = halves[a][1]
@@ -187,7 +189,8 @@ def encode_documents(docs: DataFrame, path: str, *, id: str = "doc_id", text: st
     """(id, n_tokens, ids_sha256, decoded_sha256) per text, and with ``ids`` the ids and the decoded text themselves.
 
     Null text counts as empty: no tokens, digests of nothing. Long texts are encoded whole; a row's columns other than
-    id and text are not used.
+    id and text are not used. Bytes that aren't UTF-8 are read as U+FFFD. Repeated rows are encoded alike, and an empty
+    table gives no rows. A vocabulary that lacks a byte is refused.
     """
     schema = extended(docs.select(id).schema, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * ids)
 
@@ -196,7 +199,7 @@ def encode_documents(docs: DataFrame, path: str, *, id: str = "doc_id", text: st
         for b in batches:
             n, sha, back, lists, texts = [], [], [], [], []
             for t in as_bytes(b.column(1)):
-                got = model.encode((t or b"").decode())
+                got = model.encode((t or b"").decode("utf-8", "replace"))
                 decoded = model.decode(got)
                 n.append(len(got) // 4)
                 sha.append(hashlib.sha256(got).hexdigest())

@@ -112,7 +112,10 @@ def _tokens(path: str) -> Tokens:
 
 
 def pieces(docs: DataFrame, path: str, *, size: int, end: int, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, piece, start, length, ids_crc32): each text's ids and ``end``, cut into pieces of ``size`` only if longer."""
+    """(id, piece, start, length, ids_crc32): each text's ids and ``end``, cut into pieces of ``size`` only if longer.
+
+    Bytes that aren't UTF-8 are read as U+FFFD.
+    """
     schema = extended(docs.select(id).schema, "piece int, start long, length long, ids_crc32 long")
     tail = np.array([end], "<u4").tobytes()
 
@@ -121,7 +124,7 @@ def pieces(docs: DataFrame, path: str, *, size: int, end: int, id: str = "doc_id
         for b in batches:
             at, piece, length, crc = [], [], [], []
             for i, t in enumerate(as_bytes(b.column(1))):
-                ids = (encode(t.decode()) if t else b"") + tail
+                ids = (encode(t.decode("utf-8", "replace")) if t else b"") + tail
                 for k, s in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[s : s + 4 * size]
                     at.append(i)

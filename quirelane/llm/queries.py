@@ -65,8 +65,13 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str, ledger: str | None = None) -> DataFrame:
-    """``ledger``: the place of a ledger that earlier runs have written, which is read and appended to; else a new one."""
-    return secrets.digest(secrets.find_stored(_documents(spark, sf_dir), ledger or shared_folder(spark, "ledger")))
+    """``ledger``: the place of a ledger that earlier runs have written, which is read and appended to; else one for this run alone."""
+    place = ledger or shared_folder(spark, "ledger")
+    found = secrets.digest(secrets.find_stored(_documents(spark, sf_dir), place))
+    if ledger is None:
+        found = cut(found)
+        remove(spark, place)
+    return found
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,22 +107,37 @@ def find(docs: DataFrame, ledger: DataFrame | None = None, *, id: str = "doc_id"
     return _paths(docs, whole, id=id, text=text), whole
 
 
-def find_stored(docs: DataFrame, place: str, *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """As ``find``, with a ledger of Parquet files: blobs that it lacks are scanned and appended, then all are joined back.
-
-    ``place`` is a folder that all executors share; it is made if it isn't there. A scan that fails appends nothing.
-    """
+def _appended(docs: DataFrame, place: str, *, id: str, text: str) -> DataFrame:
+    """A stored ledger after the blobs of ``docs`` that it lacked were scanned and appended to it."""
     spark = docs.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(place)
     there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
     ledger = spark.read.schema(LEDGER).parquet(place) if there else None
     scan(docs, ledger, id=id, text=text).write.mode("append").parquet(place)
-    return _paths(docs, spark.read.schema(LEDGER).parquet(place), id=id, text=text)
+    return spark.read.schema(LEDGER).parquet(place)
+
+
+def find_stored(docs: DataFrame, place: str, *, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """As ``find``, with a ledger of Parquet files: blobs that it lacks are scanned and appended, then all are joined back.
+
+    ``place`` is a folder that all executors share; it is made if it isn't there. A scan that fails appends nothing. Two
+    scans at once may both append a blob; a ledger's repeated rows count once.
+    """
+    return _paths(docs, _appended(docs, place, id=id, text=text), id=id, text=text)
+
+
+def _current(ledger: DataFrame) -> DataFrame:
+    """(blob, spans) of the present rules, one row a blob however often the ledger holds it.
+
+    Stored, so that adaptive execution may split a hot blob's paths where they are joined to it.
+    """
+    now = ledger.where(F.col("rule_version") == RULE_VERSION)
+    return cut(now.groupBy("blob").agg(F.min("spans").alias("spans")))
 
 
 def _paths(docs: DataFrame, ledger: DataFrame, *, id: str, text: str) -> DataFrame:
     """(id, blob, spans) for every row of ``docs``."""
-    now = ledger.where(F.col("rule_version") == RULE_VERSION).select(F.col("blob").alias("_blob"), "spans")
+    now = _current(ledger).withColumnRenamed("blob", "_blob")
     paths = _with_blob(docs, id, text).select(F.col("_id").alias(id), "blob")
     return paths.join(now, F.col("blob") == F.col("_blob"), "left").drop("_blob")
 
@@ -163,9 +178,14 @@ def redacted(text: Column, parts: Column, after: Column, mark: str = "[REDACTED]
 BROADCAST_BLOBS = 20_000
 
 
-def redact(docs: DataFrame, *, text: str = "text", id: str = "doc_id", length: str | None = None) -> DataFrame:
-    """``docs`` with the secrets of each text replaced; all rows and columns stay, and ``length`` follows the text."""
-    found = _kept_parts(cut(scan(docs, id=id, text=text).where(F.size("spans") > 0)))
+def redact(docs: DataFrame, *, text: str = "text", id: str = "doc_id", length: str | None = None, ledger: str | None = None) -> DataFrame:
+    """``docs`` with the secrets of each text replaced; all rows and columns stay, and ``length`` follows the text.
+
+    ``ledger``: the place of a stored ledger, as for ``find_stored``; only blobs that it lacks are scanned. Null and empty
+    texts hold no secret; copies are scanned once; no rows give no rows.
+    """
+    spans = scan(docs, id=id, text=text) if ledger is None else _current(_appended(docs, ledger, id=id, text=text))
+    found = _kept_parts(cut(spans.where(F.size("spans") > 0)))
     held = cut(found.select(F.col("blob").alias("__blob"), F.col("parts").alias("__parts"), F.col("after").alias("__after")))
     few = held.agg(F.count("*").alias("n"), F.max(F.size("__parts")).alias("most")).first()
     if few["n"] <= BROADCAST_BLOBS and (few["most"] or 0) <= 100:

@@ -2,6 +2,7 @@
 
 _BASE_RULES = "VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')"
 _WORDS = "casino|bets|poker|slots|spam|link[^a-z0-9/]+farm|ads|adserver|tracker|porn|xxx|malware|phishing|warez"
+_PATHS = "wp[^A-Za-z0-9/]+login|wp[^A-Za-z0-9/]+admin|phpmyadmin|cgi[^A-Za-z0-9/]+bin|trackback|affiliate[^A-Za-z0-9/]+link|adserver|account[^A-Za-z0-9/]+verify"
 
 OP9 = rf"""
 WITH parts AS (
@@ -18,7 +19,7 @@ fits AS (
   GROUP BY page_id
 )
 SELECT p.page_id, p.host, p.path, f.rule,
-  coalesce(f.action, CASE WHEN regexp_matches(p.host, '(^|[^a-z0-9])({_WORDS})([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(f.action, CASE WHEN regexp_matches(p.host, '(^|[^a-z0-9])({_WORDS})([^a-z0-9]|$)') OR regexp_matches(p.path, '(^|[^A-Za-z0-9])(?i:{_PATHS})([^A-Za-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
 FROM places p LEFT JOIN fits f USING (page_id)
 """
 

@@ -33,11 +33,18 @@ class Rule:
     kind: int = PATTERN
 
 
+def _lower(text: str) -> str:
+    """Tokens are those of URLs with A-Z lower-cased, and of no other letter."""
+    return text.translate(str.maketrans(UPPER, LOWER))
+
+
 def host_rule(action: str, host: str, path: str) -> Rule:
-    """Fits ``host`` and its subdomains where the path starts with ``path``."""
+    """Fits ``host``, whose A-Z count as lower case, and its subdomains where the path starts with ``path``, as it is written."""
+    host = _lower(host)
     quoted = re.sub(r"([\\.\[\]{}()*+?^$|])", r"\\\1", host + path)
     # the path's last token may go on in a URL, unless the prefix ends it
-    whole = host + path if re.search("[^a-z0-9]$", path) else host + re.sub("[a-z0-9]+$", "", path)
+    ended = _lower(path)
+    whole = host + ended if re.search("[^a-z0-9]$", ended) else host + re.sub("[a-z0-9]+$", "", ended)
     return Rule(host + path, action, rf"^(?:[^/]*\.)?{quoted}", tuple(t for t in re.split("[^a-z0-9]+", whole) if t), PLAIN)
 
 
@@ -47,6 +54,12 @@ def word_rule(name: str, *words: str) -> Rule:
     return Rule(name, "block", rf"^[^/]*(?<![a-z0-9]){body}(?![a-z0-9])[^/]*(?:/|$)", words)
 
 
+def path_rule(name: str, *words: str) -> Rule:
+    """Blocks paths that hold the words, in either case, side by side and apart from other letters and digits."""
+    body = "[^A-Za-z0-9/]+".join(words)
+    return Rule(name, "block", rf"^[^/]*/(?:.*[^A-Za-z0-9])?(?i:{body})(?![A-Za-z0-9])", words)
+
+
 #: The base rules; of those that fit a URL the longest decides.
 BASE_RULES = [
     host_rule("allow", "org", "/"),
@@ -71,6 +84,14 @@ PATTERN_RULES = [
     word_rule("malware", "malware"),
     word_rule("phishing", "phishing"),
     word_rule("warez", "warez"),
+    path_rule("login", "wp", "login"),
+    path_rule("administration", "wp", "admin"),
+    path_rule("database", "phpmyadmin"),
+    path_rule("scripts", "cgi", "bin"),
+    path_rule("spam-feed", "trackback"),
+    path_rule("affiliates", "affiliate", "link"),
+    path_rule("advertising-path", "adserver"),
+    path_rule("phishing-path", "account", "verify"),
 ]
 
 
@@ -93,8 +114,12 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(_rest(url), "^[^/?#]*([^?#]*)", 1)
 
 
+#: A token that every URL has: rules without a literal token of their own are filed under it, and run on all.
+ANY = "*"
+
+
 def tokens_of(place: Column) -> Column:
-    return F.array_distinct(F.split(ascii_lower(place), "[^a-z0-9]+"))
+    return F.array_append(F.array_distinct(F.split(ascii_lower(place), "[^a-z0-9]+")), ANY)
 
 
 def rule_table(spark: SparkSession, base: list[Rule] | None = None, patterns: list[Rule] | None = None) -> DataFrame:
@@ -108,8 +133,12 @@ def rule_table(spark: SparkSession, base: list[Rule] | None = None, patterns: li
 
 
 def index(rules: DataFrame, urls: DataFrame, place: Column) -> DataFrame:
-    """(token, number, pattern): each rule under the token that fewest of the URLs hold, ties to the longer token."""
-    filed = rules.select(F.explode(F.array_distinct("tokens")).alias("token"), "number", "pattern")
+    """(token, number, pattern): each rule under the token that fewest of the URLs hold, ties to the longer token.
+
+    Tokens count in lower case; a rule without any is filed under ``ANY``, so none is lost.
+    """
+    own = F.array_distinct(F.filter(F.transform(F.coalesce("tokens", F.array().cast("array<string>")), ascii_lower), lambda t: t.isNotNull() & (t != "")))
+    filed = rules.select(F.explode(F.when(F.size(own) > 0, own).otherwise(F.array(F.lit(ANY)))).alias("token"), "number", "pattern")
     wanted = filed.select(F.col("token").alias("_token")).distinct()
     held = urls.select(F.explode(tokens_of(place)).alias("token")).groupBy("token").count()
     counts = held.join(wanted, F.col("token") == F.col("_token")).select("_token", "count")

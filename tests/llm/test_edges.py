@@ -737,3 +737,68 @@ def test_license_suppression_against_plain_rules():
             if not any(a <= s and b >= e for a, b, _ in kept):
                 kept.append((s, e, p))
         assert sorted(licenses.suppress(found)) == sorted(kept)
+
+
+def test_url_rules_are_never_lost(spark):
+    """Upper case in hosts and paths, and rules without an ASCII token, against trying each rule on each URL."""
+    import re
+
+    rules = [urlfilter.host_rule("block", "com", "/Es/"), urlfilter.host_rule("block", "Example.ORG", "/A1b"), urlfilter.host_rule("block", "пример.рф", "/"), urlfilter.host_rule("block", "é", "/ü/"), urlfilter.host_rule("allow", "NET", "")]
+    patterns = [urlfilter.Rule("odd", "block", "^[^/]*—", ()), urlfilter.Rule("upper", "block", "Shop", ("SHOP",)), urlfilter.path_rule("login", "wp", "login")]
+    hosts = ["a.com", "com", "EXAMPLE.org", "x.example.org", "пример.рф", "a.пример.рф", "é", "b.é", "a.net", "odd—host", "xcom", "s.info"]
+    paths = ["", "/", "/Es/x", "/es/x", "/A1bc", "/a1b", "/ü/", "/ü", "/Shop", "/shop/", "/x/Wp-Login.php", "/wp-logins"]
+    urls = [f"http://{h}{p}" for h in hosts for p in paths]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlfilter.judge(df, rules=urlfilter.rule_table(spark, rules, patterns)).collect()}
+    ordered = sorted(rules, key=lambda r: -len(r.name))
+    hit = set()
+    for i, u in enumerate(urls):
+        host, path = re.match("http://([^/]*)(.*)", u).groups()
+        place = "".join(c.lower() if c.isascii() else c for c in host) + path
+        best = next((r for r in ordered if re.search(r.pattern, place)), None)
+        other = next((r for r in patterns if re.search(r.pattern, place)), None)
+        assert got[i] == ((best.name, best.action) if best else (None, "block" if other else "allow")), u
+        hit |= {best.name if best else None, other and not best and other.name}
+    assert hit >= {"com/Es/", "example.org/A1b", "пример.рф/", "é/ü/", "net", "odd", "upper", "login"}
+
+
+def test_repeated_ledger_rows(spark, tmp_path):
+    """A blob that two scans have appended gives one row a path; redaction reads and extends the same ledger."""
+    place = f"file://{tmp_path}/ledger"
+    docs = spark.createDataFrame([(1, "x token=abcdef y", 16), (2, "plain", 5), (3, "x token=abcdef y", 16)], "doc_id long, text string, n_chars long")
+    once = sorted(map(tuple, secrets.digest(secrets.find_stored(docs, place)).collect()))
+    spark.read.parquet(place).write.mode("append").parquet(f"{place}-twice")
+    spark.read.parquet(place).write.mode("append").parquet(f"{place}-twice")
+    assert sorted(map(tuple, secrets.digest(secrets.find_stored(docs, f"{place}-twice")).collect())) == once and len(once) == 3
+    got = sorted((r["doc_id"], r["text"], r["n_chars"]) for r in secrets.redact(docs, length="n_chars", ledger=f"{place}-twice").collect())
+    assert got == [(1, "x [REDACTED] y", 14), (2, "plain", 5), (3, "x [REDACTED] y", 14)]
+    assert spark.read.parquet(f"{place}-twice").count() == 4
+    more = spark.createDataFrame([(9, "secret=ghijkl", 13), (2, "plain", 5)], "doc_id long, text string, n_chars long")
+    assert {r["text"] for r in secrets.redact(more, ledger=f"{place}-twice").collect()} == {"[REDACTED]", "plain"}
+    assert spark.read.parquet(f"{place}-twice").count() == 5
+
+
+def test_bytes_that_are_not_utf8(spark):
+    """They are read as U+FFFD, and fail no operator."""
+    from quirelane.llm import divergence, filter_audit, langid
+
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.unhex(F.lit("61FF6220C3")).cast("string").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    want = Tokenizer.from_file(BYTE).encode("a�b �", add_special_tokens=False).ids
+    assert list(bpe.encode_documents(docs, BYTE, ids=True).first()["ids"]) == want
+    assert packing.pack_documents(docs, WORD).first()["length"] == len(Tokenizer.from_file(WORD).encode("a�b �", add_special_tokens=False).ids) + 1
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert filter_audit.audit(docs, labels).count() == 600 and divergence.audit(docs).count() == 0
+    assert langid.identify(docs, langid.train(docs), keep=["doc_id"]).count() == 1
+    assert quality.judge(docs, quality.fit(docs, labels), keep=["doc_id"]).count() == 1
+
+
+def test_vocabulary_without_a_byte(tmp_path):
+    import json
+
+    spec = json.loads(open(BYTE, encoding="utf-8").read())
+    gone = next(t for t in spec["model"]["vocab"] if len(t) == 1 and t == "Q")
+    del spec["model"]["vocab"][gone]
+    spec["model"]["merges"] = []
+    (tmp_path / "v.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="81"):
+        bpe.BytePairs(str(tmp_path / "v.json"))
