@@ -7,9 +7,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, StructField
+
+from quirelane.operators.groups import folded
+from quirelane.session import cut
 
 # Standard structure types and the block kinds that they stand for.
 KINDS = {
@@ -33,46 +36,80 @@ def shown_kinds(blocks: DataFrame, hidden: Sequence[str]) -> DataFrame:
     return blocks.where(~F.col("kind").isin(*hidden)) if hidden else blocks
 
 
-def docstrum(blocks: DataFrame, keys: Sequence[str] = ("doc_id", "page_index"), k: int = 5, degrees: float = 30.0) -> DataFrame:
-    """Adds reading_order: a walk over each block's five nearest neighbours, to the right and below within 30 degrees.
+def neighbours(blocks: DataFrame, keys: Sequence[str] = ("doc_id", "page_index"), index: str = "block_index", k: int = 5) -> DataFrame:
+    """(keys, index, other, dx, dy, gap): each block's ``k`` nearest of its page by their centres, ties to the smaller index.
 
-    Roots are blocks that no edge leads to, from the top down. The walk depends on all of a page's blocks, a bounded
-    group; distances are one matrix of them.
+    Centres lie in a grid whose cells a page's own density sizes; a block meets those of the nine cells around it that are
+    within a cell's side. Blocks that find too few look again in cells of twice the side, so no page is ever met whole
+    unless it has few blocks, and the nearest are exact.
+    """
+    keys = list(keys)
+    centre = blocks.select(*keys, index, ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
+    spread = lambda c: F.max(c) - F.min(c) + 1
+    page = centre.groupBy(*keys).agg(F.count("*").alias("n"), (spread("cx") * spread("cy")).alias("area"))
+    page = page.where("n > 1").withColumn("side", F.sqrt(F.col("area") * k / F.col("n"))).drop("area")
+    points = cut(centre.join(page, keys))
+    pending, found, side, offsets = points, [], F.col("side"), F.array(*(F.lit(i) for i in (-1, 0, 1)))
+    for turn in range(64):
+        reach = side * (1 << turn)
+        cell = lambda c: F.floor(F.col(c) / reach)  # noqa: E731, B023
+        own = pending.withColumn("gx", F.explode(F.transform(offsets, lambda i: cell("cx") + i))).withColumn("gy", F.explode(F.transform(offsets, lambda i: cell("cy") + i)))
+        there = points.select(*keys, F.col(index).alias("other"), F.col("cx").alias("ox"), F.col("cy").alias("oy"), cell("cx").alias("gx"), cell("cy").alias("gy"))
+        gap = F.sqrt((F.col("ox") - F.col("cx")) ** 2 + (F.col("oy") - F.col("cy")) ** 2)
+        met = own.join(there, [*keys, "gx", "gy"]).where(F.col(index) != F.col("other")).withColumn("gap", gap).where(F.col("gap") <= reach)
+        rank = F.row_number().over(Window.partitionBy(*keys, index).orderBy("gap", "other"))
+        near = cut(met.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("enough", F.least(F.lit(k), F.col("n") - 1)))
+        done = near.groupBy(*keys, index).agg((F.count("*") == F.first("enough")).alias("full")).where("full").select(*keys, index)
+        found.append(near.join(done, [*keys, index], "left_semi").select(*keys, index, "other", (F.col("ox") - F.col("cx")).alias("dx"), (F.col("oy") - F.col("cy")).alias("dy"), "gap", "cy", "ox", "oy"))
+        pending = cut(pending.join(done, [*keys, index], "left_anti"))
+        if not pending.limit(1).count():
+            break
+    out = found[0]
+    for df in found[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def docstrum(blocks: DataFrame, keys: Sequence[str] = ("doc_id", "page_index"), index: str = "block_index", k: int = 5, degrees: float = 30.0) -> DataFrame:
+    """Adds reading_order: a walk over each block's nearest neighbours to its right, or above and below, within 30 degrees.
+
+    Roots are blocks to which no edge leads from above, by columns of 100 points, then from the top; a block's neighbours
+    are visited from the top, then from the left. Only the walk itself goes over a page's blocks one by one.
     """
-    limit = math.radians(degrees)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = ((pdf[a] + pdf[b]).to_numpy() / 2 for a, b in (("x0", "x1"), ("y0", "y1")))
-        n = len(pdf)
-        dx, dy = x[None, :] - x[:, None], y[:, None] - y[None, :]  # to the right and downward
-        gap = np.hypot(dx, dy)
-        np.fill_diagonal(gap, np.inf)
-        follow: list[list[int]] = [[] for _ in range(n)]
-        led = np.zeros(n, bool)
-        for i in range(n):
-            for j in np.argsort(gap[i], kind="stable")[:k]:
-                if not np.isfinite(gap[i, j]):
-                    continue
-                angle = math.atan2(dy[i, j], dx[i, j])
-                if abs(angle) <= limit or abs(angle - math.pi / 2) <= limit:
-                    follow[i].append(int(j))
-                    led[j] = True
-        top = sorted(range(n), key=lambda i: (-y[i], x[i]))
-        order, seen = [], set()
-        for root in [i for i in top if not led[i]] + top:
-            todo = [root]
-            while todo:
-                i = todo.pop()
-                if i in seen:
-                    continue
+    keys, slope = list(keys), math.tan(math.radians(degrees))
+    dx, dy = F.col("dx"), F.col("dy")
+    edge = F.when(F.abs(dy) < F.abs(dx), (dx > 0) & (F.abs(dy) <= slope * dx)).otherwise((dy != 0) & (F.abs(dx) <= slope * F.abs(dy)))
+    edges = cut(neighbours(blocks, keys, index, k).where(edge))
+    target = F.array_sort(F.collect_list(F.struct((-F.col("oy")).alias("down"), F.col("ox").alias("x"), F.col("other"))))  # k at most
+    follow = edges.groupBy(*keys, index).agg(F.transform(target, lambda t: t["other"]).alias("__follow"))
+    led = edges.where(dy < 0).select(*keys, F.col("other").alias(index), F.lit(True).alias("__led")).distinct()
+    rows = blocks.join(follow, [*keys, index], "left").join(led, [*keys, index], "left")
+    column, height = F.floor((F.col("x0") + F.col("x1")) / 200), -(F.col("y0") + F.col("y1"))
+
+    def fold(frame: pd.DataFrame, first: np.ndarray) -> np.ndarray:
+        """Rows of a page come in the order in which roots are taken."""
+        order = np.empty(len(frame), np.int32)
+        edges_at = [*np.flatnonzero(first).tolist(), len(frame)]
+        names, follow, led = frame[index].tolist(), frame["__follow"].tolist(), frame["__led"].eq(True).tolist()
+        for s, e in zip(edges_at, edges_at[1:], strict=False):
+            place = {names[i]: i for i in range(s, e)}
+            seen: set[int] = set()
+            for root in [i for i in range(s, e) if not led[i]] or range(s, e):
+                todo = [root]
+                while todo:
+                    i = todo.pop()
+                    if i not in seen:
+                        order[i] = len(seen)
+                        seen.add(i)
+                        if follow[i] is not None:
+                            todo += [place[j] for j in reversed(list(follow[i]))]
+            for i in sorted(set(range(s, e)) - seen, key=names.__getitem__):  # what no root reaches
+                order[i] = len(seen)
                 seen.add(i)
-                order.append(i)
-                todo += sorted((j for j in follow[i] if j not in seen), key=lambda j: (abs(math.atan2(dy[i, j], dx[i, j])) > limit, gap[i, j]), reverse=True)
-        out = pdf.iloc[order].copy()
-        out["reading_order"] = range(n)
-        return out
+        return order
 
-    return blocks.groupBy(*keys).applyInPandas(fold, StructType([*blocks.schema.fields, StructField("reading_order", IntegerType())]))
+    out = folded(rows, keys, [column, height, index], fold, StructField("reading_order", IntegerType()))
+    return out.select(*blocks.columns, "reading_order")
 
 
 def assembled(cells: DataFrame, keys: Sequence[str] = ("doc_id", "page_index")) -> DataFrame:

@@ -31,12 +31,22 @@ def merge_segments(segments: DataFrame, keys: Sequence[str] = (*PAGE, "orientati
     return s.groupBy(*keys, "__run").agg(F.min("pos").alias("pos"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("__run", "bucket")
 
 
+#: Sides of the cells of a page in which horizontal and vertical segments meet.
+CELL = 72.0
+
+
 def intersections(segments: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
-    """Points at which a horizontal and a vertical segment meet, with a point's slack; equal to a tenth: one point."""
-    h = segments.where("orientation = 'h'").select(*keys, F.col("pos").alias("y"), F.col("lo").alias("hx0"), F.col("hi").alias("hx1"))
-    v = segments.where("orientation = 'v'").select(*keys, F.col("pos").alias("x"), F.col("lo").alias("vy0"), F.col("hi").alias("vy1"))
+    """Points at which a horizontal and a vertical segment meet, with a point's slack; equal to a tenth: one point.
+
+    A vertical segment is filed under its column of cells and each row that it crosses, a horizontal one under its row and
+    each column; two meet in the one cell of their crossing, so segments of other parts of a page are never compared.
+    """
+    cell = lambda c: F.floor(c / CELL).cast("int")
+    over = lambda: F.explode(F.sequence(cell(F.col("lo") - SLACK), cell(F.greatest("lo", "hi") + SLACK)))
+    h = segments.where("orientation = 'h'").select(*keys, F.col("pos").alias("y"), F.col("lo").alias("hx0"), F.col("hi").alias("hx1"), over().alias("__cx"), cell(F.col("pos")).alias("__cy"))
+    v = segments.where("orientation = 'v'").select(*keys, F.col("pos").alias("x"), F.col("lo").alias("vy0"), F.col("hi").alias("vy1"), cell(F.col("pos")).alias("__cx"), over().alias("__cy"))
     meet = (F.col("x") >= F.col("hx0") - SLACK) & (F.col("x") <= F.col("hx1") + SLACK) & (F.col("y") >= F.col("vy0") - SLACK) & (F.col("y") <= F.col("vy1") + SLACK)
-    return h.join(v, list(keys)).where(meet).select(*keys, F.round("x", 1).alias("x"), F.round("y", 1).alias("y")).distinct()
+    return h.join(v, [*keys, "__cx", "__cy"]).where(meet).select(*keys, F.round("x", 1).alias("x"), F.round("y", 1).alias("y")).distinct()
 
 
 def grids(points: DataFrame, keys: Sequence[str] = PAGE, least_cells: int = 4) -> DataFrame:
@@ -116,6 +126,36 @@ def borderless(clustered: DataFrame, keys: Sequence[str] = PAGE, least_spans: in
     return n_rows.join(n_cols, list(keys)).where((F.col("n_rows") >= least_rows) & (F.col("n_columns") >= least_columns))
 
 
+def borderless_grids(clustered: DataFrame, keys: Sequence[str] = PAGE, least_spans: int = 3, least_columns: int = 3, least_rows: int = 3, most_gap: float = 100.0) -> DataFrame:
+    """(keys, grid, x0, y0, x1, y1, xs, ys): tables without rules, from the top of each page.
+
+    Columns are clusters of three spans or more, at their leftmost start. Heights count to two points; a row is one that two
+    columns share. Rows that are over 100 points apart belong to different tables; a table's ys are all heights of spans
+    from its first row to its last. A page of which some column has most of its spans beside no other column is running
+    text, and has none.
+    """
+    keys = list(keys)
+    spans = clustered.select(*keys, "cluster", "x0", "y0", F.round(F.col("y0") / 2).cast("int").alias("__y"))
+    cols = spans.groupBy(*keys, "cluster").agg(F.count("*").alias("__n"), F.min("x0").alias("__x")).where(F.col("__n") >= least_spans)
+    held = spans.join(cols, [*keys, "cluster"])
+    rows = held.groupBy(*keys, "__y").agg((F.count_distinct("cluster") >= 2).alias("__row")).where("__row")
+    aligned = held.join(rows, [*keys, "__y"], "left").groupBy(*keys, "cluster").agg(F.count_if("__row").alias("__a"), F.count("*").alias("__n"), F.first("__x").alias("__x"))
+    page = aligned.groupBy(*keys).agg(F.bool_or(F.col("__a") * 2 < F.col("__n")).alias("__text"), F.array_sort(F.collect_set("__x")).alias("xs"), F.count("*").alias("__columns"))
+    page = page.where(~F.col("__text") & (F.col("__columns") >= least_columns))
+    down = Window.partitionBy(*keys).orderBy(F.desc("__y"))
+    far = F.coalesce((F.lag("__y").over(down) - F.col("__y")) * 2 > most_gap, F.lit(False)).cast("int")
+    ranges = rows.withColumn("__far", far).withColumn("grid", F.sum("__far").over(down.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    per = ranges.groupBy(*keys, "grid").agg(F.max("__y").alias("top"), F.min("__y").alias("bottom"), F.count("*").alias("__rows"))
+    # a page's ranges lie 100 points apart, so they are few
+    listed = per.groupBy(*keys).agg(F.collect_list(F.struct("grid", "top", "bottom")).alias("__ranges"), F.sum("__rows").alias("__all")).where(F.col("__all") >= least_rows).drop("__all")
+    inside = F.filter("__ranges", lambda r: (F.col("y0") <= r["top"] * 2) & (F.col("y0") >= r["bottom"] * 2))
+    found = spans.join(page.join(listed, keys), keys).select(*keys, "xs", F.explode(inside).alias("__r"), "__y").groupBy(*keys, F.col("__r.grid").alias("grid")).agg(
+        F.first("xs").alias("xs"), F.transform(F.sort_array(F.collect_set("__y"), asc=False), lambda y: (y * 2).cast("double")).alias("ys")
+    )
+    found = found.where(F.size("ys") >= least_rows)
+    return found.select(*keys, "grid", F.array_min("xs").alias("x0"), F.array_min("ys").alias("y0"), F.array_max("xs").alias("x1"), F.array_max("ys").alias("y1"), "xs", "ys")
+
+
 def column_rmse(a: Column, b: Column) -> Column:
     """Root of the mean squared difference of two lists of edges of one length."""
     squares = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quirelane.functions import geometry, scalars
-from quirelane.operators import blocks, documents, ocr, page_class, profiles, quality, search, tables
+from quirelane.operators import blocks, documents, ocr, page_class, profiles, quality, reading, search, tables
 from quirelane.plans.registry import register
 from quirelane.plans.sqlparts import LINES, WORDS
 from quirelane.session import spread, table
@@ -481,6 +481,39 @@ def borderless_tables(spark, sf_dir):
     return tables.borderless(tables.anchored_clusters(virtual_pages.words(_docs(spark, sf_dir)).drop("rendering_mode")))
 
 
+_SPACED = f"""{WORDS}, spaced AS (SELECT doc_id, page_index, x0, y0 - 100 * (row_no // 20) AS y0 FROM words WHERE line_no % 50 < 45),
+  cols AS (SELECT doc_id, page_index, x0, count(*) AS n FROM spaced GROUP BY ALL HAVING count(*) >= 3), held AS (SELECT s.*, round(s.y0 / 2)::INT AS y FROM spaced s JOIN cols USING (doc_id, page_index, x0)),
+  rw AS (SELECT doc_id, page_index, y FROM held GROUP BY ALL HAVING count(DISTINCT x0) >= 2),
+  al AS (SELECT h.doc_id, h.page_index, h.x0, count(r.y) AS a, count(*) AS n FROM held h LEFT JOIN rw r ON h.doc_id = r.doc_id AND h.page_index = r.page_index AND h.y = r.y GROUP BY ALL),
+  pg AS (SELECT doc_id, page_index, list_sort(list(x0)) AS xs FROM al GROUP BY ALL HAVING count(*) >= 3 AND NOT bool_or(a * 2 < n)),
+  far AS (SELECT *, coalesce((lag(y) OVER w - y) * 2 > 100, false)::INT AS far FROM rw WINDOW w AS (PARTITION BY doc_id, page_index ORDER BY y DESC)),
+  rg AS (SELECT *, (sum(far) OVER (PARTITION BY doc_id, page_index ORDER BY y DESC))::INT AS grid, count(*) OVER (PARTITION BY doc_id, page_index) AS n FROM far),
+  per AS (SELECT doc_id, page_index, grid, max(y) * 2 AS top, min(y) * 2 AS bottom FROM rg WHERE n >= 3 GROUP BY ALL),
+  inside AS (SELECT DISTINCT p.doc_id, p.page_index, p.grid, round(s.y0 / 2)::INT * 2.0 AS y FROM per p JOIN spaced s ON s.doc_id = p.doc_id AND s.page_index = p.page_index AND s.y0 BETWEEN p.bottom AND p.top)"""
+
+
+@register(
+    "borderless_grids",
+    f"""WITH {_SPACED} SELECT i.doc_id, i.page_index, i.grid, any_value(pg.xs[1]) AS x0, min(i.y)::DOUBLE AS y0, any_value(pg.xs[-1]) AS x1, max(i.y)::DOUBLE AS y1, any_value(len(pg.xs))::INT AS n_columns, count(*)::INT AS n_rows
+    FROM inside i JOIN pg ON i.doc_id = pg.doc_id AND i.page_index = pg.page_index GROUP BY ALL HAVING count(*) >= 3""",
+)
+def borderless_grids(spark, sf_dir):
+    """Words as aligned text, with a gap of 100 points after every twentieth line; starts are six points apart, so clusters are starts in SQL."""
+    w = virtual_pages.words(_docs(spark, sf_dir)).where("line_no % 50 < 45").drop("rendering_mode")
+    w = w.withColumn("y0", F.col("y0") - 100 * F.floor(F.col("row_no") / 20))
+    found = tables.borderless_grids(tables.anchored_clusters(w))
+    return found.select("doc_id", "page_index", "grid", "x0", "y0", "x1", "y1", F.size("xs").alias("n_columns"), F.size("ys").alias("n_rows"))
+
+
+@register("docstrum_order")
+def docstrum_order(spark, sf_dir):
+    """Lines of each page, dealt to two columns of uneven width, in the order of nearest neighbours."""
+    n = F.col("row_no")
+    left = F.when(n % 3 == 2, F.lit(330.0)).otherwise(F.lit(60.0))
+    blocks_ = _lines(spark, sf_dir).select("doc_id", "page_index", n.alias("block_index"), left.alias("x0"), (left + 20 + F.char_length("text") % 200).alias("x1"), (F.lit(740.0) - 14 * n).alias("y0"), (F.lit(750.0) - 14 * n).alias("y1"))
+    return reading.docstrum(blocks_).select("doc_id", "page_index", "block_index", "reading_order")
+
+
 # ---- forms, links, labels, layers, structure
 
 

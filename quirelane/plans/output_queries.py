@@ -8,7 +8,8 @@ from quirelane.operators import compare, receipts, serialise
 from quirelane.plans.registry import register
 from quirelane.plans.sqlparts import LINES
 from quirelane.session import spread, table
-from quirelane.sources import virtual_pages
+from quirelane.sources import sinks, virtual_pages
+from quirelane.streaming.frames import shared_folder
 
 
 def _lines(spark, sf_dir):
@@ -249,3 +250,17 @@ _BOUNDS = (1, 5, 10, 25, 50, 100, 250, 500, 1000)
 def duration_histogram(spark, sf_dir):
     v = F.col("o_totalprice") / 1000
     return table(spark, sf_dir, "orders").agg(*(F.count_if(v <= b).alias(f"le_{b}") for b in _BOUNDS), F.count("*").alias("le_inf"))
+
+
+@register(
+    "committed_outputs",
+    f"""WITH {LINES}, p AS (SELECT doc_id, page_index, string_agg(text, chr(10) ORDER BY line_no) AS t FROM lines GROUP BY ALL), d AS (SELECT doc_id, string_agg(t, chr(12) ORDER BY page_index) AS t, string_agg('# ' || t, chr(12) ORDER BY page_index) AS m FROM p GROUP BY doc_id)
+    SELECT 'text' AS output, doc_id, md5(t) AS h FROM d UNION ALL SELECT 'markdown', doc_id, md5(m) FROM d""",
+)
+def committed_outputs(spark, sf_dir):
+    """Texts and Markdown of all documents, written by one job, shown by one rename and read back."""
+    pages = virtual_pages.page_texts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "page_text")
+    folder = shared_folder(spark, "outputs")
+    sinks.write_set(pages.withColumn("markdown", F.concat(F.lit("# "), "page_text")), ["text", "markdown"], folder)
+    read = lambda name: spark.read.parquet(f"{folder}/{name}").select(F.lit(name).alias("output"), "doc_id", F.md5("value").alias("h"))
+    return read("text").unionByName(read("markdown"))

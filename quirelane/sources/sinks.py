@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirelane.operators import serialise
+from quirelane.sources import commit
 from quirelane.streaming.frames import to_frames
 
 FORMATS = ("json", "markdown", "text", "ndjson")
@@ -49,6 +50,12 @@ def write_all(pages: DataFrame, targets: Sequence[tuple[str, str]], key: str = "
             held.unpersist()
 
 
+def write_set(pages: DataFrame, formats: Sequence[str], folder: str, key: str = "doc_id", *, overwrite: bool = False) -> None:
+    """Documents in several formats, each a Parquet table of (key, value) below ``folder``, which is shown whole or not at all."""
+    check_outputs([(f, f"{folder}/{f}") for f in formats])
+    commit.write_together({f: rendered(pages, f, key).select(key, "value") for f in formats}, folder, overwrite=overwrite)
+
+
 def match_events(matches: DataFrame, *columns: str) -> DataFrame:
     """A JSON line per match."""
     return matches.select(F.to_json(F.struct(F.lit("match").alias("event"), *columns)).alias("value"))
