@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quirelane.operators import compare, receipts, serialise
+from quirelane.operators import cache_store, compare, receipts, serialise
 from quirelane.plans.registry import register
 from quirelane.plans.sqlparts import LINES
 from quirelane.session import spread, table
@@ -264,3 +264,22 @@ def committed_outputs(spark, sf_dir):
     sinks.write_set(pages.withColumn("markdown", F.concat(F.lit("# "), "page_text")), ["text", "markdown"], folder)
     read = lambda name: spark.read.parquet(f"{folder}/{name}").select(F.lit(name).alias("output"), "doc_id", F.md5("value").alias("h"))
     return read("text").unionByName(read("markdown"))
+
+
+@register(
+    "cache_store",
+    """WITH p AS (SELECT p_partkey AS cache_key, 100 + p_size AS bytes, CASE WHEN p_partkey % 2 = 0 THEN 2 WHEN p_partkey % 3 = 0 THEN 1 END AS touched FROM part),
+    e AS (SELECT *, sum(bytes) OVER (ORDER BY touched, cache_key) - bytes AS before, sum(bytes) OVER () AS total, 60 * (SELECT count(*) FROM part) AS most FROM p WHERE touched IS NOT NULL),
+    gone AS (SELECT cache_key FROM e WHERE total > most AND before < total - (most * 4) // 5)
+    SELECT cache_key, bytes * 2 AS result, CASE WHEN touched IS NOT NULL AND cache_key NOT IN (SELECT cache_key FROM gone) THEN 'hit' ELSE 'miss' END AS status FROM p""",
+)
+def stored_cache(spark, sf_dir):
+    """Two runs fill a store, an eviction takes what was touched longest ago, and a third run asks for everything."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cache_key"), (F.lit(100) + F.col("p_size")).cast("long").alias("bytes"))
+    compute = lambda df: df.select("cache_key", (F.col("bytes") * 2).alias("result"), "bytes")
+    store = cache_store.CacheStore(spark, shared_folder(spark, "cache"), "result long", "long")
+    at = lambda day: F.lit(f"2030-01-0{day}").cast("timestamp")
+    for day, n in ((1, 3), (2, 2)):
+        store.read_through(parts.where(F.col("cache_key") % n == 0), compute, at(day))
+    store.evict(60 * parts.count())
+    return store.read_through(parts, compute, at(3))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quirelane.functions import scalars
-from quirelane.operators import diagnostics, glyphs, merged_cells, ocr, repair, tables
+from quirelane.operators import codespace, diagnostics, glyphs, merged_cells, ocr, repair, tables
 from quirelane.plans.registry import register
 from quirelane.plans.sqlparts import LINES
-from quirelane.session import table
+from quirelane.session import spread, table
 from quirelane.sources import sinks, virtual_pages
 
 
@@ -157,3 +157,20 @@ def unmapped_glyphs(spark, sf_dir):
     m = F.concat(F.lit("unmapped glyph font=F"), n.cast("string"), F.lit(" code=0x"), F.hex(n * 10), F.lit(" page="), F.col("l_suppkey").cast("string"))
     d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", diagnostics.unmapped_glyph(m).alias("g"))
     return d.select("l_orderkey", "l_linenumber", "g.font", "g.code", "g.page")
+
+
+_FONTS = [("utf8", "00", "7F"), ("utf8", "C280", "DFBF"), ("utf8", "E08080", "EFBFBF"), ("utf8", "F0808080", "F7BFBFBF"), ("plain", "00", "7F"), ("pairs", "0000", "FFFF")]
+
+
+@register(
+    "codespace_codes",
+    """WITH d AS (SELECT doc_id, doc_id % 4 AS f, length(text) AS n, strlen(text) AS b, length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) AS plain FROM documents)
+    SELECT doc_id, CASE f WHEN 0 THEN n WHEN 2 THEN (b + 1) // 2 ELSE b END::BIGINT AS n_codes, CASE f WHEN 1 THEN b - plain WHEN 2 THEN b % 2 ELSE 0 END::BIGINT AS n_unknown FROM d""",
+)
+def codespace_codes(spark, sf_dir):
+    """Texts as strings of four fonts: UTF-8's own ranges, ASCII alone, pairs of bytes, and none."""
+    kind = F.element_at(F.array(*(F.lit(x) for x in ("utf8", "plain", "pairs", "none"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    strings = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", kind.alias("font"), F.encode("text", "UTF-8").alias("bytes"))
+    ranges = spark.createDataFrame([(f, bytes.fromhex(lo), bytes.fromhex(hi)) for f, lo, hi in _FONTS], "font string, lo binary, hi binary")
+    got = codespace.tokenised(strings, ranges)
+    return got.select("doc_id", F.size("codes").cast("long").alias("n_codes"), F.size(F.filter("unknown", lambda u: u)).cast("long").alias("n_unknown"))
