@@ -75,16 +75,23 @@ def search_text(spark: SparkSession, path: str, pattern: str, literal: bool = Fa
 
 
 def classify_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(path, page_index, page_class, class_confidence) by signals of text and images."""
+    """(path, page_index, page_class, class_confidence, hybrid_cells) by signals of text and images.
+
+    Glyphs and images are also counted in the cells of an 8 x 8 grid: a page with ten cells of text and ten of image alone
+    is hybrid, and ``hybrid_cells`` are the scanned ones, which a recogniser should read. The share of characters that were
+    extracted stands for the density; no other count of those to be expected is known.
+    """
     pages = reader.read_pdf(spark, path, "pages")
     area = F.greatest(F.col("x1") - F.col("x0"), F.lit(0.0)) * F.greatest(F.col("y1") - F.col("y0"), F.lit(0.0))
-    img = reader.read_pdf(spark, path, "images").groupBy(*PAGE).agg(F.sum(area).alias("area"), F.max(area).alias("largest"))
-    g = glyphs(spark, path).groupBy(*PAGE).agg(F.count("*").alias("chars"), F.count_if(F.col("confidence") > 0).alias("valid_chars"))
-    j = cut(pages.join(img, list(PAGE), "left").join(g, list(PAGE), "left").na.fill(0))
+    images, glyph = cut(reader.read_pdf(spark, path, "images")), cut(glyphs(spark, path).select(*PAGE, "x0", "y0", "x1", "y1", (F.col("confidence") > 0).alias("valid")))
+    img = images.groupBy(*PAGE).agg(F.sum(area).alias("area"), F.max(area).alias("largest"))
+    g = glyph.groupBy(*PAGE).agg(F.count("*").alias("chars"), F.count_if("valid").alias("valid_chars"))
+    grid = page_class.grid_counts(page_class.grid_cells(pages, glyph, images, PAGE), PAGE)
+    j = cut(pages.join(img, list(PAGE), "left").join(g, list(PAGE), "left").join(grid, list(PAGE), "left").na.fill(0))
     whole = F.col("width") * F.col("height")
     return page_class.classify(
-        j.withColumns({"page_area": whole, "image_share": F.least(F.lit(1.0), F.col("area") / whole), "full_page_image": F.col("largest") / whole >= 0.95, "vector_cells": F.lit(0), "scanned_cells": F.lit(0), "density_ratio": F.when(F.col("chars") > 0, F.col("valid_chars") / F.col("chars")).otherwise(0.0)})
-    ).select(*PAGE, "page_class", "class_confidence")
+        j.withColumns({"page_area": whole, "image_share": F.least(F.lit(1.0), F.col("area") / whole), "full_page_image": F.col("largest") / whole >= 0.95, "density_ratio": F.when(F.col("chars") > 0, F.col("valid_chars") / F.col("chars")).otherwise(0.0)})
+    ).select(*PAGE, "page_class", "class_confidence", "hybrid_cells")
 
 
 def page_slice(pages: DataFrame, first: int, last: int) -> DataFrame:

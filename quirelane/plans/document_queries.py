@@ -621,3 +621,22 @@ def page_grid(spark, sf_dir):
     cx, cy = geometry.Box.of().centre
     row, col = geometry.grid_cell(cx, cy, F.lit(612.0), F.lit(792.0))
     return virtual_pages.words(_docs(spark, sf_dir)).groupBy("doc_id", "page_index", row.alias("row"), col.alias("col")).agg(F.count("*").alias("n"))
+
+
+@register(
+    "hybrid_pages",
+    f"""WITH {WORDS}, glyph AS (SELECT doc_id, page_index, 7 - least(greatest(floor((y0 + y1) / 2 / 792 * 8), 0), 7)::INT AS row, least(greatest(floor((x0 + x1) / 2 / 612 * 8), 0), 7)::INT AS col, count(*) AS n, sum((word_no % 5 <> 4)::INT) AS valid FROM words GROUP BY ALL),
+    cell AS (SELECT doc_id, page_index, r AS row, c AS col, doc_id % 3 AS kind, CASE doc_id % 3 WHEN 0 THEN 500.0 ELSE 792.0 END AS top FROM (SELECT DISTINCT doc_id, page_index FROM words), unnest(range(0, 8)) AS a(r), unnest(range(0, 8)) AS b(c)),
+    share AS (SELECT doc_id, page_index, row, col, CASE WHEN kind = 2 THEN 0 ELSE greatest(least(top, (8 - row) * 99.0) - (7 - row) * 99.0, 0) / 99.0 END AS share FROM cell),
+    classed AS (SELECT s.*, CASE WHEN n > 0 AND valid / n > 0.6 THEN 'vector' WHEN n IS NULL AND share > 0.8 THEN 'scanned' ELSE 'mixed' END AS k FROM share s LEFT JOIN glyph g ON s.doc_id = g.doc_id AND s.page_index = g.page_index AND s.row = g.row AND s.col = g.col),
+    per AS (SELECT doc_id, page_index, count(*) FILTER (k = 'vector') AS vector_cells, count(*) FILTER (k = 'scanned') AS scanned_cells, string_agg(row * 8 + col, ',' ORDER BY row * 8 + col) FILTER (k = 'scanned') AS cells FROM classed GROUP BY ALL)
+    SELECT doc_id, page_index, vector_cells, scanned_cells, CASE WHEN vector_cells >= 10 AND scanned_cells >= 10 THEN cells END AS hybrid_cells FROM per""",
+)
+def hybrid_pages(spark, sf_dir):
+    """Words over images: of every three documents one has an image on the lower part of its pages, and one on the whole."""
+    w = virtual_pages.words(_docs(spark, sf_dir)).withColumn("valid", F.col("word_no") % 5 != 4)
+    pages = w.select("doc_id", "page_index").distinct().withColumns({"width": F.lit(612.0), "height": F.lit(792.0)})
+    top = F.when(F.col("doc_id") % 3 == 0, F.lit(500.0)).otherwise(F.lit(792.0))
+    images = pages.where("doc_id % 3 < 2").select("doc_id", "page_index", F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(612.0).alias("x1"), top.alias("y1"))
+    found = page_class.grid_counts(page_class.grid_cells(pages, w, images))
+    return found.withColumn("hybrid_cells", F.array_join(F.transform("hybrid_cells", lambda c: c.cast("string")), ","))

@@ -363,3 +363,24 @@ def test_leavings_of_lost_tasks_go(tmp_path):
     assert lost.files != kept.files
     w.commit([kept, None])
     assert pq.read_table(tmp_path / "set" / "a").to_pylist() == [{"value": "kept"}]
+
+
+def test_hybrid_page_of_a_file(spark, tmp_path):
+    """Three pages: text on the upper part over an image on the lower one; text alone; an image alone."""
+    from quirelane import api
+    from quirelane.sources.pdf import writer
+
+    text = b"".join(b"BT /F1 12 Tf 1 0 0 1 20 %d Tm (%s) Tj ET\n" % (780 - 14 * i, b"x" * 78) for i in range(18))
+    image = b"q 612 0 0 %d 0 0 cm /Im1 Do Q\n"
+    bodies = [image % 500 + text, text, image % 792]
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Count 3 /Kids [5 0 R 7 0 R 9 0 R] /MediaBox [0 0 612 792] >>"]
+    objects.append(b"<< /Type /Font /Subtype /Type1 /BaseFont /Courier /Encoding /WinAnsiEncoding /FirstChar 0 /Widths [%s] >>" % b" ".join([b"600"] * 256))
+    objects.append(writer.stream(b"\x00", b"/Type /XObject /Subtype /Image /Width 1 /Height 1 /ColorSpace /DeviceGray /BitsPerComponent 8"))
+    for i, body in enumerate(bodies):
+        objects.append(b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R /Resources << /Font << /F1 3 0 R >> /XObject << /Im1 4 0 R >> >> >>" % (6 + 2 * i))
+        objects.append(writer.stream(body))
+    (tmp_path / "x.pdf").write_bytes(writer.assemble(objects))
+    got = {r["page_index"]: r for r in api.classify_pages(spark, str(tmp_path)).collect()}
+    assert [got[i]["page_class"] for i in range(3)] == ["hybrid", "vector", "scanned"]
+    # rows from the top: 3 to 7 lie below the text and above nothing but the image
+    assert got[0]["hybrid_cells"] == list(range(24, 64)) and got[1]["hybrid_cells"] is None and got[2]["hybrid_cells"] is None
