@@ -802,3 +802,18 @@ def test_vocabulary_without_a_byte(tmp_path):
     (tmp_path / "v.json").write_text(json.dumps(spec))
     with pytest.raises(ValueError, match="81"):
         bpe.BytePairs(str(tmp_path / "v.json"))
+
+
+def test_second_pipeline_run_scans_nothing(spark, tmp_path, monkeypatch):
+    """The secret stage over a ledger that an earlier run has filled."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "x token=abcdef y", "en", "s", 16), (2, None, "en", "s", 0), (3, "plain", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted(map(tuple, corpus_pipeline.secret_scan(spark, docs, "").collect()))
+    spark.conf.set("spark.quirelane.secrets.ledger", f"file://{tmp_path}/ledger")
+    try:
+        for _ in range(2):
+            assert sorted(map(tuple, corpus_pipeline.secret_scan(spark, docs, "").collect())) == want
+            assert spark.read.parquet(f"{tmp_path}/ledger").count() == 3
+    finally:
+        spark.conf.unset("spark.quirelane.secrets.ledger")
