@@ -99,9 +99,13 @@ def text_similarity(a: Column, b: Column) -> Column:
 
 
 def nearly_equal(a: Column, b: Column, share: float = 0.05) -> Column:
-    """Edit distance of at most ``share`` of the longer text; empty texts are equal to none."""
-    n = F.greatest(F.char_length(a), F.char_length(b))
-    return (F.char_length(a) > 0) & (F.char_length(b) > 0) & (F.levenshtein(a, b) <= share * n)
+    """Edit distance of at most ``share`` of the longer text; empty texts are equal to none.
+
+    Equal texts and texts of very different lengths are told without it.
+    """
+    x, y = F.char_length(a), F.char_length(b)
+    n = F.greatest(x, y)
+    return (x > 0) & (y > 0) & (F.abs(x - y) <= share * n) & ((a == b) | (F.levenshtein(a, b) <= share * n))
 
 
 def subset_prefix_stripped(font: Column) -> Column:

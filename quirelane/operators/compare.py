@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField
 
 from quirelane.functions import scalars
 from quirelane.functions.geometry import Box
+from quirelane.operators.groups import folded
 from quirelane.session import cut
 
 
@@ -22,10 +25,10 @@ def span_score(a: Box, b: Box, text_a: Column, text_b: Column) -> Column:
 
 
 def block_pairs(old: DataFrame, new: DataFrame, keys: Sequence[str], least: float = 0.5, band: float = 24.0) -> DataFrame:
-    """Candidate pairs of blocks of one page with their score, over ``least``.
+    """Candidate pairs of blocks of one page with their similarity and score, over ``least``.
 
     A score over one half needs an overlap of over 0.2 / 0.7, so only blocks that share a horizontal band of the page
-    are met, each pair in the first band that both touch, and texts are compared for overlapping boxes only.
+    are met, each pair in the first band that both touch, and texts are compared, once, for overlapping boxes only.
     """
     bands = lambda lo, hi: F.sequence(F.floor(F.col(lo) / band), F.floor(F.col(hi) / band))
     a = old.select("*", F.explode(bands("y0", "y1")).alias("__band"))
@@ -33,34 +36,36 @@ def block_pairs(old: DataFrame, new: DataFrame, keys: Sequence[str], least: floa
     b = b.select("*", F.explode(bands("b_y0", "b_y1")).alias("__b_band"))
     on = [*(F.col(k) == F.col(f"b_{k}") for k in keys), F.col("__band") == F.col("__b_band")]
     once = F.col("__band") == F.greatest(F.floor(F.col("y0") / band), F.floor(F.col("b_y0") / band))
-    touch = Box.of().iou(Box.of("b_")) > (least - 0.3) / 0.7
-    score = block_score(Box.of(), Box.of("b_"), F.col("text"), F.col("b_text"))
-    return a.join(b, on).where(once & touch).withColumn("score", score).where(F.col("score") > least).drop("__band", "__b_band")
+    iou = Box.of().iou(Box.of("b_"))
+    met = a.join(b, on).where(once & (iou > (least - 0.3) / 0.7))
+    # a generator computes what a filter and a projection would each compute
+    scored = F.array(F.struct(iou.alias("iou"), scalars.text_similarity(F.col("text"), F.col("b_text")).alias("similarity")))
+    over = F.filter(scored, lambda s: 0.7 * s["iou"] + 0.3 * s["similarity"] > least)
+    found = met.select("*", F.explode(over).alias("__s")).drop("__band", "__b_band")
+    return found.withColumns({"similarity": F.col("__s.similarity"), "score": 0.7 * F.col("__s.iou") + 0.3 * F.col("__s.similarity")}).drop("__s")
 
 
 def page_diff(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("doc_id", "page_index"), changed_below: float = 0.9) -> DataFrame:
     """(keys, kind, old_block, new_block, score): changed, same, removed and added blocks.
 
-    Blocks of the old page, in order, each take their best free partner over one half. Pairs of blocks that have no other
-    candidate match as they are; only the others, where taking turns matters, are folded page by page, a bounded group.
-    Removed and added blocks are anti joins.
+    Blocks of the old page, in order, each take their best free partner over one half: a fold over the numbers of a page's
+    candidate pairs, many pages to a frame. Removed and added blocks are anti joins.
     """
-    pairs = block_pairs(old, new, keys).select(*keys, F.col("block_index").alias("old_block"), F.col("b_block_index").alias("new_block"), "score", scalars.text_similarity(F.col("text"), F.col("b_text")).alias("similarity"))
-    n = lambda side: F.count("*").over(Window.partitionBy(*keys, side))
-    counted = pairs.withColumn("__only", (n("old_block") == 1) & (n("new_block") == 1))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["old_block", "score", "new_block"], ascending=[True, False, True], kind="stable")
-        taken, done, keep = set(), set(), []
-        for r in pdf.itertuples():
-            if r.old_block not in done and r.new_block not in taken:
-                done.add(r.old_block)
-                taken.add(r.new_block)
-                keep.append(r.Index)
-        return pdf.loc[keep]
-
-    turns = counted.where(~F.col("__only")).drop("__only").groupBy(*keys).applyInPandas(fold, pairs.schema)
-    matched = cut(counted.where("__only").drop("__only").unionByName(turns))
+    pairs = block_pairs(old, new, keys).select(*keys, F.col("block_index").alias("old_block"), F.col("b_block_index").alias("new_block"), "score", "similarity")
+
+    def fold(frame: pd.DataFrame, first: np.ndarray) -> list[bool]:
+        taken, done, keep = set(), None, []
+        for on_new_page, a, b in zip(first.tolist(), frame["old_block"].tolist(), frame["new_block"].tolist(), strict=True):
+            if on_new_page:
+                taken, done = set(), None
+            keep.append(a != done and b not in taken)
+            if keep[-1]:
+                done = a
+                taken.add(b)
+        return keep
+
+    folded_ = folded(pairs, list(keys), ["old_block", F.desc("score"), "new_block"], fold, StructField("__keep", BooleanType()))
+    matched = cut(folded_.where("__keep").drop("__keep"))
     kind = F.when(F.col("similarity") < changed_below, F.lit("changed")).otherwise(F.lit("same"))
     both = matched.select(*keys, kind.alias("kind"), "old_block", "new_block", "score")
     gone = old.select(*keys, F.col("block_index").alias("old_block")).join(matched, [*keys, "old_block"], "left_anti")

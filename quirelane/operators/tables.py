@@ -31,8 +31,8 @@ def merge_segments(segments: DataFrame, keys: Sequence[str] = (*PAGE, "orientati
     return s.groupBy(*keys, "__run").agg(F.min("pos").alias("pos"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("__run", "bucket")
 
 
-#: Sides of the cells of a page in which horizontal and vertical segments meet.
-CELL = 72.0
+#: Sides of the cells in which segments meet: a dozen on a common page, as each segment is filed in all cells that it crosses.
+CELL = 216.0
 
 
 def intersections(segments: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:

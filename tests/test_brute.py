@@ -206,7 +206,9 @@ def test_borderless_tables_query(spark):
     assert {(r["doc_id"], r["page_index"]): (r["n_rows"], r["n_columns"]) for r in got} == want and len(got) == len(want)
 
 
-def test_crossings_of_random_segments(spark):
+@pytest.mark.parametrize("side", [72.0, 216.0])
+def test_crossings_of_random_segments(spark, monkeypatch, side):
+    monkeypatch.setattr(tables, "CELL", side)
     rng = random.Random(9)
     rows = []
     for page in range(6):

@@ -124,3 +124,29 @@ def test_two_writers_lose_nothing(spark, store):
     finally:
         cache_store.cut = real
     assert set(added) <= {r["cache_key"] for r in store.entries().collect()}
+
+
+def test_match_places(spark):
+    """Short and very long lines, against Python's own matches; empty and NUL patterns are refused."""
+    import re
+
+    from quirelane.operators import search
+
+    rng = random.Random(5)
+    texts = ["", "the", "xthe the\nThe é the", "THE\n\nthe", None, " ".join(rng.choice(["the", "then", "é", "TH", "other"]) for _ in range(30_000)), "a" * 5000 + "the"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for pattern, kwargs, python in (("the", {"literal": True}, "the"), ("the", {"literal": True, "ignore_case": True}, "(?i:the)"), ("th[en]+", {}, "th[en]+"), ("the", {"whole_word": True}, r"(?<!\w)the(?!\w)"), ("t.e", {"literal": True}, r"t\.e")):
+        got = sorted((r["id"], r["start"], r["end"], r["match"]) for r in search.grep(df, pattern, **kwargs).select("id", "start", "end", "match").collect())
+        assert got == sorted((i, m.start(), m.end(), m[0]) for i, t in enumerate(texts) if t for m in re.finditer(python, t)), pattern
+    for bad in ("", "a\0b"):
+        with pytest.raises(ValueError):
+            search.grep(df, bad)
+    assert [r["id"] for r in search.inverted(df, "the", literal=True).orderBy("id").collect()] == [0]
+
+
+def test_running_sums(spark):
+    from quirelane.operators.search import running_sums
+
+    rows = [([],), ([5],), (list(range(10)),), ([3] * 1000,), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "a array<int>").select(running_sums(F.col("a"))).collect()]
+    assert got == [[], [0], [sum(range(i)) for i in range(10)], [3 * i for i in range(1000)], None]
