@@ -93,7 +93,9 @@ def verify(receipts: DataFrame, prints: DataFrame, spans: DataFrame, key: str =
     """
     assert least >= 0.5
     band = lambda c: F.floor(c / BAND).cast("long")
-    r = receipts.withColumn("__id", F.xxhash64(key, "page_index", "x0", "y0", "x1", "y1", "content_hash"))
+    # a receipt is told by all that it says: hashes of it would meet by chance among very many
+    names = [key, "page_index", "x0", "y0", "x1", "y1", "content_hash"]
+    r = receipts.withColumn("__id", F.struct(*names))
     s = spans.select(F.col(key).alias("s_key"), F.col("page_index").alias("s_page"), F.col("text").alias("s_text"), *(F.col(c).alias(f"s_{c}") for c in ("x0", "y0", "x1", "y1")))
     s = s.withColumn("s_band", F.explode(F.sequence(band(F.col("s_y0")), band(F.col("s_y1")))))
     iou = Box.of().iou(Box.of("s_"))

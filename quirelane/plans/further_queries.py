@@ -178,3 +178,26 @@ def word_starts(spark, sf_dir):
     x0 = F.sum(F.when(n % 3 == 1, 9.0).otherwise(6.0)).over(Window.partitionBy("l_orderkey").orderBy(n))
     g = l.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_index"), n.alias("glyph_index"), x0.alias("x0"), F.lit(0.0).alias("y0"), F.lit(10.0).alias("size"))
     return repair.word_gaps(g.withColumn("x1", F.col("x0") + 5)).select("doc_id", "glyph_index", "word_start")
+
+
+@register(
+    "all_weighted_predicates",
+    f"""WITH {LINES}, p AS (SELECT doc_id, page_index, sum(length(text)) AS chars, sum(regexp_matches(text, '^\\s*[-*\u2022\u2023\u25e6\u2043]\\s|^\\s*[-*]\\s')::INT) AS bullets,
+      sum(regexp_matches(text, '[\u2200-\u22FF=+\u00B1\u00D7\u00F7].*[0-9]')::INT) AS math, max((y0 <= 55.44 AND regexp_matches(text, '[0-9]'))::INT) AS footer FROM lines GROUP BY ALL),
+    d AS (SELECT doc_id, count(*) AS n_pages, avg(chars) AS density, sum(bullets) AS bullets, sum(math) AS math, sum(footer) = count(*) AS footers FROM p GROUP BY doc_id),
+    f AS (SELECT doc_id, count(DISTINCT font) AS fonts, count(DISTINCT size) AS sizes FROM lines GROUP BY doc_id)
+    SELECT d.doc_id, contains(lower(t.text), 'the') AS contains, regexp_matches(t.text, '[0-9]{{4}}') AS regex, d.doc_id % 2 = 0 AS has_table, d.doc_id % 3 = 0 AS has_signature, d.doc_id % 5 = 0 AS has_form,
+      math > 0 AS math, bullets >= 1 AS bullets, n_pages BETWEEN 1 AND 2 AS pages, fonts >= 1 AS fonts, sizes >= 2 AS heading_depth, density <= 2000 AS density, footers AS footer_numbers,
+      ((contains(lower(t.text), 'the'))::INT * 2 + (sizes >= 2)::INT + (density <= 2000)::INT * 3)::DOUBLE / 6 >= 0.6 AS is_prose
+    FROM d JOIN f ON d.doc_id = f.doc_id JOIN documents t ON t.doc_id = d.doc_id""",
+)
+def all_weighted_predicates(spark, sf_dir):
+    """Each of the twelve kinds over documents' own signals, and a class that three of them weigh."""
+    s = profiles.feature_signals(virtual_pages.lines(_docs(spark, sf_dir)))
+    k = F.col("doc_id")
+    s = s.withColumns({"has_table": k % 2 == 0, "has_signature": k % 3 == 0, "has_form": k % 5 == 0})
+    values = {"contains": "THE", "regex": "[0-9]{4}", "has_table": True, "has_signature": True, "has_form": True, "math": True, "bullets": 1, "pages": (1, 2), "fonts": (1, None), "heading_depth": (2, None), "density": (None, 2000), "footer_numbers": True}
+    p = profiles.weighted_predicate
+    prose = (0.6, [(p("contains", "THE"), 2.0), (p("heading_depth", (2, None)), 1.0), (p("density", (None, 2000)), 3.0)])
+    got = profiles.weighted_classify(s, {"prose": prose})
+    return got.select("doc_id", *(p(name, v).alias(name) for name, v in values.items()), (F.col("class") == "prose").alias("is_prose"))
