@@ -38,8 +38,8 @@ _NAMES = {
     "gfdl": ("gnu free documentation license", "gnu"),
     "apache-2.0": ("apache license (?:version |v)?2 0", "apache"),
     "apache-1.1": ("apache (?:software )?license (?:version |v)?1 1", "apache"),
-    "bsd-3-clause": ("(?:3 clause|new|revised|modified) bsd license", "bsd"),
-    "bsd-2-clause": ("(?:2 clause|simplified) bsd license", "bsd"),
+    "bsd-3-clause": ("(?:3 clause|new|revised|modified) bsd licen[cs]e|bsd 3 clause(?: new or revised)? licen[cs]e", "bsd"),
+    "bsd-2-clause": ("(?:2 clause|simplified) bsd licen[cs]e|bsd 2 clause(?: simplified)? licen[cs]e", "bsd"),
     "bsd": ("bsd license", "bsd"),
     "isc": ("isc license", "isc"),
     "mpl-2.0": ("mozilla public license (?:version |v)?2 0", "mozilla"),
@@ -147,6 +147,15 @@ _UNDER = {
     "bsd-2-clause": ("bsd 2 clause|2 clause bsd", "bsd"),
     "bsd": ("bsd", "bsd"),
     "isc": ("isc", "isc"),
+    "epl-2.0": ("epl ?(?:v|version )?2(?: 0)?", "epl|epl2|eplv2"),
+    "epl-1.0": ("epl ?(?:v|version )?1(?: 0)?", "epl|epl1|eplv1"),
+    "mpl-1.1": ("mpl ?(?:v|version )?1 1", "mpl|mpl1|mplv1"),
+    "cddl": ("cddl(?: ?(?:v|version )?1(?: [01])?)?", "cddl|cddl1|cddlv1"),
+    "eupl": ("eupl(?: ?(?:v|version )?1(?: [0-2])?)?", "eupl|eupl1|euplv1"),
+    "ofl": ("(?:sil )?ofl(?: ?(?:v|version )?1(?: [01])?)?", "ofl|ofl1|oflv1"),
+    "odbl": ("odbl(?: ?(?:v|version )?1(?: 0)?)?", "odbl|odbl1|odblv1"),
+    "agpl-3.0": ("agpl", "agpl"),
+    "unlicense": ("unlicense", "unlicense"),
     "gpl": ("gpl", "gpl"),
     "mit": ("mit", "mit"),
 }
@@ -226,6 +235,88 @@ _CLAUSES = [
     ("proprietary", 0.8, "(?:confidential and proprietary|proprietary and confidential)", "proprietary"),
     ("proprietary", 0.8, "(?:unauthori[sz]ed )?(?:copying|reproduction|redistribution) (?:of this (?:file|document|material) )?(?:in whole or in part )?(?:via any medium )?is strictly prohibited", "prohibited"),
     ("proprietary", 0.8, "may not be reproduced (?:or distributed |distributed or transmitted )?(?:in any form )?without (?:the )?(?:prior |express )?(?:written )?permission", "reproduced"),
+    ("gpl-3.0", 0.95, "gnu general public license version 3 29 june 2007", "june"),
+    ("gpl-2.0", 0.95, "gnu general public license version 2 june 1991", "june"),
+    ("lgpl", 0.95, "gnu lesser general public license version (?:3 29 june 2007|2 1 february 1999)", "june|february"),
+    ("lgpl", 0.95, "gnu library general public license version 2 june 1991", "june"),
+    ("agpl-3.0", 0.95, "gnu affero general public license version 3 19 november 2007", "november"),
+    ("gfdl", 0.95, "gnu free documentation license version 1 [1-3]", "documentation"),
+    ("gpl-3.0", 0.9, "the gnu general public license is a free copyleft license for software and other kinds of works", "copyleft"),
+    ("agpl-3.0", 0.9, "the gnu affero general public license is a free copyleft license for software and other kinds of works", "copyleft"),
+    ("lgpl", 0.9, "this version of the gnu lesser general public license incorporates the terms and conditions of version 3", "incorporates"),
+    ("lgpl", 0.85, "this library is distributed in the hope that it will be useful but without any warranty", "hope"),
+    ("gpl", 0.8, "this program is distributed in the hope that it will be useful but without any warranty", "hope"),
+    ("gpl", 0.8, "the licenses for most software are designed to take away your freedom to share and change it", "freedom"),
+    ("gpl", 0.8, "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", "verbatim"),
+    ("gpl", 0.8, "this program comes with absolutely no warranty", "absolutely"),
+    ("gpl", 0.7, "if not write to the free software foundation inc", "foundation"),
+    ("gfdl", 0.9, "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "documentation"),
+    ("apache-2.0", 0.95, "apache license version 2 0 january 2004", "january"),
+    ("apache-2.0", 0.9, "licensed to the apache software foundation asf under one or more contributor license agreements", "asf"),
+    ("apache-2.0", 0.9, "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable", "irrevocable"),
+    ("apache-2.0", 0.8, "derivative works shall mean any work whether in source or object form that is based on or derived from the work", "derivative"),
+    ("apache-1.1", 0.9, "the names apache and apache software foundation must not be used to endorse or promote products", "endorse"),
+    ("mit", 0.8, "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", "merchantability"),
+    ("mit", 0.7, "in no event shall the authors or copyright holders be liable for any claim damages or other liability", "holders"),
+    ("bsd", 0.8, "this software is provided by the (?:copyright holders?|regents|authors?)(?: and contributors)? as is and any express or implied warranties", "warranties"),
+    ("bsd-4-clause", 0.9, "this product includes software developed by the university of california(?: berkeley)? and its contributors", "california"),
+    ("bsd-2-clause", 0.8, "the views and conclusions contained in the software and documentation are those of the authors", "conclusions"),
+    ("bsd-3-clause-clear", 0.95, "no express or implied licenses to any party s patent rights are granted by this license", "patent"),
+    ("isc", 0.8, "the software is provided as is and the author disclaims all warranties with regard to this software", "disclaims"),
+    ("zlib", 0.8, "in no event will the authors be held liable for any damages arising from the use of this software", "liable"),
+    ("zlib", 0.8, "this notice may not be removed or altered from any source distribution", "altered"),
+    ("boost", 0.9, "solely in the form of machine executable object code generated by a source language processor", "executable"),
+    ("unlicense", 0.9, "anyone is free to copy modify publish use compile sell or distribute this software", "anyone"),
+    ("mpl-2.0", 0.95, "if a copy of the mpl was not distributed with this file you can obtain one at", "mpl"),
+    ("mpl-2.0", 0.9, "this source code form is incompatible with secondary licenses", "incompatible"),
+    ("mpl-1.1", 0.8, "see the license for the specific language governing rights and limitations under the license", "governing"),
+    ("epl-2.0", 0.95, "made available under the terms of the eclipse public license (?:v |version )?2 0", "eclipse"),
+    ("epl-1.0", 0.95, "made available under the terms of the eclipse public license (?:v |version )?1 0", "eclipse"),
+    ("epl-1.0", 0.9, "the accompanying program is provided under the terms of this eclipse public license", "accompanying"),
+    ("cpl", 0.9, "the accompanying program is provided under the terms of this common public license", "accompanying"),
+    ("cddl", 0.9, "when distributing covered code include this cddl header notice in each file", "cddl"),
+    ("cddl", 0.9, "you can obtain a copy of the license at usr src opensolaris license", "opensolaris"),
+    ("cc-by-nc-nd", 0.95, "this work is licensed under (?:a |the )?creative commons attribution noncommercial noderiv(?:ative)?s", "noncommercial"),
+    ("cc-by-nc-sa", 0.95, "this work is licensed under (?:a |the )?creative commons attribution noncommercial sharealike", "noncommercial"),
+    ("cc-by-nc", 0.9, "this work is licensed under (?:a |the )?creative commons attribution noncommercial [1-4] [05]", "noncommercial"),
+    ("cc-by-sa", 0.95, "this work is licensed under (?:a |the )?creative commons attribution sharealike", "sharealike"),
+    ("cc-by-nd", 0.95, "this work is licensed under (?:a |the )?creative commons attribution noderiv(?:ative)?s", "noderivatives|noderivs"),
+    ("cc-by", 0.9, "this work is licensed under (?:a |the )?creative commons attribution [1-4] [05]", "attribution"),
+    ("cc0", 0.95, "the person who associated a work with this deed has dedicated the work to the public domain", "deed"),
+    ("cc0", 0.9, "to the extent possible under law .{1,80}? has waived all copyright", "waived"),
+    ("artistic-2.0", 0.9, "this license establishes the terms under which a given free software package may be copied", "establishes"),
+    ("artistic", 0.9, "you may copy and distribute verbatim source copies of the standard version of this package|you may make and give away verbatim copies of the source form of the standard version", "verbatim"),
+    ("ofl", 0.95, "this font software is licensed under the sil open font license", "font"),
+    ("ofl", 0.9, "the goals of the open font license ofl are to stimulate worldwide development", "stimulate"),
+    ("python", 0.9, "this license agreement is between the python software foundation", "agreement"),
+    ("php", 0.9, "the name php must not be used to endorse or promote products", "php"),
+    ("openssl", 0.9, "the names openssl toolkit and openssl project must not be used to endorse", "toolkit"),
+    ("cecill", 0.9, "(?:www )?cecill info(?: licences)?|cecill(?: [abc])?(?: free software)? licen[cs]e(?: agreement)?", "cecill"),
+    ("osl", 0.9, "open software license(?: (?:v |version )?[1-3] [01])?", "license"),
+    ("afl", 0.9, "academic free license(?: (?:v |version )?[1-3] [0-2])?", "academic"),
+    ("apsl", 0.9, "apple public source license", "apple"),
+    ("ipl", 0.9, "ibm public license(?: (?:v |version )?1 0)?", "ibm"),
+    ("qpl", 0.9, "the q public license", "public"),
+    ("sleepycat", 0.9, "redistributions in any form must be accompanied by information on how to obtain complete source code", "accompanied"),
+    ("w3c", 0.9, "w3c software (?:notice and |and document notice and )?license", "w3c"),
+    ("hpnd", 0.9, "historical permission notice and disclaimer", "historical"),
+    ("fair", 0.9, "usage of the works is permitted provided that this instrument is retained with the works", "instrument"),
+    ("upl", 0.9, "universal permissive license", "permissive"),
+    ("ecl-2.0", 0.9, "educational community license(?: (?:v |version )?[12] 0)?", "educational"),
+    ("lppl", 0.9, "latex project public license", "latex"),
+    ("ftl", 0.9, "(?:the )?freetype (?:project )?license", "freetype"),
+    ("ijg", 0.9, "this software is based in part on the work of the independent jpeg group", "jpeg"),
+    ("tcl", 0.9, "the following terms apply to all files associated with the software unless explicitly disclaimed in individual files", "explicitly"),
+    ("vim", 0.9, "vim is charityware", "charityware"),
+    ("blueoak", 0.9, "blue oak model license(?: 1 0 0)?", "oak"),
+    ("nasa", 0.9, "nasa open source agreement", "nasa"),
+    ("etalab", 0.9, "licence ouverte(?: open licence)?", "ouverte"),
+    ("polyform", 0.9, "polyform (?:noncommercial|small business|shield|strict|perimeter|internal use) license", "polyform"),
+    ("commons-clause", 0.9, "the license does not grant to you the right to sell the software", "sell"),
+    ("llama", 0.9, "llama [23](?: [123])? community license", "llama"),
+    ("openrail", 0.9, "(?:creativeml |bigscience |bigcode )?open ?rail(?: m| plus plus m)? licen[cs]e", "openrail|rail"),
+    ("proprietary", 0.7, "you may not (?:copy|reverse engineer) (?:modify )?(?:decompile )?(?:or )?(?:disassemble )?(?:distribute )?the software", "reverse|copy"),
+    ("proprietary", 0.7, "this (?:material|document|file) (?:is|contains) (?:the )?(?:trade secrets?|confidential information) of", "confidential|trade"),
     ("unknown", 0.5, "(?:released|licensed|distributed) under (?:the )?(?:[0-9a-z]+ ){1,4}licen[cs]e", "released|licensed|distributed"),
 ]
 

@@ -697,6 +697,52 @@ def test_short_license_names():
     assert not licenses.scan(b"studied at mit and bsd unix").detections
 
 
+def example(pattern):
+    """A text that a pattern matches: first alternatives, and as few repeats as may be."""
+    from re import _constants as k
+    from re import _parser
+
+    def of(parsed):
+        out = ""
+        for op, value in parsed:
+            if op is k.LITERAL:
+                out += chr(value)
+            elif op is k.ANY:
+                out += "x"
+            elif op is k.IN:
+                kind, first = value[0]
+                out += chr(first if kind is k.LITERAL else first[0])
+            elif op is k.BRANCH:
+                out += of(value[1][0])
+            elif op is k.SUBPATTERN:
+                out += of(value[3])
+            elif op in (k.MAX_REPEAT, k.MIN_REPEAT):
+                out += of(value[2]) * value[0]
+            else:
+                raise AssertionError(op)
+        return out
+
+    return of(_parser.parse(pattern))
+
+
+def test_every_license_clause_fires():
+    """Each of the clauses written by hand, on a text made after it, under a keyword of its own."""
+    assert len(licenses._CLAUSES) >= 150
+    for label, _, pattern, keywords in licenses._CLAUSES:
+        text = example(pattern)
+        assert set(keywords.split("|")) & set(text.split()), pattern
+        if label != "unknown":
+            assert label in {d[2] for d in licenses.scan(f"so {text} it".encode()).detections}, (label, text)
+
+
+def test_named_license_probes():
+    for text, label in (
+        ("BSD 3-Clause License", "bsd-3-clause"), ("the BSD 2-Clause License", "bsd-2-clause"), ("licensed under the EPL 2.0", "epl-2.0"), ("licensed under EPL-1.0", "epl-1.0"), ("under CDDL", "cddl"),
+        ("released under the EUPL 1.2", "eupl"), ("fonts under OFL 1.1", "ofl"), ("data under ODbL", "odbl"), ("under the MPL 1.1", "mpl-1.1"),
+    ):
+        assert label in {d[2] for d in licenses.scan(text.encode()).detections}, text
+
+
 def test_license_clauses_fire_on_their_own_words():
     """Clauses that hold no operators are their own example; they must be found, under a keyword of theirs."""
     from quirelane.llm import licenses
