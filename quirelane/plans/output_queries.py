@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from quirelane.operators import cache_store, compare, receipts, serialise
 from quirelane.plans.registry import register
 from quirelane.plans.sqlparts import LINES
-from quirelane.session import spread, table
+from quirelane.session import shared_folder, spread, table
 from quirelane.sources import sinks, virtual_pages
-from quirelane.streaming.frames import shared_folder
 
 
 def _lines(spark, sf_dir):

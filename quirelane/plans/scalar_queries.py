@@ -209,7 +209,7 @@ def upper_medians(spark, sf_dir):
 def json_documents(spark, sf_dir):
     """Documents written as JSON and read again with a schema."""
     from quirelane.operators import serialise
-    from quirelane.streaming.frames import shared_folder
+    from quirelane.session import shared_folder
 
     pages = virtual_pages.page_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), "t")
     place = shared_folder(spark, "json")

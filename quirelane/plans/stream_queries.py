@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quirelane.plans.registry import register
 from quirelane.plans.sqlparts import LINES
-from quirelane.session import spread, table
+from quirelane.session import shared_folder, spread, table
 from quirelane.sources import virtual_pages
 from quirelane.streaming import frames
 
@@ -26,9 +26,9 @@ def ndjson_frames(spark, sf_dir):
     """Frames are written as NDJSON, read as a stream and counted."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     pages = virtual_pages.page_texts(docs, "page_text")
-    place, out = frames.shared_folder(spark, "ndjson"), frames.shared_folder(spark, "frames")
+    place, out = shared_folder(spark, "ndjson"), shared_folder(spark, "frames")
     frames.to_frames(pages).select("value").write.text(place)
-    frames.run_once(frames.read_frames(spark, place), out, frames.shared_folder(spark, "state"))
+    frames.run_once(frames.read_frames(spark, place), out, shared_folder(spark, "state"))
     got = spark.read.parquet(out)
     return got.groupBy("frame").agg(F.count("*").alias("n"), F.sum("n_pages").cast("long").alias("pages"))
 
@@ -40,10 +40,10 @@ def ndjson_frames(spark, sf_dir):
 def stream_in_order(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     pages = virtual_pages.page_texts(docs)
-    place, out = frames.shared_folder(spark, "pages"), frames.shared_folder(spark, "ordered")
+    place, out = shared_folder(spark, "pages"), shared_folder(spark, "ordered")
     pages.repartition("doc_id").sortWithinPartitions(F.desc("page_index")).write.parquet(place)  # each document's last page first
     stream = spark.readStream.schema(pages.schema).parquet(place)
-    frames.run_once(frames.in_order(stream), out, frames.shared_folder(spark, "state"))
+    frames.run_once(frames.in_order(stream), out, shared_folder(spark, "state"))
     got = spark.read.parquet(out)
     return got.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("page_index").alias("last"))
 
@@ -57,7 +57,7 @@ def stream_in_order(spark, sf_dir):
 def stream_duplicates(spark, sf_dir):
     """Every third page comes again in the same batch, and the pages of every fifth document in a later one: all are refused with an error."""
     pages = virtual_pages.page_texts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    place, out, errors, state = (frames.shared_folder(spark, n) for n in ("pages", "ordered", "refused", "state"))
+    place, out, errors, state = (shared_folder(spark, n) for n in ("pages", "ordered", "refused", "state"))
     for again, part in ((F.col("page_index") % 3 == 0, F.lit(True)), (F.lit(False), F.col("doc_id") % 5 == 0)):
         some = pages.where(part)
         some.unionByName(some.where(again)).repartition("doc_id").sortWithinPartitions(F.desc("page_index")).write.mode("append").parquet(place)
@@ -78,7 +78,7 @@ def stream_duplicates(spark, sf_dir):
 def late_events(spark, sf_dir):
     """Hourly counts with an hour's patience; every tenth event comes in a second batch, mostly too late, and is reported as such."""
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    place, out, errors, state = (frames.shared_folder(spark, n) for n in ("events", "windows", "late", "state"))
+    place, out, errors, state = (shared_folder(spark, n) for n in ("events", "windows", "late", "state"))
     for part in (F.col("event_id") % 10 != 9, F.col("event_id") % 10 == 9):
         events.where(part).write.mode("append").parquet(place)
         frames.run_split(frames.closed_windows(spark.readStream.schema(events.schema).parquet(place), "ts", "event_type", 3600, 3600), out, errors, state)
@@ -90,9 +90,9 @@ def late_events(spark, sf_dir):
 @register("event_windows", "SELECT event_type, sum(1)::BIGINT AS n, count(DISTINCT time_bucket(INTERVAL '1 hour', ts)) AS n_windows FROM events GROUP BY event_type")
 def event_windows(spark, sf_dir):
     """Hourly counts of events by a watermarked stream, in complete mode, summed per type."""
-    out = frames.shared_folder(spark, "windows")
+    out = shared_folder(spark, "windows")
     events = _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    frames.run_complete(frames.windowed_counts(events, "ts", "1 hour", "1000 days", "event_type"), out, frames.shared_folder(spark, "state"))
+    frames.run_complete(frames.windowed_counts(events, "ts", "1 hour", "1000 days", "event_type"), out, shared_folder(spark, "state"))
     return spark.read.parquet(out).groupBy("event_type").agg(F.sum("n").alias("n"), F.count("*").alias("n_windows"))
 
 
@@ -100,7 +100,7 @@ def event_windows(spark, sf_dir):
 def incremental_documents(spark, sf_dir):
     """Documents come in two batches that overlap; each is measured once."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    place, out, state = (frames.shared_folder(spark, n) for n in ("in", "out", "state"))
+    place, out, state = (shared_folder(spark, n) for n in ("in", "out", "state"))
     work = lambda df: df.select("doc_id", F.char_length("text").alias("n"))
     for part in ("doc_id % 3 < 2", "doc_id % 3 > 0"):
         docs.where(part).write.mode("append").parquet(place)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -42,14 +43,28 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(target)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise and cut lineage with a reliable checkpoint.
+def shared_top(spark: SparkSession) -> str:
+    """The folder that the session names for all executors: its checkpoint folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a folder of this machine's
-    temporary directory is used. Executors can be lost afterwards: the files are shared.
+    Where none is named, a local session (as in tests) gets a temporary one of this machine; a cluster's executors
+    wouldn't find each other's files there, so that is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    if named := sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="quirelane-shared-")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for one use below ``shared_top``."""
+    return f"{shared_top(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise and cut lineage with a reliable checkpoint in ``shared_top``; executors can be lost afterwards."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quirelane-checkpoint-"))
+        sc.setCheckpointDir(shared_top(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -18,12 +16,6 @@ FRAME = "frame string, doc_id long, page_index int, n_pages int, text string"
 DUPLICATE, LATE = "Duplicate page index", "Late event"
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the session's checkpoint folder; a temporary one only where that is unset."""
-    top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quirelane-stream-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def to_frames(pages: DataFrame, key: str = "doc_id", text: str = "page_text") -> DataFrame:
     """(doc_id, ordinal, value): a header, the pages in order and a footer for each document, one JSON text each."""
     page = pages.select(

@@ -51,3 +51,23 @@ def test_markdown(spark):
     assert serialise.footnotes(n).first()["markdown"] == "[^1]: one\\*\n[^2]: two"
     b = spark.createDataFrame([(1, 0, 1, 4), (1, 0, 0, 2), (1, 1, 0, 0)], "doc_id long, thread int, position int, page_index int")
     assert serialise.thread_markdown(b).first()["markdown"] == "- Thread 1: pages 3, 5\n- Thread 2: pages 1"
+
+
+def test_clusters_need_a_shared_folder():
+    """Without a checkpoint folder a local session gets one of its own; a cluster's fails at once."""
+    from types import SimpleNamespace
+
+    from quirelane import session
+
+    def spark(master, named=None, set_dir=None):
+        return SimpleNamespace(sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: set_dir), conf=SimpleNamespace(get=lambda k, d: named if named else d))
+
+    assert session.shared_folder(spark("spark://x:7077", "hdfs://a/b/"), "n").startswith("hdfs://a/b/n-")
+    assert session.shared_folder(spark("yarn", None, "s3a://c"), "n").startswith("s3a://c/n-")
+    assert "quirelane-shared-" in session.shared_folder(spark("local[4]"), "n")
+    try:
+        session.shared_top(spark("spark://x:7077"))
+    except RuntimeError as error:
+        assert "spark.checkpoint.dir" in str(error)
+    else:
+        raise AssertionError
