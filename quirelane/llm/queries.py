@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quirelane.llm import bpe, divergence, filter_audit, knn, langid, licenses, packing, quality, secrets, simhash, toxicity, urlfilter, warc
 from quirelane.llm import sql
 from quirelane.llm.common import remove
-from quirelane.session import cut, ship, spread, table
+from quirelane.session import cut, shared_folder, ship, spread, table
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -19,15 +19,6 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that the session names for all executors."""
-    import tempfile
-    import uuid
-
-    top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quirelane-shared-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     folder = shared_folder(spark, "warc")
