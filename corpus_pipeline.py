@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelane.llm import packing, quality, secrets, simhash, toxicity
-from quirelane.llm.queries import WORD_VOCABULARY, shared_folder
-from quirelane.session import ship, table
+from quirelane.llm.queries import WORD_VOCABULARY
+from quirelane.session import shared_folder, ship, table
 
 
 def _columns(docs: DataFrame) -> list:
