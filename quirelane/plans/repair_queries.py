@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quirelane.functions import scalars
-from quirelane.operators import codespace, diagnostics, glyphs, merged_cells, ocr, repair, tables
+from quirelane.operators import cmaps, codespace, diagnostics, glyphs, merged_cells, ocr, repair, tables
 from quirelane.plans.registry import register
 from quirelane.plans.sqlparts import LINES
 from quirelane.session import spread, table
@@ -174,3 +174,27 @@ def codespace_codes(spark, sf_dir):
     ranges = spark.createDataFrame([(f, bytes.fromhex(lo), bytes.fromhex(hi)) for f, lo, hi in _FONTS], "font string, lo binary, hi binary")
     got = codespace.tokenised(strings, ranges)
     return got.select("doc_id", F.size("codes").cast("long").alias("n_codes"), F.size(F.filter("unknown", lambda u: u)).cast("long").alias("n_unknown"))
+
+
+@register(
+    "cmap_texts",
+    """WITH d AS (SELECT doc_id, ('0' || right(source, 1))::INTEGER AS k, text, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS plain FROM documents)
+    SELECT doc_id, md5(replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', substr('abcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuvwxyz', k + 1, 26)), 'é', 'fi')) AS h
+    FROM d WHERE length(plain) = length(replace(text, 'é', ''))""",
+)
+def cmap_texts(spark, sf_dir):
+    """Texts of ASCII and é as strings of their source's font, whose map turns the alphabet and makes é a ligature of two letters."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    k = F.right("source", F.lit(1)).cast("int")
+    h = lambda c: F.hex(c.cast("long"))
+    program = F.concat(
+        F.lit("% a map\n1 begincodespacerange <00> <7F> endcodespacerange\n1 begincodespacerange <8000> <FFFF> endcodespacerange\n3 beginbfrange\n<00> <60> <0000>\n<61> <"),
+        h(122 - k), F.lit("> <00"), h(97 + k), F.lit(">\n<7B> <7F> <007B> % rest\nendbfrange\n"),
+        F.when(k > 0, F.concat(F.lit("1 beginbfrange <"), h(123 - k), F.lit("> <7A> <0061> endbfrange\n"))).otherwise(F.lit("")),
+        F.lit("1 beginbfchar <C3A9> <00660069> endbfchar"),
+    )
+    fonts = docs.select(F.col("source").alias("font"), program.alias("cmap")).distinct()
+    strings = docs.where(F.col("text").rlike("^[\\x00-\\x7Fé]*$")).select("doc_id", F.col("source").alias("font"), F.encode("text", "UTF-8").alias("bytes"))
+    tokens = codespace.tokenised(strings, cmaps.codespaces(fonts))
+    got = cmaps.decoded(tokens, cmaps.mappings(fonts), "doc_id").where("unmapped = 0")
+    return got.select("doc_id", F.md5("text").alias("h"))

@@ -150,3 +150,29 @@ def test_running_sums(spark):
     rows = [([],), ([5],), (list(range(10)),), ([3] * 1000,), (None,)]
     got = [r[0] for r in spark.createDataFrame(rows, "a array<int>").select(running_sums(F.col("a"))).collect()]
     assert got == [[], [0], [sum(range(i)) for i in range(10)], [3 * i for i in range(1000)], None]
+
+
+def test_character_maps(spark):
+    """Blocks of both kinds, lists, odd digits, comments, later entries over earlier ones, and what is refused."""
+    from quirelane.operators import cmaps
+
+    program = """%!PS <00> <FF>
+    1 begincodespacerange <00> <80> <8140> <9FFC> endcodespacerange
+    2 beginbfchar <01> <0041> % <02> <0042>
+    <03> <00660069> endbfchar
+    4 beginbfrange <20> <22> <D83DDE00> <30> <32> [<0061> <00620063> <0064>] <40> <43> [<0078>] <8140> <8142> <3042> endbfrange
+    1 beginbfchar <21> <005A> <5> <0050> endbfchar
+    beginbfrange <22> <20> <0041> <0000> <01> <0041> <00000000> <00FFFFFF> <0041> <60> <61> <D7FF> endbfrange"""
+    maps = spark.createDataFrame([("f", program), ("g", "beginbfrange <41> <42> <0061> endbfrange"), ("none", ""), ("null", None)], "font string, cmap string")
+    got = {(r["font"], r["width"], r["code"]): r["text"] for r in cmaps.mappings(maps).collect()}
+    assert got == {
+        ("f", 1, 0x01): "A", ("f", 1, 0x03): "fi", ("f", 1, 0x20): "\U0001f600", ("f", 1, 0x21): "Z", ("f", 1, 0x22): "\U0001f602", ("f", 1, 0x30): "a", ("f", 1, 0x31): "bc", ("f", 1, 0x32): "d",
+        ("f", 1, 0x40): "x", ("f", 2, 0x8140): "あ", ("f", 2, 0x8141): "ぃ", ("f", 2, 0x8142): "い", ("f", 1, 0x50): "P", ("f", 1, 0x60): "\ud7ff", ("f", 1, 0x61): "�", ("g", 1, 0x41): "a", ("g", 1, 0x42): "b",
+    }
+    assert sorted((r["lo"], r["problem"]) for r in cmaps.problems(maps).collect()) == [("0000", "range"), ("00000000", "size"), ("22", "range"), ("40", "list")]
+    spaces = sorted((r["font"], bytes(r["lo"]), bytes(r["hi"])) for r in cmaps.codespaces(maps).collect())
+    assert spaces == [("f", b"\x00", b"\x80"), ("f", b"\x81\x40", b"\x9f\xfc")]
+    rows = [(1, "f", b"\x01\x03\x81\x41\x20\xff"), (2, "g", b"AB\x00"), (3, "none", b"A"), (4, "f", b""), (5, "f", None)]
+    tokens = codespace.tokenised(spark.createDataFrame(rows, "id int, font string, bytes binary"), cmaps.codespaces(maps))
+    found = {r["id"]: (r["text"], r["unmapped"]) for r in cmaps.decoded(tokens, cmaps.mappings(maps), "id").collect()}
+    assert found == {1: ("Afiぃ\U0001f600�", 1), 2: ("ab�", 1), 3: ("�", 1), 4: ("", 0), 5: ("", 0)}
