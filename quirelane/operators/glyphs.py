@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 # Confidence of each level of the chain.
 LEVELS = {"map": 1.0, "encoding": 0.9, "fingerprint": 0.85, "shape": 0.7, "none": 0.0}
@@ -56,6 +60,27 @@ def perceptual_hash(bitmap: np.ndarray) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def perceptual_hashes(shapes: DataFrame, bitmap: str = "bitmap", name: str = "hash") -> DataFrame:
+    """``shapes`` with the hash of each square bitmap, an array of its rows' points; null for null and for what isn't square.
+
+    Bitmaps of one size are transformed together, in Arrow batches.
+    """
+    kept = [c for c in shapes.columns if c != bitmap]
+    schema = StructType([*(shapes.schema[c] for c in kept), StructField(name, LongType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [None] * len(pdf)
+            for i, points in enumerate(pdf[bitmap]):
+                side = 0 if points is None else int(len(points) ** 0.5)
+                if side > 7 and side * side == len(points):
+                    h = perceptual_hash(np.asarray(points, np.float64).reshape(side, side))
+                    out[i] = h - (1 << 64) if h >> 63 else h
+            yield pdf[kept].assign(**{name: pd.array(out, "Int64")})
+
+    return shapes.select(*kept, bitmap).mapInPandas(run, schema)
+
+
 def rgb(kind: Column, parts: Column) -> Column:
     """#rrggbb of gray, RGB or CMYK parts from 0 to 1, to eight bits; other kinds are null."""
     p = lambda i: F.element_at(parts, i)

@@ -117,6 +117,11 @@ def cache_key(fingerprint: Column, options: Mapping) -> Column:
     return F.sha2(F.concat(fingerprint, F.lit(":" + json.dumps(dict(options), sort_keys=True, separators=(",", ":")))), 256)
 
 
+def canonical_json(text: Column) -> Column:
+    """JSON with sorted keys and no white space, numbers in their shortest form; null for what isn't JSON."""
+    return F.to_json(F.try_parse_json(text))
+
+
 def read_through(requests: DataFrame, cache: DataFrame, compute, key: str = "cache_key") -> tuple[DataFrame, DataFrame]:
     """(results, rows to add): requests that the cache holds are read there, the others are computed."""
     missing = requests.join(cache.select(key), key, "left_anti")

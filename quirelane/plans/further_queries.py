@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quirelane.functions.geometry import Box
-from quirelane.operators import blocks, checks, compare, diagnostics, glyphs, profiles, reading, repair, serialise
+from quirelane.operators import blocks, checks, compare, diagnostics, glyphs, profiles, quality, reading, receipts, repair, serialise
 from quirelane.plans.registry import register
 from quirelane.plans.sqlparts import LINES
 from quirelane.session import spread, table
@@ -201,3 +201,34 @@ def all_weighted_predicates(spark, sf_dir):
     prose = (0.6, [(p("contains", "THE"), 2.0), (p("heading_depth", (2, None)), 1.0), (p("density", (None, 2000)), 3.0)])
     got = profiles.weighted_classify(s, {"prose": prose})
     return got.select("doc_id", *(p(name, v).alias(name) for name, v in values.items()), (F.col("class") == "prose").alias("is_prose"))
+
+
+@register("perceptual_hashes")
+def perceptual_hashes(spark, sf_dir):
+    """Embeddings as bitmaps of their signs, hashed by low-frequency cosine parts, which SQL lacks."""
+    e = table(spark, sf_dir, "embeddings")
+    return glyphs.perceptual_hashes(e.select("vec_id", F.transform("embedding", lambda x: F.when(x > 0, 1).otherwise(0)).alias("bitmap")))
+
+
+@register(
+    "canonical_options",
+    """SELECT p_partkey, '{"a":{"y":[1,' || p_size || ',null],"z":"' || p_brand || '"},"b":' || p_size || ',"c":true}' AS options FROM part""",
+)
+def canonical_options(spark, sf_dir):
+    """Nested options whose keys stand in one order or the other, with white space, in one form."""
+    size, brand = F.col("p_size").cast("string"), F.col("p_brand")
+    one = F.concat(F.lit('{ "c": true,\n "b": '), size, F.lit(', "a": {"z": "'), brand, F.lit('", "y": [ 1, '), size, F.lit(", null]}}"))
+    other = F.concat(F.lit('{"a":{"y":[1,'), size, F.lit(',null],"z":"'), brand, F.lit('"},"c":true,"b":'), size, F.lit("}"))
+    text = F.when(F.col("p_partkey") % 2 == 0, one).otherwise(other)
+    return table(spark, sf_dir, "part").select("p_partkey", receipts.canonical_json(text).alias("options"))
+
+
+@register(
+    "listed_words",
+    r"""WITH list AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS w FROM benchmark), words AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents)
+    SELECT doc_id, count(*) AS n FROM words WHERE lower(word) IN (SELECT w FROM list) GROUP BY doc_id""",
+)
+def listed_words(spark, sf_dir):
+    """How many words of each document stand in a word list, here that of the benchmark's texts."""
+    words = lambda name, *keep: table(spark, sf_dir, name).select(*keep, F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word"))
+    return quality.in_word_list(words("documents", "doc_id"), words("benchmark")).groupBy("doc_id").agg(F.count("*").alias("n"))

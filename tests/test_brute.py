@@ -386,3 +386,24 @@ def test_hybrid_page_of_a_file(spark, tmp_path):
     assert [got[i]["page_class"] for i in range(3)] == ["hybrid", "vector", "scanned"]
     # rows from the top: 3 to 7 lie below the text and above nothing but the image
     assert got[0]["hybrid_cells"] == list(range(24, 64)) and got[1]["hybrid_cells"] is None and got[2]["hybrid_cells"] is None
+
+
+def test_perceptual_hashes_query(spark):
+    """Cosine parts by their definition; and bitmaps that aren't square."""
+    from statistics import median
+
+    from quirelane.operators import glyphs
+
+    wave = [[math.cos(math.pi * (2 * x + 1) * k / 16) for x in range(8)] for k in range(8)]
+    got = {r["vec_id"]: r["hash"] for r in registry.QUERIES["perceptual_hashes"](spark, DATA).collect()}
+    rows = read("embeddings")
+    assert len(got) == len(rows)
+    for r in rows[::7]:
+        dots = [1.0 if x > 0 else 0.0 for x in r["embedding"]]
+        parts = [sum(wave[k][y] * wave[j][x] * dots[8 * y + x] for y in range(8) for x in range(8)) for k in range(8) for j in range(8)]
+        middle = median(parts[1:])
+        near = [i for i, v in enumerate(parts) if abs(v - middle) < 1e-9]  # rounding may decide these either way
+        want = sum(1 << i for i, v in enumerate(parts) if v > middle)
+        assert (got[r["vec_id"]] % 2**64 | sum(1 << i for i in near)) == (want | sum(1 << i for i in near))
+    df = spark.createDataFrame([(1, [1] * 63), (2, None), (3, []), (4, [0] * 4)], "i int, bitmap array<int>")
+    assert [r["hash"] for r in glyphs.perceptual_hashes(df).collect()] == [None] * 4
