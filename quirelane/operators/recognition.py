@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelane.operators.layout import islands
+from quirelane.operators.ocr import merge
 
 WORDS = "text string, x0 double, y0 double, x1 double, y1 double, confidence double"
 
@@ -63,6 +64,53 @@ def recognise(crops: DataFrame, engine: Callable[[bytes], list[tuple]], image: s
     return crops.mapInPandas(run, f"{schema}, {WORDS}" if kept else WORDS)
 
 
+def recognise_cells(pages: DataFrame, engine: Callable[[np.ndarray], list[tuple]], keys: Sequence[str] = ("doc_id", "page_index"), dpi: int = 300, n: int = 8) -> DataFrame:
+    """(keys, cell, words) of the cells of ``hybrid_cells`` of pages (width and height in points, image: its gray points by rows).
+
+    A page's image is opened once, where it lies, and ``engine`` gets each cell's points, white beyond the image; it gives
+    words (text, x0, y0, x1, y1, confidence) in the cell's points from its top left. Boxes come out in points of the page,
+    from below. A cell whose engine fails gives no words, and neither does a page whose image hasn't its size.
+    """
+    keys = list(keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scale = dpi / 72
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                w, h = (int(np.ceil(getattr(r, side) * scale)) for side in ("width", "height"))
+                if r.hybrid_cells is None or r.image is None or len(r.image) != w * h:
+                    continue
+                gray = np.frombuffer(r.image, np.uint8).reshape(h, w)
+                wide, high = max(w // n, 1), max(h // n, 1)
+                for cell in r.hybrid_cells:
+                    top, left = int(cell) // n * high, int(cell) % n * wide
+                    crop = np.full((high, wide), 255, np.uint8)
+                    part = gray[top : top + high, left : left + wide]
+                    crop[: part.shape[0], : part.shape[1]] = part
+                    try:
+                        words = engine(crop)
+                    except Exception:  # noqa: BLE001  an injected engine may raise anything, and other cells go on
+                        continue
+                    place = [getattr(r, k) for k in keys]
+                    out += [(*place, int(cell), t, (left + a) / scale, r.height - (top + d) / scale, (left + c) / scale, r.height - (top + b) / scale, sure) for t, a, b, c, d, sure in words]
+            if out:
+                yield pd.DataFrame(out, columns=[*keys, "cell", "text", "x0", "y0", "x1", "y1", "confidence"])
+
+    schema = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keys)
+    return pages.select(*keys, "width", "height", "image", "hybrid_cells").mapInPandas(run, f"{schema}, cell int, {WORDS}")
+
+
+def hybrid_pages(pages: DataFrame, cells: DataFrame, spans: DataFrame, engine: Callable[[np.ndarray], list[tuple]], keys: Sequence[str] = ("doc_id", "page_index"), dpi: int = 300) -> DataFrame:
+    """The spans of hybrid pages: embedded ones, and those that the engine finds in the scanned cells and no sure embedded one covers.
+
+    ``cells``: (keys, hybrid_cells), as ``page_class.grid_counts`` gives them; pages that aren't hybrid are left out.
+    """
+    hybrid = cells.where("hybrid_cells IS NOT NULL").select(*keys, "hybrid_cells")
+    words = recognise_cells(pages.join(hybrid, list(keys)), engine, keys, dpi)
+    return merge(spans.join(hybrid.select(*keys), list(keys), "left_semi"), words, keys)
+
+
 def region_policy(words: DataFrame, keys: Sequence[str] = ("doc_id", "page_index"), apart: float = 12.0, least: float = 0.3) -> DataFrame:
     """Adds ``falls_back``: words of a region, lines within 12 points of each other, whose mean confidence is below 0.3."""
     order = ["y0", "x0"]

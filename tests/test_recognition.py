@@ -50,3 +50,27 @@ def test_kinds_and_tables(spark):
     cells = spark.createDataFrame([(1, 0, 0, 1, "b"), (1, 0, 0, 0, "a"), (1, 0, 1, 0, "c")], "doc_id long, page_index int, row int, col int, text string")
     t = reading.assembled(cells.withColumns({"rowspan": F.lit(1), "colspan": F.lit(1), "header": F.lit(False)})).first()
     assert [[c["text"] for c in r["cells"]] for r in t["rows"]] == [["a", "b"], ["c"]]
+
+
+def test_hybrid_pages(spark):
+    """Dark boxes in two scanned cells are found; one that an embedded span covers isn't doubled, and a failing cell is skipped."""
+    import numpy as np
+
+    from quirelane.operators import recognition
+
+    gray = np.full((792, 612), 255, np.uint8)
+    gray[750:760, 10:50] = 0  # in cell 56, the lowest on the left: y from 32 to 42
+    gray[700:710, 100:140] = 0  # in cell 57
+    gray[100:110, 10:50] = 0  # in a cell that isn't scanned
+
+    def engine(crop):
+        y, x = np.nonzero(crop < 128)
+        if not len(x):
+            raise RuntimeError("nothing here")
+        return [("w", float(x.min()), float(y.min()), float(x.max() + 1), float(y.max() + 1), 0.9)]
+
+    pages = spark.createDataFrame([(1, 0, 612.0, 792.0, gray.tobytes()), (1, 1, 612.0, 792.0, gray.tobytes()), (2, 0, 612.0, 792.0, b"short"), (3, 0, 612.0, 792.0, None)], "doc_id long, page_index int, width double, height double, image binary")
+    cells = spark.createDataFrame([(1, 0, [56, 57, 60]), (1, 1, None), (2, 0, [56]), (3, 0, [56])], "doc_id long, page_index int, hybrid_cells array<int>")
+    spans = spark.createDataFrame([(1, 0, "own", 100.0, 82.0, 140.0, 92.0, 1.0), (1, 1, "other page", 0.0, 0.0, 9.0, 9.0, 1.0), (2, 0, "kept", 0.0, 0.0, 9.0, 9.0, 1.0)], "doc_id long, page_index int, text string, x0 double, y0 double, x1 double, y1 double, confidence double")
+    got = sorted((r["doc_id"], r["page_index"], r["source"], r["text"], r["x0"], r["y0"], r["x1"], r["y1"]) for r in recognition.hybrid_pages(pages, cells, spans, engine, dpi=72).collect())
+    assert got == [(1, 0, "ocr", "w", 10.0, 32.0, 50.0, 42.0), (1, 0, "vector", "own", 100.0, 82.0, 140.0, 92.0), (2, 0, "vector", "kept", 0.0, 0.0, 9.0, 9.0)]
