@@ -168,6 +168,26 @@ def confirm_columns(gaps: DataFrame, line_starts: DataFrame, width: float, keys:
     return kept.withColumn("column", F.row_number().over(Window.partitionBy(*keys).orderBy("x0")) - 1)
 
 
+def page_columns(spans: DataFrame, width: float, keys: Sequence[str] = PAGE, least: int = 3) -> DataFrame:
+    """(keys, x0, x1, n_lines, column): histogram, gaps and confirmed columns of each page from one pass over its spans (line_no, x0).
+
+    A page has at most as many filled buckets as points, and its lines' starts are few: both are arrays of its row.
+    """
+    least_gap, last = -(-int(width * 3) // 100), int(width)
+    bucket = F.greatest(F.least(F.floor("x0"), F.lit(last - 1)), F.lit(0)).cast("int")
+    by_line = spans.groupBy(*keys, "line_no").agg(F.min("x0").alias("start"), F.collect_set(bucket).alias("buckets"))
+    filled = F.array_sort(F.array_distinct(F.flatten(F.collect_list("buckets"))))
+    page = by_line.groupBy(*keys).agg(F.concat(F.array(F.lit(-1)), filled, F.array(F.lit(last))).alias("edges"), F.collect_list("start").alias("starts"))
+    runs = F.zip_with(F.slice("edges", 1, F.size("edges") - 1), F.slice("edges", 2, F.size("edges") - 1), lambda a, b: F.struct((a + 1).alias("lo"), (b - 1).alias("hi")))
+    page = page.select(*keys, "starts", F.filter(runs, lambda g: g["hi"] - g["lo"] + 1 >= least_gap).alias("gaps"))
+    to = lambda g: F.coalesce(g["lo"].cast("double"), F.lit(float(width))).alias("x1")
+    between = F.transform("gaps", lambda g, i: F.struct((g["hi"] + 1).cast("double").alias("x0"), to(F.get("gaps", i + 1))))
+    page = page.select(*keys, "starts", F.concat(F.array(F.struct(F.lit(0.0).alias("x0"), to(F.get("gaps", F.lit(0))))), between).alias("ranges"))
+    counted = F.transform("ranges", lambda r: F.struct(r["x0"].alias("x0"), r["x1"].alias("x1"), F.size(F.filter("starts", lambda s: (s >= r["x0"]) & (s < r["x1"]))).cast("long").alias("n_lines")))
+    kept = F.filter(counted, lambda r: (r["x1"] > r["x0"]) & (r["n_lines"] >= least))
+    return page.select(*keys, F.posexplode(kept).alias("column", "r")).select(*keys, "r.x0", "r.x1", "r.n_lines", "column")
+
+
 def assign_columns(spans: DataFrame, columns: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     """Spans with the column that holds their centre; null where none does. Pages have few columns: no row multiplies."""
     c = columns.select(*keys, F.col("x0").alias("__lo"), F.col("x1").alias("__hi"), "column")

@@ -134,9 +134,7 @@ _COLUMNS = _GAPS + """, starts AS (SELECT doc_id, page_index, min(x0) AS x0 FROM
 
 def _columns(spark, sf_dir):
     words = _words(spark, sf_dir)
-    gaps = layout.column_gaps(layout.x0_histogram(words, 612.0), 612.0)
-    starts = words.groupBy("doc_id", "page_index", "line_no").agg(F.min("x0").alias("x0"))
-    return words, layout.confirm_columns(gaps, starts, 612.0)
+    return words, layout.page_columns(words, 612.0)
 
 
 @register("confirmed_columns", f'WITH {_COLUMNS} SELECT doc_id, page_index, x0, x1, n_lines, col AS "column" FROM cols')

@@ -407,3 +407,19 @@ def test_perceptual_hashes_query(spark):
         assert (got[r["vec_id"]] % 2**64 | sum(1 << i for i in near)) == (want | sum(1 << i for i in near))
     df = spark.createDataFrame([(1, [1] * 63), (2, None), (3, []), (4, [0] * 4)], "i int, bitmap array<int>")
     assert [r["hash"] for r in glyphs.perceptual_hashes(df).collect()] == [None] * 4
+
+
+def test_page_columns_both_ways(spark):
+    """Columns of one pass equal those of the histogram, its gaps and the confirmed ranges, taken one by one."""
+    rng = random.Random(13)
+    rows = []
+    for page in range(30):
+        for line in range(rng.randint(6, 40)):
+            for start in rng.sample([0, 3, 72, 200, 340, 598, 700, -5], rng.choice([1, 1, 1, 2])):
+                rows.append((1, page, line, float(start + rng.randint(0, 30))))
+    df = spark.createDataFrame(rows, "doc_id long, page_index int, line_no int, x0 double")
+    starts = df.groupBy("doc_id", "page_index", "line_no").agg(F.min("x0").alias("x0"))
+    steps = layout.confirm_columns(layout.column_gaps(layout.x0_histogram(df, 612.0), 612.0), starts, 612.0)
+    columns = ["page_index", "x0", "x1", "n_lines", "column"]
+    want = sorted(map(tuple, steps.select(*columns).collect()))
+    assert sorted(map(tuple, layout.page_columns(df, 612.0).select(*columns).collect())) == want and max(w[-1] for w in want) > 1
