@@ -9,6 +9,7 @@ HDFS; on object stores it isn't, and readers should wait for the job's end there
 from __future__ import annotations
 
 import posixpath
+import time
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -43,6 +44,12 @@ class OutputsWriter(DataSourceArrowWriter):
         self.path, self.names, self.overwrite = path.rstrip("/"), list(names), overwrite
         self.staging = f"{posixpath.dirname(self.path)}/.{posixpath.basename(self.path)}-{uuid.uuid4().hex}"
 
+    def prepare(self) -> None:
+        """Make the staging folders. Tasks only write into them, so one that outlives its job's end brings nothing back."""
+        store, top = fs.FileSystem.from_uri(self.staging)
+        for name in self.names:  # an output without rows is an empty folder
+            store.create_dir(f"{top}/{name}", recursive=True)
+
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files, done = {}, Written()
         store, top = fs.FileSystem.from_uri(self.staging)
@@ -55,7 +62,6 @@ class OutputsWriter(DataSourceArrowWriter):
                     some = batch.filter(pc.equal(batch.column(at), name)).remove_column(at)
                     if name not in files:
                         file = f"{name}/part-{uuid.uuid4().hex}.parquet"
-                        store.create_dir(f"{top}/{name}", recursive=True)
                         files[name] = pq.ParquetWriter(f"{top}/{file}", some.schema, filesystem=store)
                         done.files.append(file)
                     files[name].write_batch(some)
@@ -69,8 +75,6 @@ class OutputsWriter(DataSourceArrowWriter):
         store, top = fs.FileSystem.from_uri(self.staging)
         _, target = fs.FileSystem.from_uri(self.path)
         kept = {f for m in messages if m is not None for f in m.files}
-        for name in self.names:  # an output without rows is an empty folder
-            store.create_dir(f"{top}/{name}", recursive=True)
         for info in store.get_file_info(fs.FileSelector(top, recursive=True)):
             if info.is_file and posixpath.relpath(info.path, top) not in kept:
                 store.delete_file(info.path)  # of a task that was lost or run twice
@@ -92,8 +96,15 @@ class OutputsWriter(DataSourceArrowWriter):
 
     def abort(self, messages: list[Written | None]) -> None:  # noqa: ARG002
         store, top = fs.FileSystem.from_uri(self.staging)
-        if store.get_file_info(top).type != fs.FileType.NotFound:
-            store.delete_dir(top)
+        for turn in range(20):
+            if store.get_file_info(top).type == fs.FileType.NotFound:
+                return
+            try:
+                store.delete_dir(top)
+            except OSError:  # a task that hasn't heard of the end yet has just made a file
+                if turn == 19:
+                    raise
+                time.sleep(0.1)
 
 
 class Outputs(DataSource):
@@ -106,7 +117,9 @@ class Outputs(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> OutputsWriter:
         if OUTPUT not in schema.names:
             raise ValueError(f"no column {OUTPUT}")
-        return OutputsWriter(self.options["path"], self.options["names"].split(","), overwrite)
+        made = OutputsWriter(self.options["path"], self.options["names"].split(","), overwrite)
+        made.prepare()
+        return made
 
 
 def write_together(outputs: dict[str, DataFrame], path: str, *, overwrite: bool = False) -> None:

@@ -360,11 +360,18 @@ def test_leavings_of_lost_tasks_go(tmp_path):
     import pyarrow as pa
 
     w = commit.OutputsWriter(f"file://{tmp_path}/set", ["a"], False)
+    w.prepare()
     rows = lambda v: iter([pa.RecordBatch.from_pydict({"value": [v], commit.OUTPUT: ["a"]})])
     lost, kept = w.write(rows("lost")), w.write(rows("kept"))
     assert lost.files != kept.files
     w.commit([kept, None])
     assert pq.read_table(tmp_path / "set" / "a").to_pylist() == [{"value": "kept"}]
+    w = commit.OutputsWriter(f"file://{tmp_path}/other", ["a"], False)
+    w.prepare()
+    w.abort([None])
+    with pytest.raises(OSError):
+        w.write(rows("late"))
+    assert shown(tmp_path) == ["set"]
 
 
 def test_hybrid_page_of_a_file(spark, tmp_path):
