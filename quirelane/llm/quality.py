@@ -1,27 +1,29 @@
 """Quality rules: counted base rules, then a log-likelihood ratio of hashed n-grams.
 
 Every text is scored by the mean, over its byte 4-grams hashed to buckets, of log(p_target / p_raw). The raw multinomial
-counts every document of the corpus; the target multinomial counts trusted documents, a bounded sample of those that are
-labelled good. The threshold is fitted to a bounded sample of labelled documents, and then decides every document alike.
+counts every document of the corpus; the target multinomial counts trusted documents, all that are labelled good. The
+threshold is fitted to the scores of all labelled documents, and then decides every document alike.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelane.llm.common import as_bytes, extended
+from quirelane.session import cut
 
 #: Buckets of hashed n-grams: the size of the model, and of what a task adds to the counts.
 BUCKETS = 1 << 16
-#: Labelled documents, of each label, that the target multinomial and the threshold are fitted to.
-SAMPLE = 10_000
+#: Log-ratios are multiples of 1 / UNIT, so sums of them are exact: equal texts score alike whatever they are scored with.
+UNIT = 1 << 24
 #: Documents whose bytes are hashed at once; longer texts are taken in pieces of this size.
 CHUNK = 1 << 20
 WINDOW = 8
@@ -87,81 +89,91 @@ class Model:
     threshold: float
 
 
-def best_threshold(good: np.ndarray, bad: np.ndarray) -> float:
+def best_threshold(labelled: DataFrame) -> float:
     """The cut with the largest weighted sum of kept good and rejected bad shares, in the middle of the widest such gap.
 
-    Losing a good document weighs ``GOOD_WEIGHT`` times as much as keeping a bad one.
-    Without bad documents nothing is rejected; without good ones the cut is 0, where both multinomials agree.
+    ``labelled`` has a quality, 0 or 1, and a score for each document. Losing a good document weighs ``GOOD_WEIGHT`` times
+    as much as keeping a bad one. Without bad documents nothing is rejected; without good ones the cut is 0, where both
+    multinomials agree.
     """
-    if not len(bad):
+    values = labelled.groupBy("score").agg(F.sum("quality").alias("good"), F.sum(1 - F.col("quality")).alias("bad"))
+    values = cut(values.repartitionByRange("score").withColumn("part", F.spark_partition_id()))
+    # what lies below each range of scores: a row for each range
+    parts = values.groupBy("part").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.max("score").alias("last")).collect()
+    below, good, bad, last = [], 0, 0, None
+    for p in sorted(parts):
+        below.append((p["part"], good, bad, last))
+        good, bad, last = good + p["good"], bad + p["bad"], p["last"]
+    if not bad:
         return -np.inf
-    if not len(good):
+    if not good:
         return 0.0
-    values = np.unique(np.r_[good, bad])
-    cuts = np.r_[values[0] - 1, (values[1:] + values[:-1]) / 2]
-    gaps = np.r_[0, np.diff(values)]
-    good, bad = np.sort(good), np.sort(bad)
-    gain = GOOD_WEIGHT * (len(good) - np.searchsorted(good, cuts)) / len(good) + np.searchsorted(bad, cuts) / len(bad)
-    best = np.flatnonzero(gain >= gain.max() - 1e-12)
-    return float(cuts[best[np.argmax(gaps[best])]])
-
-
-def _sample(labels: DataFrame, n: int) -> dict[int, int]:
-    """doc_id -> quality, of at most ``n`` documents of each label: those with the smallest hashes, so always the same."""
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
-    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    out: dict[int, int] = {}
-    for q in (0, 1):
-        rows = known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("doc_id").collect()
-        out |= {r[0]: q for r in rows}
-    return out
-
-
-def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
-    """Count both multinomials and fit the threshold. The raw counts cover every document, whole."""
+    ranges = labelled.sparkSession.createDataFrame(below, "part int, good_below long, bad_below long, last double")
+    ordered = Window.partitionBy("part").orderBy("score")
+    under = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    placed = values.join(F.broadcast(ranges), "part").select(
+        "score",
+        (F.col("good_below") + F.coalesce(F.sum("good").over(under), F.lit(0))).alias("lost"),
+        (F.col("bad_below") + F.coalesce(F.sum("bad").over(under), F.lit(0))).alias("rejected"),
+        F.coalesce(F.lag("score").over(ordered), "last").alias("last"),
+    )
+    middle = (F.col("score") + F.col("last")) / 2
+    # shares over their common denominator, good x bad
+    gain = (good - F.col("lost")).cast("decimal(18,0)") * F.lit(Decimal(GOOD_WEIGHT * bad)) + F.col("rejected").cast("decimal(18,0)") * F.lit(Decimal(good))
+    cuts = placed.select(
+        gain.alias("gain"),
+        F.coalesce(F.col("score") - F.col("last"), F.lit(0.0)).alias("gap"),
+        F.when(F.col("last").isNull(), F.col("score") - 1).when(middle > F.col("last"), middle).otherwise(F.col("score")).alias("cut"),
+    )
+    return cuts.orderBy(F.desc("gain"), F.desc("gap"), "cut").first()["cut"]
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Count both multinomials and fit the threshold, over every document and every label, whole.
+
+    A document that is labelled both good and bad is bad. Of rows that share an id all are counted, and the least score
+    counts for the threshold.
+    """
     spark = docs.sparkSession
-    known = _sample(labels, sample)
-    good = np.array(sorted(i for i, q in known.items() if q == 1), np.int64)
-    shared = spark.sparkContext.broadcast(good)
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
+    known = cut(known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target, some = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), False
+        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for b in batches:
             texts = [t or b"" for t in as_bytes(b.column(1))]
-            ids = np.array([-1 if i is None else i for i in b.column(0).to_pylist()], np.int64)
-            trusted = np.isin(ids, shared.value) & np.array(b.column(0).is_valid())
-            for into, some_texts in ((raw, texts), (target, [t for t, on in zip(texts, trusted, strict=True) if on])):
+            trusted = [t for t, on in zip(texts, b.column(0).to_pylist(), strict=True) if on]
+            for into, some_texts in ((raw, texts), (target, trusted)):
                 for _, data, lengths in _chunks(some_texts):
                     if len(data) >= 4:
                         code = buckets_of(data)
                         into += np.bincount(code, minlength=BUCKETS)
                         into -= np.bincount(code[_last_three(lengths, len(code))], minlength=BUCKETS)
-            some = some or bool(texts)
-        if some and (at := np.flatnonzero(raw)).size:
+        if (at := np.flatnonzero(raw)).size:
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
 
     texts = docs.select("doc_id", F.col("text").alias("__text"))
-    counted = texts.mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    # by shuffle whatever the size: labels grow with the corpus, so a broadcast of them would too
+    marked = texts.join(known.hint("shuffle_hash"), "doc_id", "left").select((F.col("quality") == 1).alias("trusted"), "__text")
+    counted = marked.mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.full(BUCKETS, 0.5), np.full(BUCKETS, 0.5)
     if len(counted):
         raw[counted["bucket"]] += counted["raw"]
         target[counted["bucket"]] += counted["target"]
-    ratios = np.log(target / target.sum()) - np.log(raw / raw.sum())
-    if not len(good):
+    ratios = np.round((np.log(target / target.sum()) - np.log(raw / raw.sum())) * UNIT) / UNIT
+    if not counted["target"].any():
         ratios[:] = 0
-    # the labelled sample's own scores: at most two samples' rows, as of rows that share an id the least text counts
-    both = spark.createDataFrame([(int(i), int(q)) for i, q in known.items()], "doc_id long, quality int")
     table = spark.sparkContext.broadcast(ratios)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = scores([t or b"" for t in as_bytes(b.column(1))], table.value)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], names=["quality", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], names=["doc_id", "score"])
 
-    once = texts.join(F.broadcast(both), "doc_id").groupBy("doc_id", "quality").agg(F.min("__text").alias("__text"))
-    labelled = once.select("quality", "__text").mapInArrow(score, "quality int, score double").toPandas()
-    q, s = labelled["quality"].to_numpy(), labelled["score"].to_numpy(np.float64)
-    return Model(ratios, best_threshold(s[q == 1], s[q == 0]))
+    # every text is scored where it lies, so only ids and scores are shuffled
+    scored = texts.where("doc_id IS NOT NULL").mapInArrow(score, extended(docs.select("doc_id").schema, "score double"))
+    labelled = scored.groupBy("doc_id").agg(F.min("score").alias("score")).join(known, "doc_id").select("quality", "score")
+    return Model(ratios, best_threshold(labelled))
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:

@@ -415,6 +415,69 @@ def test_quality_scores_by_hand():
     assert abs(got[4] - ratios[code].sum() / n) < 1e-9
 
 
+def brute_threshold(scored):
+    """Of (score, quality): every cut tried, its gain in whole numbers."""
+    good, bad = (sum(q == want for _, q in scored) for want in (1, 0))
+    of = {}
+    for s, q in scored:
+        of.setdefault(s, [0, 0])[q] += 1
+    best, below, last = None, [0, 0], None
+    for s in sorted(of):
+        gain = quality.GOOD_WEIGHT * (good - below[1]) * bad + below[0] * good
+        here = (gain, s - last if last is not None else 0.0, (s + last) / 2 if last is not None else s - 1)
+        best = here if best is None or here[:2] > best[:2] else best
+        below, last = [x + y for x, y in zip(below, of[s], strict=True)], s
+    return best[2]
+
+
+def test_quality_is_fitted_to_every_label(spark):
+    """Both multinomials and the threshold, of more labels than one batch or any round bound holds, against plain Python."""
+    from collections import Counter
+
+    import numpy as np
+
+    texts = {i: f"{'good' if i % 7 else 'poor'} line {i} of {'plain' if i % 5 else 'odd'} words" for i in range(26_000)}
+    labels = {i: int(i % 9 < 5) if i % 11 else int(i % 7 > 0) for i in texts if i % 200}
+    docs = spark.createDataFrame([*texts.items(), (None, "no id, no label")], "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame(list(labels.items()), "doc_id long, quality int"))
+
+    codes = {i: [(int.from_bytes(t.encode()[j : j + 4], "little") * 2654435761 % 2**32) >> 16 for j in range(len(t) - 3)] for i, t in [*texts.items(), (None, "no id, no label")]}
+    raw, target = np.full(quality.BUCKETS, 0.5), np.full(quality.BUCKETS, 0.5)
+    for into, some in ((raw, codes), (target, [i for i, q in labels.items() if q])):
+        for b, n in Counter(b for i in some for b in codes[i]).items():
+            into[b] += n
+    assert sum(labels.values()) > 10_000 < sum(not q for q in labels.values())
+    assert np.abs(model.ratios - np.log(target / target.sum()) + np.log(raw / raw.sum())).max() < 1e-7
+    assert abs(model.threshold - brute_threshold([(float(sum(model.ratios[codes[i]])) / len(codes[i]), q) for i, q in labels.items()])) < 1e-12
+
+
+def test_quality_threshold_over_ranges(spark):
+    """Ranges of scores that lie in different tasks, with ties; one score alone; labels of one kind."""
+    import random
+
+    rng, schema = random.Random(3), "quality int, score double"
+    cases = [[(rng.randint(0, 1), rng.randint(-40, 40) / 8) for _ in range(n)] for n in (2, 7, 60, 900)]
+    cases += [[(1, 0.5), (0, 0.5)], [(1, 1.0), (0, 2.0)], [(q, float(q)) for q in (0, 1) for _ in range(50)], [(i % 2, i / 7) for i in range(500)]]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for rows in cases:
+            if len({q for q, _ in rows}) == 2:
+                assert quality.best_threshold(spark.createDataFrame(rows, schema)) == brute_threshold([(s, q) for q, s in rows])
+        for rows, want in (([], -float("inf")), ([(1, 0.1)], -float("inf")), ([(0, 0.1), (0, 0.2)], 0.0)):
+            assert quality.best_threshold(spark.createDataFrame(rows, schema)) == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_quality_scores_equal_texts_alike(spark):
+    """Whatever stands before them in a batch."""
+    import numpy as np
+
+    model = quality.fit(spark.createDataFrame([(i, f"some words {i * i}") for i in range(50)], "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int"))
+    got = quality.scores([b"one text of words 12", *(b"some %d words" % i + b"x" * (i % 13) for i in range(3000)), b"one text of words 12"], model.ratios)
+    assert got[0] == got[-1] and np.isfinite(got).all()
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://", "http://ORG/", "http://xorg/", "http://a.org", "http://a.org/x", "HTTP://Example.ORG/es/1", "http://example.org/en/1234", "http://example.org/en/2", "http://q.com/fr/", "x://y.com/de/?a",
             "http://com/fr", "a://b://c.org/", "http://m.casino-win.example.net/", "http://casinos.net/x", "http://h.net/casino/", "http://free-bets.net", "http://link-farm.net?x", "http://a.org#f", "http://é.com/de/é", "http://example.org/en/1#x", "http://adsl.net/", "u://" + "a" * 20000 + ".com/fr/"]
