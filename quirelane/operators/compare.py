@@ -16,12 +16,18 @@ from quirelane.operators.groups import folded
 from quirelane.session import cut
 
 
+def same_place(a: Box, b: Box) -> Column:
+    """Intersection over union, and 1 for equal boxes: an empty line has a box without area, and stands where it stood."""
+    equal = (a.x0 == b.x0) & (a.y0 == b.y0) & (a.x1 == b.x1) & (a.y1 == b.y1)
+    return F.when(equal, F.lit(1.0)).otherwise(a.iou(b))
+
+
 def block_score(a: Box, b: Box, text_a: Column, text_b: Column) -> Column:
-    return 0.7 * a.iou(b) + 0.3 * scalars.text_similarity(text_a, text_b)
+    return 0.7 * same_place(a, b) + 0.3 * scalars.text_similarity(text_a, text_b)
 
 
 def span_score(a: Box, b: Box, text_a: Column, text_b: Column) -> Column:
-    return 0.5 * a.iou(b) + 0.5 * scalars.text_similarity(text_a, text_b)
+    return 0.5 * same_place(a, b) + 0.5 * scalars.text_similarity(text_a, text_b)
 
 
 def block_pairs(old: DataFrame, new: DataFrame, keys: Sequence[str], least: float = 0.5, band: float = 24.0) -> DataFrame:
@@ -36,7 +42,7 @@ def block_pairs(old: DataFrame, new: DataFrame, keys: Sequence[str], least: floa
     b = b.select("*", F.explode(bands("b_y0", "b_y1")).alias("__b_band"))
     on = [*(F.col(k) == F.col(f"b_{k}") for k in keys), F.col("__band") == F.col("__b_band")]
     once = F.col("__band") == F.greatest(F.floor(F.col("y0") / band), F.floor(F.col("b_y0") / band))
-    iou = Box.of().iou(Box.of("b_"))
+    iou = same_place(Box.of(), Box.of("b_"))
     met = a.join(b, on).where(once & (iou > (least - 0.3) / 0.7))
     # a generator computes what a filter and a projection would each compute
     scored = F.array(F.struct(iou.alias("iou"), scalars.text_similarity(F.col("text"), F.col("b_text")).alias("similarity")))
