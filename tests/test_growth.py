@@ -37,6 +37,6 @@ def texts(*texts):
 EMPTY_LINES = ["", "\n", "a\n\nb\n", "é\nñ\n\n\n日本\n", "\n" * 60, "one\ntwo\n\n\n\n\n\n\nnine\n\n\n", "x\n" * 30]
 
 
-@pytest.mark.parametrize("query", ["page_diff"])
+@pytest.mark.parametrize("query", ["page_diff", "diff_summary"])
 def test_empty_lines_stand_where_they_stood(spark, tables, query):
     tables(spark, query, documents=texts(*EMPTY_LINES))
