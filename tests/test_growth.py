@@ -40,3 +40,7 @@ EMPTY_LINES = ["", "\n", "a\n\nb\n", "é\nñ\n\n\n日本\n", "\n" * 60, "one\ntw
 @pytest.mark.parametrize("query", ["page_diff", "diff_summary"])
 def test_empty_lines_stand_where_they_stood(spark, tables, query):
     tables(spark, query, documents=texts(*EMPTY_LINES))
+
+
+def test_receipts_of_very_long_lines(spark, tables):
+    tables(spark, "receipt_verification", documents=texts(*(f"{'x' * 9000}\n{'y ' * 4000}\nz{i}" for i in range(10))))
