@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -34,18 +35,105 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+#: Known hashes in a block, and hashes of shapes in a shard: a task holds one of each. Pairs that a task compares at once.
+BLOCK, SHARD, PAIRS = 1 << 20, 1 << 16, 1 << 21
+#: Most bits of a segment, whose values index a block's hashes directly.
+SEGMENT_BITS = 20
+
+
+def _segments(known: np.ndarray) -> list[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(bits, order, starts) of each segment: of the bits in which known hashes differ, about as many as tell them apart.
+
+    Hashes that agree in all of a segment's bits lie side by side in ``order``, from ``starts[value]`` on.
+    """
+    differing = int(np.bitwise_or.reduce(known) ^ np.bitwise_and.reduce(known))
+    bits = [i for i in range(64) if differing >> i & 1]
+    width = min(max(int(len(known)).bit_length(), 4), SEGMENT_BITS)
+    n = max(1, round(len(bits) / width), -(-len(bits) // SEGMENT_BITS))
+    out = []
+    for own in (bits[i::n] for i in range(n)):
+        value = _value(known, own)
+        out.append((own, np.argsort(value, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << len(own)))])))
+    return out
+
+
+def _value(hashes: np.ndarray, bits: list[int]) -> np.ndarray:
+    out = np.zeros(len(hashes), np.int64)
+    for at, bit in enumerate(bits):
+        out |= (hashes >> np.uint64(bit) & np.uint64(1)).astype(np.int64) << at
+    return out
+
+
+def nearest_of(hashes: np.ndarray, known: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distance, place in ``known``) of the nearest known hash of each hash; beyond ``most`` the distance is ``most`` + 1.
+
+    Both are uint64; ``known`` has no two equal hashes and is in the order that decides ties. For distances from 0 up, hashes
+    that have none as near look at all known hashes within a few bits in some segment: of n segments whose radii sum
+    to the distance less n - 1, one lies within its radius. So a hash meets few others, and one that is found meets no more.
+    """
+    best = np.full(len(hashes), (most + 1) * len(known), np.int64)  # distance, then place
+    if not len(known) or not len(hashes):
+        return np.full(len(hashes), most + 1), np.zeros(len(hashes), np.int64)
+    segments = _segments(known)
+    values = [_value(hashes, bits) for bits, _, _ in segments]
+    done = [-1] * len(segments)
+    for distance in range(most + 1):
+        total = distance - len(segments) + 1
+        for i, (bits, order, starts) in enumerate(segments):
+            radius = total // len(segments) + (i < total % len(segments)) if total >= 0 else (0 if i <= distance else -1)
+            # the pairs that are met grow with the radius; those within a smaller one were met before
+            for weight in range(done[i] + 1, min(radius, len(bits)) + 1):
+                left = np.flatnonzero(best >= distance * len(known))
+                for flips in combinations(range(len(bits)), weight):
+                    at = values[i][left] ^ sum(1 << f for f in flips)
+                    _meet(hashes, known, left, starts[at], starts[at + 1], order, best)
+            done[i] = max(done[i], radius)
+    return best // len(known), best % len(known)
+
+
+def _meet(hashes: np.ndarray, known: np.ndarray, left: np.ndarray, lo: np.ndarray, hi: np.ndarray, order: np.ndarray, best: np.ndarray) -> None:
+    """Lowers ``best`` of the hashes ``left`` by the known ones from ``lo`` to ``hi`` of ``order``, ``PAIRS`` or so at once."""
+    some = np.flatnonzero(hi > lo)
+    left, lo, count = left[some], lo[some], (hi - lo)[some]
+    ends = np.cumsum(count)
+    first = 0
+    while first < len(left):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + PAIRS, "right")))
+        n = count[first:last]
+        begin = np.cumsum(n) - n
+        place = order[np.arange(int(n.sum())) + np.repeat(lo[first:last] - begin, n)]
+        pair = np.bitwise_count(known[place] ^ np.repeat(hashes[left[first:last]], n)).astype(np.int64) * len(known) + place
+        best[left[first:last]] = np.minimum(best[left[first:last]], np.minimum.reduceat(pair, begin))
+        first = last
+
+
 def nearest_shape(shapes: DataFrame, known: DataFrame, most: int = 8) -> DataFrame:
     """Shapes (shape_id, hash) with the known shape of least Hamming distance, at most ``most``; ties to the smaller hash.
 
-    Two hashes within ``most`` = 8 agree in one of nine runs of bits, so shapes are joined by runs; no pair beyond is met.
+    Distinct hashes of shapes are dealt to shards, those of known shapes to blocks; a task finds the nearest of one block for
+    one shard by ``nearest_of``, and the best block decides. Known hashes are copied once a shard, packed.
     """
-    n = most + 1
-    edges = [64 * i // n for i in range(n + 1)]
-    runs = lambda h: F.array(*(F.struct(F.lit(i).alias("run"), F.shiftrightunsigned(h, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1).cast("long")).alias("bits")) for i in range(n)))
-    a = shapes.select("shape_id", "hash", F.explode(runs(F.col("hash"))).alias("r"))
-    b = known.select(F.col("hash").alias("known_hash"), "text", F.explode(runs(F.col("hash"))).alias("r"))
-    d = hamming(F.col("hash"), F.col("known_hash"))
-    pairs = a.join(b, "r").withColumn("distance", d).where(F.col("distance") <= most)
+    own = shapes.where("hash IS NOT NULL").select("hash").distinct()
+    of = known.where("hash IS NOT NULL").groupBy("hash").agg(F.min("text").alias("text"))
+    cores = shapes.sparkSession.sparkContext.defaultParallelism
+    shards, blocks = max(2 * cores, -(-own.count() // SHARD)), -(-of.count() // BLOCK)
+    # hashes are dealt by a hash of their own, so neighbours and runs spread
+    a = own.select("hash", F.pmod(F.xxhash64("hash"), F.lit(shards)).cast("int").alias("shard")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))))
+    b = of.select("hash", F.pmod(F.xxhash64("hash"), F.lit(max(blocks, 1))).cast("int").alias("block")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    parts = max(blocks, 1) * shards
+    dealt = lambda df: df.repartition(parts, "shard", "block").groupBy("shard", "block")
+
+    def find(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        known = np.sort(b["hash"].to_numpy(np.int64))
+        hashes = a["hash"].to_numpy(np.int64)
+        distance, place = nearest_of(hashes.view(np.uint64), known.view(np.uint64), most)
+        near = distance <= most
+        return pd.DataFrame({"hash": hashes[near], "known_hash": known[place[near]], "distance": distance[near].astype(np.int32)})
+
+    found = dealt(a).cogroup(dealt(b)).applyInPandas(find, "hash long, known_hash long, distance int")
+    found = found.groupBy("hash").agg(F.min_by("known_hash", F.struct("distance", "known_hash")).alias("known_hash"), F.min("distance").alias("distance"))
+    pairs = shapes.select("shape_id", "hash").join(found, "hash").join(of.withColumnRenamed("hash", "known_hash"), "known_hash")
     best = pairs.groupBy("shape_id").agg(F.min_by(F.struct("known_hash", "text", "distance"), F.struct("distance", "known_hash")).alias("b"))
     return best.select("shape_id", "b.known_hash", "b.text", "b.distance")
 

@@ -3,11 +3,13 @@
 import os
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 import test_queries
+from quirelane.operators import glyphs
 from quirelane.plans import registry
 
 pytestmark = pytest.mark.skipif(not Path(test_queries.DATA).is_dir(), reason="no test tables here")
@@ -44,3 +46,40 @@ def test_empty_lines_stand_where_they_stood(spark, tables, query):
 
 def test_receipts_of_very_long_lines(spark, tables):
     tables(spark, "receipt_verification", documents=texts(*(f"{'x' * 9000}\n{'y ' * 4000}\nz{i}" for i in range(10))))
+
+
+def test_nearest_shapes_meet_few_others(monkeypatch):
+    """Hashes of 32 bits, whose other 32 are all alike, and of 64: no more pairs are met than a small share of all, and none is lost."""
+    rng = np.random.default_rng(5)
+    met = []
+    meet = glyphs._meet
+    monkeypatch.setattr(glyphs, "_meet", lambda h, k, left, lo, hi, *rest: (met.append(int((hi - lo).sum())), meet(h, k, left, lo, hi, *rest)))
+    for bits, flips in ((32, 4), (64, 8), (6, 3)):
+        known = np.unique(rng.integers(0, 1 << min(bits, 62), 5000, np.uint64) << np.uint64(bits == 64))
+        hashes = known[rng.integers(0, len(known), 300)]
+        for _ in range(flips):
+            hashes = hashes ^ np.uint64(1) << rng.integers(0, bits, 300).astype(np.uint64)
+        met.clear()
+        distance, place = glyphs.nearest_of(hashes, known, 8)
+        every = np.bitwise_count(hashes[:, None] ^ known[None, :])
+        assert (distance == np.minimum(every.min(1), 9)).all()
+        near = distance < 9
+        assert near.any() and (place[near] == every.argmin(1)[near]).all()
+        assert bits == 6 or sum(met) < 0.25 * every.size
+
+
+def test_nearest_shapes_in_blocks(spark, monkeypatch):
+    """Several blocks and shards, repeated hashes and null ones, against all pairs."""
+    monkeypatch.setattr(glyphs, "BLOCK", 40)
+    monkeypatch.setattr(glyphs, "SHARD", 16)
+    rng = np.random.default_rng(6)
+    known = [int(x) for x in rng.integers(0, 1 << 20, 150)]
+    shapes = [*(int(x) for x in rng.integers(0, 1 << 20, 180)), *known[:20], -1]
+    a = spark.createDataFrame([*enumerate(shapes), (999, None)], "shape_id long, hash long")
+    b = spark.createDataFrame([(x, str(x)) for x in [*known, *known[:30], None]], "hash long, text string")
+    want = set()
+    for i, x in enumerate(shapes):
+        d, y = min((((x ^ y) & (1 << 64) - 1).bit_count(), y) for y in known)
+        if d <= 8:
+            want.add((i, y, str(y), d))
+    assert {tuple(r) for r in glyphs.nearest_shape(a, b).select("shape_id", "known_hash", "text", "distance").collect()} == want
