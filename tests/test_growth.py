@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import test_queries
-from quirelane.operators import glyphs
+from quirelane.operators import glyphs, merged_cells
 from quirelane.plans import registry
 
 pytestmark = pytest.mark.skipif(not Path(test_queries.DATA).is_dir(), reason="no test tables here")
@@ -83,3 +83,23 @@ def test_nearest_shapes_in_blocks(spark, monkeypatch):
         if d <= 8:
             want.add((i, y, str(y), d))
     assert {tuple(r) for r in glyphs.nearest_shape(a, b).select("shape_id", "known_hash", "text", "distance").collect()} == want
+
+
+def test_merged_cells_call_no_fold_for_each_page(spark):
+    """The plan has no cogroup of pages; unlike pages, pages without rules and pages of a null key keep their own cells."""
+    cells, rules = [], []
+    for d in (1, 2, 3, None):
+        cells += [(d, 0, r, c, 100.0 * c, 100.0 * (1 - r), 100.0 * c + 100, 100.0 * (1 - r) + 100) for r in range(2) for c in range(3)]
+    for d in (1, 2, None):
+        rules += [(d, 0, "h", 100.0, 0.0, 300.0), (d, 0, "v", 100.0, 0.0, 200.0 if d == 1 else 95.0), (d, 0, "v", 200.0, 0.0, 200.0)]
+    rules.append((4, 0, "v", 1.0, 0.0, 9.0))
+    a = spark.createDataFrame(cells, "doc_id long, page_index int, row int, col int, x0 double, y0 double, x1 double, y1 double")
+    b = spark.createDataFrame(rules, "doc_id long, page_index int, orientation string, pos double, lo double, hi double")
+    got = merged_cells.merge(a, b)
+    assert "CoGroup" not in got._jdf.queryExecution().toString()
+    shapes = {}
+    for r in got.collect():
+        shapes.setdefault(r["doc_id"], set()).add((r["row"], r["col"], r["rowspan"], r["colspan"]))
+    single = {(r, c, 1, 1) for r in range(2) for c in range(3)}
+    joined = single - {(0, 0, 1, 1), (0, 1, 1, 1)} | {(0, 0, 1, 2)}
+    assert shapes == {1: single, 2: joined, None: joined, 3: {(0, 0, 2, 3)}}
