@@ -105,7 +105,7 @@ def test_merged_cells_call_no_fold_for_each_page(spark):
     assert shapes == {1: single, 2: joined, None: joined, 3: {(0, 0, 2, 3)}}
 
 
-@pytest.mark.parametrize("query", ["borderless_grids"])
+@pytest.mark.parametrize("query", ["borderless_grids", "borderless_tables"])
 def test_pages_meet_in_one_shuffle_of_starts(spark, query):
     plan = registry.QUERIES[query](spark, test_queries.DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(doc_id") == 1 and "Join" not in plan
