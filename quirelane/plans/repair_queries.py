@@ -172,7 +172,7 @@ def codespace_codes(spark, sf_dir):
     kind = F.element_at(F.array(*(F.lit(x) for x in ("utf8", "plain", "pairs", "none"))), (F.col("doc_id") % 4 + 1).cast("int"))
     strings = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", kind.alias("font"), F.encode("text", "UTF-8").alias("bytes"))
     ranges = spark.createDataFrame([(f, bytes.fromhex(lo), bytes.fromhex(hi)) for f, lo, hi in _FONTS], "font string, lo binary, hi binary")
-    got = codespace.tokenised(strings, ranges)
+    got = codespace.tokenised(strings, ranges, give=["codes", "unknown"])
     return got.select("doc_id", F.size("codes").cast("long").alias("n_codes"), F.size(F.filter("unknown", lambda u: u)).cast("long").alias("n_unknown"))
 
 

@@ -9,8 +9,9 @@ import pyarrow.parquet as pq
 import pytest
 
 import test_queries
-from quirelane.operators import glyphs, merged_cells
+from quirelane.operators import codespace, glyphs, merged_cells
 from quirelane.plans import registry
+from test_stores import brute_codes
 
 pytestmark = pytest.mark.skipif(not Path(test_queries.DATA).is_dir(), reason="no test tables here")
 
@@ -109,3 +110,19 @@ def test_merged_cells_call_no_fold_for_each_page(spark):
 def test_pages_meet_in_one_shuffle_of_starts(spark, query):
     plan = registry.QUERIES[query](spark, test_queries.DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(doc_id") == 1 and "Join" not in plan
+
+
+def test_codes_of_many_strings_at_once():
+    """Strings that lie side by side keep their own codes: none reaches into the next string."""
+    rng = np.random.default_rng(8)
+    fonts = [[], [("00", "7F"), ("C280", "DFBF"), ("E08080", "EFBFBF")], [("0000", "FFFF")], [("00", "FF"), ("4142", "4244"), ("414243", "414243")], [("80808080", "FFFFFFFF"), ("41", "42")]]
+    for hexed in fonts:
+        bounds = [(bytes.fromhex(a), bytes.fromhex(b)) for a, b in hexed]
+        strings = [rng.choice(np.frombuffer(b"ABC\x80\xc3\xa9\xe2\x82\xac\xff", np.uint8), rng.integers(0, 40)).tobytes() for _ in range(200)] + ["é€a".encode() * 50]
+        width, number, lost, ends = codespace.codes_of(np.frombuffer(b"".join(strings), np.uint8), np.cumsum([len(s) for s in strings]), bounds)
+        first = 0
+        for data, last in zip(strings, ends.tolist(), strict=True):
+            want, _ = brute_codes(bounds, data)
+            assert [(codespace.UNKNOWN if x else n, bool(x)) for n, x in zip(number[first:last].tolist(), lost[first:last].tolist(), strict=True)] == want
+            assert width[first:last].sum() == len(data)
+            first = last
