@@ -1,13 +1,19 @@
 """Character maps as tables: code spaces and code-to-text mappings of CMap programs, and strings decoded by them.
 
 Programs are texts; their blocks and entries are taken apart by regular expressions, so a table of very many fonts is parsed
-like any other column. What a string decodes to is a join of its codes with its font's mappings.
+like any other column. What a string decodes to is found in its font's mappings, which are joined to it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 #: What a code without a mapping becomes.
 UNMAPPED = "�"
@@ -88,11 +94,46 @@ def problems(cmaps: DataFrame, *, font: str = "font", program: str = "cmap") ->
     return rows.withColumn("problem", F.when(wide, "size").when(~_fits(), "range").when(short, "list")).where("problem IS NOT NULL").select(font, "lo", "hi", "problem")
 
 
+#: Entries of all fonts' mappings up to which they are sent to all tasks; a task gets those of its strings' fonts otherwise.
+BROADCAST = 100_000
+
+
 def decoded(tokens: DataFrame, maps: DataFrame, *keys: str, font: str = "font") -> DataFrame:
-    """(keys, text, unmapped) of strings that ``codespace.tokenised`` has taken apart; ``unmapped`` counts codes without a text."""
-    codes = tokens.select(*keys, font, F.posexplode_outer("parts").alias("i", "p")).select(*keys, font, "i", F.col("p.width").alias("width"), F.col("p.byte").alias("code"), F.col("p.lost").alias("lost"))
-    found = codes.join(maps, [font, "width", "code"], "left")
-    text = F.when(F.col("i").isNull(), "").when(F.col("lost") | F.col("text").isNull(), UNMAPPED).otherwise(F.col("text"))
-    rows = F.array_sort(F.collect_list(F.struct("i", text.alias("t"))))
-    lost = F.col("i").isNotNull() & (F.col("lost") | F.col("text").isNull())
-    return found.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda r: r["t"]), "").alias("text"), F.count_if(lost).alias("unmapped"))
+    """(keys, text, unmapped) of strings that ``codespace.tokenised`` has taken apart; ``unmapped`` counts codes without a text.
+
+    A font's mappings meet its strings as one list, sorted by code, in which all codes of many strings are looked up at once,
+    so a code is never a row of its own.
+    """
+    packed = F.shiftleft(F.col("width").cast("long"), 32) + F.col("code")
+    entries = maps.where("text IS NOT NULL").select(font, F.struct(packed.alias("unit"), "text").alias("e")).groupBy(font).agg(F.sort_array(F.collect_list("e")).alias("__e"))
+    few = maps.limit(BROADCAST + 1).count() <= BROADCAST
+    each = lambda name: F.transform("__e", lambda e: e[name]).alias(f"__{name}")
+    listed = entries.select(font, each("unit"), each("text"))
+    s = tokens.select(*keys, font, "parts").join(F.broadcast(listed) if few else listed, font, "left").select(*keys, font, "parts", "__unit", "__text")
+    schema = StructType([*(tokens.schema[k] for k in keys), StructField("text", StringType()), StructField("unmapped", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch[font].unique():
+                own = batch.filter(pc.is_null(batch[font]) if name.as_py() is None else pc.fill_null(pc.equal(batch[font], name), False))
+                yield pa.RecordBatch.from_arrays([*(own[k] for k in keys), *_texts(own["parts"], own["__unit"][0], own["__text"][0])], names=schema.names)
+
+    return s.mapInArrow(run, schema)
+
+
+def _texts(parts: pa.ListArray, units: pa.ListScalar, texts: pa.ListScalar) -> list[pa.Array]:
+    """Texts of strings of one font, and how many of their codes have none."""
+    known = units.values.to_numpy() if units.is_valid else np.empty(0, np.int64)
+    pieces = pa.concat_arrays([texts.values if texts.is_valid else pa.array([], pa.string()), pa.array([UNMAPPED])])
+    width, byte, lost = (c.to_numpy(zero_copy_only=False) for c in parts.flatten().flatten())
+    unit = width.astype(np.int64) << 32 | byte
+    at = np.searchsorted(known, unit)
+    found = ~lost & (np.append(known, -1)[at] == unit)
+    taken = pieces.cast(pa.large_string()).take(pa.array(np.where(found, at, len(known))))
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    # pieces lie one after another, so a string's text is all that lies between its ends
+    _, offsets, data = taken.buffers()
+    places = np.frombuffer(offsets, np.int64)[: len(taken) + 1][ends] if len(taken) else np.zeros(len(ends), np.int64)
+    text = pa.Array.from_buffers(pa.large_string(), len(ends) - 1, [None, pa.py_buffer(places.tobytes()), data if data is not None else pa.py_buffer(b"")])
+    missing = np.concatenate([[0], np.cumsum(~found)])[ends]
+    return [text.cast(pa.string()), pa.array(np.diff(missing))]

@@ -195,6 +195,6 @@ def cmap_texts(spark, sf_dir):
     )
     fonts = docs.select(F.col("source").alias("font"), program.alias("cmap")).distinct()
     strings = docs.where(F.col("text").rlike("^[\\x00-\\x7Fé]*$")).select("doc_id", F.col("source").alias("font"), F.encode("text", "UTF-8").alias("bytes"))
-    tokens = codespace.tokenised(strings, cmaps.codespaces(fonts))
+    tokens = codespace.tokenised(strings, cmaps.codespaces(fonts), give=["parts"])
     got = cmaps.decoded(tokens, cmaps.mappings(fonts), "doc_id").where("unmapped = 0")
     return got.select("doc_id", F.md5("text").alias("h"))

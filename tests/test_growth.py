@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import test_queries
-from quirelane.operators import codespace, glyphs, merged_cells
+from quirelane.operators import cmaps, codespace, glyphs, merged_cells
 from quirelane.plans import registry
 from test_stores import brute_codes
 
@@ -126,3 +126,15 @@ def test_codes_of_many_strings_at_once():
             assert [(codespace.UNKNOWN if x else n, bool(x)) for n, x in zip(number[first:last].tolist(), lost[first:last].tolist(), strict=True)] == want
             assert width[first:last].sum() == len(data)
             first = last
+
+
+def test_codes_are_no_rows_of_their_own(spark):
+    """Decoding explodes no codes; strings of a null font, of a font without a map and null ones keep their rows."""
+    ranges = spark.createDataFrame([("a", b"\x00", b"\x7f"), ("a", b"\xc2\x80", b"\xdf\xbf")], "font string, lo binary, hi binary")
+    maps = spark.createDataFrame([("a", 1, 0x61, "x"), ("a", 2, 0xC3A9, "fi"), ("a", 1, 0x62, "")], "font string, width int, code long, text string")
+    rows = [(1, "a", "aéb".encode()), (2, "a", b"a\xffa"), (3, "b", b"ab"), (4, None, b"a"), (5, "a", None), (6, "a", b""), (7, "a", b"c")]
+    tokens = codespace.tokenised(spark.createDataFrame(rows, "id int, font string, bytes binary"), ranges, give=["parts"])
+    got = cmaps.decoded(tokens, maps, "id")
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    no = cmaps.UNMAPPED
+    assert {tuple(r) for r in got.collect()} == {(1, "xfi", 0), (2, f"x{no}x", 1), (3, no * 2, 2), (4, no, 1), (5, "", 0), (6, "", 0), (7, no, 1)}
