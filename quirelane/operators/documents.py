@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from quirelane.session import cut
+#: Rows that a task gathers before it hands them on.
+ROWS = 1 << 17
 
 
 def combine_forms(acro: DataFrame, xfa: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -82,25 +86,50 @@ def membership_visible(policy: Column, states: Column) -> Column:
 def walk_chain(edges: DataFrame, starts: DataFrame, key: str = "doc_id", limit: int = 10_000) -> DataFrame:
     """(key, chain, node, position): each chain from its start along ``next``, each node once, so rings end.
 
-    Pointer doubling: after k rounds a node knows what lies 2^k steps ahead, so a chain of n nodes takes log n joins,
-    not n. Edges: key, node, next (null at an end). Starts: key, chain, node. ``limit`` ends the walk, as documented.
+    A document's edges and starts meet in one grouping and are walked there, in time that grows with their number; nothing is
+    broadcast. Edges: key, node, next (null at an end). Starts: key, chain, node. ``limit`` ends the walk, as documented.
     """
-    reached = starts.select(key, "chain", "node", F.lit(0).alias("position"))
-    jump = edges.where(F.col("next").isNotNull()).select(key, F.col("node").alias("__from"), F.col("next").alias("__to"))
-    step = 1
-    while step < limit:
-        ahead = reached.join(jump, (reached[key] == jump[key]) & (reached["node"] == jump["__from"])).select(
-            reached[key], "chain", F.col("__to").alias("node"), (F.col("position") + step).alias("position")
-        )
-        both = reached.unionByName(ahead.where(F.col("position") < limit))
-        grown = cut(both.groupBy(key, "chain", "node").agg(F.min("position").alias("position")))
-        if grown.count() == reached.count():
-            break
-        reached = grown
-        second = jump.select(F.col(key).alias("__k"), F.col("__from").alias("__mid"), F.col("__to").alias("__end"))
-        jump = cut(jump.join(second, (F.col(key) == F.col("__k")) & (F.col("__to") == F.col("__mid"))).select(key, "__from", F.col("__end").alias("__to")))
-        step *= 2
-    return reached
+    e = edges.where(F.col("node").isNotNull() & F.col("next").isNotNull()).select(key, F.struct("node", "next").alias("__e"))
+    s = starts.select(key, F.struct("chain", "node").alias("__s"))
+    grouped = s.unionByName(e, allowMissingColumns=True).groupBy(key).agg(F.collect_list("__s").alias("__s"), F.collect_list("__e").alias("__e")).where(F.size("__s") > 0)
+    fields = [starts.schema[key], *(StructField(c, starts.schema[c].dataType) for c in ("chain", "node")), StructField("position", IntegerType())]
+    schema = StructType(fields)
+
+    def walked(firsts: list[tuple], ahead: dict) -> Iterator[tuple]:
+        chains: dict = {}
+        for chain, node in firsts:
+            chains.setdefault(chain, []).append(node)
+        for chain, front in chains.items():
+            seen, position = set(), 0
+            while front and position < limit:
+                now = [n for n in dict.fromkeys(front) if n not in seen]
+                seen.update(now)
+                yield from ((chain, n, position) for n in now)
+                front = [n for m in now for n in ahead.get(m, ())]
+                position += 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        types = [to_arrow_type(f.dataType) for f in fields[1:]]
+        for batch in batches:
+            ends = {c: [0, *np.cumsum(batch[c].value_lengths().to_numpy(zero_copy_only=False)).tolist()] for c in ("__s", "__e")}
+            chain, first, node, ahead = (x.to_pylist() for c in ("__s", "__e") for x in batch[c].flatten().flatten())
+            rows, own = [], []
+            for i in range(batch.num_rows):
+                s, e = (slice(ends[c][i], ends[c][i + 1]) for c in ("__s", "__e"))
+                to: dict = {}
+                for n, m in zip(node[e], ahead[e], strict=True):
+                    to.setdefault(n, []).append(m)
+                before = len(rows)
+                rows += walked(list(zip(chain[s], first[s], strict=True)), to)
+                own.append(len(rows) - before)
+                if len(rows) > ROWS or i == batch.num_rows - 1:
+                    at = pa.array(np.repeat(np.arange(i + 1 - len(own), i + 1), own))
+                    yield pa.RecordBatch.from_arrays([batch[key].take(at), *(pa.array([r[j] for r in rows], t) for j, t in enumerate(types))], names=schema.names)
+                    rows, own = [], []
+
+    return grouped.mapInArrow(run, schema)
 
 
 def resolve_roles(roles: DataFrame, standard: Sequence[str], key: str = "doc_id", depth: int = 16) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import test_queries
-from quirelane.operators import cmaps, codespace, glyphs, merged_cells
+from quirelane.operators import cmaps, codespace, documents, glyphs, merged_cells
 from quirelane.plans import registry
 from test_stores import brute_codes
 
@@ -138,3 +138,13 @@ def test_codes_are_no_rows_of_their_own(spark):
     assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
     no = cmaps.UNMAPPED
     assert {tuple(r) for r in got.collect()} == {(1, "xfi", 0), (2, f"x{no}x", 1), (3, no * 2, 2), (4, no, 1), (5, "", 0), (6, "", 0), (7, no, 1)}
+
+
+def test_chains_are_joined_nowhere(spark):
+    """Edges out of an explosion look as small as the rows before it, so a join would broadcast them. Rings, forks and two chains of one document."""
+    edges = [(1, 0, 1), (1, 1, 2), (1, 2, 0), (2, 0, 1), (2, 0, 2), (2, 1, 3), (2, 2, 3), (2, 3, None), (3, 5, 6)]
+    starts = [(1, "a", 0), (1, "b", 2), (2, "a", 0), (3, "a", 9), (4, "a", 1)]
+    got = documents.walk_chain(spark.createDataFrame(edges, "doc_id long, node long, next long"), spark.createDataFrame(starts, "doc_id long, chain string, node long"))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {(1, "a", 0, 0), (1, "a", 1, 1), (1, "a", 2, 2), (1, "b", 2, 0), (1, "b", 0, 1), (1, "b", 1, 2), (2, "a", 0, 0), (2, "a", 1, 1), (2, "a", 2, 1), (2, "a", 3, 2), (3, "a", 9, 0), (4, "a", 1, 0)}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
