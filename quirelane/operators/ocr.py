@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quirelane.functions.geometry import Box
 
@@ -32,20 +35,78 @@ def merge(vector: DataFrame, recognised: DataFrame, keys: Sequence[str] = PAGE,
     return vector.withColumn("source", F.lit("vector")).unionByName(fresh.withColumn("source", F.lit("ocr")), allowMissingColumns=True)
 
 
+#: Spans that a task holds against glyphs at once, in whole pages.
+SPANS = 1 << 19
+
+
 def validate_positions(recognised: DataFrame, glyphs: DataFrame, keys: Sequence[str] = PAGE, near: float = 5.0, cap: float = 0.4) -> DataFrame:
     """Recognised spans whose nearest glyph centre is over ``near`` points away have their confidence capped.
 
-    Nearest is by the grid cell of size ``near`` and its neighbours, so a span meets only glyphs that could be near.
+    A page's spans and glyph centres meet in one grouping, as lists, and come out again as rows; a span is held against the
+    glyphs in the grid cell of size ``near`` of its centre and in the cells around.
     """
-    cell = lambda c: F.floor(c / near)
     cx, cy = Box.of().centre
-    g = glyphs.select(*keys, cx.alias("gx"), cy.alias("gy")).withColumns({"__i": cell(F.col("gx")), "__j": cell(F.col("gy"))})
-    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    r = recognised.withColumn("__d", F.explode(steps)).withColumns({"__i": cell(cx) + F.col("__d.i"), "__j": cell(cy) + F.col("__d.j")})
-    hit = r.join(g, [*keys, "__i", "__j"]).where((F.col("gx") - cx) ** 2 + (F.col("gy") - cy) ** 2 < near * near)
-    ok = hit.select(*keys, "span_index").distinct().withColumn("__ok", F.lit(True))
-    out = recognised.join(ok, [*keys, "span_index"], "left")
-    return out.withColumn("confidence", F.when(F.col("__ok"), F.col("confidence")).otherwise(F.least("confidence", F.lit(cap)))).drop("__ok")
+    own = [c for c in recognised.columns if c not in keys]
+    r = recognised.select(*keys, F.struct(*(F.col(f"`{c}`") for c in own), cx.alias("__cx"), cy.alias("__cy")).alias("__r"))
+    g = glyphs.select(*keys, F.struct(cx.alias("gx"), cy.alias("gy")).alias("__g")).where("__g.gx IS NOT NULL AND __g.gy IS NOT NULL")
+    pages = r.unionByName(g, allowMissingColumns=True).groupBy(*keys).agg(F.collect_list("__r").alias("__r"), F.collect_list("__g").alias("__g")).where(F.size("__r") > 0)
+    schema = StructType([*(recognised.schema[k] for k in keys), *(recognised.schema[c] for c in own)])
+    of_confidence = recognised.schema["confidence"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch[c].value_lengths().to_numpy(zero_copy_only=False) for c in ("__r", "__g"))
+            ends, first = np.cumsum(n), 0
+            while first < batch.num_rows:
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + SPANS, "right")))
+                part = batch.slice(first, last - first)
+                pages = [np.repeat(np.arange(last - first), x[first:last]) for x in (n, m)]
+                span, glyph = part["__r"].flatten(), part["__g"].flatten()
+                place = lambda a, *names: [a.field(a.type.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.float64) for c in names]
+                ok = near_any(pages[0], *place(span, "__cx", "__cy"), pages[1], *place(glyph, "gx", "gy"), near)
+                values = {c: span.field(span.type.get_field_index(c)) for c in own}
+                sure = values["confidence"]
+                limit = pa.scalar(cap).cast(sure.type)
+                values["confidence"] = pc.if_else(pa.array(ok), sure, pc.min_element_wise(sure, limit))
+                at = pa.array(pages[0])
+                yield pa.RecordBatch.from_arrays([*(part[k].take(at) for k in keys), *values.values()], names=schema.names)
+                first = last
+
+    assert of_confidence.typeName() in ("double", "float"), of_confidence
+    return pages.mapInArrow(run, schema).select(*recognised.columns)
+
+
+def near_any(page: np.ndarray, x: np.ndarray, y: np.ndarray, g_page: np.ndarray, gx: np.ndarray, gy: np.ndarray, near: float) -> np.ndarray:
+    """Whether some point (gx, gy) of its page lies less than ``near`` from each point (x, y)."""
+    ok = np.zeros(len(x), bool)
+    known = np.flatnonzero(~(np.isnan(x) | np.isnan(y)))
+    if not len(gx) or not len(known):
+        return ok
+    page, x, y = page[known], x[known], y[known]
+    cell = lambda v: np.floor(v / near).astype(np.int64)
+    i, j, gi, gj = cell(x), cell(y), cell(gx), cell(gy)
+    low_i, low_j = gi.min() - 1, gj.min() - 1
+    wide, high = gi.max() - low_i + 2, gj.max() - low_j + 2
+    key = lambda p, j, i: (p * high + j - low_j) * wide + i - low_i
+    at = key(g_page, gj, gi)
+    order = np.argsort(at, kind="stable")
+    at, gx, gy = at[order], gx[order], gy[order]
+    inside = np.flatnonzero((i >= low_i) & (i <= low_i + wide - 1) & (j >= low_j) & (j <= low_j + high - 1))
+    # three cells of one row follow each other in that order
+    for step in (-1, 0, 1):
+        left = inside[~ok[known[inside]]]
+        row = j[left] + step
+        left, row = (a[(row >= low_j) & (row < low_j + high)] for a in (left, row))
+        lo = np.searchsorted(at, key(page[left], row, np.maximum(i[left] - 1, low_i)))
+        hi = np.searchsorted(at, key(page[left], row, np.minimum(i[left] + 1, low_i + wide - 1)), "right")
+        some = hi > lo
+        left, lo, n = left[some], lo[some], (hi - lo)[some]
+        begin = np.cumsum(n) - n
+        g = np.arange(int(n.sum())) + np.repeat(lo - begin, n)
+        close = (gx[g] - np.repeat(x[left], n)) ** 2 + (gy[g] - np.repeat(y[left], n)) ** 2 < near * near
+        if len(left):
+            ok[known[left]] |= np.logical_or.reduceat(close, begin)
+    return ok
 
 
 def character_error_rate(reference: Column, found: Column) -> Column:

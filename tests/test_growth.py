@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import test_queries
-from quirelane.operators import cmaps, codespace, documents, glyphs, merged_cells
+from quirelane.operators import cmaps, codespace, documents, glyphs, merged_cells, ocr
 from quirelane.plans import registry
 from test_stores import brute_codes
 
@@ -148,3 +148,19 @@ def test_chains_are_joined_nowhere(spark):
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
     want = {(1, "a", 0, 0), (1, "a", 1, 1), (1, "a", 2, 2), (1, "b", 2, 0), (1, "b", 0, 1), (1, "b", 1, 2), (2, "a", 0, 0), (2, "a", 1, 1), (2, "a", 2, 1), (2, "a", 3, 2), (3, "a", 9, 0), (4, "a", 1, 0)}
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_positions_near_glyphs():
+    """Random points of several pages against all pairs; points beyond all glyphs and unknown ones are near none."""
+    rng = np.random.default_rng(10)
+    page, g_page = np.sort(rng.integers(0, 5, 400)), np.sort(rng.integers(0, 4, 200))
+    x, y, gx, gy = (rng.uniform(-60, 60, n) for n in (400, 400, 200, 200))
+    x[:3], y[3], x[4], y[5] = 1e9, np.nan, -1e9, -1e9
+    got = ocr.near_any(page, x, y, g_page, gx, gy, 5.0)
+    every = (page[:, None] == g_page[None, :]) & ((x[:, None] - gx[None, :]) ** 2 + (y[:, None] - gy[None, :]) ** 2 < 25)
+    assert (got == every.any(1)).all() and 50 < got.sum() < 350
+
+
+def test_positions_copy_no_spans(spark):
+    plan = registry.QUERIES["position_validation"](spark, test_queries.DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
