@@ -11,6 +11,9 @@ import pytest
 import test_queries
 from quirelane.operators import cmaps, codespace, documents, glyphs, merged_cells, ocr
 from quirelane.plans import registry
+from quirelane.sources.pdf import writer
+from quirelane.sources.pdf.objects import Parser, Ref
+from quirelane.sources.pdf.tables import File
 from test_stores import brute_codes
 
 pytestmark = pytest.mark.skipif(not Path(test_queries.DATA).is_dir(), reason="no test tables here")
@@ -164,3 +167,15 @@ def test_positions_near_glyphs():
 def test_positions_copy_no_spans(spark):
     plan = registry.QUERIES["position_validation"](spark, test_queries.DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_pages_place_no_glyphs():
+    """Counts of shown text need no fonts and no places; strings with escapes and arrays of numbers are read as before."""
+    data = writer.text_pdf([[(72, 700, 10, "a (b) \\\\ c"), (72, 688, 10, "d")], [(72, 700, 10, "é")]])
+    f = File(data)
+    assert [(r[0], r[5], r[6]) for r in f.rows("pages")] == [(0, 2, 0), (1, 1, 0)]
+    assert not f._ran(0, glyphs=False).glyphs
+    assert "".join(g[2] for g in f.rows("glyphs")) == "a (b) \\\\ cdé"
+    for text, want in ((b"[1 22\n3]", [1, 22, 3]), (b"[]", []), (b"[1 0 R 2]", [Ref(1, 0), 2]), (b"[1 -2 .5]", [1, -2, 0.5]), (b"[ 7 ]", [7])):
+        assert Parser(text, 0).object() == want
+    assert Parser(b"(a(b)\\(c\\051\\\nd)", 0).object() == b"a(b)(c)d"
