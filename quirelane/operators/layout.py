@@ -7,14 +7,16 @@ Every window is partitioned by document and page (or a finer key), so that no wi
 from __future__ import annotations
 
 from bisect import insort
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from quirelane.functions.geometry import Box, baseline, union_box
 from quirelane.operators.groups import folded
@@ -39,29 +41,75 @@ def ordered_text(sep: str, text: str, *order: str) -> Column:
     return F.array_join(F.transform(rows, lambda r: r[text]), sep)
 
 
+#: Words that a task merges at once, in whole groups.
+WORDS = 1 << 19
+
+
+def _merged(words: DataFrame, keys: Sequence[str], order: Sequence[str], breaks: Callable[[Callable, Callable], list[pa.Array]], used: Sequence[str], firsts: Sequence[str], least: Sequence[str]) -> DataFrame:
+    """(keys, span_index, text, firsts, least, box): runs of words, whose first values, least values and boxes they keep.
+
+    ``breaks`` gets what gives a column of each word but the first and what gives that of the word before, and gives conditions
+    under which a run ends; null ends none. Words of a group meet once, as a list, so no window or sort holds them beside it.
+    """
+    box = ["x0", "y0", "x1", "y1"]
+    own = [*order, "text", *dict.fromkeys([*used, *firsts, *least, *box])]
+    rows = F.collect_list(F.struct(*own))
+    schema = StructType([*(words.schema[k] for k in keys), StructField("span_index", IntegerType()), StructField("text", StringType()), *(words.schema[c] for c in (*firsts, *least, *box))])
+
+    def spans(group: np.ndarray, flat: pa.StructArray) -> tuple[np.ndarray, list[pa.Array]]:
+        column = lambda c: flat.field(flat.type.get_field_index(c))
+        sort = np.lexsort([*(column(c).to_numpy(zero_copy_only=False) for c in reversed(order)), group])
+        flat = flat.take(pa.array(sort))
+        group = group[sort]
+        new = np.ones(len(group), bool)
+        new[1:] = group[1:] != group[:-1]
+        for b in breaks(lambda c: column(c).slice(1), lambda c: column(c).slice(0, len(group) - 1)):
+            new[1:] |= pc.fill_null(b, False).to_numpy(zero_copy_only=False)
+        begin = np.flatnonzero(new)
+        of = group[begin]
+        number = pa.array((np.arange(len(begin)) - np.searchsorted(of, of)).astype(np.int32))
+        text = column("text")
+        ends = np.concatenate([[0], np.cumsum(text.is_valid().to_numpy(zero_copy_only=False))])[np.append(begin, len(group))]
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), text.drop_null()), " ")
+        at, out = pa.array(begin), [number, joined]
+        out += [column(c).take(at) for c in firsts]
+        for c in (*least, *box):
+            far = np.fmax if c in ("x1", "y1") else np.fmin
+            out.append(pa.array(far.reduceat(column(c).to_numpy(zero_copy_only=False), begin), column(c).type, from_pandas=True))
+        return of, out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch["__w"].value_lengths().to_numpy(zero_copy_only=False)
+            ends, first = np.cumsum(size), 0
+            while first < batch.num_rows:
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + WORDS, "right")))
+                part = batch.slice(first, last - first)
+                of, columns = spans(np.repeat(np.arange(last - first), size[first:last]), part["__w"].flatten())
+                yield pa.RecordBatch.from_arrays([*(part[k].take(pa.array(of)) for k in keys), *columns], names=schema.names)
+                first = last
+
+    return words.groupBy(*keys).agg(rows.alias("__w")).mapInArrow(run, schema)
+
+
 def merge_spans(glyphs: DataFrame, keys: Sequence[str] = (*PAGE, "line_no"), order: str = "word_no", size_delta: float = 0.5) -> DataFrame:
     """Neighbouring runs of one font, size, rendering mode and colour become one span."""
-    before = lambda c: previous(c, keys, [order])
-    breaks = (before("font") != F.col("font")) | (F.abs(F.col("size") - before("size")) > size_delta) | (before("rendering_mode") != F.col("rendering_mode"))
-    if "color" in glyphs.columns:
-        breaks = breaks | (before("color") != F.col("color"))
-    runs = islands(glyphs, keys, [order], breaks, "span_index")
-    return runs.groupBy(*keys, "span_index").agg(
-        ordered_text(" ", "text", order).alias("text"),
-        F.first("font").alias("font"),
-        F.first("size").alias("size"),
-        F.first("rendering_mode").alias("rendering_mode"),
-        F.min("confidence").alias("confidence"),
-        *union_box(),
-    )
+    same = ["font", "rendering_mode", *(["color"] if "color" in glyphs.columns else [])]
+
+    def breaks(own: Callable, before: Callable) -> list[pa.Array]:
+        return [*(pc.not_equal(own(c), before(c)) for c in same), pc.greater(pc.abs(pc.subtract(own("size"), before("size"))), size_delta)]
+
+    return _merged(glyphs, keys, [order], breaks, same, ["font", "size", "rendering_mode"], ["confidence"])
 
 
 def merge_search_spans(words: DataFrame, keys: Sequence[str] = PAGE, order: Sequence[str] = ("line_no", "word_no")) -> DataFrame:
     """Runs for search: a new one on a font change, a baseline shift over a fifth of the size, or a gap over twice the size."""
-    before = lambda c: previous(c, keys, order)
-    breaks = (before("font") != F.col("font")) | (F.abs(F.col("y0") - before("y0")) > 0.2 * F.col("size")) | (F.col("x0") - before("x1") > 2 * F.col("size"))
-    runs = islands(words, keys, list(order), breaks, "span_index")
-    return runs.groupBy(*keys, "span_index").agg(ordered_text(" ", "text", *order).alias("text"), *union_box())
+
+    def breaks(own: Callable, before: Callable) -> list[pa.Array]:
+        shift, gap = pc.abs(pc.subtract(own("y0"), before("y0"))), pc.subtract(own("x0"), before("x1"))
+        return [pc.not_equal(own("font"), before("font")), pc.greater(shift, pc.multiply(own("size"), 0.2)), pc.greater(gap, pc.multiply(own("size"), 2.0))]
+
+    return _merged(words, keys, order, breaks, ["font", "size"], [], [])
 
 
 def cluster_lines(spans: DataFrame, threshold: float, keys: Sequence[str] = PAGE) -> DataFrame:

@@ -20,9 +20,14 @@ def _words(spark, sf_dir):
     return virtual_pages.words(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def _words_in_place(spark, sf_dir):
+    """Words of documents that are dealt by their key while they are texts: pages and lines then are whole where they are, and no word is shuffled."""
+    return virtual_pages.words(table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id"))
+
+
 def _styled(spark, sf_dir):
     """Words whose font and mode change along the line."""
-    w = _words(spark, sf_dir)
+    w = _words_in_place(spark, sf_dir)
     return w.withColumn("font", F.when(F.col("word_no") % 11 < 8, F.lit("Courier")).otherwise(F.lit("Helvetica-Bold"))).withColumn(
         "rendering_mode", F.when(F.col("word_no") % 23 == 0, 3).otherwise(0)
     )
@@ -72,7 +77,7 @@ def span_merge(spark, sf_dir):
     FROM runs GROUP BY ALL""",
 )
 def search_span_merge(spark, sf_dir):
-    return layout.merge_search_spans(_words(spark, sf_dir))
+    return layout.merge_search_spans(_words_in_place(spark, sf_dir))
 
 
 _CLUSTERED = f"""{WORDS}, based AS (SELECT *, y0 + 0.2 * (y1 - y0) AS baseline FROM words),

@@ -179,3 +179,10 @@ def test_pages_place_no_glyphs():
     for text, want in ((b"[1 22\n3]", [1, 22, 3]), (b"[]", []), (b"[1 0 R 2]", [Ref(1, 0), 2]), (b"[1 -2 .5]", [1, -2, 0.5]), (b"[ 7 ]", [7])):
         assert Parser(text, 0).object() == want
     assert Parser(b"(a(b)\\(c\\051\\\nd)", 0).object() == b"a(b)(c)d"
+
+
+@pytest.mark.parametrize("query", ["span_merge"])
+def test_words_are_dealt_as_texts(spark, query):
+    """No window or join sorts words, and what is shuffled are documents."""
+    plan = registry.QUERIES[query](spark, test_queries.DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 1 and plan.count("hashpartitioning(doc_id#") == 1
