@@ -181,7 +181,7 @@ def test_pages_place_no_glyphs():
     assert Parser(b"(a(b)\\(c\\051\\\nd)", 0).object() == b"a(b)(c)d"
 
 
-@pytest.mark.parametrize("query", ["span_merge"])
+@pytest.mark.parametrize("query", ["span_merge", "search_span_merge"])
 def test_words_are_dealt_as_texts(spark, query):
     """No window or join sorts words, and what is shuffled are documents."""
     plan = registry.QUERIES[query](spark, test_queries.DATA)._jdf.queryExecution().executedPlan().toString()
